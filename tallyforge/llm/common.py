@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch are handed on once their texts reach this many characters.
@@ -48,11 +48,6 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def key(column: Column, name: str) -> Column:
-    """A null id stays null: operators keep such rows and give them no partner."""
-    return column.cast("long").alias(name)
-
-
 def slices(texts: list, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts stay near the limit, so that long documents don't pile up in memory."""
     start = total = 0
@@ -75,10 +70,17 @@ def list_array(parts: list[bytes], kind: pa.DataType, width: int) -> pa.ListArra
     return pa.ListArray.from_arrays(pa.array(ends), values)
 
 
-def rows_of(df: DataFrame, *columns: Column) -> DataFrame:
-    """Only what an operator reads, under its own names: extra or clashing columns of the input don't matter."""
-    return df.select(*columns)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int, most_bytes: int, seed: int, key: str = "doc_id", text: str = "text") -> list:
+    """At most ``rows`` rows (k, t, y) chosen by a hash of the id: a bounded sample to fit a model on.
 
-
-def hash_words(column: Column) -> Column:
-    return F.xxhash64(column)
+    The ids are chosen among the labels first, so that texts are only read for the sample, which is small enough to be
+    sent to all tasks. Rows with longer texts than ``most_bytes`` are left out of the fit.
+    """
+    chosen = (
+        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        .select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("h"))
+        .orderBy("h", "k", "y")
+        .limit(rows)
+    )
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= most_bytes)
+    return sorted(texts.join(F.broadcast(chosen), "k").select("k", "t", "y").collect())

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, token_counts
+from . import bpe, chat_format, line_dedup, quality, token_counts, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -23,6 +23,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded, "doc_id")
 
 
+def _held_out(remainder: int, of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % of == remainder
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _held_out(2, 4)
+    net = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    scored = quality.score_documents(docs, net)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _held_out(0, 5)
+    index = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score_documents(docs, index)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -36,8 +59,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_quality": op4_quality,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
