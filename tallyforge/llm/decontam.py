@@ -33,11 +33,12 @@ from .common import slices
 from .words import WORDS, mix, rolling
 
 MOST_EDITS = 0.2
-TABLES, SAMPLED, SEED = 24, 3, 5
+TABLES, SAMPLED, SEED = 32, 6, 5
 CHUNK = 20_000
 #: Item lengths whose windows are counted together differ by this factor at most.
 STEP = 1.25
-FILTER_BITS = 22
+#: Bits of a filter for each entry.
+ROOM = 64
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 LEAKS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -110,6 +111,8 @@ class Class:
     low: int
     high: int
     need: int
+    vocabulary: np.ndarray
+    triples: np.ndarray
     keys: np.ndarray
     items: np.ndarray
 
@@ -118,7 +121,7 @@ class Class:
 class Items:
     ids: list[int]
     words: list[list[int]]
-    vocabulary: np.ndarray
+    own: list[frozenset[int]]
     triples: np.ndarray
     classes: list[Class]
 
@@ -127,14 +130,25 @@ def allowed(length: int) -> int:
     return int(length * MOST_EDITS)
 
 
+def _filter(hashes: np.ndarray) -> np.ndarray:
+    """A table that has a one for each of these hashes, and few others; its size is a power of two."""
+    bits = max(10, (ROOM * max(1, len(hashes)) - 1).bit_length())
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    out[hashes >> np.uint64(64 - bits)] = 1
+    return out
+
+
+def _in(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return table[hashes >> np.uint64(65 - len(table).bit_length())]
+
+
+def _triples(h: np.ndarray) -> frozenset[int]:
+    return frozenset(rolling(h, 3).tolist()) if len(h) > 2 else frozenset()
+
+
 def prepare(rows: list[tuple[int, str]]) -> Items:
     hashed = Hasher()
     known = sorted(((i, h) for i, t in sorted(rows) if len(h := hashed(t))), key=lambda x: len(x[1]))
-    vocabulary, triples = np.zeros(1 << FILTER_BITS, dtype=np.uint8), np.zeros(1 << FILTER_BITS, dtype=np.uint8)
-    for _, h in known:
-        vocabulary[mix(h) >> np.uint64(64 - FILTER_BITS)] = 1
-        if len(h) > 2:
-            triples[rolling(h, 3) >> np.uint64(64 - FILTER_BITS)] = 1
     classes: list[Class] = []
     a = 0
     while a < len(known):
@@ -143,12 +157,13 @@ def prepare(rows: list[tuple[int, str]]) -> Items:
         while b < len(known) and len(known[b][1]) <= STEP * low:
             b += 1
         lengths = [len(h) for _, h in known[a:b]]
+        words = np.concatenate([h for _, h in known[a:b]])
         met = buckets(np.stack([h[:low] for _, h in known[a:b]]))
         keys, items = met.reshape(-1), np.tile(np.arange(a, b), TABLES)
         order = np.argsort(keys, kind="stable")
-        classes.append(Class(low, lengths[-1], max(0, min(n - 2 - 3 * allowed(n) for n in lengths)), keys[order], items[order]))
+        classes.append(Class(low, lengths[-1], max(0, min(n - 2 - 3 * allowed(n) for n in lengths)), _filter(mix(words)), _filter(np.concatenate([rolling(h, 3) for _, h in known[a:b] if len(h) > 2] or [words[:0]])), keys[order], items[order]))
         a = b
-    return Items([i for i, _ in known], [h.tolist() for _, h in known], vocabulary, triples, classes)
+    return Items([i for i, _ in known], [h.tolist() for _, h in known], [_triples(h) for _, h in known], _filter(np.concatenate([np.zeros(0, np.uint64), *(rolling(h, 3) for _, h in known if len(h) > 2)])), classes)
 
 
 def candidates(texts: list[np.ndarray], items: Items) -> set[tuple[int, int, int]]:
@@ -158,16 +173,17 @@ def candidates(texts: list[np.ndarray], items: Items) -> set[tuple[int, int, int
         n = len(h)
         if n == 0:
             continue
-        marks = items.triples[rolling(h, 3) >> np.uint64(64 - FILTER_BITS)] if n > 2 else np.zeros(0, dtype=np.uint8)
-        total = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-        foreign = np.concatenate([[0], np.cumsum(items.vocabulary[mix(h) >> np.uint64(64 - FILTER_BITS)] == 0, dtype=np.int64)])
+        three = rolling(h, 3) if n > 2 else h[:0]
+        some = three[_in(items.triples, three) > 0]
         for c, found in zip(items.classes, windows, strict=True):
-            if n < c.low - allowed(c.low) or total[-1] < c.need:
+            if n < c.low - allowed(c.low) or len(some) < c.need or int(_in(c.triples, some).sum()) < c.need:
                 continue
+            total = np.concatenate([[0], np.cumsum(_in(c.triples, three), dtype=np.int64)])
+            foreign = np.concatenate([[0], np.cumsum(_in(c.vocabulary, mix(h)) == 0, dtype=np.int64)])
             starts, most = np.arange(n), allowed(c.high)
             near = np.minimum(starts + c.low - allowed(c.low), n)
-            far = np.minimum(starts + c.high + most - 2, len(marks))
-            starts = starts[(foreign[near] - foreign[:-1] <= most) & (total[np.maximum(far, 0)] - total[np.minimum(starts, len(marks))] >= c.need)]
+            far = np.minimum(starts + c.high + most - 2, len(three))
+            starts = starts[(foreign[near] - foreign[:-1] <= most) & (total[np.maximum(far, 0)] - total[np.minimum(starts, len(three))] >= c.need)]
             if len(starts):
                 padded = np.concatenate([h, np.zeros(c.low, dtype=np.uint64)])
                 found.append((np.full(len(starts), d), starts, padded[starts[:, None] + np.arange(c.low)]))
@@ -200,7 +216,10 @@ def leaks(texts: list[np.ndarray], items: Items) -> list[list[dict]]:
                 continue
             until = s + slack  # windows up to here lie in the region that is searched now
             low = max(0, s - slack)
-            edits, end = edit_search(pattern, texts[d][low : until + len(pattern) + slack].tolist())
+            region = texts[d][low : until + len(pattern) + slack]
+            if len(items.own[k] & _triples(region)) < len(items.own[k]) - 3 * slack:  # each edit spoils three at most
+                continue
+            edits, end = edit_search(pattern, region.tolist())
             best = min(best, (edits, low + end))
         if best[0] <= slack:
             found[d].append({"item_id": items.ids[k], "distance": best[0], "start": max(0, best[1] - len(pattern)), "end": best[1]})
