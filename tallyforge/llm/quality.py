@@ -49,12 +49,16 @@ class Network:
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded by WIDTH - 1 zeros at least and to whole half-chunks; the first half-chunk of each."""
-    halves = np.array([(len(t) + WIDTH - 1 + HALF - 1) // HALF for t in texts], dtype=np.int64)
+    """All bytes, each text between WIDTH - 1 zeros at least and in whole half-chunks; the first half-chunk of each.
+
+    The zeros before a text keep the last windows of the one before from reading it.
+    """
+    edge = WIDTH - 1
+    halves = np.array([(len(t) + 2 * edge + HALF - 1) // HALF for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(halves)])
     flat = np.zeros(int(starts[-1]) * HALF + WIDTH, dtype=np.uint8)
     for t, s in zip(texts, starts, strict=False):
-        flat[s * HALF : s * HALF + len(t)] = np.frombuffer(t, dtype=np.uint8)
+        flat[s * HALF + edge : s * HALF + edge + len(t)] = np.frombuffer(t, dtype=np.uint8)
     return flat, starts
 
 
