@@ -227,8 +227,8 @@ def leaks(texts: list[np.ndarray], items: Items) -> list[list[dict]]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of ``docs``, then leaks: item, distance in words, and where in the document's words."""
-    spark = docs.sparkSession
+    """All columns of ``docs``, then leaks: item, distance in words, and where in the document's words (a column of this name is replaced)."""
+    spark, docs = docs.sparkSession, docs.drop("leaks")
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
     chunks = max(1, -(-items.count() // CHUNK))
     columns = docs.columns
