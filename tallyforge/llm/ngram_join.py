@@ -10,7 +10,8 @@ whose largest size is U, linked sets differ in at most H tokens. Tokens are deal
   neighbourhoods): if all segments differed by two or more, the sets would differ by more than H.
 
 ``allocation`` takes the cheaper one for each band. Equal sets are one class, which is signed once. Signatures that
-two classes share are kept. Groups of at most SMALL classes give their pairs. Of a larger group each class is paired with
+two classes share are kept. Groups of at most SMALL classes give their pairs, which have to agree in as many segments as the
+spare ones tell. Of a larger group each class is paired with
 one hub only; its other links are found among the few classes of which more than the spare segments are so common
 (any linked pair not found otherwise are both such): there, classes not yet joined with the others of their cluster are
 compared with all of it, in blocks. Every pair is verified exactly on the whole texts, so the result is exact.
@@ -226,20 +227,27 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     scratch = Scratch(spark, "ngrams")
     members = scratch.table(sizes(docs, key, text))
     by_sig = signed(docs, text).repartition("sig")
-    shared = by_sig.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("sig")
+    # The tag is asked for as well, so that both sides of the join are one exchange.
+    shared = by_sig.groupBy("sig").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("tag").alias("tag")).where("low < high AND tag >= 0").select("sig")
     kept = scratch.table(by_sig.join(shared.hint("shuffle_hash"), "sig").distinct())
     group = kept.groupBy("sig").agg(F.count("*").alias("g"))
-    few = kept.join(group.where(F.col("g") <= SMALL), "sig")
-    pairs = few.select("sig", F.col("class").alias("a")).join(few.select("sig", F.col("class").alias("b")), "sig").where("a < b").select("a", "b").distinct()
     # Large groups: each class with a hub, the one that has most of the common signatures.
     many = scratch.table(kept.join(group.where(F.col("g") > SMALL), "sig").drop("g"))
+    # Linked sets agree in spare + 1 segments; without those that are empty or common, so many are in small groups.
+    common = many.groupBy("class", "tag").agg(F.count("*").alias("common"))
+    need = F.greatest(F.lit(1), F.col("tag") % 65536 + 1 - F.coalesce("common", F.lit(0)))
+    few = kept.join(group.where(F.col("g") <= SMALL), "sig").join(common, ["class", "tag"], "left").select("sig", "class", need.alias("need"), F.shiftright("tag", 16).alias("band"))
+    both = few.select("sig", "band", F.col("class").alias("a"), F.col("need").alias("need_a")).join(few.select("sig", F.col("class").alias("b"), F.col("need").alias("need_b")), "sig").where("a < b")
+    pairs = both.groupBy("a", "b", "band", "need_a", "need_b").agg(F.count("*").alias("agree")).where("agree >= need_a AND agree >= need_b").select("a", "b")
     weight = many.groupBy("class").agg(F.count("*").alias("w"))
     hub = many.join(weight, "class").groupBy("sig").agg(F.max(F.struct("w", "class"))["class"].alias("hub"))
-    spokes = many.join(hub, "sig").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
+    spokes = many.join(hub, "sig").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).groupBy("a", "b").agg(F.count("*").alias("agree")).where("agree > 1").select("a", "b")
     pairs = scratch.table(pairs.unionByName(spokes).distinct())
 
     reps = members.where("class IS NOT NULL AND doc IS NOT NULL").groupBy("class").agg(F.min("doc").alias("rep"))
-    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    # Linked pairs that no small group holds: both have more common segments than they can spare.
+    over = common.where("common > tag % 65536").select("class", "tag")
+    needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(over.select("class")).distinct()
     wanted = reps.join(needed, "class").select(F.col("rep").alias("doc"), "class")
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc").groupBy("class").agg(F.max("text").alias("text"))
     texts = scratch.table(texts)
@@ -247,8 +255,6 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     scratch.drop(kept)
 
     roots = components(links, scratch)
-    # Linked pairs that no small group holds: both have more common segments than they can spare.
-    over = many.groupBy("class", "tag").agg(F.count("*").alias("c")).where("c > tag % 65536").select("class", "tag")
     over = many.join(over, ["class", "tag"], "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
     open_sigs = over.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class").alias("least")).where("low < high").select("sig", "least")
     unresolved = scratch.table(over.join(open_sigs, "sig").select("class", "root", "least").distinct())
