@@ -8,25 +8,31 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+def _starred(pairs: DataFrame) -> DataFrame:
+    """u, v, m: each pair with the smallest of u and its neighbours; one shuffle by u serves the minimum and the join."""
+    by_u = pairs.repartition("u")
+    return by_u.join(by_u.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root (the smallest node that edges lead to) of every node of ``edges`` (a long, b long).
 
     Large star: each node's larger neighbours are tied to its smallest neighbour; small star: its smaller ones and itself
     are. Both keep what is connected, and the number of rounds grows with the logarithm of the size. Each round is a
-    table in the shared folder; only a count comes back to the driver.
+    table in the shared folder; only its count and a sum of hashes come back to the driver, which stops when they stay.
     """
-    smallest = lambda both: both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(smallest(both).where("m < u").select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.table(small)
-        same = now.join(after, ["u", "v"], "left_anti").isEmpty() and after.join(now, ["u", "v"], "left_anti").isEmpty()
+        large = _starred(both).select(F.explode(F.array(F.struct(F.when(F.col("v") > F.col("u"), F.col("v")).alias("u"), F.col("m").alias("v")), F.struct(F.when(F.col("m") < F.col("u"), F.col("u")).alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = large.select("e.*").where("u IS NOT NULL AND u != v").distinct()
+        small = _starred(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        after = scratch.table(small.select("e.*").where("u != v").distinct())
         scratch.drop(now)
         now = after
-        if same:
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
             break
+        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
