@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total, prompt_size, unknown_prompt
-from .operators import graph, matching, ordered, reconcile
+from .operators import dialects, graph, matching, ordered, reconcile
 from .plans import pricing, report
 from .sources import adapter as A
 
@@ -470,3 +470,64 @@ def digest_dedupe(spark, d):
 @query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part", adapter=False)
 def name_slugs(spark, d):
     return A.table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
+
+
+# --- dialects ----------------------------------------------------------------------
+
+
+_RESPONSES = """r AS (SELECT event_id AS row_id, user_id % 15 * 1000 + event_id // 10 AS response_id, CASE WHEN event_id % 50 = 0 THEN 0 ELSE user_id % 15 END AS session_id,
+    CASE WHEN event_id % 33 = 0 THEN 1 ELSE 0 END AS value, CASE WHEN event_id % 4 <> 0 THEN epoch_us(ts) END AS at_us, event_type <> 'error' OR event_id % 2 = 0 AS usable FROM events),
+  p AS (SELECT response_id, count(DISTINCT session_id) AS owners, count(DISTINCT value) AS n_values FROM r GROUP BY response_id),
+  f AS (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY at_us IS NULL, at_us, row_id) AS n FROM r),
+  w AS (SELECT row_id, CASE WHEN NOT usable THEN 'usage_unresolved' WHEN owners > 1 THEN 'response_owner_conflict' WHEN n_values > 1 THEN 'response_conflict' WHEN n > 1 THEN 'response_duplicate' ELSE 'response' END AS reason FROM f JOIN p USING (response_id))"""
+
+
+@query(f"{_RESPONSES} SELECT row_id, CASE reason WHEN 'response' THEN 'selected' WHEN 'response_duplicate' THEN 'excluded' ELSE 'unresolved' END AS state, reason FROM w")
+def response_decisions(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = A.table(spark, d, "events").select(
+        i.alias("row_id"), (u % 15 * 1000 + F.expr("event_id div 10")).alias("response_id"), F.when(i % 50 == 0, 0).otherwise(u % 15).alias("session_id"), F.when(i % 33 == 0, 1).otherwise(0).alias("value"),
+        F.when(i % 4 != 0, A.micros("ts")).alias("at_us"), ((F.col("event_type") != "error") | (i % 2 == 0)).alias("usable"),
+    )
+    return dialects.response_decisions(rows)
+
+
+_CALLS = """r AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 3 END AS message_id, CASE WHEN event_id % 7 <> 1 THEN 100000 + (event_id + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) // 3 END AS request_id,
+    CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS signature, event_id % 3 = 2 OR event_id % 28 = 0 AS final, CAST(floor(value) AS BIGINT) % 2 AS output, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS at_us, event_id % 9 = 4 AS superseded FROM events WHERE event_id < 3000),
+  e AS (SELECT a.row_id AS a, b.row_id AS b FROM r a JOIN r b ON a.message_id = b.message_id OR a.request_id = b.request_id),
+  reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+  comp AS (SELECT a AS row_id, min(b) AS component FROM reach GROUP BY a),
+  placed AS (SELECT r.*, component, NOT superseded OR bool_and(superseded) OVER (PARTITION BY component) AS active FROM r LEFT JOIN comp USING (row_id)),
+  p AS (SELECT component, count(DISTINCT CASE WHEN final THEN output END) AS outputs, count(DISTINCT message_id) AS messages, count(DISTINCT request_id) AS requests, count(DISTINCT signature) AS signatures FROM placed WHERE active GROUP BY component),
+  f AS (SELECT row_id, row_number() OVER (PARTITION BY component ORDER BY NOT final, at_us IS NULL, at_us, row_id) AS n FROM placed WHERE active),
+  w AS (SELECT placed.row_id, CASE WHEN placed.component IS NULL THEN 'missing_identity' WHEN NOT active THEN 'superseded_projection' WHEN outputs > 1 THEN 'output_conflict' WHEN messages > 1 OR requests > 1 OR signatures > 1 THEN 'identity_conflict' WHEN n = 1 THEN 'call' ELSE 'duplicate' END AS reason
+    FROM placed LEFT JOIN p ON placed.component = p.component LEFT JOIN f ON placed.row_id = f.row_id)"""
+
+
+@query(f"{_CALLS} SELECT row_id, CASE WHEN reason = 'call' THEN 'selected' WHEN reason IN ('duplicate', 'superseded_projection') THEN 'excluded' ELSE 'unresolved' END AS state, reason FROM w")
+def call_decisions(spark, d):
+    i = F.col("event_id")
+    rows = A.table(spark, d, "events").where("event_id < 3000").select(
+        i.alias("row_id"), F.when(i % 7 != 0, F.expr("event_id div 3")).alias("message_id"), F.when(i % 7 != 1, 100000 + F.expr("(event_id + if(event_id % 40 = 0, 1, 0)) div 3")).alias("request_id"),
+        F.when(i % 55 == 0, 1).otherwise(0).alias("signature"), ((i % 3 == 2) | (i % 28 == 0)).alias("final"), (F.floor("value").cast("long") % 2).alias("output"), F.when(i % 5 != 0, A.micros("ts")).alias("at_us"), (i % 9 == 4).alias("superseded"),
+    )
+    return dialects.call_decisions(rows)
+
+
+_ALTERNATES = """r AS (SELECT event_id AS row_id, user_id AS session_id, 's' || CAST(event_id % 2 AS VARCHAR) AS source, event_id % 2 = 1 AS is_log, CASE WHEN user_id % 3 = 0 THEN 1 ELSE event_id // 1000 END AS logical_key, user_id AS value FROM events),
+  facts AS (SELECT DISTINCT session_id, source, is_log, CAST(logical_key AS VARCHAR) || '|' || CAST(value AS VARCHAR) AS fact FROM r), s AS (SELECT session_id, source, is_log, string_agg(fact, ',' ORDER BY fact) AS signature FROM facts GROUP BY ALL),
+  p AS (SELECT session_id, count(DISTINCT signature) AS signatures, CASE WHEN bool_or(is_log) THEN min(CASE WHEN is_log THEN source END) ELSE min(source) END AS canonical FROM s GROUP BY session_id),
+  w AS (SELECT row_id, CASE WHEN signatures > 1 THEN 'alternate_conflict' WHEN source = canonical THEN 'request' ELSE 'alternate' END AS reason FROM r JOIN p USING (session_id))"""
+
+
+@query(f"{_ALTERNATES} SELECT row_id, CASE reason WHEN 'request' THEN 'selected' WHEN 'alternate' THEN 'excluded' ELSE 'unresolved' END AS state, reason FROM w")
+def alternate_decisions(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = A.table(spark, d, "events").select(i.alias("row_id"), u.alias("session_id"), F.concat(F.lit("s"), (i % 2).cast("string")).alias("source"), (i % 2 == 1).alias("is_log"), F.when(u % 3 == 0, 1).otherwise(F.expr("event_id div 1000")).alias("logical_key"), u.alias("value"))
+    return dialects.alternate_decisions(rows)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events l WHERE l.user_id = e.user_id AND l.event_type = e.event_type AND l.event_id // 1000 = (SELECT max(event_id // 1000) FROM events m WHERE m.user_id = e.user_id))", adapter=False)
+def removed_models(spark, d):
+    rows = A.table(spark, d, "events").withColumn("shutdown", F.expr("event_id div 1000"))
+    return dialects.removed_models(rows, "user_id", "shutdown", "event_type")
