@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total, prompt_size, unknown_prompt
 from .operators import dialects, graph, matching, ordered, reconcile
-from .plans import pricing, report
+from .plans import pricing, report, transcript
 from .sources import adapter as A
 
 #: A dated report of four years.
@@ -531,3 +531,34 @@ def alternate_decisions(spark, d):
 def removed_models(spark, d):
     rows = A.table(spark, d, "events").withColumn("shutdown", F.expr("event_id div 1000"))
     return dialects.removed_models(rows, "user_id", "shutdown", "event_type")
+
+
+# --- transcripts --------------------------------------------------------------------
+
+
+@query(r"""k AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat, row_number() OVER w AS position, CASE WHEN row_number() OVER w = 1 OR role IS DISTINCT FROM lag(role) OVER w THEN 1 ELSE 0 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, position, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "group", CASE WHEN new = 1 THEN role END AS shown_role, CASE WHEN flat = '' THEN NULL WHEN length(flat) > 80 THEN rtrim(substring(flat, 1, 79)) || '…' ELSE flat END AS excerpt FROM k""")
+def transcript_view(spark, d):
+    return transcript.view(A.table(spark, d, "conversations"), "conv_id", "turn", "role", "text", 80)
+
+
+@query("""n AS (SELECT user_id AS session_id, event_id AS entry_id, CASE WHEN event_id % 10 < 8 THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) ELSE lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) END AS parent_id FROM events),
+  leaf AS (SELECT session_id, max(entry_id) AS entry_id FROM n WHERE NOT EXISTS (SELECT 1 FROM n c WHERE c.session_id = n.session_id AND c.parent_id = n.entry_id) GROUP BY session_id),
+  up AS (SELECT session_id, entry_id, 0 AS distance FROM leaf UNION ALL SELECT up.session_id, n.parent_id, distance + 1 FROM up JOIN n ON n.session_id = up.session_id AND n.entry_id = up.entry_id WHERE n.parent_id IS NOT NULL)
+  SELECT session_id, entry_id, row_number() OVER (PARTITION BY session_id ORDER BY distance DESC) AS position FROM up""")
+def transcript_branch(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    parent = F.when(F.col("event_id") % 10 < 8, F.lag("event_id").over(w)).otherwise(F.lag("event_id", 2).over(w))
+    entries = A.table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("entry_id"), parent.alias("parent_id"), F.col("event_id").alias("line"))
+    return transcript.shown_branch(entries)
+
+
+@query("""c AS (SELECT user_id AS session_id, event_id % 40 AS call_id, event_id AS line, CASE event_id % 3 WHEN 0 THEN 'Bash' WHEN 1 THEN 'read_file' ELSE 'other' END AS name FROM events WHERE event_type = 'click'),
+  n AS (SELECT *, count(*) OVER (PARTITION BY session_id, call_id) AS n_calls FROM c),
+  r AS (SELECT user_id AS session_id, event_id % 40 AS call_id, count(*) AS n_results, min(props) AS text, bool_or(event_id % 5 = 0) AS is_error FROM events WHERE event_type = 'view' GROUP BY ALL)
+  SELECT session_id, call_id, name, CASE name WHEN 'Bash' THEN 'command' WHEN 'read_file' THEN 'read' ELSE 'tool' END AS category, line, CASE WHEN n_results IS NULL THEN 'pending' WHEN n_calls > 1 OR n_results > 1 THEN 'conflict' WHEN is_error THEN 'failed' ELSE 'done' END AS status,
+    CASE WHEN n_calls = 1 AND n_results = 1 THEN text END AS text FROM n LEFT JOIN r USING (session_id, call_id)""")
+def transcript_tools(spark, d):
+    i = F.col("event_id")
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("session_id"), (i % 40).alias("call_id"), i.alias("line"), F.when(i % 3 == 0, "Bash").when(i % 3 == 1, "read_file").otherwise("other").alias("name"), F.col("props").alias("text"), (i % 5 == 0).alias("is_error"), "event_type")
+    return transcript.paired_tools(e.where("event_type = 'click'").select("session_id", "call_id", "name", "line"), e.where("event_type = 'view'"))
