@@ -57,7 +57,7 @@ def dense_days(base: DataFrame) -> DataFrame:
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """A page of rows, counted from 1 and clamped to the last, with each row's rank and the count of all.
 
-    Ranks are dealt by a global sort: range partitions are numbered by their counts, so no task sees all rows.
+    Each task keeps its first rows up to the page's end; only those meet in one task.
     """
     if number < 1 or size < 1:
         raise ValueError("page and size count from 1")
