@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions import validate
 from .functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total, prompt_size, unknown_prompt
 from .operators import dialects, graph, matching, ordered, reconcile
 from .plans import pricing, report, transcript
@@ -562,3 +563,22 @@ def transcript_tools(spark, d):
     i = F.col("event_id")
     e = A.table(spark, d, "events").select(F.col("user_id").alias("session_id"), (i % 40).alias("call_id"), i.alias("line"), F.when(i % 3 == 0, "Bash").when(i % 3 == 1, "read_file").otherwise("other").alias("name"), F.col("props").alias("text"), (i % 5 == 0).alias("is_error"), "event_type")
     return transcript.paired_tools(e.where("event_type = 'click'").select("session_id", "call_id", "name", "line"), e.where("event_type = 'view'"))
+
+
+# --- lifetimes and constraints ---------------------------------------------------------
+
+
+@query(f"{WIDE} SELECT project_id, min(coalesce(start_us, at_us)) AS first_us, max(at_us) AS last_us, CAST(sum(CASE WHEN time_kind = 'undated' THEN 1 ELSE 0 END) AS BIGINT) AS undated FROM wide GROUP BY project_id")
+def lifetimes(spark, d):
+    return _wide(spark, d).groupBy("project_id").agg(F.min(F.coalesce("start_us", "at_us")).alias("first_us"), F.max("at_us").alias("last_us"), F.count_if(F.col("time_kind") == "undated").cast("long").alias("undated"))
+
+
+@query("SELECT observation_id, CAST(count(*) AS BIGINT) AS \"rows\" FROM observations GROUP BY observation_id HAVING count(*) > 1")
+def duplicate_observations(spark, d):
+    return validate.duplicates(A.observations(spark, d), "observation_id")
+
+
+@query("SELECT 'time: a start lies before' AS rule, CAST(count(*) AS BIGINT) AS n FROM observations WHERE start_us IS NOT NULL")
+def ledger_violations(spark, d):
+    broken = A.observations(spark, d).withColumn("at_us", F.when(F.col("start_us").isNotNull(), F.col("start_us")).otherwise(F.col("at_us")))
+    return validate.violations(broken).groupBy("rule").agg(F.count("*").cast("long").alias("n"))
