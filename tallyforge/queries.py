@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import validate
-from .functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total, prompt_size, unknown_prompt
-from .operators import dialects, graph, matching, ordered, reconcile
+from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
+from .operators import dialects, graph, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript
 from .sources import adapter as A
 
@@ -582,3 +582,44 @@ def duplicate_observations(spark, d):
 def ledger_violations(spark, d):
     broken = A.observations(spark, d).withColumn("at_us", F.when(F.col("start_us").isNotNull(), F.col("start_us")).otherwise(F.col("at_us")))
     return validate.violations(broken).groupBy("rule").agg(F.count("*").cast("long").alias("n"))
+
+
+# --- families --------------------------------------------------------------------------
+
+
+_OWNERS = """names AS (SELECT o_orderkey AS session_id, 'path' AS kind, o_orderkey // 2 AS k FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 14 = 1 UNION ALL SELECT o_orderkey, 'native', o_orderkey % 4000 FROM orders WHERE o_orderkey < 5000),
+  evidence AS (SELECT o_orderkey AS child, 'path' AS kind, o_orderkey // 3 AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'native', o_orderkey // 5 FROM orders WHERE o_orderkey % 10 = 0),
+  uniq AS (SELECT kind, k, min(session_id) AS owner FROM names GROUP BY kind, k HAVING count(DISTINCT session_id) = 1),
+  found AS (SELECT child, owner FROM evidence LEFT JOIN uniq USING (kind, k) WHERE owner IS NULL OR owner <> child),
+  own AS (SELECT child, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) END AS owner, CASE WHEN count(DISTINCT owner) = 0 THEN 'owner_unknown' WHEN count(DISTINCT owner) > 1 THEN 'owner_ambiguous' END AS problem FROM found GROUP BY child)"""
+
+
+def _owners(spark, d) -> DataFrame:
+    o, k = A.table(spark, d, "orders"), F.col("o_orderkey")
+    path, native = F.lit("path").alias("kind"), F.lit("native").alias("kind")
+    names = o.where((k % 2 == 0) | (k % 14 == 1)).select(k.alias("session_id"), path, F.expr("o_orderkey div 2").alias("key")).unionByName(o.where(k < 5000).select(k.alias("session_id"), native, (k % 4000).alias("key")))
+    evidence = o.where(k % 3 == 0).select(k.alias("child"), path, F.expr("o_orderkey div 3").alias("key")).unionByName(o.where(k % 10 == 0).select(k.alias("child"), native, F.expr("o_orderkey div 5").alias("key")))
+    return ownership.owners(evidence, names)
+
+
+@query(f"{_OWNERS} SELECT child, owner, problem FROM own")
+def owner_evidence(spark, d):
+    return _owners(spark, d)
+
+
+@query(f"""{_OWNERS}, up AS (SELECT o_orderkey AS node, o_orderkey AS place, 0 AS depth FROM orders UNION ALL SELECT up.node, own.owner, depth + 1 FROM up JOIN own ON own.child = up.place WHERE own.owner IS NOT NULL AND depth < 60),
+  last AS (SELECT node, arg_max(place, depth) AS root, max(depth) AS depth FROM up GROUP BY node)
+  SELECT node AS session_id, CASE WHEN depth >= 60 THEN node ELSE root END AS family, CASE WHEN depth >= 60 THEN 'owner_cycle' ELSE problem END AS problem FROM last LEFT JOIN own ON own.child = node""")
+def ownership_families(spark, d):
+    return ownership.families(A.sessions(spark, d), _owners(spark, d))
+
+
+@query("SELECT user_id, arg_max(event_type, ts_order) AS event_type FROM (SELECT user_id, event_type, epoch_us(ts) // 86400000000 * 100000 + event_id AS ts_order FROM events) GROUP BY user_id", adapter=False)
+def latest_titles(spark, d):
+    e = A.table(spark, d, "events").withColumn("day", F.expr("unix_micros(cast(ts AS timestamp)) div 86400000000"))
+    return ownership.titles(e, "user_id", "event_type", "day", "event_id")
+
+
+@query("SELECT o_custkey, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS o_orderstatus, count(DISTINCT o_orderstatus) > 1 AS disputed FROM orders GROUP BY o_custkey", adapter=False)
+def settled_directories(spark, d):
+    return ownership.settled_directory(A.table(spark, d, "orders"), "o_custkey", "o_orderstatus")
