@@ -26,7 +26,7 @@ from .common import Scratch
 from .components import components
 
 THRESHOLD = 0.95
-BLOCK = 2000
+BLOCK = 1000
 #: The sample that centres are fitted on, vectors for each centre, and most centres.
 FIT_ROWS, PER_CELL, MOST_CELLS, ROUNDS, SEED = 20_000, 2_000, 2_048, 8, 3
 
