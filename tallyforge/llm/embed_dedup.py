@@ -1,11 +1,15 @@
 """Embedding near-dedup.
 
-Spherical k-means, fitted on a bounded hash sample, gives cells. Each vector goes to the cell of its closest centre, and as
-a guest to every later cell in which a vector within the threshold could lie: y is closer to centre b than to a only if
-x . (a - b) <= |x - y| |a - b|, and linked x and y are at most sqrt(2 - 2 t) apart. So no link is lost, whatever the
-centres. Cells are dealt into blocks of about BLOCK vectors, and pairs of blocks are compared by one matrix product
-each in double precision: a cell that holds a third of all vectors is many tasks, and a task holds two blocks. Of a pair
-of blocks only counts and a root per vector come back, never the pairs; components of the roots give the groups.
+Spherical k-means, fitted on a bounded hash sample, gives cells. Equal vectors are one class, compared once. Each class goes
+to the cell of its closest centre and, as a guest, to others where a linked vector may lie: y is closer to centre b than
+to a only if x . (a - b) <= (x - y) . (a - b). Linked x and y are at most sqrt(2 - 2 t) apart, of which a direction
+chosen without regard to them takes sqrt(2 - 2 t) / sqrt(dim) on average; x visits b if its margin is at most ``spreads`` times that
+(3: for differences that favour no direction, one link in a thousand at the very threshold is missed, fewer above it; up
+to 9 dimensions, and with ``spreads`` = sqrt(dim), none can be). Of two cells one, by parity, takes guests from the other. Cells
+are dealt into blocks of about BLOCK vectors; each task compares two of them by one matrix product in double precision,
+home blocks with each other and with the guests: a cell that holds a third of all vectors is many tasks, and a task
+holds two blocks. Of a pair of blocks only counts and a root per vector come back, never the pairs; components of the
+roots give the groups.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
 different lengths don't link; rows that repeat an id are one vector (its smallest value); rows without an id link with
@@ -21,19 +25,23 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch
 from .components import components
 
-THRESHOLD = 0.95
-BLOCK = 1000
+THRESHOLD, SPREADS = 0.95, 3.0
+BLOCK = 2000
+#: Vectors of a batch that are placed at a time, so that their products with all centres stay near 16 MB.
+PLACED = 1000
 #: The sample that centres are fitted on, vectors for each centre, and most centres.
 FIT_ROWS, PER_CELL, MOST_CELLS, ROUNDS, SEED = 20_000, 2_000, 2_048, 8, 3
 
 
-def unit(vector: np.ndarray) -> np.ndarray:
-    vector = vector / np.abs(vector).max()
-    return vector / np.sqrt((vector * vector).sum())
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors (the last axis) of length one; scaled first, so that squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(-1, keepdims=True)
+    return x / np.sqrt((x * x).sum(-1, keepdims=True))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -49,89 +57,115 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def _placed(vectors: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """id, v, dim, cell, guest: each vector in its cell and, as a guest, in later ones where it may have links."""
+def margin(dim: int, threshold: float, spreads: float) -> float:
+    """How far past the middle between two centres linked vectors are looked for."""
+    return float(np.sqrt(2 - 2 * threshold) * min(1.0, spreads / np.sqrt(dim))) + 1e-9
+
+
+def visited(x: np.ndarray, centres: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell of each vector, then (row, cell) of the visits to others."""
+    near = x @ centres.T
+    home, cells = near.argmax(1), np.arange(len(centres))
+    near = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home] + 1e-9
+    near &= ((home[:, None] + cells[None, :]) % 2 == 1) == (home[:, None] < cells[None, :])
+    near[np.arange(len(x)), home] = False
+    return home, *np.nonzero(near)
+
+
+def _placed(vectors: DataFrame, centres: dict[int, np.ndarray], threshold: float, spreads: float) -> DataFrame:
+    """id, w, v, dim, cell, guest: each class in its home cell and, as a guest, in others where it may have links."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {}
         for batch in batches:
-            ids, out = batch.column(0).to_pylist(), {"id": [], "v": [], "dim": [], "cell": [], "guest": []}
-            by_dim: dict[int, list[int]] = {}
-            arrays = [np.array(v, dtype=np.float64) for v in batch.column(1).to_pylist()]
-            for i, v in enumerate(arrays):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, at in by_dim.items():
-                x = np.stack([unit(arrays[i]) for i in at])
-                c = sent.value.get(dim, x[:1] * 0)
-                near = x @ c.T
-                home = near.argmax(1)
-                apart = np.sqrt(np.maximum(0, ((c[:, None, :] - c[None, :, :]) ** 2).sum(2)) if len(c) <= 256 else np.maximum(0, 2 - 2 * c @ c.T))
-                visits = near[np.arange(len(at)), home][:, None] - near <= reach * apart[home] + 1e-9
-                visits[np.arange(len(c))[None, :] <= home[:, None]] = False
-                for row, i in enumerate(at):
-                    for cell in (int(home[row]), *np.flatnonzero(visits[row]).tolist()):
-                        for name, value in zip(out, (ids[i], x[row].tolist(), dim, cell, cell != home[row]), strict=True):
-                            out[name].append(value)
-            kinds = (pa.int64(), pa.list_(pa.float64()), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], list(out))
-
-    return vectors.mapInArrow(run, "id long, v array<double>, dim int, cell int, guest boolean")
-
-
-def _roots(near: np.ndarray) -> np.ndarray:
-    """For a symmetric table of links, the smallest place that each place is joined with."""
-    label = np.arange(len(near))
+            dims = np.asarray(batch.column("v").value_lengths())
+            for dim in np.unique(dims).tolist():
+                c = sent.value.get(dim, np.zeros((1, dim)))
+                if dim not in apart:
+                    apart[dim] = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+                at = np.flatnonzero(dims == dim)
+                for a in range(0, len(at), PLACED):
+                    part = batch.take(pa.array(at[a : a + PLACED]))
+                    x = unit(part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+                    home, row, cell = visited(x, c, apart[dim], margin(dim, threshold, spreads))
+                    rows = pa.RecordBatch.from_arrays(part.columns, ["id", "w", "v"]).take(pa.array(np.concatenate([np.arange(len(x)), row])))
+                    cells, guest = np.concatenate([home, cell]).astype(np.int32), np.arange(len(rows)) >= len(x)
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), dim, np.int32)), pa.array(cells), pa.array(guest)], ["id", "w", "v", "dim", "cell", "guest"])
+
+    return vectors.select("id", "w", "v").mapInArrow(run, f"id long, w long, v {vectors.schema['v'].dataType.simpleString()}, dim int, cell int, guest boolean")
+
+
+def _roots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For a table of links of rows with columns, the smallest id (left: the rows', right: the columns') each is joined with."""
+    none = max(left.max(), right.max()) + 1
     while True:
-        least = np.where(near, label[None, :], len(near)).min(1, initial=len(near))
-        after = np.minimum(label, least)
-        after = np.minimum(after, after[after])
-        if (after == label).all():
-            return label
-        label = after
+        a = np.minimum(left, np.where(near, right[None, :], none).min(1))
+        b = np.minimum(right, np.where(near, a[:, None], none).min(0))
+        if (a == left).all() and (b == right).all():
+            return a, b
+        left, right = a, b
 
 
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         pdf = pdf.sort_values("id", kind="stable")
-        ids, guest, block = pdf["id"].to_numpy(), pdf["guest"].to_numpy(), pdf["block"].to_numpy()
-        x = np.stack(pdf["v"].to_numpy())
-        near = x @ x.T >= threshold
-        near[np.diag_indices(len(ids))] = False
-        near &= ~(guest[:, None] & guest[None, :])
-        if not same:
-            near &= block[:, None] != block[None, :]
-        n = near.sum(1)
-        root = ids[_roots(near)]
-        return pd.DataFrame({"id": ids, "n": n, "root": root})[n > 0]
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        rows = pdf[pdf["block"] == i]
+        cols = rows if i == j else pdf[pdf["block"] == j]
+        if rows.empty or cols.empty:
+            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+        sides = [unit(np.stack(p["v"].to_numpy()).astype(np.float64)) for p in (rows, cols)]
+        near = sides[0] @ sides[1].T >= threshold
+        ids = [p["id"].to_numpy() for p in (rows, cols)]
+        if i == j:
+            near[np.diag_indices(len(near))] = False
+        a, b = near.any(1), near.any(0)
+        near = near[a][:, b]
+        if not near.size:
+            return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
+        ids, weights = [ids[0][a], ids[1][b]], [rows["w"].to_numpy()[a], cols["w"].to_numpy()[b]]
+        n = [near @ weights[1], weights[0] @ near]
+        names = np.unique(np.concatenate(ids))
+        root = _roots(near, *(names.searchsorted(x).astype(np.int32) for x in ids))
+        out = pd.DataFrame({"id": ids[0], "n": n[0], "root": names[root[0]]})
+        return out if i == j else pd.concat([out, pd.DataFrame({"id": ids[1], "n": n[1], "root": names[root[1]]})])
 
     return run
 
 
-def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, spreads: float = SPREADS) -> DataFrame:
     """key, n_links, component_id, kept of every row of ``table``."""
     spark = table.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if isinstance(table.schema[vector].dataType.elementType, FloatType) else "array<double>"
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")).where((F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0))
     good = scratch.table(good)
-    total = good.count()
-    sample = good.select(F.xxhash64("id", F.lit(SEED)).alias("h"), "id", "v").orderBy("h", "id").limit(FIT_ROWS).collect()
-    by_dim: dict[int, list[np.ndarray]] = {}
+    # Equal vectors are one class, named by its smallest id; each class is compared once, with its weight.
+    classes = scratch.table(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "w", "v"))
+    total = classes.count()
+    sample = classes.select(F.xxhash64("id", F.lit(SEED)).alias("h"), "id", "v").orderBy("h", "id").limit(FIT_ROWS).collect()
+    by_dim: dict[int, list] = {}
     for r in sample:
-        by_dim.setdefault(len(r.v), []).append(unit(np.array(r.v)))
+        by_dim.setdefault(len(r.v), []).append(r.v)
     share = total / max(1, len(sample))
-    centres = {d: spherical_kmeans(np.stack(x), int(min(MOST_CELLS, max(1, len(x) * share / PER_CELL)))) for d, x in by_dim.items()}
-
-    placed = scratch.table(_placed(good.select("id", "v"), centres, threshold))
-    count = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = placed.join(count, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = scratch.table(pairs.select("dim", "cell", "i", "j", "id", "v", "guest", "block").groupBy("dim", "cell", "i", "j").applyInPandas(_compare(threshold), "id long, n long, root long"))
+    centres = {d: spherical_kmeans(unit(np.array(x, dtype=np.float64)), int(min(MOST_CELLS, max(1, len(x) * share / PER_CELL)))) for d, x in by_dim.items()}
+
+    placed = scratch.table(_placed(classes, centres, threshold, spreads))
+    many = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
+    count = placed.groupBy("dim", "cell").agg(many(False).alias("homes"), many(True).alias("guests")).where("homes > 0")
+    dealt = placed.join(count, ["dim", "cell"]).withColumn("block", F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("id"), F.greatest("guests", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("homes"))).cast("int"))
+    others = F.sequence(F.lit(0), F.col("homes") + F.when(F.col("guest"), 0).otherwise(F.col("guests")) - 1)
+    pairs = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = scratch.table(pairs.select("dim", "cell", "i", "j", "id", "w", "v", "block").groupBy("dim", "cell", "i", "j").applyInPandas(_compare(threshold), "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "id")
-    out = rows.select("id").distinct().join(links, "id", "left").join(groups, "id", "left")
-    component = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    shared = classes.where("w > 1").select("v", F.col("id").alias("class"), "w")
+    member = good.join(shared, "v").where("id != class").select("id", "class", "w").unionByName(shared.select(F.col("class").alias("id"), "class", "w"))
+    out = rows.select("id").distinct().join(member, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    out = out.join(links.withColumnRenamed("id", "class"), "class", "left").join(groups.withColumnRenamed("id", "class"), "class", "left")
+    component = F.coalesce("root", "class")
+    n_links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))
+    return out.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

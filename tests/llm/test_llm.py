@@ -163,13 +163,29 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
-    label = embed_dedup._roots(near)
+    label = np.arange(len(near))
+    for _ in range(len(near)):
+        label = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
     assert near.sum() > 1000
     for i in range(len(rows)):
         assert found[i] == (near[i].sum(), label[i], label[i] == i)
     assert all(found[i] == (0, i, True) for i in range(900, 907)) and found[None] == (0, None, False)
 
 
+def test_guests_meet_linked_vectors_in_many_cells():
+    rng = np.random.default_rng(4)
+    base = embed_dedup.unit(rng.normal(size=(6000, 64)))
+    apart = rng.normal(size=base.shape)
+    other = embed_dedup.unit(base + 0.3 * embed_dedup.unit(apart - (apart * base).sum(1, keepdims=True) * base))  # cosines of 0.957
+    centres = embed_dedup.spherical_kmeans(base, 60)
+    between = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    for spreads, least in ((embed_dedup.SPREADS, 0.995), (8.0, 1.0)):
+        (h, r, c), (k, q, d) = (embed_dedup.visited(x, centres, between, embed_dedup.margin(64, 0.95, spreads)) for x in (base, other))
+        first, second = set(zip(r.tolist(), c.tolist(), strict=True)), set(zip(q.tolist(), d.tolist(), strict=True))
+        met = [h[i] == k[i] or (i, k[i]) in first or (i, h[i]) in second for i in range(len(base))]
+        assert np.mean(met) >= least and (h != k).sum() > 1000
+
+
 def labelled(rng, n):
     words = ["ba", "du", "ki", "lo", "me", "nu", "po", "ra"]
     rows = []
