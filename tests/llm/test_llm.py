@@ -183,7 +183,7 @@ def test_guests_meet_linked_vectors_in_many_cells():
         (h, r, c), (k, q, d) = (embed_dedup.visited(x, centres, between, embed_dedup.margin(64, 0.95, spreads)) for x in (base, other))
         first, second = set(zip(r.tolist(), c.tolist(), strict=True)), set(zip(q.tolist(), d.tolist(), strict=True))
         met = [h[i] == k[i] or (i, k[i]) in first or (i, h[i]) in second for i in range(len(base))]
-        assert np.mean(met) >= least and (h != k).sum() > 1000
+        assert np.mean(met) >= least and (h != k).sum() > 900
 
 
 def labelled(rng, n):
