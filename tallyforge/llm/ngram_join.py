@@ -33,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept
 from .common import Scratch, slices
 from .components import components
-from .words import WORDS, mix, rolling
+from .words import WordHasher, distinct, mix, rolling
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
@@ -85,17 +84,14 @@ PLANS = {k: allocation(u) for k, u in enumerate(BANDS[:64])}
 
 class Shingler:
     def __init__(self):
-        self.of = Kept(xxhash.xxh3_64_intdigest, WORDS).__getitem__
+        self.hashes = WordHasher()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The sorted hashes of a text's shingles."""
-        words = text.encode("utf-8", "replace").lower().split() if text else []  # bytes: only A-Z, and the six white-space bytes
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        h = np.fromiter(map(self.of, words), dtype=np.uint64, count=len(words))
-        if len(words) < SHINGLE:
-            return mix(rolling(h, len(words)) + np.uint64(len(words)))[:1]
-        return np.unique(rolling(h, SHINGLE))
+        h = self.hashes(text.encode("utf-8", "replace")) if text else ()
+        if len(h) < SHINGLE:
+            return mix(rolling(h, len(h)) + np.uint64(len(h)))[:1] if len(h) else np.zeros(0, dtype=np.uint64)
+        return distinct(rolling(h, SHINGLE))
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -120,7 +116,7 @@ def signatures(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         salt = np.arange(count, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band * 0x632BE59BD9B4E019 % (1 << 64))
         if deletions:
             at = segment.astype(np.int64)
-            yield band, 0, np.unique(np.concatenate([mix(content + salt), mix(content[at] - weight + salt[at])]) >> np.uint64(64 - BITS))
+            yield band, 0, distinct(np.concatenate([mix(content + salt), mix(content[at] - weight + salt[at])]) >> np.uint64(64 - BITS))
             continue
         empty = starts[1:] == starts[:-1]
         if (gone := int(empty.sum())) <= spare:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
@@ -28,6 +30,61 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of a text that are hashed at a time, cut at white space; a longer word stays whole.
+PIECE = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_GAP = np.zeros(256, dtype=bool)
+_IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64))
+_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+
+
+class WordHasher:
+    """Hashes of the words between white-space bytes of a UTF-8 text, A-Z as a-z.
+
+    A word's hash is the polynomial of its bytes, each as a random number; those of a whole piece come from one running
+    sum, as the power where a word starts can be divided out again modulo 2^64.
+    """
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.power) < n:
+            for name, base in (("power", BASE), ("inverse", pow(BASE, -1, 1 << 64))):
+                steps = np.full(2 * n, base, dtype=np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def _piece(self, data: bytes) -> np.ndarray:
+        b = np.frombuffer(data, dtype=np.uint8)
+        self._grow(len(b) + 1)
+        gap = np.ones(len(b) + 2, dtype=bool)
+        gap[1:-1] = _IS_GAP[b]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edge[::2], edge[1::2]
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(_LETTER[b] * self.power[: len(b)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        parts, at = [], 0
+        while len(data) - at > PIECE:
+            cut = _GAP.search(data, at + PIECE)
+            if cut is None:
+                break
+            parts.append(self._piece(data[at : cut.start()]))
+            at = cut.end()
+        parts.append(self._piece(data[at:]))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k values in a row, by doubling."""
     out, length, power = None, 0, 0

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm import bpe, chat_format, decontam, embed_dedup, html_extract, line_dedup, ngram_join, quality, queries, token_counts, toxicity
+from tallyforge.llm import words as hashing
 
 ODD = ["", " ", "a", "  a   b \n\n c\t", "é é ΑΣ Σ", "<|endoftext|>hi<|startoftext|> <|endoftext|>", "a\x1cb !\x1c! \x85 x　y", "don't I'LL we'VE 123 45", "a  b   c    d", "İstanbul ß", "日本語 😀😀", "$$$***### !!!", "x" * 20_000]
 
@@ -73,6 +74,19 @@ def test_token_counts_equal_the_library(spark):
         assert (r.n_tokens, r.n_bytes) == (len(tok.encode(text, add_special_tokens=False).ids), len(text.encode())) and r.over_limit == (r.n_tokens > 1024)
 
 
+@pytest.mark.parametrize("piece", [1 << 20, 3])
+def test_word_hashes_are_those_of_the_words(monkeypatch, piece):
+    monkeypatch.setattr(hashing, "PIECE", piece)
+    hasher, seen = hashing.WordHasher(), {}
+    for text in [*odd_texts(), "ab ba AB Ba a b aab aba baa \x1c\x0b \x85"]:
+        words = text.encode().lower().split()
+        found = hasher(text.encode()).tolist()
+        assert len(found) == len(words)
+        for w, h in zip(words, found, strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
 def sets_of(docs):
     out = {}
     for d, t in docs:
