@@ -2,16 +2,18 @@
 
 Repeated passages of these documents begin and end inside lines, so the lines that are hashed are rolling ones: LINE words
 in a row, whatever white space is between them. Of each WINDOW hashes in a row the smallest is a fingerprint, so any two
-runs of RUN = LINE + WINDOW - 1 equal words share one. Fingerprints are grouped by hash; each later place is matched with
-the first one (smallest document, then place). The first document's words around the match are fetched, matches are
-extended word by word both ways, and runs of at least RUN words that stood earlier are deleted. Of all documents only
-fingerprints are shuffled, and texts once by id; a fingerprint that a third of the documents share is met by Spark's
-split of skewed joins, as no place is paired with any but the first. So a run is missed if all its fingerprints stood first in documents
-that have fewer than RUN of its words.
+runs of RUN = LINE + WINDOW - 1 equal words share one. A fingerprint that stands in one place only repeats nothing. Around the
+other places each RUN words in a row whose smallest hash is such a fingerprint are hashed as a whole (at most WINDOW for
+a place); of these windows every one that stood earlier (in a document with a smaller id, or before in the text) is
+deleted, whichever document held it first. A run of at least RUN words that stood earlier is a row of such windows, so
+none is missed, and nothing else is deleted, save for equal 64-bit hashes of different windows. Fingerprints and windows
+are shuffled by their hash, texts twice by id; the smallest id of a window is found map-side first, and Spark's split of
+skewed joins meets a window that many documents share.
 
 Defined cases: null and empty texts, texts under RUN words, and rows without an id stay as they are; rows that repeat an
-id and text are one place and all treated alike; order is by id, so of equal documents the smallest id keeps its text;
-a text of which all is deleted becomes empty; where a text repeats a short period, up to WINDOW words of the repeat may stay. White space around a deleted run closes up to its longer side.
+id and text are one place and all treated alike; different texts of one id are ordered by a hash of the text; order is by id, so of equal
+documents the smallest id keeps its text; a text of which all is deleted becomes empty; where a text repeats a short period,
+all that repeats goes. White space around a deleted run closes up to its longer side.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
@@ -50,16 +52,20 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[new | np.concatenate([new[1:], [True]]) | ((at - first) % window == 0)]
 
 
-def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """h, doc, at: the winnowed fingerprints of every text, places counted in words."""
-    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long"), F.col(text))
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, v (a hash that tells the texts of an id apart), text of all rows that have both."""
+    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.hash(F.col(text)).alias("v"), F.col(text).alias("text"))
+
+
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """h, doc, v, at: the winnowed fingerprints of every text, places counted in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher()
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ids, versions, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for a, b in slices(texts):
-                hs, ds, ps = [], [], []
+                hs, ds, vs, ps = [], [], [], []
                 for i in range(a, b):
                     words = texts[i].split()
                     if len(words) >= RUN:
@@ -67,71 +73,83 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
                         at = winnow(h)
                         hs.append(h[at].view(np.int64))
                         ds.append(np.full(len(at), ids[i]))
+                        vs.append(np.full(len(at), versions[i]))
                         ps.append(at.astype(np.int32))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, ps)], ["h", "doc", "at"])
-
-    return source.mapInArrow(run, "h long, doc long, at int")
-
-
-def matches(prints: DataFrame) -> DataFrame:
-    """doc, at, first, first_at: each later place of a fingerprint, and its first."""
-    first = prints.groupBy("h").agg(F.min(F.struct("doc", "at")).alias("m"), F.max(F.struct("doc", "at")).alias("n")).where("m < n").select("h", F.col("m.doc").alias("first"), F.col("m.at").alias("first_at"))
-    return prints.join(first, "h").where("doc != first OR at != first_at").select("doc", "at", "first", "first_at").distinct()
-
-
-def _pieces(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, first, places, start, words: for each linked pair, the first document's words around the matches."""
-    pairs = (
-        links.groupBy("first", "doc").agg(F.collect_list(F.struct("at", "first_at")).alias("places"))
-        .withColumn("low", F.array_min(F.transform("places", lambda p: p["first_at"])))
-        .withColumn("high", F.array_max(F.transform("places", lambda p: p["first_at"])))
-    )
-    joined = pairs.join(docs.select(F.col("__id").alias("first"), F.col("__text").alias("text")), "first")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, ds, vs, ps)], ["h", "doc", "v", "at"])
+
+    return texts.mapInArrow(run, "h long, doc long, v int, at int")
+
+
+def repeated(prints: DataFrame) -> DataFrame:
+    """doc, v, places: of each text the places of fingerprints that stand in another place too."""
+    ends = [F.min(c).alias(f"{c}_0") for c in ("doc", "v", "at")] + [F.max(c).alias(f"{c}_1") for c in ("doc", "v", "at")]
+    shared = prints.groupBy("h").agg(*ends).where("doc_0 != doc_1 OR v_0 != v_1 OR at_0 != at_1").select("h")
+    return prints.join(shared, "h").groupBy("doc", "v").agg(F.collect_list("at").alias("places"))
+
+
+def around(words: list[str], places: np.ndarray, hashed: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each RUN words in a row whose smallest line hash is that of one of these places."""
+    n = len(words) - RUN + 1
+    mark = np.zeros(len(words) + 1, dtype=np.int32)
+    np.add.at(mark, np.maximum(places - WINDOW + 1, 0), 1)
+    np.add.at(mark, np.minimum(places + RUN, len(words)), -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], mark.cumsum() > 0]).astype(np.int8)))
+    hashes, starts, wanted = [], [], []
+    for a, b in edge.reshape(-1, 2).tolist():  # only the words around the places are hashed
+        x = hashed(words[a:b])
+        h = rolling(x, LINE)
+        wanted.append(h[places[(places >= a) & (places < b)] - a])
+        hashes.append((h, rolling(x, RUN), a))
+    wanted, found = np.unique(np.concatenate(wanted)), []
+    for h, whole, a in hashes:
+        if len(whole):
+            least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(1)
+            at = np.flatnonzero(wanted[np.minimum(wanted.searchsorted(least), len(wanted) - 1)] == least)
+            found.append(whole[at])
+            starts.append(at + a)
+    if n <= 0 or not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(found), np.concatenate(starts)
+
+
+def windows(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """w, doc, v, at, again: the windows around these places; again: it stands before in the same text."""
+    joined = texts.join(places, ["doc", "v"]).select("doc", "v", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, words = None, []
+        hashed = Hasher()
         for batch in batches:
-            texts = batch.column("text")
-            low, high = batch.column("low").to_pylist(), batch.column("high").to_pylist()
-            starts, parts = [], []
-            for i, key in enumerate(batch.column("first").to_pylist()):
-                if key != last:
-                    last, words = key, texts[i].as_py().split()
-                start = max(0, low[i] - WINDOW)
-                starts.append(start)
-                parts.append(" ".join(words[start : high[i] + LINE + WINDOW]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("first"), batch.column("places"), pa.array(starts, pa.int32()), pa.array(parts, pa.string())], ["doc", "first", "places", "start", "words"])
-
-    return joined.select("doc", "first", "places", "low", "high", "text").mapInArrow(run, "doc long, first long, places array<struct<at:int,first_at:int>>, start int, words string")
-
-
-def covered(words: list[str], own: int | None, pieces: list[dict]) -> list[tuple[int, int]]:
-    """Word ranges of at least RUN words that stood earlier. own: the document's id, as a piece may be of itself."""
-    found: list[tuple[int, int]] = []
-    for piece in sorted(pieces, key=lambda p: (p["first"], p["start"])):
-        other, start = piece["words"].split(), piece["start"]
-        seen: dict[int, int] = {}  # by shift: up to where it was extended
-        for place in sorted(piece["places"], key=lambda p: (p["at"], p["first_at"])):
-            i, j = place["at"], place["first_at"] - start
-            shift = i - j
-            if seen.get(shift, -1) > i:
-                continue
-            a, b = 0, 0
-            while i - a > 0 and j - a > 0 and words[i - a - 1] == other[j - a - 1]:
-                a += 1
-            while i + b < len(words) and j + b < len(other) and words[i + b] == other[j + b]:
-                b += 1
-            seen[shift] = i + b
-            if b >= LINE and a + b >= RUN:
-                found.append((i - a, i + b))
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+            ids, versions, texts, each = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3)
+            for lo, hi in slices(texts):
+                ws, ds, vs, ps, again = [], [], [], [], []
+                for i in range(lo, hi):
+                    w, at = around(texts[i].split(), np.unique(each[i].values.to_numpy()), hashed)
+                    first = np.zeros(len(w), dtype=bool)
+                    first[np.unique(w, return_index=True)[1]] = True
+                    ws.append(w.view(np.int64))
+                    ds.append(np.full(len(w), ids[i]))
+                    vs.append(np.full(len(w), versions[i]))
+                    ps.append(at.astype(np.int32))
+                    again.append(~first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ws, ds, vs, ps, again)], ["w", "doc", "v", "at", "again"])
+
+    return joined.mapInArrow(run, "w long, doc long, v int, at int, again boolean")
+
+
+def earlier(found: DataFrame, order: Column) -> DataFrame:
+    """doc, v, starts: of each text the windows that stood earlier."""
+    new = found.where("NOT again").withColumn("o", order)
+    first = new.groupBy("w").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first < last").select("w", "first")
+    old = new.join(first, "w").where("o != first").select("doc", "v", "at").unionByName(found.where("again").select("doc", "v", "at"))
+    return old.groupBy("doc", "v").agg(F.collect_list("at").alias("starts"))
+
+
+def covered(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges of the windows that start here, joined where they meet."""
+    starts = np.unique(starts)
+    cut = np.flatnonzero(np.diff(starts) > RUN)
+    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + RUN).tolist(), strict=True))
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -154,29 +172,28 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     """All columns of ``docs``, the text without runs that stood earlier, then n_words, n_removed and runs (first word, end); columns of these names are replaced."""
     docs = docs.drop("n_words", "n_removed", "runs")
     scratch = Scratch(docs.sparkSession, "lines")
-    texts = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__text"))
-    prints = scratch.table(fingerprints(docs, key, text))
-    links = scratch.table(matches(prints))
+    texts = _texts(docs, key, text)
+    prints = scratch.table(fingerprints(texts))
+    # Where an id has several texts, these are ordered too; a lone number is cheaper to take the smallest of.
+    several = prints.groupBy("doc").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a != b").limit(1).count()
+    found = scratch.table(windows(texts, repeated(prints)))
     scratch.drop(prints)
-    # Of rows that repeat an id any one gives the words: the smallest text, so that a retry takes the same.
-    sources = texts.join(links.select(F.col("first").alias("__id")).distinct(), "__id", "left_semi").groupBy("__id").agg(F.min("__text").alias("__text"))
-    pieces = _pieces(links, sources).groupBy("doc").agg(F.collect_list(F.struct("first", "start", "places", "words")).alias("__pieces"))
+    old = earlier(found, F.struct("doc", "v") if several else F.col("doc")).select(F.col("doc").alias("__id"), F.col("v").alias("__v"), F.col("starts").alias("__starts"))
     rest = [c for c in docs.columns]
-    joined = docs.withColumn("__id", F.col(key).cast("long")).join(pieces.withColumnRenamed("doc", "__id"), "__id", "left").select(*[F.col(f"`{c}`") for c in rest], "__pieces")
+    joined = docs.withColumn("__id", F.col(key).cast("long")).withColumn("__v", F.hash(F.col(text))).join(old, ["__id", "__v"], "left").select(*[F.col(f"`{c}`") for c in rest], "__starts")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    where, id_at = rest.index(text), rest.index(key)
+    where = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(where).to_pylist()
             for lo, hi in slices(sizes):
                 part = batch.slice(lo, hi - lo)
-                old, own, new, n, gone, runs = sizes[lo:hi], part.column(id_at).to_pylist(), [], [], [], []
-                for t, i, p in zip(old, own, part.column(len(rest)).to_pylist(), strict=True):
-                    words = t.split() if t else []
-                    ranges = covered(words, i, p) if p else []
+                new, n, gone, runs = [], [], [], []
+                for t, p in zip(sizes[lo:hi], part.column(len(rest)), strict=True):
+                    ranges = covered(p.values.to_numpy()) if p.is_valid else []
                     new.append(without(t, ranges) if ranges else t)
-                    n.append(len(words))
+                    n.append(len(t.split()) if t else 0)
                     gone.append(sum(b - a for a, b in ranges))
                     runs.append([{"start": a, "end": b} for a, b in ranges])
                 columns = [part.column(c) for c in range(len(rest))]

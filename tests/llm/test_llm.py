@@ -326,6 +326,38 @@ def test_line_dedup_equals_brute_force(spark):
         assert (out[d].text or "").split() == [x for x, gone in zip(w, got) if not gone]
 
 
+@pytest.mark.parametrize("several", [False, True])
+def test_line_dedup_sees_past_short_earlier_overlaps(spark, several):
+    """Earlier documents hold 16 to 49 words of a passage, later ones all of it; texts with a period; several texts of an id."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs = []
+    for n in [50, 51, 55, 60, 70, 85, 100, 150] * 5:
+        p = some(n)
+        cuts = [(a, min(n, a + rng.randint(16, 49))) for a in range(0, n - 15, 15)]
+        docs += [some(20) + p[a:b] + some(20) for a, b in cuts] + [some(rng.randint(0, 40)) + p + some(rng.randint(0, 40)) for _ in range(3)]
+    docs += [["a"] * 130, ["a", "b"] * 60, some(7) * 12 + some(30), ["a"] * 90 + some(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    if several:
+        rows += [(-1, " ".join(some(9) + docs[5] + some(4))), (-1, " ".join(some(5) + docs[5]))]
+    found = {(r.doc_id, r.n_words, r.text): r for r in line_dedup.dedup_lines(table(spark, rows, "doc_id long, text string")).collect()}
+    seen, n_gone = set(), 0
+    left = sorted((r for r in found.values() if r.doc_id == -1), key=lambda r: r.n_removed)
+    if several:
+        assert len(left) == 2 and left[0].n_removed == 0 and left[1].n_removed == len(docs[5])
+        seen |= {tuple(docs[5][i : i + 50]) for i in range(len(docs[5]) - 49)}
+    for i, w in enumerate(docs):
+        gone = [False] * len(w)
+        for a in range(len(w) - 49):
+            if (g := tuple(w[a : a + 50])) in seen:
+                gone[a : a + 50] = [True] * 50
+            seen.add(g)
+        n_gone += sum(gone)
+        text = " ".join(x for x, y in zip(w, gone, strict=True) if not y)
+        assert (i, len(w), text) in found, (i, len(w))
+    assert n_gone > 5000
+
+
 def test_chat_formatting_round_trip(spark):
     texts = ["</s>[INST] ok [/INST]", "a\\b \\[ <<SYS>>", "", None, "plain", "é😀 <image:0>"]
     rows = [(c, t, r, x) for c in (1, 2) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "assistant", None, "to]ol"], texts))]
