@@ -1,14 +1,12 @@
 """Embedding near-dedup.
 
 Spherical k-means, fitted on a bounded hash sample, gives cells. Equal vectors are one class, compared once. Each class goes
-to the cell of its closest centre and, as a guest, to others where a linked vector may lie: y is closer to centre b than
-to a only if x . (a - b) <= (x - y) . (a - b). Linked x and y are at most sqrt(2 - 2 t) apart, of which a direction
-chosen without regard to them takes sqrt(2 - 2 t) / sqrt(dim) on average; x visits b if its margin is at most ``spreads`` times that
-(3: for differences that favour no direction, one link in a thousand at the very threshold is missed, fewer above it; up
-to 9 dimensions, and with ``spreads`` = sqrt(dim), none can be). Of two cells one, by parity, takes guests from the other. Cells
-are dealt into blocks of about BLOCK vectors; each task compares two of them by one matrix product in double precision,
-home blocks with each other and with the guests: a cell that holds a third of all vectors is many tasks, and a task
-holds two blocks. Of a pair of blocks only counts and a root per vector come back, never the pairs; components of the
+to the cell of its closest centre. Linked x in cell a and y in cell b are at most sqrt(2 - 2 t) apart, and y is not closer to centre a than
+to b, so x . (a - b) <= (x - y) . (a - b) <= sqrt(2 - 2 t) |a - b|, and likewise for y: of two cells only the vectors with such a margin, on both
+sides, are compared with each other, and no link is missed (with less than sqrt(dim) as ``spreads`` the reach is that many
+spreads of a direction, and links that favour one are lost). Which cells a class is compared with is listed by id; its
+vector is copied once for each, when the pairs of cells are dealt out. Each side of a pair is dealt into blocks of about BLOCK vectors; each task compares two of them by one matrix product in double precision:
+a cell that holds a third of all vectors is many tasks, and a task holds two blocks. Of a pair of blocks only counts and a root per vector come back, never the pairs; components of the
 roots give the groups.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
@@ -30,7 +28,7 @@ from pyspark.sql.types import FloatType
 from .common import Scratch
 from .components import components
 
-THRESHOLD, SPREADS = 0.95, 3.0
+THRESHOLD, SPREADS = 0.95, float("inf")
 BLOCK = 2000
 #: Vectors of a batch that are placed at a time, so that their products with all centres stay near 16 MB.
 PLACED = 1000
@@ -65,15 +63,14 @@ def margin(dim: int, threshold: float, spreads: float) -> float:
 def visited(x: np.ndarray, centres: np.ndarray, apart: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The home cell of each vector, then (row, cell) of the visits to others."""
     near = x @ centres.T
-    home, cells = near.argmax(1), np.arange(len(centres))
+    home = near.argmax(1)
     near = near[np.arange(len(x)), home][:, None] - near <= reach * apart[home] + 1e-9
-    near &= ((home[:, None] + cells[None, :]) % 2 == 1) == (home[:, None] < cells[None, :])
     near[np.arange(len(x)), home] = False
     return home, *np.nonzero(near)
 
 
 def _placed(vectors: DataFrame, centres: dict[int, np.ndarray], threshold: float, spreads: float) -> DataFrame:
-    """id, w, v, dim, cell, guest: each class in its home cell and, as a guest, in others where it may have links."""
+    """id, dim, a, b, side: each class in its home cell (a = b) and in each pair of it with another where it may have links; side: 1 if its home is b."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,11 +86,12 @@ def _placed(vectors: DataFrame, centres: dict[int, np.ndarray], threshold: float
                     part = batch.take(pa.array(at[a : a + PLACED]))
                     x = unit(part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
                     home, row, cell = visited(x, c, apart[dim], margin(dim, threshold, spreads))
-                    rows = pa.RecordBatch.from_arrays(part.columns, ["id", "w", "v"]).take(pa.array(np.concatenate([np.arange(len(x)), row])))
-                    cells, guest = np.concatenate([home, cell]).astype(np.int32), np.arange(len(rows)) >= len(x)
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(rows), dim, np.int32)), pa.array(cells), pa.array(guest)], ["id", "w", "v", "dim", "cell", "guest"])
+                    row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([home, cell])
+                    low, high = np.minimum(home[row], cell).astype(np.int32), np.maximum(home[row], cell).astype(np.int32)
+                    side = (home[row] > cell).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), *map(pa.array, (np.full(len(row), dim, np.int32), low, high, side))], ["id", "dim", "a", "b", "side"])
 
-    return vectors.select("id", "w", "v").mapInArrow(run, f"id long, w long, v {vectors.schema['v'].dataType.simpleString()}, dim int, cell int, guest boolean")
+    return vectors.select("id", "v").mapInArrow(run, "id long, dim int, a int, b int, side int")
 
 
 def _roots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +152,13 @@ def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "emb
     centres = {d: spherical_kmeans(unit(np.array(x, dtype=np.float64)), int(min(MOST_CELLS, max(1, len(x) * share / PER_CELL)))) for d, x in by_dim.items()}
 
     placed = scratch.table(_placed(classes, centres, threshold, spreads))
-    many = lambda guest: F.ceil(F.count_if(F.col("guest") == guest) / BLOCK).cast("int")
-    count = placed.groupBy("dim", "cell").agg(many(False).alias("homes"), many(True).alias("guests")).where("homes > 0")
-    dealt = placed.join(count, ["dim", "cell"]).withColumn("block", F.when(F.col("guest"), F.col("homes") + F.pmod(F.xxhash64("id"), F.greatest("guests", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("homes"))).cast("int"))
-    others = F.sequence(F.lit(0), F.col("homes") + F.when(F.col("guest"), 0).otherwise(F.col("guests")) - 1)
-    pairs = dealt.withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    found = scratch.table(pairs.select("dim", "cell", "i", "j", "id", "w", "v", "block").groupBy("dim", "cell", "i", "j").applyInPandas(_compare(threshold), "id long, n long, root long"))
+    many = lambda side: F.ceil(F.count_if(F.col("side") == side) / BLOCK).cast("int")
+    count = placed.groupBy("dim", "a", "b").agg(many(0).alias("left"), many(1).alias("right")).where("left > 0 AND (a = b OR right > 0)")
+    dealt = placed.join(count, ["dim", "a", "b"]).withColumn("block", F.when(F.col("side") == 1, F.col("left") + F.pmod(F.xxhash64("id"), F.greatest("right", F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("left"))).cast("int"))
+    within = (F.col("a") == F.col("b")) | (F.col("side") == 1)
+    others = F.when(within, F.sequence(F.lit(0), F.col("left") - 1)).otherwise(F.sequence(F.col("left"), F.col("left") + F.col("right") - 1))
+    pairs = dealt.join(classes, "id").withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    found = scratch.table(pairs.select("dim", "a", "b", "i", "j", "id", "w", "v", "block").groupBy("dim", "a", "b", "i", "j").applyInPandas(_compare(threshold), "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "id")
     shared = classes.where("w > 1").select("v", F.col("id").alias("class"), "w")

@@ -200,6 +200,27 @@ def test_guests_meet_linked_vectors_in_many_cells():
         assert np.mean(met) >= least and (h != k).sum() > 900
 
 
+def test_embeddings_along_few_directions_equal_brute_force(spark, monkeypatch):
+    """Groups that vary along one to three directions are cut by cells exactly along these."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embed_dedup, "PER_CELL", 30)
+    rng = np.random.default_rng(6)
+    parts = []
+    for rank in (1, 2, 3):
+        axes = np.linalg.qr(rng.normal(size=(64, rank + 1)))[0].T
+        parts.append(axes[0] + rng.uniform(-1, 1, size=(200, rank)) @ axes[1:] + rng.normal(scale=0.002, size=(200, 64)))
+    x = np.concatenate(parts).astype(np.float32)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(table(spark, [(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = embed_dedup.unit(x.astype(np.float64))
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(near))
+    for _ in range(len(near)):
+        label = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
+    assert sum(n for n, _ in found.values()) == near.sum() > 10_000  # recall 1
+    assert all(found[i] == (near[i].sum(), label[i]) for i in range(len(x)))
+
+
 def labelled(rng, n):
     words = ["ba", "du", "ki", "lo", "me", "nu", "po", "ra"]
     rows = []
