@@ -9,8 +9,8 @@ from tallyforge.llm import bpe, decontam, line_dedup, ngram_join, quality
 from tallyforge.llm.common import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document scored below this is rejected.
-LEAST_QUALITY = 0.5
+#: A document scored below this is rejected, as by the classifier's own query.
+LEAST_QUALITY = quality.LEAST
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

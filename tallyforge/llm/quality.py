@@ -31,6 +31,8 @@ WIDTH, FILTERS, CHUNK = 4, 12, 256
 HALF = CHUNK // 2
 EPOCHS, BATCH, RATE, DECAY, SEED = 11, 48, 0.02, 1e-4, 7
 SLAB = 1 << 18
+#: A text scored below this is called bad.
+LEAST = 0.7
 
 
 @dataclass

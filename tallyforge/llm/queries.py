@@ -81,7 +81,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = _table(spark, sf_dir, "documents"), _held_out(2, 4)
     net = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held))
     scored = quality.score_documents(docs, net)
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.LEAST).cast("int").alias("predicted"))
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The pipeline over the smallest table: each stage keeps what it should."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
+from tallyforge.llm import quality, queries
 from tests.llm.test_llm import groups_by_hand, sets_of
 
 
@@ -16,3 +19,11 @@ def test_stages(spark, sf_dir):
         docs = out
     assert docs.count() > 100
     assert P.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_the_pipeline_rejects_what_the_classifier_calls_bad(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(quality, "fit", lambda *_: None)
+    monkeypatch.setattr(quality, "score_documents", lambda docs, net, keep=("doc_id",): docs.select(*keep, (F.col("doc_id") % 101 / 100).alias("score")))
+    good = {r.doc_id for r in queries.op4_quality(spark, sf_dir).where("predicted = 1").collect()}
+    kept = P.quality_classifier(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert {r.doc_id for r in kept.collect()} == good
