@@ -33,7 +33,9 @@ NONE = 1 << 62
 #: Bits for a pair's place below its rank.
 PLACE = 40
 #: Words and pieces kept per task, twice: a full table becomes the older one, from which what is asked for moves on.
-WORDS, PIECES = 250_000, 120_000
+WORDS, PIECES = 60_000, 30_000
+#: Characters of text that are encoded and decoded at a time.
+SLICE = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -235,7 +237,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
         tokens = pa.array(bpe.tokens, pa.string())
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 ids = list_array([encoder.encode(t) if t else b"" for t in texts[a:b]], pa.int32(), 4)
                 rest = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*rest, ids, decode_batch(ids, tokens, not bpe.end)], [*keep, "token_ids", "decoded"])

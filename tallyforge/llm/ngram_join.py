@@ -150,7 +150,7 @@ def signed(docs: DataFrame, text: str) -> DataFrame:
                     tokens = shingle(t)
                     if len(tokens) < BANDS[0] or (c := class_of(tokens)) in done:
                         continue
-                    if len(done) > 500_000:  # forgetting only repeats signatures
+                    if len(done) > 100_000:  # forgetting only repeats signatures
                         done.clear()
                     done.add(c)
                     for band, spare, sig in signatures(tokens):
