@@ -74,13 +74,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, rows: int
     """At most ``rows`` rows (k, t, y) chosen by a hash of the id: a bounded sample to fit a model on.
 
     The ids are chosen among the labels first, so that texts are only read for the sample, which is small enough to be
-    sent to all tasks. Rows with longer texts than ``most_bytes`` are left out of the fit.
+    sent to all tasks. Rows with longer texts than ``most_bytes`` are left out of the fit; of an id that stands with several
+    texts the smallest is taken, so that what comes to the driver is bounded by ``rows`` times ``most_bytes``.
     """
     chosen = (
         labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
         .select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key).cast("long"), F.lit(seed)).alias("h"))
+        .distinct()
         .orderBy("h", "k", "y")
         .limit(rows)
     )
     texts = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.octet_length("t") <= most_bytes)
-    return sorted(texts.join(F.broadcast(chosen), "k").select("k", "t", "y").collect())
+    return sorted(texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select("k", "t", "y").collect())
