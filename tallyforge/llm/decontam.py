@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .bpe import Kept
 from .common import slices
-from .words import WORDS, mix, rolling
+from .words import mix, rolling
 
 MOST_EDITS = 0.2
+#: Words whose hashes are kept per task, twice.
+WORDS = 80_000
 TABLES, SAMPLED, SEED = 32, 6, 5
 CHUNK = 20_000
 #: Item lengths whose windows are counted together differ by this factor at most.

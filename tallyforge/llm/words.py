@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import xxhash
-
-from .bpe import Kept
 
 BASE = 0x9E3779B97F4A7C15
-WORDS = 300_000
-
-
-class Hasher:
-    """Hashes of words, kept per task as most repeat."""
-
-    def __init__(self):
-        self.of = Kept(xxhash.xxh3_64_intdigest, WORDS).__getitem__
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.of, words), dtype=np.uint64, count=len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,18 +23,21 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _IS_GAP = np.zeros(256, dtype=bool)
 _IS_GAP[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64))
-_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+_FOLDED = _LETTER.copy()
+_FOLDED[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
 
 
 class WordHasher:
-    """Hashes of the words between white-space bytes of a UTF-8 text, A-Z as a-z.
+    """Hashes of the words between white-space bytes (or those in ``gap``) of a UTF-8 text, A-Z as a-z where ``fold`` is set.
 
-    A word's hash is the polynomial of its bytes, each as a random number; those of a whole piece come from one running
+    A word's hash is the polynomial of its bytes, each as a random number; those of a whole piece, and of any part of a word, come from one running
     sum, as the power where a word starts can be divided out again modulo 2^64.
     """
 
-    def __init__(self):
+    def __init__(self, fold: bool = True, gap: np.ndarray = _IS_GAP):
         self.power = self.inverse = np.ones(1, dtype=np.uint64)
+        self.letter = _FOLDED if fold else _LETTER
+        self.gap = gap
 
     def _grow(self, n: int) -> None:
         if len(self.power) < n:
@@ -56,27 +46,39 @@ class WordHasher:
                 steps[0] = 1
                 setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
-    def _piece(self, data: bytes) -> np.ndarray:
+    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The running sums of a piece, and where its words start and end."""
         b = np.frombuffer(data, dtype=np.uint8)
         self._grow(len(b) + 1)
         gap = np.ones(len(b) + 2, dtype=bool)
-        gap[1:-1] = _IS_GAP[b]
+        gap[1:-1] = self.gap[b]
         edge = np.flatnonzero(gap[1:] != gap[:-1])
-        start, end = edge[::2], edge[1::2]
         sums = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[b] * self.power[: len(b)], out=sums[1:])
+        np.cumsum(self.letter[b] * self.power[: len(b)], out=sums[1:])
+        return sums, edge[::2], edge[1::2]
+
+    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
+    def located(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and the byte that each begins at."""
+        parts = []
+        for at, piece in pieces(data):
+            sums, start, end = self.spans(piece)
+            parts.append((self.of(sums, start, end), start + at))
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts, strict=True)))
+
     def __call__(self, data: bytes) -> np.ndarray:
-        parts, at = [], 0
-        while len(data) - at > PIECE:
-            cut = _GAP.search(data, at + PIECE)
-            if cut is None:
-                break
-            parts.append(self._piece(data[at : cut.start()]))
-            at = cut.end()
-        parts.append(self._piece(data[at:]))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        return self.located(data)[0]
+
+
+def pieces(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """The text in pieces of about PIECE bytes, cut at white space, each with the byte it begins at."""
+    at = 0
+    while len(data) - at > PIECE and (cut := _GAP.search(data, at + PIECE)):
+        yield at, data[at : cut.start()]
+        at = cut.end()
+    yield at, data[at:]
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
