@@ -1,21 +1,24 @@
 """HTML extraction by template deduction.
 
-Pages of a host share a template. Its tokens are tags (with class, id and role) and short text nodes. A token's occurrence
+Pages of a host share a template. Its tokens are elements that hold others, each told apart by its path: the names (tag, class,
+id and role, digits as one) of all elements around it, and among nameless siblings its number; and text nodes, by path and text. A token's occurrence
 vector says how often it stands in each page; the sum of a hash of (page, count) over all pages stands for the vector, so
 equal vectors have equal sums, and sums are built map-side and merged, however large a host is. Tokens of one host with
-one vector are an equivalence class; a class is valid if it stands in most pages of the host, and classes nest as their
-elements do: each token carries the container it stands in. The root class holds what stands once in nearly every page;
-the containers of valid classes and the text directly in them over all pages tell which one is the article. Extraction
-walks each page once: of the article's container it keeps the slots, that is, all text that isn't the template's or in
-a menu, header, footer, sidebar, notice, advert, form, script, style or comment area.
+one vector are an equivalence class; a class is valid if it stands in at least a VALID share of the host's pages. Valid classes nest by the elements their
+tokens stand in: all of a class that stands in one element of another class fills one of that one's slots. Texts in
+valid classes are the template's own, the rest of the text fills the slots. In this tree the article's element is looked for: from the root, on to the
+child class's element that holds at least DOMINANT of the slots' text, or at once to an <article> or <main> that does.
+Extraction walks each page once: it keeps what fills that element, but for parts marked as
+menu, header, footer, sidebar, notice, advert, form, script, style or reader comments. Nothing else is left out, also if
+it stands in every page; so the template only says where the article is.
 
-Hosts' templates are bounded by what stands in most of their pages; pages meet them in a join on the host, which Spark
-broadcasts while it is small and splits where one host is hot.
+A host's template is bounded by what stands in most of its pages; what doesn't is filtered before anything is grouped by host.
+Pages meet templates in a join on the host, which Spark broadcasts while templates are small and splits where one host is hot.
 
 Defined cases: null html counts as empty, and an empty or text-free page gives an empty text; a page without a host, or
-of a host with fewer than LEAST_PAGES pages, is read with <article>, <main>, or else the whole body as container; broken
-markup is read as far as it goes: an unclosed tag ends with its parent, an unknown one is dropped; a lone "<" is text.
-Rows that repeat are extracted alike.
+without the element that the others have, is read with <article>, <main>, or else the whole body; one page alone is its own template; broken
+markup is read as far as it goes: an unclosed tag ends with its parent, a paragraph with the next block, an unknown end is dropped; a lone "<" is text.
+Rows that repeat are extracted alike. Of elements with equal text the one of the smaller path hash is taken. Other columns than key, url and html are dropped, also where they are named as outputs.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,87 +35,133 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices
 
-LEAST_PAGES = 5
-#: A class is valid if it stands in this share of a host's pages; a text is the template's if it stands in this share.
-VALID, SAME_TEXT = 0.5, 0.95
-TEXT_CHARS, TEXT_PAGES = 80, 20
+#: A class is valid if it stands in this share of a host's pages; the article's element holds this share of the slots' text.
+VALID, DOMINANT = 0.5, 0.5
+#: Characters of html whose tokens are summed before they are handed on.
+SLAB = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: Elements that hold others; the rest only break blocks, or don't even that.
 CONTAINERS = frozenset("html head body nav aside footer header form main article section div ul ol dl table thead tbody tr td th li dt dd blockquote figure figcaption dialog menu fieldset button select label details".split())
 BLOCKS = CONTAINERS - {"label", "button", "select"} | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address summary option legend caption".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ITEMS = frozenset("li td tr th dt dd".split())
 #: Elements, and words of class, id or role, that mark what isn't the article.
 ASIDE = frozenset("head nav aside footer form dialog menu button select fieldset".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent notice "
-    "notices alert popup modal newsletter subscribe subscription comment comments disqus discussion replies share sharing social related recommended widget toolbar login search skip legal copyright".split()
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice "
+    "notices alert popup modal newsletter subscribe subscription comment comments disqus discussion replies share sharing social related recommended toolbar login".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_DIGITS = re.compile(r"\d+")
 
 
 def name_of(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
-    """A tag as a token, and the words of its class, id and role."""
+    """An element's name, and the words of its class, id and role."""
     if "=" not in attributes:
         return tag, frozenset()
     found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()) for m in _ATTR.finditer(attributes)]
     words = frozenset(w for _, v in found for w in _SPLIT.split(v) if w)
-    return " ".join([tag, *sorted(f"{k}={v}" for k, v in found)]), words
+    return " ".join([tag, *sorted(f"{k}={_DIGITS.sub('0', v)}" for k, v in found)]), words
 
 
-def walk(page: str) -> Iterator[tuple]:
-    """("open", tag, token, words), ("close", tag) and ("text", text) in order; contents of scripts and the like are left out."""
+class Element:
+    """An open element: its path; whether it holds others, is itself marked as not the article (by a word: 2, by its tag: 1), stands in such a one, and stands in the article's element."""
+
+    __slots__ = ("tag", "path", "parent", "depth", "holds", "mark", "out", "inside", "seen")
+
+    def __init__(self, tag: str, path: int, parent: Element | None, depth: int, holds: bool, mark: int, inside: bool):
+        self.tag, self.path, self.parent, self.depth, self.holds, self.mark, self.inside = tag, path, parent, depth, holds, mark, inside
+        self.out = mark > 0 or parent is not None and parent.out
+        self.seen: dict[str, int] = {}
+
+
+def read(page: str, main: int | None = None, spared: frozenset[int] = frozenset(), wanted: str | None = None) -> Iterator[tuple[str, str, Element]]:
+    """("open", name, element), ("text", text, its element) and ("break", "", element) in order; contents of scripts and the like are left out.
+
+    The article's element is the one of path ``main``, or any ``wanted`` one ("": the page); ``spared`` are the paths around it, which marks don't rule out.
+    """
+    root = Element("", 0, None, 0, True, 0, wanted == "")
+    stack, holders = [root], [root]  # all that is tracked; those that hold others
+
+    def drop(tag: str, everywhere: bool) -> None:
+        """Closes the last open element of this tag, and all in it; unless it is to be sought ``everywhere``, only in the last one that holds others."""
+        for i in range(len(stack) - 1, 0 if everywhere else holders[-1].depth, -1):
+            if stack[i].tag == tag:
+                del stack[i:]
+                while holders[-1].depth >= i:
+                    holders.pop()
+                return
+
     for m in _TOKEN.finditer(page):
         if (text := m[6]) is not None or (text := m[2]) is not None:
-            yield "text", text
-        elif (tag := m[4]) is not None:
-            tag = tag.lower()
-            if m[3]:
-                yield "close", tag
-            else:
-                yield ("open", tag, *name_of(tag, m[5]))
-
-
-def _pop(stack: list, tag: str) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
-
-
-def aside(tag: str, words: frozenset[str], inside: bool) -> bool:
-    return tag in ASIDE or tag == "header" and not inside or bool(words & MARKS)
-
-
-def tokens(page: str) -> dict[str, list]:
-    """By token: count, its container, and the characters of text directly in it, if it is a container that can be the article."""
-    found: dict[str, list] = {}
-    stack: list[tuple[str, str, bool]] = []  # tag, token, whether aside
-
-    def seen(token: str) -> list:
-        if (x := found.get(token)) is None:
-            x = found[token] = [0, stack[-1][1] if stack else "", 0]
-        x[0] += 1
-        return x
-
-    for kind, tag, *rest in walk(page):
-        if kind == "text":
-            text = tag.strip()
-            if text and stack:
-                if not stack[-1][2]:
-                    found[stack[-1][1]][2] += len(text)
-                if len(text) <= TEXT_CHARS:
-                    seen("#" + text)
-        elif kind == "close":
-            _pop(stack, tag)
+            yield "text", text, stack[-1]
+            continue
+        if (tag := m[4]) is None:
+            continue
+        tag = tag.lower()
+        holds = tag in CONTAINERS
+        if tag in BLOCKS:
+            yield "break", "", stack[-1]
+        if m[3]:
+            drop(tag, holds)
+            continue
+        if tag in BLOCKS:
+            drop("p", False)
+            if tag in ITEMS and holders[-1].tag == tag:
+                drop(tag, True)
+        elif tag == "br":
+            yield "text", " ", stack[-1]
+        if tag in VOID:
+            continue
+        parent = stack[-1]
+        name, words = name_of(tag, m[5])
+        path = parent.path
+        if holds:
+            if name == tag:  # nameless siblings are numbered
+                seen = holders[-1].seen
+                seen[tag] = number = seen.get(tag, 0) + 1
+                name = f"{tag} {number}" if number > 1 else tag
+            path = xxhash.xxh3_64_intdigest(f"{path}/{name}") >> 1
+        is_main = holds and not parent.out and (path == main or tag == wanted)
+        if is_main or tag in ("html", "body"):
+            mark = 0
+        elif words & MARKS and path not in spared:
+            mark = 2
         else:
-            token, words = rest
-            seen(token)
-            if tag in CONTAINERS:
-                if tag in ("li", "td", "tr", "th", "dt", "dd") and stack and stack[-1][0] == tag:
-                    stack.pop()
-                stack.append((tag, token, aside(tag, words, False) or bool(stack and stack[-1][2])))
-    return found
+            mark = int(tag in ASIDE or tag == "header" and (not parent.inside or wanted == ""))
+        if holds or mark or parent.out or tag == "p":
+            inside = parent.inside or is_main or main is None and wanted is None and tag in ("article", "main")
+            element = Element(tag, path, parent, len(stack), holds, mark, inside)
+            stack.append(element)
+            if holds:
+                holders.append(element)
+                yield "open", name, element
+
+
+def tokens(page: str) -> tuple[dict[int, list], dict[tuple[int, int], int]]:
+    """By path: count, characters of text in it (but for what is in a marked part of it), the path around it, name and mark; and the characters of each text at each path."""
+    found: dict[int, list] = {0: [1, 0, -1, "", 0]}
+    texts: dict[tuple[int, int], int] = {}
+    for kind, value, element in read(page):
+        if kind == "open":
+            if (x := found.get(element.path)) is None:
+                x = found[element.path] = [0, 0, element.parent.path, value, element.mark]
+            x[0] += 1
+        elif kind == "text" and (size := len(value.strip())):
+            at = element
+            while not at.holds and not at.mark:
+                at = at.parent
+            if not at.holds:  # a marked paragraph or stretch of one
+                continue
+            key = element.path, xxhash.xxh3_64_intdigest(value.strip()) >> 1
+            texts[key] = texts.get(key, 0) + size
+            while at is not None:
+                if at.holds:
+                    found[at.path][1] += size
+                at = None if at.mark else at.parent
+    return found, texts
 
 
 def host_of(url):
@@ -119,91 +169,142 @@ def host_of(url):
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, vector, pages, total, chars, container: sums over all pages of (host, key, html)."""
+    """host, path, text (a hash, null for elements), vector, pages, total, chars, around, name, mark: sums over all pages of (host, key, html)."""
+    names = ["host", "path", "text", "vector", "pages", "total", "chars", "around", "name", "mark"]
+    kinds = [pa.string(), *[pa.int64()] * 7, pa.string(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, keys, texts = (c.to_pylist() for c in batch.columns)
-            for a, b in slices(texts):
-                sums: dict[tuple[str, str], list] = {}
-                for host, key, text in zip(hosts[a:b], keys[a:b], texts[a:b], strict=True):
-                    sums.setdefault((host, ""), [0, 0, 0, 0, ""])[1] += 1
-                    for token, (count, container, chars) in tokens(text or "").items():
-                        x = sums.setdefault((host, token), [0, 0, 0, 0, container])
+            for a, b in slices(texts, SLAB):
+                sums: dict[tuple, list] = {}
+                for host, key, page in zip(hosts[a:b], keys[a:b], texts[a:b], strict=True):
+                    if not host:
+                        continue
+                    elements, said = tokens(page or "")
+                    for path, (count, chars, around, name, mark) in elements.items():
+                        x = sums.setdefault((host, path, None), [0, 0, 0, 0, around, name, mark])
                         x[0] += xxhash.xxh3_64_intdigest(f"{key},{count}") >> 24
                         x[1] += 1
                         x[2] += count
                         x[3] += chars
-                rows = [(h, t, *x) for (h, t), x in sums.items() if h]
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-                names = ["host", "token", "vector", "pages", "total", "chars", "container"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * 7, kinds, strict=True)], names)
-
-    parts = pages.mapInArrow(run, "host string, token string, vector long, pages long, total long, chars long, container string")
-    return parts.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("chars").alias("chars"), F.min("container").alias("container"))
-
-
-def templates(vectors: DataFrame) -> DataFrame:
-    """host, main (the article's token), texts (of the template): from the valid equivalence classes of each host."""
-    hosts = vectors.where("token = ''").select("host", F.col("pages").alias("all")).where(F.col("all") >= LEAST_PAGES)
-    valid = vectors.where("token != ''").join(hosts, "host").where(F.col("pages") >= VALID * F.col("all"))
-    classes = valid.groupBy("host", "vector").agg(F.count("*").alias("members"), F.max("all").alias("all"), F.max("pages").alias("pages"), F.max("total").alias("total"), F.collect_list(F.struct("token", "chars", "container")).alias("tokens"))
-    each = classes.withColumn("t", F.explode("tokens")).withColumn("once", (F.col("total") == F.col("pages")) & (F.col("members") > 1))
-    tag = F.substring_index("t.token", " ", 1)
-    able = ~F.col("t.token").startswith("#") & tag.isin(*sorted(CONTAINERS - ASIDE)) & (F.col("t.chars") > 0)
-    weight = F.when(tag == "article", 3).when(tag == "main", 2).otherwise(F.when(tag.isin("html", "body"), 0).otherwise(1))
-    best = each.where(able & F.col("once")).groupBy("host").agg(F.max(F.struct(weight.alias("w"), F.col("t.chars").alias("c"), F.col("t.token").alias("token")))["token"].alias("main"))
-    same = F.col("t.token").startswith("#") & (F.col("pages") >= SAME_TEXT * F.col("all")) & (F.col("all") >= TEXT_PAGES) & (F.col("total") == F.col("pages"))
-    texts = each.where(same).groupBy("host").agg(F.collect_set(F.expr("substring(t.token, 2)")).alias("texts"))
-    return hosts.select("host").join(best, "host", "left").join(texts, "host", "left")
-
-
-def extract(page: str, main: str | None, texts: frozenset[str]) -> str:
-    """The text of the slots of the article's container, block by block."""
-    for wanted in dict.fromkeys((main, "article", "main", "")):
-        if wanted is None or wanted in ("article", "main") and f"<{wanted}" not in page.lower():
+                    for (path, text), chars in said.items():
+                        x = sums.setdefault((host, path, text), [0, 0, 0, 0, None, None, None])
+                        x[1] += 1
+                        x[3] += chars
+                rows = [(*k, *x) for k, x in sums.items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+
+    parts = pages.mapInArrow(run, "host string, path long, text long, vector long, pages long, total long, chars long, around long, name string, mark int")
+    vector = F.sum(F.col("vector").cast("decimal(20,0)")).alias("vector")  # however many pages there are
+    return parts.groupBy("host", "path", "text").agg(vector, *(F.sum(c).alias(c) for c in ("pages", "total", "chars")), *(F.min(c).alias(c) for c in ("around", "name", "mark")))
+
+
+def classes_of(nodes: list[dict]) -> dict[int, int]:
+    """The class of each path: equal vectors, in one slot of the class around them; the smallest path names a class."""
+    by_path, out = {n["path"]: n for n in nodes}, {}
+
+    def place(n: dict) -> tuple:
+        """The vector, and the nearest element around that has another one."""
+        at = by_path.get(n["around"])
+        while at is not None and at["vector"] == n["vector"]:
+            at = by_path.get(at["around"])
+        return n["vector"], -1 if at is None else at["path"]
+
+    first: dict[tuple, int] = {}
+    for n in sorted(nodes, key=lambda n: n["path"]):
+        out[n["path"]] = first.setdefault(place(n), n["path"])
+    return out
+
+
+def article(nodes: list[dict]) -> tuple[int | None, list[int]]:
+    """The path of the article's element among the template's (path, around, name, mark, vector, slots), and the paths around it."""
+    by_path = {n["path"]: n for n in nodes}
+    held = sum(n["slots"] for n in nodes if n["mark"] or n["path"] == 0)
+    spared = {n["path"] for n in nodes if n["mark"] == 2 and n["slots"] > DOMINANT * held}  # a word marks a wrapper of it all
+    for p in spared:  # then what is in it counts around it too
+        at = by_path.get(by_path[p]["around"])
+        while at is not None:
+            at["slots"] += by_path[p]["slots"]
+            at = None if at["mark"] else by_path.get(at["around"])
+    below: dict[int, list[dict]] = {}
+    for n in nodes:
+        if n["path"] and n["around"] in by_path and (not n["mark"] or n["path"] in spared):
+            below.setdefault(n["around"], []).append(n)
+    total = by_path[0]["slots"] if 0 in by_path else 0
+    reached, todo = [], [0]
+    while todo:
+        at = todo.pop()
+        reached.append(at)
+        todo += [n["path"] for n in below.get(at, ())]
+    best = max(((n["slots"], t == "article", -n["path"]) for p in reached if (n := by_path.get(p)) and (t := n["name"].split(" ")[0]) in ("article", "main") and n["slots"] >= DOMINANT * total > 0), default=None)
+    member = classes_of(nodes)
+    if best is not None:
+        main = -best[2]
+    else:
+        main = 0
+        while children := below.get(main):
+            # the elements of one class in one slot go together: several of them are no single place for the article
+            child = max(children, key=lambda n: (n["slots"], -n["path"]))
+            if child["slots"] == 0 or child["slots"] < DOMINANT * total or any(n is not child and n["slots"] * 2 > child["slots"] and member[n["path"]] == member[child["path"]] for n in children):
+                break
+            main = child["path"]
+    around, at = [], by_path.get(main, {}).get("around", -1)
+    while at in by_path and at:
+        around.append(at)
+        at = by_path[at]["around"]
+    return main or None, around
+
+
+def templates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, main (the path of the article's element), spared (the paths around it)."""
+    hosts = scratch.table(vectors.where("path = 0 AND text IS NULL").select("host", F.col("pages").alias("all")))
+    valid = vectors.join(hosts, "host").where(F.col("pages") >= VALID * F.col("all"))
+    own = valid.where("text IS NOT NULL AND pages > 1").groupBy("host", "path").agg(F.sum("chars").alias("own"))
+    nodes = valid.where("text IS NULL").join(own, ["host", "path"], "left").select("host", "path", "around", "name", "mark", F.concat_ws(",", F.col("vector").cast("string"), F.col("pages").cast("string"), F.col("total").cast("string")).alias("vector"), "chars", F.coalesce("own", F.lit(0)).alias("own"))
+
+    def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = pdf.drop(columns="host").to_dict("records")
+        by_path = {n["path"]: n for n in nodes}
+        for n in nodes:
+            n["slots"] = n["chars"]
+        for n in nodes:  # the template's own texts don't fill slots
+            at = n
+            while n["own"] and at is not None:
+                at["slots"] -= n["own"]
+                if at["mark"]:
+                    break
+                at = by_path.get(at["around"])
+        if all(n["slots"] <= 0 for n in nodes):  # all pages say the same
+            for n in nodes:
+                n["slots"] = n["chars"]
+        main, around = article(nodes)
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": pd.array([main], dtype="Int64"), "spared": [around]})
+
+    return nodes.groupBy("host").applyInPandas(deduce, "host string, main long, spared array<long>")
+
+
+def extract(page: str, main: int | None, spared: frozenset[int]) -> str:
+    """What fills the article's element, block by block."""
+    for path, tag in dict.fromkeys(((main, None), (None, "article"), (None, "main"), (None, ""))):
+        if path is None and (tag is None or tag and f"<{tag}" not in page.lower()):
             continue
         blocks: list[str] = []
         now: list[str] = []
-        stack: list[tuple[str, bool, bool]] = []  # tag, whether in the container, whether aside
-        inside, out = wanted == "", False
-        found = inside
-
-        def end() -> None:
-            if now:
-                if text := " ".join(_html.unescape("".join(now)).split()):
-                    blocks.append(text)
-                now.clear()
-
-        for kind, tag, *rest in walk(page):
+        found = tag == ""
+        for kind, value, element in read(page, path, spared if path is not None else frozenset(), tag):
             if kind == "text":
-                if inside and not out and not (texts and tag.strip() in texts):
-                    now.append(tag)
-                continue
-            if kind == "close":
-                if tag in BLOCKS:
-                    end()
-                if tag in CONTAINERS:
-                    _pop(stack, tag)
-                    inside, out = (stack[-1][1], stack[-1][2]) if stack else (wanted == "", False)
-                continue
-            if tag in BLOCKS:
-                end()
-            elif tag == "br":
-                now.append(" ")
-            if tag in CONTAINERS:
-                if tag in ("li", "td", "tr", "th", "dt", "dd") and stack and stack[-1][0] == tag:
-                    stack.pop()
-                    inside, out = (stack[-1][1], stack[-1][2]) if stack else (wanted == "", False)
-                token, words = rest
-                is_main = not out and (token == wanted or wanted in ("article", "main") and tag == wanted)
-                out = out or not (is_main or tag in ("html", "body")) and aside(tag, words, inside and wanted != "")
-                inside = inside or is_main
-                found = found or is_main
-                stack.append((tag, inside, out))
-        end()
+                if element.inside and not element.out:
+                    now.append(value)
+            elif kind == "open":
+                found = found or element.inside and not element.out
+            elif now:
+                blocks.append(" ".join(_html.unescape("".join(now)).split()))
+                now.clear()
+        if now:
+            blocks.append(" ".join(_html.unescape("".join(now)).split()))
         if found:
-            return "\n".join(blocks)
+            return "\n".join(filter(None, blocks))
     return ""
 
 
@@ -212,14 +313,14 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
     scratch = Scratch(pages.sparkSession, "pages")
     source = pages.select(F.col(key).alias("__key"), F.col(url).cast("string").alias("__url"), F.coalesce(F.col(html), F.lit("")).alias("__html"), host_of(F.col(url)).alias("host"))
     vectors = occurrence_vectors(source.select("host", F.concat_ws(",", F.col("__key").cast("string"), "__url").alias("key"), "__html"))
-    found = scratch.table(templates(scratch.table(vectors)))
+    found = scratch.table(templates(scratch.table(vectors), scratch))
     kind = dict(source.dtypes)["__key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, main, texts = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            page, main, spared = (batch.column(i).to_pylist() for i in (2, 3, 4))
             for a, b in slices(page):
-                out = [extract(p, m, frozenset(t or ())) for p, m, t in zip(page[a:b], main[a:b], texts[a:b], strict=True)]
+                out = [extract(p, m, frozenset(s or ())) for p, m, s in zip(page[a:b], main[a:b], spared[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.string())], [key, url, "text"])
 
-    return source.join(found, "host", "left").select("__key", "__url", "__html", "main", "texts").mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string")
+    return source.join(found, "host", "left").select("__key", "__url", "__html", "main", "spared").mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string")
