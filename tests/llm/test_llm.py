@@ -260,21 +260,56 @@ def test_scores_depend_on_the_text_alone():
     assert np.allclose(together, [quality.score(net, [t])[0] for t in texts])
 
 
-def test_nearest_examples_are_exact():
+def by_hand(examples, docs):
+    """TF-IDF cosines of every document with every example, term by term."""
+    def bag(text):
+        words = re.findall(r"[a-z0-9_\x80-\U0010ffff]+", (text or "").lower())
+        return collections.Counter(t for w in words for t in [w.encode(), *((w.encode()[:k], k) for k in (4, 5, 6, 7) if k < len(w.encode()))])
+
+    bags, known = [bag(t) for t in docs], {t for _, text, _ in examples for t in bag(text)}
+    idf = {t: np.log(1 + len(docs) / max(1, sum(t in b for b in bags))) ** 2 for t in known}
+    weigh = lambda b: {t: n * idf[t] for t, n in b.items() if t in known}
+    unit = lambda w: {t: x / np.sqrt(sum(y * y for y in w.values())) for t, x in w.items()}
+    left, right = [unit(weigh(b)) for b in bags], [unit(weigh(bag(t))) for _, t, _ in examples]
+    return np.array([[sum(x * r.get(t, 0) for t, x in d.items()) for r in right] for d in left])
+
+
+def test_toxicity_equals_dense_cosines(spark, monkeypatch):
+    """End to end against brute force: neighbours, evidence and scores, with dense, common and rare terms."""
+    monkeypatch.setattr(toxicity, "LEAST_NEAREST", 20)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "DENSE", 0.4)
+    monkeypatch.setattr(toxicity, "STEP", 2)
+    monkeypatch.setattr(toxicity, "POWERS", (2.0,))
     rng = random.Random(5)
-    rows = [(i, t, y) for i, t, _, y in labelled(rng, 400)]
-    index = toxicity.build(rows, chi=0.5)
-    dense = np.zeros((len(index.ids), len(index.words)))
-    for t, (at, x) in enumerate(index.postings):
-        dense[at, t] = x
-    for _, text, _ in rows[:60]:
-        bag = {index.words[k]: v for k, v in toxicity.bag_of(text).items() if k in index.words}
-        if bag:
-            terms = tuple(sorted(bag))
-            w = toxicity._weights(np.array([bag[t] for t in terms], dtype=float), index.idf[list(terms)])
-            _, cosines = toxicity.nearest(index, terms, w)
-            every = np.sort(dense[:, list(terms)] @ w)[::-1]
-            assert np.allclose(cosines, every[every > 0][: toxicity.NEAREST])
+    rows = [(i, t + (" schön Ärger été" if i % 3 else ""), y) for i, t, _, y in labelled(rng, 160)]
+    texts = [t for _, t, _ in rows] + [None, "", "qqqqq", rows[3][1], "zorgish " * 3000]
+    docs = table(spark, list(enumerate(texts)), "doc_id long, text string")
+    labels = table(spark, [(i, y) for i, _, y in rows if i % 4] + [(None, 1), (9999, 1)], "doc_id long, toxic int")
+    examples = [r for r in rows if r[0] % 4]
+    index = toxicity.fit(docs, labels)
+    assert (index.dense >= 0).any() and (index.common >= 0).any() and ((index.common < 0) & (index.dense < 0)).any()
+    cosines = by_hand(examples, texts)
+    found = {r.doc_id: r for r in toxicity.score_documents(docs, index).collect()}
+    for d in range(len(texts)):
+        best = sorted(((-round(c, 6), examples[e][0], examples[e][2]) for e, c in enumerate(cosines[d]) if c > 1e-9))[:20]
+        share = (toxicity.PRIOR * index.base + sum(-c * y for c, _, y in best)) / (toxicity.PRIOR + sum(-c for c, *_ in best))
+        want = 1 / (1 + np.exp(-(index.slope * toxicity._logit(share) + index.offset)))
+        assert abs(found[d].score - want) < 1e-3
+        assert np.allclose([e.cosine for e in found[d].evidence], [-c for c, *_ in best[:5]], atol=2e-6)
+    assert found[3].score == found[163].score and found[160].score == found[161].score == found[162].score and found[160].evidence == []
+
+
+def test_toxicity_is_calibrated(spark):
+    """On rows whose labels weren't given: the mean score is the share of toxic rows, and scores of a fifth of the range too."""
+    rows = labelled(random.Random(12), 900)
+    docs = table(spark, [r[:2] for r in rows], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, table(spark, [(r[0], r[3]) for r in rows[:600]], "doc_id long, toxic int"))).collect()}
+    s, y = np.array([scores[r[0]] for r in rows[600:]]), np.array([r[3] for r in rows[600:]])
+    assert abs(s.mean() - y.mean()) < 0.06 and ((s - y) ** 2).mean() < 0.1
+    for low in (0, 0.8):
+        part = (s >= low) & (s <= low + 0.2)
+        assert part.sum() > 20 and abs(s[part].mean() - y[part].mean()) < 0.12
 
 
 def test_decontamination_finds_edited_items(spark):
@@ -414,5 +449,54 @@ def test_html_extraction(spark):
     assert (out[90], out[91], out[92], out[93], out[94]) == ("", "", "just text", "m", "\n".join(["q"] * 3000))
 
 
+@pytest.mark.parametrize("n", [1, 3, 10, 25])
+def test_html_template_does_not_depend_on_the_number_of_pages(spark, n):
+    """Nothing but marked parts goes, also if it stands in every page, however many there are."""
+    inner = "<h1>Title {i}</h1><p>Body {i} and more {i}</p><p>Conclusion</p><div class='legal'>Legal</div><div class='search-results'>Results</div><p class='advert'>Buy {i}<p>Hot <span class='ad'>Sponsored <span>x</span> {i}</span> end</p>"
+    shell = "<html><body><div class='site has-sidebar'><div class=top><ul><li>Home</ul></div><div class='sidebar'>Side {i}</div>%s<div class='promo'><p>Offer {i}</div></div></body></html>"
+    rows = [(i, f"http://a.org/{i}", (shell % f"<article>{inner}</article>").replace("{i}", str(i))) for i in range(n)]
+    rows += [(100 + i, f"http://b.org/{i}", (shell % f"<div class='c17'><div>{inner}</div></div>").replace("{i}", str(i))) for i in range(n)]
+    found = html_extract.extract_pages(table(spark, rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        if r.page_id < 100 or n > 1:
+            assert r.text == f"Title {r.page_id % 100}\nBody {r.page_id % 100} and more {r.page_id % 100}\nConclusion\nLegal\nResults\nHot end", r
+
+
+def test_html_templates_equal_brute_force(spark):
+    """Generated hosts with random wrappers: the occurrence vectors summed by Spark give the classes that whole vectors give, and the article comes back."""
+    rng = random.Random(13)
+    rows, want, word = [], {}, lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    for host in range(8):
+        around = [rng.choice(["div class=w%d" % k, "section", "div", "div id=x%d" % k]) for k in range(rng.randint(0, 4))]
+        side = rng.random() < 0.7
+        for i in range(25):
+            key = host * 100 + i
+            paragraphs = [" ".join(word() for _ in range(rng.randint(5, 40))) for _ in range(rng.randint(2, 6))]
+            body = "".join(f"<p>{p}</p>" for p in paragraphs)
+            if i % 3 == 0:
+                body = f"<div id=post-{key}>{body}</div>"
+            page = f"<main class=page>{body}</main>" if host % 2 else f"<div class=text>{body}</div>"
+            if side:
+                page = f"<div class=logo>Same words on every page of this host, and many of them, {'x ' * 300}</div>{page}<ul class=list><li>one<li>two {word()}</ul>"
+            for w in around:
+                page = f"<{w}>{page}</{w.split(' ')[0]}>"
+            rows.append((key, f"http://h{host}.org/{i}", f"<html><body class='id-{key}'><nav>menu {word()}</nav>{page}<footer>f {word()}</footer></body></html>"))
+            want[key] = "\n".join(paragraphs)
+    df = table(spark, rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+    assert out == want
+    vectors = collections.defaultdict(dict)
+    for key, url, page in rows:
+        for path, (count, *_) in html_extract.tokens(page)[0].items():
+            vectors[url[7:9], path][key] = count
+    summed = html_extract.occurrence_vectors(df.select(html_extract.host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html")).where("text IS NULL").collect()
+    assert len(summed) == len(vectors)
+    groups = [collections.defaultdict(set), collections.defaultdict(set)]
+    for r in summed:
+        groups[0][r.host, r.vector].add(r.path)
+        groups[1][r.host, tuple(sorted(vectors[r.host[:2], r.path].items()))].add(r.path)
+    assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))
+
+
 def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
