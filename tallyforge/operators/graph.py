@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one, once a session, where none is set (tests on one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_tallyforge_graph", None) or tempfile.mkdtemp(prefix="tallyforge-")
-        spark._tallyforge_graph = folder
-    return folder.rstrip("/")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows as a written table: loops don't grow the plan, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.scratch import Scratch
 
 
 def chain_roots(nodes: DataFrame) -> DataFrame:
@@ -30,6 +13,7 @@ def chain_roots(nodes: DataFrame) -> DataFrame:
 
     A parent that is no node ends the chain. Nodes on or below a cycle get a null root.
     """
+    settled = Scratch(nodes.sparkSession, "chains").table
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     now = settled(nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth")))
     now = settled(now.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNull().alias("done"), "depth"))
@@ -43,6 +27,7 @@ def chain_roots(nodes: DataFrame) -> DataFrame:
 
 def ancestors(nodes: DataFrame) -> DataFrame:
     """node, ancestor, distance: the closure of (node, parent), doubling the distance each round; cycles end at themselves."""
+    settled = Scratch(nodes.sparkSession, "ancestors").table
     step = settled(nodes.where("parent IS NOT NULL AND parent != node").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("distance")))
     closure, reach = step, 1
     while True:
@@ -55,22 +40,55 @@ def ancestors(nodes: DataFrame) -> DataFrame:
         reach *= 2
 
 
+def branch(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """node, leaf, distance: what lies on the way from each leaf (node) to its root along (node, parent), itself included.
+
+    Pointers of all nodes are doubled; from a leaf's way, known up to some distance, one join with them makes it twice as long, so
+    a chain of n costs n rows a round and log n rounds, not its closure. A way stops where it would come back to its leaf.
+    """
+    settled = Scratch(nodes.sparkSession, "branch").table
+    jump = settled(nodes.where("parent IS NOT NULL AND parent != node").select("node", F.col("parent").alias("up")))
+    way = settled(leaves.select(F.col("node"), F.col("node").alias("leaf"), F.lit(0).cast("long").alias("distance")).distinct())
+    reach = 1
+    while not jump.isEmpty():
+        more = way.join(jump, "node").where("up != leaf").select(F.col("up").alias("node"), "leaf", (F.col("distance") + reach).alias("distance"))
+        longer = settled(way.unionByName(more).groupBy("node", "leaf").agg(F.min("distance").alias("distance")))
+        if longer.count() == way.count():
+            break
+        way, reach = longer, reach * 2
+        jump = settled(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("up2")), "up").where("node != up2").select("node", F.col("up2").alias("up")))
+    return way
+
+
+def _starred(pairs: DataFrame, settled) -> DataFrame:
+    """u, v, m: each pair with the smallest of u and its neighbours; the minima are taken map-side first and written, so that Spark can split a hot u in the join."""
+    least = settled(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    return pairs.join(least, "u")
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) of (a, b), by alternating large and small stars."""
-    def least(both: DataFrame) -> DataFrame:
-        return both.groupBy("u").agg(F.min("v").alias("m"))
+    """node, component (its smallest node) of (a long, b long), by alternating stars.
 
-    now = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    alone = now.where("u = v").select(F.col("u").alias("node"))
-    now = settled(now.where("u != v"))
+    Large star: each node's larger neighbours are tied to its smallest neighbour; small star: its smaller ones and itself
+    are. Both keep what is connected, and the number of rounds grows with the logarithm of the size. Each round is a few
+    tables in the shared folder; only a count and a sum of hashes come back to the driver, which stops when they stay.
+    """
+    scratch = Scratch(edges.sparkSession, "components")
+    settled = scratch.table
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    alone = edges.where("u = v").select(F.col("u").alias("node"))
+    now, seen = settled(edges.where("u != v").distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        star = both.join(least(both), "u").select("v", "u", F.least("m", "u").alias("m"))
-        large = star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = least(large)
-        after = settled(large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        if now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty():
-            break
+        ties = F.array(F.struct(F.when(F.col("v") > F.col("u"), F.col("v")).alias("u"), F.col("m").alias("v")), F.struct(F.when(F.col("m") < F.col("u"), F.col("u")).alias("u"), F.col("m").alias("v")))
+        large = settled(_starred(both, settled).select(F.explode(ties).alias("e")).select("e.*").where("u IS NOT NULL AND u != v").distinct())
+        ties = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        after = settled(_starred(large, settled).select(F.explode(ties).alias("e")).select("e.*").where("u != v").distinct())
+        scratch.drop(now, large)
         now = after
-    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")))
-    return found.unionByName(alone.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == seen:
+            break
+        seen = state
+    found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return found.unionByName(alone.distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))

@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt
-from ..operators.graph import ancestors
+from ..operators.graph import branch
 
 
 def shown_branch(entries: DataFrame) -> DataFrame:
     """session_id, entry_id, position of (session_id, entry_id, parent_id, line): the path to the last leaf of each session.
 
-    A leaf is an entry that is nobody's parent; the path is read off the closure of parents, so no branch is walked.
+    A leaf is an entry that is nobody's parent; only the ways from the wanted leaves are followed, by doubled pointers.
     """
     parents = entries.where("parent_id IS NOT NULL").select("session_id", F.col("parent_id").alias("entry_id")).distinct()
     leaves = entries.join(parents, ["session_id", "entry_id"], "left_anti").groupBy("session_id").agg(F.max_by("entry_id", "line").alias("leaf"))
     node = lambda c: F.concat_ws("/", "session_id", c)
-    closure = ancestors(entries.select(node("entry_id").alias("node"), F.when(F.col("parent_id").isNotNull(), node("parent_id")).alias("parent")))
-    ends = leaves.select("session_id", node("leaf").alias("node"))
-    path = ends.join(closure, "node").select("session_id", F.col("ancestor").alias("node"), "distance").unionByName(ends.withColumn("distance", F.lit(0).cast("long")))
+    nodes = entries.select(node("entry_id").alias("node"), F.when(F.col("parent_id").isNotNull(), node("parent_id")).alias("parent"))
+    ends = leaves.select("session_id", node("leaf").alias("leaf"))
+    path = branch(nodes, ends.select(F.col("leaf").alias("node"))).join(ends, "leaf").select("session_id", "node", "distance")
     known = entries.select("session_id", "entry_id", node("entry_id").alias("node"))
     ordered = Window.partitionBy("session_id").orderBy(F.col("distance").desc())
     return path.join(known, ["session_id", "node"]).select("session_id", "entry_id", F.row_number().over(ordered).cast("long").alias("position"))

@@ -20,6 +20,14 @@ def test_long_chain(spark):
     assert found == {i: (0, i) for i in range(200)}
 
 
+def test_only_the_ways_of_leaves_are_walked(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000 + i, 150 if i == 0 else 999 + i) for i in range(40)] + [(5000, 5001), (5001, 5000)]
+    nodes = spark.createDataFrame(rows, "node long, parent long")
+    found = {(r.node, r.leaf, r.distance) for r in graph.branch(nodes, spark.createDataFrame([(1039,), (5000,)], "node long")).collect()}
+    way = [*range(1039, 999, -1), *range(150, -1, -1)]
+    assert found == {(n, 1039, d) for d, n in enumerate(way)} | {(5000, 5000, 0), (5001, 5000, 1)}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (6, 6)] + [(i, i + 1) for i in range(100, 130)], "a long, b long")
     found = {r.node: r.component for r in graph.connected(edges).collect()}
