@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch  # noqa: F401  used by the operators
+
 #: Rows of a batch are handed on once their texts reach this many characters.
 BATCH_CHARS = 8_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests on one machine), a temporary folder is set once for the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_tallyforge_shared", None) or tempfile.mkdtemp(prefix="tallyforge-")
-        spark._tallyforge_shared = folder
-    return folder.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; each is read back as plain Parquet."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.count = 0
-
-    def table(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices(texts: list, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of runs of rows whose texts stay near the limit, so that long documents don't pile up in memory."""
     start = total = 0

@@ -10,8 +10,9 @@ a cell that holds a third of all vectors is many tasks, and a task holds two blo
 roots give the groups.
 
 Defined cases: null or zero vectors, and those with null or non-finite components, link with nothing; vectors of
-different lengths don't link; rows that repeat an id are one vector (its smallest value); rows without an id link with
-nothing and get no component; ties of centres go to the first.
+different lengths don't link; rows that repeat an id are one vector and one row of the result, and where its values differ it has the links of all of them
+(n_links adds them up, those among its own values included); rows without an id link with nothing, get no component and come back each; ties of centres go to
+the first; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
+from ..operators.graph import connected
 from .common import Scratch
-from .components import components
 
 THRESHOLD, SPREADS = 0.95, float("inf")
 BLOCK = 2000
@@ -139,8 +140,14 @@ def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "emb
     kind = "array<float>" if isinstance(table.schema[vector].dataType.elementType, FloatType) else "array<double>"
     rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v")).where((F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0))
-    good = scratch.table(good)
+    good = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where((F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0))
+    least = scratch.table(good.groupBy("id").agg(F.min("v").alias("v"), (F.min("v") < F.max("v")).alias("several")))
+    good = least.select("id", "v")
+    several = not least.where("several").isEmpty()
+    if several:  # further values of an id get names of their own, above all ids that are likely, and are tied to it
+        more = rows.join(least.where("several").select("id", F.col("v").alias("least")), "id").where((F.size("v") > 0) & ~odd & F.exists("v", lambda x: x != 0) & (F.col("v") != F.col("least"))).select("id", "v").distinct()
+        more = scratch.table(more.select(F.col("id").alias("owner"), F.xxhash64("id", "v").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62).alias("id"), "v"))
+        good = good.unionByName(more.select("id", "v"))
     # Equal vectors are one class, named by its smallest id; each class is compared once, with its weight.
     classes = scratch.table(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")).select("id", "w", "v"))
     total = classes.count()
@@ -160,11 +167,24 @@ def near_duplicates(table: DataFrame, *, key: str = "vec_id", vector: str = "emb
     pairs = dealt.join(classes, "id").withColumn("other", F.explode(others)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = scratch.table(pairs.select("dim", "a", "b", "i", "j", "id", "w", "v", "block").groupBy("dim", "a", "b", "i", "j").applyInPandas(_compare(threshold), "id long, n long, root long"))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "id")
     shared = classes.where("w > 1").select("v", F.col("id").alias("class"), "w")
     member = good.join(shared, "v").where("id != class").select("id", "class", "w").unionByName(shared.select(F.col("class").alias("id"), "class", "w"))
-    out = rows.select("id").distinct().join(member, "id", "left").withColumn("class", F.coalesce("class", "id"))
+    edges = found.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    if several:
+        of = lambda name: member.select(F.col("id").alias(name), F.col("class").alias(f"{name}_class"))
+        ties = more.select("id", "owner").join(of("id"), "id", "left").join(of("owner"), "owner", "left")
+        edges = edges.unionByName(ties.select(F.coalesce("id_class", "id").alias("a"), F.coalesce("owner_class", "owner").alias("b")))
+    groups = connected(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    out = rows.select("id").where("id IS NOT NULL").distinct().unionByName(rows.select("id").where("id IS NULL"))
+    if several:
+        out = out.unionByName(more.select("id"))
+    out = out.join(member, "id", "left").withColumn("class", F.coalesce("class", "id"))
     out = out.join(links.withColumnRenamed("id", "class"), "class", "left").join(groups.withColumnRenamed("id", "class"), "class", "left")
     component = F.coalesce("root", "class")
     n_links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))
+    if several:
+        out = out.select("id", n_links.alias("n"), component.alias("component")).join(more.select("id", "owner"), "id", "left")
+        named = out.where("id IS NOT NULL").groupBy(F.coalesce("owner", "id").alias("id")).agg(F.sum("n").alias("n"), F.min("component").alias("class"))
+        out = named.unionByName(out.where("id IS NULL").select("id", "n", F.col("component").alias("class")))
+        n_links, component = F.col("n"), F.col("class")
     return out.select(F.col("id").alias(key), n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

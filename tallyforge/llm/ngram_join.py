@@ -17,7 +17,8 @@ one hub only; its other links are found among the few classes of which more than
 compared with all of it, in blocks. Every pair is verified exactly on the whole texts, so the result is exact.
 
 Defined cases: null and empty texts have an empty set, size 0, and link with nothing; rows without an id are left out of
-links and come back with a null component; rows that repeat an id are one document; equal sets are linked.
+links and come back each with a null component; rows that repeat an id are one document, which has the links of all its texts, and come back each
+with the size of its own set; equal sets are linked; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -33,15 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected
 from .common import Scratch, slices
-from .components import components
 from .words import WordHasher, distinct, mix, rolling
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 SMALL = 24
-BLOCK = 1500
+#: Classes, and characters of their texts, of a block.
+BLOCK, BLOCK_CHARS = 1500, 20_000_000
 #: Signatures keep so many bits; a chance agreement only costs a verification.
 BITS = 48
 
@@ -125,16 +127,21 @@ def signatures(tokens: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def sizes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc, n, class: the size and class of each document's set; no class where it is empty."""
+    """doc, v, n, class: the size and class of each document's set (no class where it is empty); v: a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            sets = map(shingle, batch.column(1).to_pylist())
+            sets = map(shingle, batch.column(2).to_pylist())
             pairs = [(len(s), class_of(s) if len(s) else None) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["doc", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["doc", "v", "n", "class"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text)).mapInArrow(run, "doc long, n long, class long")
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("v"), F.col(text)).mapInArrow(run, "doc long, v long, n long, class long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root of the nodes of ``edges`` (a, b)."""
+    return connected(edges).withColumnRenamed("component", "root")
 
 
 def signed(docs: DataFrame, text: str) -> DataFrame:
@@ -240,33 +247,40 @@ def jaccard_components(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
     spokes = many.join(hub, "sig").where("class != hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).groupBy("a", "b").agg(F.count("*").alias("agree")).where("agree > 1").select("a", "b")
     pairs = scratch.table(pairs.unionByName(spokes).distinct())
 
-    reps = members.where("class IS NOT NULL AND doc IS NOT NULL").groupBy("class").agg(F.min("doc").alias("rep"))
+    named = members.where("class IS NOT NULL AND doc IS NOT NULL")
+    reps = named.groupBy("class").agg(F.min(F.struct("doc", "v")).alias("rep"))
+    # The classes of an id that stands with several texts are tied to each other.
+    ties = named.groupBy("doc").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b")
+    ties = scratch.table(named.join(ties.select("doc", F.col("a").alias("b")), "doc").where("class != b").select(F.col("class").alias("a"), "b").distinct())
     # Linked pairs that no small group holds: both have more common segments than they can spare.
     over = common.where("common > tag % 65536").select("class", "tag")
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(over.select("class")).distinct()
-    wanted = reps.join(needed, "class").select(F.col("rep").alias("doc"), "class")
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc").groupBy("class").agg(F.max("text").alias("text"))
+    # What is wanted grows with the documents, so it isn't broadcast: texts are shuffled once, at every size.
+    wanted = reps.join(needed, "class").select("rep.doc", "rep.v", "class")
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("v"), F.col(text).alias("text")).join(wanted.hint("merge"), ["doc", "v"]).groupBy("class").agg(F.first("text").alias("text"))
     texts = scratch.table(texts)
-    links = scratch.table(verified(pairs, texts))
+    links = scratch.table(verified(pairs, texts).unionByName(ties))
     scratch.drop(kept)
 
-    roots = components(links, scratch)
+    roots = components(links)
     over = many.join(over, ["class", "tag"], "left_semi").join(roots.withColumnRenamed("node", "class"), "class", "left").select("sig", "class", F.coalesce("root", "class").alias("root"))
     open_sigs = over.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("class").alias("least")).where("low < high").select("sig", "least")
     unresolved = scratch.table(over.join(open_sigs, "sig").select("class", "root", "least").distinct())
     if not unresolved.isEmpty():
-        cluster = components(unresolved.select(F.col("class").alias("a"), F.col("least").alias("b")), scratch).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+        cluster = components(unresolved.select(F.col("class").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
         held = scratch.table(unresolved.select("class", "root").distinct().join(cluster, "class"))
         per_root = held.groupBy("cluster", "root").agg(F.count("*").alias("size"))
+        size = held.join(texts.select("class", F.length("text").cast("long").alias("chars")), "class").groupBy("cluster").agg(F.sum("chars").alias("chars"))
         main = per_root.groupBy("cluster").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("total")).select("cluster", F.col("m.root").alias("main"), F.col("m.size").alias("most"), "total")
-        blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-        placed = held.join(main, "cluster").join(texts, "class").select("cluster", "class", "text", (F.col("root") != F.col("main")).alias("out"), blocks(F.col("total") - F.col("most")).alias("rows"), blocks(F.col("total")).alias("cols"), F.pmod(F.xxhash64("class"), F.lit(1 << 30)).alias("h"))
+        # As many blocks as keep both the classes and, by the cluster's mean, the characters of a block near their bounds.
+        blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(F.col("chars") * n / F.col("total") / BLOCK_CHARS)).cast("int")
+        placed = held.join(main, "cluster").join(size, "cluster").join(texts, "class").select("cluster", "class", "text", (F.col("root") != F.col("main")).alias("out"), blocks(F.col("total") - F.col("most")).alias("rows"), blocks(F.col("total")).alias("cols"), F.pmod(F.xxhash64("class"), F.lit(1 << 30)).alias("h"))
         row = placed.where("out").select("cluster", "class", "text", F.lit(True).alias("minor"), (F.col("h") % F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
         col = placed.select("cluster", "class", "text", F.lit(False).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), (F.col("h") % F.col("cols")).alias("j"))
         each = row.select("cluster", "class", "text", "minor", F.col("i").cast("int"), F.col("j").cast("int")).unionByName(col.select("cluster", "class", "text", "minor", F.col("i").cast("int"), F.col("j").cast("int")))
         more = each.groupBy("cluster", "i", "j").applyInPandas(_compare, "a long, b long")
         more = scratch.table(more.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b").distinct())
-        roots = components(links.unionByName(more), scratch)
+        roots = components(links.unionByName(more))
 
     joined = members.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     joined = scratch.table(joined.select("doc", "n", "root"))

@@ -141,6 +141,17 @@ def test_jaccard_join_equals_brute_force(spark, monkeypatch, small):
     assert found == groups_by_hand(sets_of(docs))
 
 
+def test_jaccard_join_of_an_id_with_several_texts(spark):
+    rng = random.Random(14)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    z, w, y = some(80), some(80), some(80)
+    near = lambda x: " ".join(x[:-1] + some(1))
+    rows = [(5, "zz " + " ".join(z)), (5, " ".join(w)), (5, " ".join(w)), (7, near(w)), (3, near(z)), (9, " ".join(y)), (None, " ".join(w)), (None, None)]
+    found = ngram_join.jaccard_components(table(spark, rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in found if r.doc_id) == [(3, 76, 3), (5, 76, 3), (5, 76, 3), (5, 77, 3), (7, 76, 3), (9, 76, 9)]
+    assert [r.component_id for r in found if r.doc_id is None] == [None, None]
+
+
 def test_pigeonhole_holds():
     for k, upper in enumerate(ngram_join.BANDS[:40]):
         count, spare, deletions = ngram_join.PLANS[k]
@@ -186,6 +197,14 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert all(found[i] == (0, i, True) for i in range(900, 907)) and found[None] == (0, None, False)
 
 
+def test_embeddings_of_repeated_and_missing_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, a), (5, b), (7, b), (7, b), (8, [0.01, 1.0, 0.0]), (3, a), (9, c), (None, a), (None, a), (5, None)]
+    found = embed_dedup.near_duplicates(table(spark, [(*r, 1) for r in rows], "vec_id long, embedding array<float>, id int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found if r.vec_id) == [(3, 1, 3, True), (5, 3, 3, False), (7, 2, 3, False), (8, 2, 3, False), (9, 0, 9, True)]
+    assert [(r.n_links, r.component_id, r.kept) for r in found if r.vec_id is None] == [(0, None, False)] * 2
+
+
 def test_guests_meet_linked_vectors_in_many_cells():
     rng = np.random.default_rng(4)
     base = embed_dedup.unit(rng.normal(size=(6000, 64)))
