@@ -4,14 +4,15 @@ A turn's content is a list of typed parts (text, image, audio, document). A visi
 part into text: a text part is escaped, any other becomes a numbered placeholder, and its reference and the number of
 tokens it expands to are recorded in order. A template marks the turn by its role. Every mark begins with "<" or "[",
 and a backslash stands before each "<", "[" and backslash of a text or role, so marks inside texts can't be taken for
-the template's, and unescaping gives back the text exactly.
+the template's, and unescaping gives back the text exactly. Within a placeholder all but letters, digits, "_" and "-" of a type are escaped, so none looks like a mark.
 
 Formatting is done turn by turn with Spark's functions, so a conversation of any length is spread over tasks; a
 conversation's formatted text is its pieces in the order of turn (ties: role, text). What has to see a whole
-conversation in order (digests) streams its sorted pieces in constant memory.
+conversation in order (digests) joins its sorted pieces to one stream and parses that, holding one turn at a time: turns end where their marks say, not where rows do.
 
 Defined cases: null text or parts count as empty; a null role is an empty role; rows of a null conversation id form one
-conversation with that id; repeated rows are all kept; no rows give no rows.
+conversation with that id; repeated rows are all kept, side by side; no rows give no rows; a turn without a number comes first; other columns are dropped, also where they are
+named as outputs.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def format_turns(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
     plain = F.transform("parts", lambda p: F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(""))
     flat = F.transform(
         "parts",
-        lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), F.coalesce(escape(p["type"]), F.lit("unknown")), F.lit(":"), number(i).cast("string"), F.lit(">"))),
+        lambda p, i: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<"), F.coalesce(F.regexp_replace(p["type"], r"([^\p{L}\p{N}_-])", r"\\$1"), F.lit("unknown")), F.lit(":"), number(i).cast("string"), F.lit(">"))),
     )
     opening = closing = None
     for name, (a, b) in MARKS.items():
@@ -101,27 +102,56 @@ def format_turns(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn",
 
 
 _OPEN = re.compile(r"<<SYS>>|\[INST\]|<s>|\[ROLE=((?:[^\\\]]|\\.)*)\]", re.DOTALL)
-_ROLE = {a: name for name, (a, _) in MARKS.items()}
-
-
-def parse_piece(piece: str) -> tuple[str, str]:
-    """Role and text of a formatted turn; placeholders stay as they are written."""
-    m = _OPEN.match(piece)
-    role = _ROLE.get(m[0])
-    if role is None:
-        return unescape(m[1]), unescape(piece[m.end() : -len("[/ROLE]")])
-    return role, unescape(piece[m.end() : -len(MARKS[role][1])])
+_ROLE = {a: (name, b) for name, (a, b) in MARKS.items()}
+#: What is escaped, and what may begin a closing mark: a placeholder has a letter, a digit or a backslash after its "<".
+_STOP = re.compile(r"\\.|<[</]|\[", re.DOTALL)
+
+
+class Parser:
+    """Reads the turns of a conversation back from its formatted text, which comes in parts of any size."""
+
+    def __init__(self):
+        self.rest, self.role, self.close, self.at = "", None, "", 0
+
+    def feed(self, part: str) -> Iterator[tuple[str, str]]:
+        """Role and text of the turns that are now whole; placeholders stay as they are written."""
+        self.rest += part
+        while True:
+            if self.role is None:
+                m = _OPEN.match(self.rest)
+                if m is None:
+                    return
+                self.role, self.close = _ROLE.get(m[0]) or (unescape(m[1]), "[/ROLE]")
+                self.rest, self.at = self.rest[m.end() :], 0
+            end = -1
+            for m in _STOP.finditer(self.rest, self.at):
+                if m[0][0] != "\\":
+                    end = m.start()
+                    break
+                self.at = m.end()
+            if end < 0 or len(self.rest) < end + len(self.close):
+                return
+            if not self.rest.startswith(self.close, end):
+                raise ValueError(f"a turn of {self.role!r} holds another one's mark")
+            turn = self.role, unescape(self.rest[:end])
+            self.rest, self.role = self.rest[end + len(self.close) :], None
+            yield turn
+
+    def end(self) -> None:
+        if self.rest or self.role is not None:
+            raise ValueError("a conversation ends within a turn")
 
 
 class _Digest:
     def __init__(self, conv: int | None):
         self.conv, self.turns, self.loss_chars, self.chars = conv, 0, 0, 0
-        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.parser, self.said, self.loss = Parser(), hashlib.sha256(), hashlib.sha256()
 
     def add(self, piece: str, start: int, length: int | None) -> None:
-        role, text = parse_piece(piece)
-        self.said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
-        self.turns += 1
+        """The next piece of the stream, and the stretch of it that is under the loss mask."""
+        for role, text in self.parser.feed(piece):
+            self.said.update(f"{role}\n{text}\n".encode("utf-8", "replace"))
+            self.turns += 1
         self.chars += len(piece)
         if length is not None:
             masked = unescape(piece[start : start + length])
@@ -129,11 +159,12 @@ class _Digest:
             self.loss_chars += len(masked)
 
     def row(self) -> tuple:
+        self.parser.end()
         return self.conv, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: read back from the formatted pieces.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars: parsed from each conversation's formatted text and its mask.
 
     A SHA-256 has to take a conversation's text in order; the sorted pieces are streamed through it, never gathered.
     """

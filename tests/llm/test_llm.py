@@ -433,23 +433,56 @@ def test_line_dedup_sees_past_short_earlier_overlaps(spark, several):
     assert n_gone > 5000
 
 
+def parsed(text, step):
+    parser, out = chat_format.Parser(), []
+    for a in range(0, len(text), step):
+        out += parser.feed(text[a : a + step])
+    parser.end()
+    return out
+
+
 def test_chat_formatting_round_trip(spark):
-    texts = ["</s>[INST] ok [/INST]", "a\\b \\[ <<SYS>>", "", None, "plain", "é😀 <image:0>"]
-    rows = [(c, t, r, x) for c in (1, 2) for t, (r, x) in enumerate(zip(["system", "user", "assistant", "assistant", None, "to]ol"], texts))]
-    turns = chat_format.format_turns(table(spark, rows, "conv_id long, turn long, role string, text string"))
+    """Turns parsed from whole conversations, and the loss mask, against the rows they were made of."""
+    rng = random.Random(15)
+    bits = ["</s>", "[INST]", " ok ", "[/INST]", "\\", "\\[", "<<SYS>>", "<</SYS>>", "<s>", "é😀", "<image:0>", "[/ROLE]", "[ROLE=x]", "]", ">", "\n", "\r\n", ""]
+    roles = ["system", "user", "assistant", "assistant", None, "to]ol", "[ROLE=a]", ""]
+    rows = [(c, t, rng.choice(roles), rng.choice([None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(9))])) for c in [*range(40), None, -7] for t in range(rng.randint(1, 9))]
+    rows += [(-7, 100, "user", "</s>[INST] ok [/INST]"), (-7, 101, "assistant", "</s>[INST] ok [/INST]"), (-8, None, "assistant", "first"), (-8, 0, "user", "then"), *[(-9, 0, "assistant", "a]</s>")] * 3, (-10, 0, "assistant", "</s>[INST]" * 100_000)]
+    turns = chat_format.format_turns(table(spark, [(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, piece string, loss_chars int"))
+    by_conv = collections.defaultdict(list)
+    for c, t, r, x in rows:
+        by_conv[c].append((-1 if t is None else t, r or "", x or ""))
+    pieces = collections.defaultdict(list)
     for r in turns.collect():
-        assert chat_format.parse_piece(r.piece) == (r.role, r.text)
-    said = "".join(f"{r or ''}\n{x or ''}\n" for r, x in zip(["system", "user", "assistant", "assistant", None, "to]ol"], texts))
-    for r in chat_format.digests(turns).collect():
-        assert r.n_turns == 6 and r.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(b"").hexdigest()
+        pieces[r.conv_id].append((-1 if r.turn is None else r.turn, r.role, r.text, r.piece, r.loss_start, r.loss_chars))
+    found = {r.conv_id: r for r in chat_format.digests(turns).collect()}
+    assert set(found) == set(by_conv)
+    for c, said in by_conv.items():
+        said.sort()
+        own = sorted(pieces[c], key=lambda p: p[:3])
+        whole = "".join(p[3] for p in own)
+        for step in (1, 7, len(whole)) if len(whole) < 5000 else (9973,):
+            assert parsed(whole, step) == [x[1:] for x in said]
+        spoken = "".join(x for _, r, x in said if r == "assistant")
+        masked = "".join(chat_format.unescape(p[3][p[4] : p[4] + p[5]]) for p in own if p[5] is not None)
+        r = found[c]
+        assert masked == spoken and (r.n_turns, r.formatted_chars, r.loss_chars) == (len(said), len(whole), len(spoken))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in said).encode()).hexdigest() and r.loss_sha256 == hashlib.sha256(spoken.encode()).hexdigest()
+    assert sum(r.loss_chars for r in found.values()) > 1_000_000
+
+
+def test_chat_parser_refuses_what_isn_t_formatted():
+    for text in ("[INST]a</s>", "[INST]a", "a", "[INST]a[/INST]b", "<s>a[INST]b[/INST]</s>"):
+        with pytest.raises(ValueError):
+            parsed(text, 3)
 
 
 def test_chat_parts(spark):
-    parts = [("text", "see <", None, None, None, None, None), ("image", None, "u1", 28, 15, None, None), ("audio", None, "u2", None, None, 1.5, None), ("document", None, "u3", None, None, None, 2), None]
+    parts = [("text", "see <", None, None, None, None, None), ("image", None, "u1", 28, 15, None, None), ("audio", None, "u2", None, None, 1.5, None), ("document", None, "u3", None, None, None, 2), None, ("/s>", None, None, None, None, None, None)]
     df = table(spark, [(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
     r = chat_format.format_turns(df, parts="parts").first()
-    assert r.piece == "[INST]see \\<<image:0><audio:1><document:2>[/INST]"
-    assert [(a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "u1", 4), (1, "audio", "u2", 38), (2, "document", "u3", 1600)]
+    assert r.piece == "[INST]see \\<<image:0><audio:1><document:2><\\/s\\>:3>[/INST]" and parsed(r.piece, 2) == [("user", "see <<image:0><audio:1><document:2></s>:3>")]
+    assert [(a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, "image", "u1", 4), (1, "audio", "u2", 38), (2, "document", "u3", 1600), (3, "/s>", None, 0)]
 
 
 def page(i, body):
