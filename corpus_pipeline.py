@@ -1,4 +1,9 @@
-"""The corpus pipeline: score, take out repeated passages, keep one of each group, take out leaks, encode."""
+"""The corpus pipeline: score, take out repeated passages, keep one of each group, take out leaks, encode.
+
+Defined cases of all stages: a null or empty text is scored as an empty one, and repeats, links and leaks nothing; rows without an id
+are linked with nothing; of rows that repeat an id one is kept, the one of the smallest columns, as they are one document; an empty table gives an empty one; columns
+other than those of documents are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -31,10 +36,18 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of linked ones."""
+    docs = docs.select(*COLUMNS)
     groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    anonymous = docs.where("doc_id IS NULL").select(*COLUMNS)  # linked with nothing
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS).unionByName(anonymous)
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = Scratch(spark, "kept").table(kept)
+    # What is kept grows with the documents, so it isn't broadcast.
+    out = docs.join(kept.hint("merge"), "doc_id").select(*COLUMNS, "rows")
+    once = out.where("rows = 1").select(*COLUMNS)
+    if not kept.where("rows > 1").isEmpty():
+        rest = COLUMNS[1:]
+        again = out.where("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+        once = once.unionByName(again.select("doc_id", "row.*"))
+    return once.unionByName(docs.where("doc_id IS NULL"))  # linked with nothing
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
