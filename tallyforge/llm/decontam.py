@@ -9,8 +9,8 @@ the embedding make a bucket, in each of TABLES independent walks; a window that
 by the exact edit distance (bit-parallel, over the whole region). Exact copies always meet; for copies with edits the
 number of tables is chosen for a recall of 0.95 and more (measured in the tests).
 
-Items are sent to all tasks in chunks of at most CHUNK items, so what is sent is bounded however many items there are;
-documents are never shuffled.
+Items are sent to all tasks in chunks of at most CHUNK items; each further chunk is a job of its own over what the one before wrote, and the items sent for that are
+dropped, so what is held at a time is bounded however many items there are. Documents are never shuffled.
 
 Defined cases: null and empty texts leak nothing; items without words, or null, match nothing; rows that repeat are
 flagged alike; an item that occurs several times in a text is reported once, at its closest and then first place.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import slices
+from .common import Scratch, slices
 from .words import mix, rolling
 
 MOST_EDITS = 0.2
@@ -237,7 +237,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    out = docs.withColumn("leaks", F.array().cast(LEAKS))
+    out, scratch = docs.withColumn("leaks", F.array().cast(LEAKS)), Scratch(spark, "leaks")
     for chunk in range(chunks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(chunks)) == chunk) if chunks > 1 else items
         sent = spark.sparkContext.broadcast(prepare([tuple(r) for r in part.collect()]))
@@ -251,5 +251,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", ite
                     found = [x + y for x, y in zip(rows.column(len(columns)).to_pylist(), new, strict=True)]
                     yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(found, kind)], [*columns, "leaks"])
 
-        out = out.mapInArrow(run, f"{kinds}, leaks {LEAKS}")
+        before, out = out, out.mapInArrow(run, f"{kinds}, leaks {LEAKS}")
+        if chunk < chunks - 1:
+            out = scratch.table(out)
+            sent.destroy()
+            if chunk:
+                scratch.drop(before)
     return out

@@ -10,7 +10,7 @@ a hash of their id (documented bounds; labels are given row by row, so more rows
 Scoring is a map over all documents and whole texts, without a shuffle.
 
 Defined cases: a null text counts as empty; an empty text is one chunk of padding and gets the score the network gives
-that; equal texts get equal scores; with no labelled rows, or one class only, every score is the smoothed share of
+that; equal texts get equal scores to the last bit, whatever they are scored with; columns that aren't in ``keep`` are dropped, also where they are named as outputs; with no labelled rows, or one class only, every score is the smoothed share of
 class 1. Labels are only read from the rows handed to ``fit``.
 """
 
@@ -100,7 +100,8 @@ def score(net: Network, texts: list[bytes], tables=None) -> np.ndarray:
     c = np.maximum(h[left], h[right])
     mean = np.add.reduceat(c, first[:-1], axis=0) / np.diff(first)[:, None]
     most = np.maximum.reduceat(c, first[:-1], axis=0)
-    z = mean @ net.mean_weight + most @ net.max_weight + net.offset
+    # Row by row, as a matrix product may round a row otherwise in another batch.
+    z = (mean * net.mean_weight).sum(1) + (most * net.max_weight).sum(1) + net.offset
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

@@ -276,7 +276,26 @@ def test_scores_depend_on_the_text_alone():
     net = quality.train([b"good " * 20, b"bad%%% " * 20] * 40, np.array([1.0, 0.0] * 40))
     texts = [b"", b"%%%%", b"", b"x" * 125, b"%" * 126, b"x" * 125]
     together = quality.score(net, texts)
-    assert np.allclose(together, [quality.score(net, [t])[0] for t in texts])
+    assert together.tolist() == [quality.score(net, [t])[0] for t in texts]
+    many = quality.score(net, [b"good bad%%% " * (i % 7) for i in range(400)])
+    assert all(many[i] == many[i % 7] for i in range(400))
+
+
+def test_quality_of_held_out_rows_at_the_production_setting(spark):
+    d = "/root/testdata/sf0.1"
+    scored = {r.doc_id: r for r in queries.op4_quality(spark, d).where("held_out").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").where("quality IS NOT NULL").collect() if r.doc_id in scored}
+    good, bad = ([scored[i].predicted for i in labels if labels[i] == y] for y in (1, 0))
+    assert len(bad) > 80 and np.mean(good) > 0.97 and np.mean(bad) < 0.05
+
+
+def test_toxicity_of_held_out_rows_at_the_production_setting(spark):
+    d = "/root/testdata/sf0.1"
+    scored = {r.doc_id: r for r in queries.op10_toxicity(spark, d).where("held_out").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic IS NOT NULL").collect() if r.doc_id in scored}
+    y, p, s = (np.array(x) for x in ([labels[i] for i in labels], [scored[i].predicted for i in labels], [scored[i].score for i in labels]))
+    assert np.mean([len(scored[i].evidence) > 0 for i in labels]) > 0.95
+    assert p[y == 1].mean() > 0.8 and y[p == 1].mean() > 0.93 and ((s - y) ** 2).mean() < 0.03 and abs(s.mean() - y.mean()) < 0.03
 
 
 def by_hand(examples, docs):
@@ -354,6 +373,31 @@ def test_decontamination_finds_edited_items(spark):
     assert not any(got[d] for d in got if d not in expected)
 
 
+@pytest.mark.parametrize("share, least", [(0.1, 0.99), (0.15, 0.97), (0.2, 0.9)])
+def test_decontamination_recall_by_edits_against_brute_force(spark, share, least, monkeypatch):
+    """Substitutions, insertions and deletions; more items than one chunk; an item twice in a text; what brute force doesn't find isn't found."""
+    monkeypatch.setattr(decontam, "CHUNK", 20)
+    rng = random.Random(int(share * 100))
+    words = [f"v{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, some(rng.randint(15, 60))) for i in range(50)]
+    docs = []
+    for d in range(150):
+        w = list(items[d % 50][1])
+        for _ in range(int(len(w) * share)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1])] = rng.choice([[], some(1), some(1)])
+        docs.append((d, some(rng.randint(0, 60)) + w + some(rng.randint(0, 60)) + (w if d % 10 == 0 else [])))
+    docs += [(1000 + d, some(150)) for d in range(30)]
+    want = {d: {i: e for i, p in items if (e := decontam.edit_search(p, w)[0]) <= decontam.allowed(len(p))} for d, w in docs}
+    found = decontam.find_leaks(table(spark, [(d, " ".join(w)) for d, w in docs], "doc_id long, text string"), table(spark, [(i, " ".join(p)) for i, p in items], "item_id long, text string")).collect()
+    got = {r.doc_id: {x.item_id: x.distance for x in r.leaks} for r in found}
+    assert all(len(r.leaks) == len({x.item_id for x in r.leaks}) for r in found) and len(found) == len(docs)
+    assert all(i in want[d] and e >= want[d][i] for d in got for i, e in got[d].items())
+    pairs = [(d, i) for d in want for i in want[d]]
+    assert len(pairs) > 100 and np.mean([i in got[d] for d, i in pairs]) >= least
+
+
 def test_edit_search():
     def slow(p, t):
         row = [0] * (len(t) + 1)
