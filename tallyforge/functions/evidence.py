@@ -33,15 +33,22 @@ def merge_sums(*measures: str) -> list[Column]:
     return [F.sum(n).cast(EXACT if n.endswith("_known") else "long").alias(n) for n in names]
 
 
-def normalized_total() -> Column:
-    """The recorded total where it agrees with the parts, else the parts' sum where all are known, else null."""
+def normalized_total(reasons: bool = False) -> Column:
+    """The recorded total where it agrees with the parts, else the parts' sum where all are known, else null.
+
+    With ``reasons`` (columns that say why an amount is unknown) a count that couldn't be read makes the total unknown, be it a part's or the recorded one.
+    """
     known = [F.col(f"{b}_state") == "known" for b in BUCKETS]
     absent = [F.col(f"{b}_state") != "unknown" for b in BUCKETS]
     parts = sum(F.coalesce(F.col(f"{b}_amount"), F.lit(0)).cast(EXACT) for b in BUCKETS)
     everything, none_unknown = known[0] & known[1] & known[2] & known[3], absent[0] & absent[1] & absent[2] & absent[3]
     reported = F.col("reported_amount").cast(EXACT)
     agrees = (reported >= parts) & (~everything | (reported == parts))
-    return F.when(parts >= F.lit(str(LIMIT)).cast(EXACT), None).when(F.col("reported_state") == "known", F.when(agrees, reported)).when(everything & none_unknown, parts).cast(EXACT)
+    bad = lambda *names: F.coalesce(F.greatest(F.lit(False), *(F.col(f"{n}_reason") == "invalid_count" for n in names)), F.lit(False)) if reasons else F.lit(False)
+    return (
+        F.when(bad(*BUCKETS) | (parts >= F.lit(str(LIMIT)).cast(EXACT)), None).when(F.col("reported_state") == "known", F.when(agrees, reported))
+        .when(bad("reported"), None).when(everything & none_unknown, parts).cast(EXACT)
+    )
 
 
 def prompt_size() -> Column:

@@ -42,13 +42,15 @@ def normal_decimal(text: Column) -> Column:
 
 
 def mtok(tokens: Column) -> Column:
-    """Tokens as millions with two decimals, rounded half up, in whole numbers."""
-    cents = F.floor((tokens + 5000) / F.lit(10000)).cast("long")
-    return F.concat(F.floor(cents / 100).cast("long").cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    """Tokens as millions with two decimals, exact and ties to even; 0 and less than a hundredth are told apart, negative counts are null."""
+    millions = F.bround(tokens.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"), 2).cast("decimal(20,2)")
+    return F.when(tokens == 0, "0").when((tokens > 0) & (tokens < 10_000), "<0.01").when(tokens > 0, millions.cast("string"))
 
 
 def project_label(project: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.regexp_replace(project, r"/+$", ""), r"([^/:]+)$", 1), F.lit("Unassigned"))
+    """The last folder of a project's path, a repository's own folder for its .git; Unassigned where there is none."""
+    path = F.regexp_replace(F.regexp_replace(project, r"^[^:]*:", ""), r"/+(\.git/*)?$", "")
+    return F.when(project.isNull() | (project == "unassigned"), "Unassigned").otherwise(F.coalesce(F.nullif(F.regexp_extract(path, r"([^/]+)$", 1), F.lit("")), F.regexp_replace(project, r"^[^:]*:", "")))
 
 
 def content_id(*parts: Column) -> Column:

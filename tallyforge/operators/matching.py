@@ -2,30 +2,81 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of an axis without a key, as many as a report's buckets.
+MOST_INTERVALS = 100_000
+
 
 def asof(points: DataFrame, axis: DataFrame, at: str, start: str, end: str, key: list[str] = ()) -> DataFrame:
-    """Each point with the latest axis row whose [start, end) holds it, or nulls.
+    """Each point with the latest axis row whose [start, end) holds it, or nulls; intervals may overlap and lie in each other.
 
-    The two sides are united and one running maximum finds the row, so nothing is paired with what it doesn't meet. Without a
-    key the axis has to be small: it is then sent to all tasks after its size was checked.
+    With a key both sides are united and sorted by it and by time, and the open intervals are carried along as a stack: what has ended on
+    top of it never holds a later point, so a row is looked at once, and no more is held than what lies in each other. Without a
+    key the axis has to be small: it is then sent to all tasks after its size was checked, as the stretches in which one interval holds, which are searched in halves. Times are whole numbers then.
     """
     if not key:
-        rows = axis.count()
-        if rows > 100_000:
-            raise ValueError(f"an axis has 100000 rows at most, not {rows}")
-        edges = axis.agg(F.sort_array(F.collect_list(F.struct(start, end))).alias("__axis"))
-        found = F.try_element_at(F.filter("__axis", lambda b: (b[start] <= F.col(at)) & (F.col(at) < b[end])), F.lit(-1))
-        near = points.join(F.broadcast(edges), F.lit(True), "left").withColumn("__b", F.when(F.size(F.coalesce("__axis", F.array())) > 0, found))
-        return near.select(*points.columns, F.col(f"__b.{start}").alias(start), F.col(f"__b.{end}").alias(end))
-    left = points.select(*key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__point"), F.lit(None).cast(axis.schema[start].dataType).alias(start), F.lit(None).cast(axis.schema[end].dataType).alias(end))
-    right = axis.select(*key, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__point"].dataType).alias("__point"), start, end)
-    w = Window.partitionBy(*key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("__b", F.last(F.when(F.col("__kind") == 0, F.struct(start, end)), ignorenulls=True).over(w)).where("__kind = 1")
-    holds = F.col("__at") < F.col(f"__b.{end}")
-    return both.select("__point.*", F.when(holds, F.col(f"__b.{start}")).alias(start), F.when(holds, F.col(f"__b.{end}")).alias(end))
+        rows = [tuple(r) for r in axis.select(start, end).where(F.col(start) < F.col(end)).limit(MOST_INTERVALS + 1).collect()]
+        if len(rows) > MOST_INTERVALS:
+            raise ValueError(f"an axis has {MOST_INTERVALS} rows at most")
+        begins, owners = _segments(sorted(rows))
+        sent = points.sparkSession.sparkContext.broadcast((np.array(begins, dtype=np.int64), pa.array([o and o[0] for o in owners], pa.int64()), pa.array([o and o[1] for o in owners], pa.int64())))
+        names, where = [*points.columns, start, end], points.columns.index(at)
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            edges, a, b = sent.value
+            for batch in batches:
+                t = batch.column(where).cast(pa.int64())
+                place = pa.array(np.searchsorted(edges, t.fill_null(0).to_numpy(zero_copy_only=False), "right"), mask=np.asarray(t.is_null()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, a.take(place), b.take(place)], names)
+
+        return points.mapInArrow(look, f"{fields}, `{start}` long, `{end}` long")
+    left = points.select(*key, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(axis.schema[start].dataType).alias("__start"), F.lit(None).cast(axis.schema[end].dataType).alias("__end"), F.struct(*points.columns).alias("__point"))
+    right = axis.where(F.col(start) < F.col(end)).select(*key, F.col(start).alias("__at"), F.lit(0).alias("__kind"), F.col(start).alias("__start"), F.col(end).alias("__end"), F.lit(None).cast(left.schema["__point"].dataType).alias("__point"))
+    both = left.unionByName(right).repartition(*key).sortWithinPartitions(*key, "__at", "__kind", "__end")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*points.schema.fields, axis.schema[start], axis.schema[end]])
+    n = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, stack = None, []
+        for batch in batches:
+            places, found = [], []
+            columns = [c.to_pylist() for c in batch.columns[: n + 4]]
+            for i, (group, t, kind, a, b) in enumerate(zip(zip(*columns[:n], strict=True), *columns[n:], strict=True)):
+                if group != now:
+                    now, stack = group, []
+                if kind == 0:
+                    stack.append((a, b))
+                    continue
+                while stack and t is not None and stack[-1][1] <= t:
+                    stack.pop()
+                places.append(i)
+                found.append(stack[-1] if stack and t is not None else (None, None))
+            point = batch.column(n + 4).take(pa.array(places, pa.int64()))
+            ends = [pa.array([x[k] for x in found], batch.column(n + 2 + k).type) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*point.flatten(), *ends], [*points_names, start, end])
+
+    points_names = points.columns
+    return both.mapInArrow(run, fields)
+
+
+def _segments(rows: list[tuple]) -> tuple[list, list]:
+    """The edges of these sorted intervals, and for what lies before the first and after each edge the latest interval that holds there, or None."""
+    edges, owners, stack, i = sorted({t for row in rows for t in row}), [None], [], 0
+    for t in edges:
+        while i < len(rows) and rows[i][0] == t:
+            stack.append(rows[i])
+            i += 1
+        while stack and stack[-1][1] <= t:
+            stack.pop()
+        owners.append(stack[-1] if stack else None)
+    return edges, owners
 
 
 def diagnostics_of(observations: DataFrame, diagnostics: DataFrame) -> DataFrame:

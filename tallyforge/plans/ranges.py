@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from calendar import monthrange
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, time, timedelta
+from itertools import pairwise
 from zoneinfo import ZoneInfo
 
 MOST_BUCKETS = 100_000
@@ -27,26 +29,36 @@ def us(at: datetime) -> int:
 
 
 def wall_time(text: str, zone: str) -> datetime:
-    """A local time that exists once; a time that the clock skips or shows twice is an error."""
+    """The instant of a local time, or of a text that names its offset; a local time that the clock skips or shows twice is an error."""
     at = datetime.fromisoformat(text)
-    if at.tzinfo is not None:
-        raise ValueError("a local time names no offset")
-    tz = ZoneInfo(zone)
-    found = {at.replace(tzinfo=tz, fold=f).astimezone(UTC) for f in (0, 1)}
-    found = {x for x in found if x.astimezone(tz).replace(tzinfo=None) == at}
-    if len(found) != 1:
-        raise ValueError("the clock skips this time" if not found else "the clock shows this time twice")
-    return found.pop()
+    if at.tzinfo is None:
+        at = at.replace(tzinfo=ZoneInfo(zone))
+        before, after = at.utcoffset(), at.replace(fold=1).utcoffset()
+        if before != after:  # the clock is changed around this time
+            raise ValueError("the clock shows this time twice" if before > after else "the clock skips this time")
+    return at.astimezone(UTC)
+
+
+def _midnight(day: date, zone: str) -> int:
+    return us(datetime.combine(day, time(), ZoneInfo(zone)))
 
 
 def preset(name: str, now: datetime, zone: str) -> Range:
-    """month, week (from Monday), day, hour (of the clock) up to now, or all."""
+    """The whole month, week (from Monday), day or hour of the clock that ``now`` lies in, or all."""
     if name == "all":
         return Range(None, None)
     local = now.astimezone(ZoneInfo(zone))
-    midnight = local.replace(hour=0, minute=0, second=0, microsecond=0, fold=0)
-    starts = {"month": midnight.replace(day=1), "week": midnight - timedelta(days=local.weekday()), "day": midnight, "hour": local.replace(minute=0, second=0, microsecond=0)}
-    return Range(us(starts[name]), us(now) + 1)
+    today = local.date()
+    if name == "hour":
+        start = us(local) - (local.minute * 60 + local.second) * 1_000_000 - local.microsecond
+        return Range(start, start + HOUR // timedelta(microseconds=1))
+    month = today.replace(day=1)
+    first, last = {
+        "month": (month, month + timedelta(days=monthrange(today.year, today.month)[1])),
+        "week": (today - timedelta(days=today.weekday()), today + timedelta(days=7 - today.weekday())),
+        "day": (today, today + timedelta(days=1)),
+    }[name]
+    return Range(_midnight(first, zone), _midnight(last, zone))
 
 
 def bucket_size(wanted: Range) -> str:
@@ -58,29 +70,18 @@ def bucket_size(wanted: Range) -> str:
 
 def axis(start_us: int, end_us: int, bucket: str, zone: str, clip: bool = True) -> list[tuple[int, int]]:
     """(start, end) of the buckets that meet [start, end): local days from midnight to midnight, or fixed steps from the local hour."""
-    tz = ZoneInfo(zone)
-    local = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=start_us)).astimezone(tz)
-    out: list[tuple[int, int]] = []
+    local = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=start_us)).astimezone(ZoneInfo(zone))
     if bucket == "day":
-        day = local.replace(hour=0, minute=0, second=0, microsecond=0, tzinfo=None)
-        at = us(day.replace(tzinfo=tz))
-        while at < end_us:
-            day += timedelta(days=1)
-            after = us(day.replace(tzinfo=tz))
-            out.append((at, after))
-            at = after
-            _check(out)
+        edge = lambda i: _midnight(local.date() + timedelta(days=i), zone)
     else:
         step = (HOUR if bucket == "hour" else FIVE_MINUTES) // timedelta(microseconds=1)
         offset = local.utcoffset() // timedelta(microseconds=1)
-        at = (start_us + offset) // step * step - offset
-        while at < end_us:
-            out.append((at, at + step))
-            at += step
-            _check(out)
-    return [(max(a, start_us), min(b, end_us)) for a, b in out] if clip else out
-
-
-def _check(buckets: list) -> None:
-    if len(buckets) > MOST_BUCKETS:
-        raise ValueError(f"a report has {MOST_BUCKETS} buckets at most")
+        edge = lambda i: ((start_us + offset) // step + i) * step - offset
+    edges = [edge(0)]
+    while edges[-1] < end_us:
+        if len(edges) > MOST_BUCKETS:
+            raise ValueError(f"a report has {MOST_BUCKETS} buckets at most")
+        edges.append(edge(len(edges)))
+    if clip and len(edges) > 1:
+        edges[0], edges[-1] = max(edges[0], start_us), min(edges[-1], end_us)
+    return list(pairwise(edges))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.evidence import BUCKETS, all_sums, included, in_scope, merge_sums, normalized_total
+from ..functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total
 
 DAY = 86_400_000_000
 
@@ -32,17 +32,18 @@ def grouped(observations: DataFrame, *keys: str | Column) -> DataFrame:
     return observations.groupBy(*keys).agg(F.count("*").cast("long").alias("observations"), selected, *all_sums())
 
 
-def rolled(base: DataFrame, *keys: str) -> DataFrame:
-    """Coarser groups of what ``grouped`` made: no observation is read again."""
-    return base.groupBy(*keys).agg(F.sum("observations").cast("long").alias("observations"), *merge_sums())
+def grouping_sets(rows: DataFrame) -> DataFrame:
+    """Total, projects, models and days; ``level`` tells a subtotal from a null key.
 
-
-def grouping_sets(base: DataFrame) -> DataFrame:
-    """Total, projects, models and days in one pass; ``level`` tells a subtotal from a null key."""
-    view = base.select("project_id", "harness", "provider", "model", "bucket_us", "observations", *[f"{b}_known" for b in BUCKETS])
-    agg = [F.sum("observations").cast("long").alias("observations"), *[F.sum(f"{b}_known").cast("decimal(38,0)").alias(f"{b}_known") for b in BUCKETS]]
-    p, h, v, m, d = (F.col(c) for c in ("project_id", "harness", "provider", "model", "bucket_us"))
-    return view.groupingSets([[], [p], [h, v, m], [d]], p, h, v, m, d).agg(F.grouping_id().cast("long").alias("level"), *agg)
+    Days are aggregated apart: together with them the other keys would make nearly as many groups as there are rows.
+    """
+    known = [f"{b}_known" for b in BUCKETS]
+    agg = [F.sum("observations").cast("long").alias("observations"), *[F.sum(k).cast("decimal(38,0)").alias(k) for k in known]]
+    names = ("project_id", "harness", "provider", "model")
+    p, h, v, m = (F.col(c) for c in names)
+    sets = grouped(rows, *names).groupingSets([[], [p], [h, v, m]], p, h, v, m).agg((F.grouping_id() * 2 + 1).cast("long").alias("level"), *agg).withColumn("bucket_us", F.lit(None).cast("long"))
+    days = grouped(rows, "bucket_us").select(*(F.lit(None).cast("string").alias(c) for c in names), F.lit(30).cast("long").alias("level"), "observations", *known, "bucket_us")
+    return sets.unionByName(days).select(*names, "bucket_us", "level", "observations", *known)
 
 
 def dense_days(base: DataFrame) -> DataFrame:
@@ -69,31 +70,43 @@ def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return cut.withColumn("position", (rank + first).cast("long")).withColumn("total_rows", F.lit(total).cast("long"))
 
 
-def coverage(base: DataFrame) -> DataFrame:
-    """observation_id, code: what makes a report partial, one pass over the population."""
+def conditions(base: DataFrame) -> dict[str, Column]:
+    """What makes a report partial, by code; rows of a dated report say whether they are included, and why an amount is unknown where they have such columns."""
     selected = F.col("decision") == "selected"
-    any_known = F.exists(F.array(*(F.col(f"{b}_state") for b in BUCKETS)), lambda s: s == "known")
-    any_unknown = F.exists(F.array(*(F.col(f"{b}_state") for b in BUCKETS)), lambda s: s == "unknown")
-    total = normalized_total()
-    codes = {
+    any_of = lambda state: F.greatest(*(F.col(f"{b}_state") == state for b in BUCKETS))
+    total = normalized_total(f"{BUCKETS[0]}_reason" in base.columns)
+    untimed = F.col("time_kind") == "undated"
+    found = {
         "unresolved_evidence": F.col("decision") == "unresolved",
         "interval_only": F.col("time_kind") == "interval",
-        "timing_unavailable": F.col("time_kind") == "undated",
+        "timing_unavailable": untimed | ~F.col("included") if "included" in base.columns else untimed,
         "unknown_model_identity": F.col("provider").isNull() | F.col("model").isNull(),
         "unassigned": F.col("project_id").isNull(),
         "lower_bound": selected & F.col("lower_bound") & (F.col("output_state") == "known"),
-        "_known_usage": selected & (any_known | total.isNotNull()),
-        "usage_partial": selected & (any_unknown | total.isNull()),
+        "_known_usage": selected & (any_of("known") | total.isNotNull()),
+        "usage_partial": selected & (any_of("unknown") | total.isNull()),
+        "not_applicable": selected & any_of("not_applicable"),
     }
-    return base.select("observation_id", "project_id", "session_id", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in codes.items())))).alias("code"))
+    return {code: F.coalesce(c, F.lit(False)) for code, c in found.items()}
+
+
+def coverage(base: DataFrame) -> DataFrame:
+    """observation_id, code: what makes a report partial, one pass over the population."""
+    codes = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in conditions(base).items())))
+    return base.select("observation_id", "project_id", "session_id", F.explode(codes).alias("code"))
 
 
 def coverage_codes(base: DataFrame, scope: str) -> DataFrame:
-    """Codes by scope with the count of distinct sessions; partial usage is unavailable where none is known."""
-    found = coverage(base).groupBy(scope, "code").agg(F.countDistinct("session_id").cast("long").alias("sessions"))
-    known = found.where("code = '_known_usage'").select(F.col(scope).alias("s")).withColumn("known", F.lit(True))
-    joined = found.join(known, found[scope].eqNullSafe(known["s"]), "left").where("code != '_known_usage'")
-    return joined.select(scope, F.when((F.col("code") == "usage_partial") & F.col("known").isNull(), "usage_unavailable").otherwise(F.col("code")).alias("code"), "sessions")
+    """Codes by scope with the count of distinct sessions; partial usage is unavailable where none is known.
+
+    A session has a flag for each code, so nothing is exploded and sessions are shuffled once.
+    """
+    codes = conditions(base)
+    per = base.groupBy(scope, "session_id").agg(*(F.max(c).alias(k) for k, c in codes.items()))
+    counts = per.groupBy(scope).agg(*(F.count_if(F.col(k)).cast("long").alias(k) for k in codes))
+    name = lambda k: F.when(F.col("_known_usage") == 0, "usage_unavailable").otherwise(k) if k == "usage_partial" else F.lit(k)
+    rows = F.array(*(F.struct(name(k).alias("code"), F.col(k).alias("sessions")) for k in codes if k != "_known_usage"))
+    return counts.select(scope, F.explode(rows).alias("row")).select(scope, "row.*").where("sessions > 0")
 
 
 def quantity_rows(quantities: DataFrame) -> DataFrame:

@@ -37,9 +37,8 @@ def _bucketed(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).withColumn("bucket_us", report.bucket_of())
 
 
-def _base(spark: SparkSession, d: str) -> DataFrame:
-    """The one aggregate that every rollup is made from."""
-    return report.grouped(_bucketed(spark, d), "project_id", "harness", "provider", "model", "bucket_us")
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    return report.grouped(rows, *keys).drop("selected")
 
 
 def _sum_sql(measure: str) -> str:
@@ -53,7 +52,8 @@ def _sum_sql(measure: str) -> str:
 
 SUMS = ", ".join(map(_sum_sql, BUCKETS))
 WIDE = "wide AS (SELECT o.*, s.harness, s.project_id, s.started_us, s.parent_id, CASE WHEN time_kind = 'point' THEN at_us - at_us % 86400000000 END AS bucket_us FROM observations o JOIN sessions s USING (session_id))"
-TOTAL = """CASE WHEN reported_state = 'known' THEN CASE WHEN reported_amount >= parts AND (NOT every OR reported_amount = parts) THEN reported_amount END WHEN every THEN parts END"""
+TOTAL = """CASE WHEN 'invalid_count' IN (coalesce(input_reason, ''), coalesce(output_reason, ''), coalesce(cache_read_reason, ''), coalesce(cache_write_reason, '')) OR parts >= 9223372036854775808 THEN NULL
+  WHEN reported_state = 'known' THEN CASE WHEN reported_amount >= parts AND (NOT every OR reported_amount = parts) THEN reported_amount END WHEN reported_reason = 'invalid_count' THEN NULL WHEN every THEN parts END"""
 PARTS = """parts AS (SELECT *, coalesce(input_amount, 0) + coalesce(output_amount, 0) + coalesce(cache_read_amount, 0) + coalesce(cache_write_amount, 0) AS parts,
   input_state = 'known' AND output_state = 'known' AND cache_read_state = 'known' AND cache_write_state = 'known' AS every FROM observations)"""
 SCOPE = f"""(time_kind = 'undated' OR (time_kind = 'point' AND at_us >= {START} AND at_us < {END}) OR (time_kind = 'interval' AND at_us > {START} AND (start_us IS NULL OR start_us < {END})))"""
@@ -75,7 +75,7 @@ def totals_by_project(spark, d):
 
 @query(f"{WIDE} SELECT harness, provider, model, CAST(count(*) AS BIGINT) AS observations, {SUMS} FROM wide GROUP BY harness, provider, model")
 def totals_by_model(spark, d):
-    return report.rolled(_base(spark, d), "harness", "provider", "model")
+    return _counted(_wide(spark, d), "harness", "provider", "model")
 
 
 @query(f"{WIDE} SELECT session_id, CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT model) AS BIGINT) AS models, min(at_us) AS first_us, max(at_us) AS last_us, {SUMS} FROM wide GROUP BY session_id")
@@ -85,7 +85,7 @@ def totals_by_session(spark, d):
 
 @query(f"{WIDE} SELECT bucket_us, CAST(count(*) AS BIGINT) AS observations, {SUMS} FROM wide WHERE bucket_us IS NOT NULL GROUP BY bucket_us")
 def totals_by_bucket(spark, d):
-    return report.rolled(_base(spark, d).where("bucket_us IS NOT NULL"), "bucket_us")
+    return _counted(_bucketed(spark, d).where("bucket_us IS NOT NULL"), "bucket_us")
 
 
 @query(f"{WIDE} SELECT CAST(count(*) AS BIGINT) AS observations, {SUMS} FROM wide WHERE bucket_us IS NULL")
@@ -97,12 +97,12 @@ def unbucketed_totals(spark, d):
   {', '.join(f"CAST(coalesce(sum(CASE WHEN decision = 'selected' AND {b}_state = 'known' THEN {b}_amount END), 0) AS DECIMAL(38,0)) AS {b}_known" for b in BUCKETS)}
   FROM wide GROUP BY GROUPING SETS ((), (project_id), (harness, provider, model), (bucket_us))""")
 def grouping_sets_report(spark, d):
-    return report.grouping_sets(_base(spark, d))
+    return report.grouping_sets(_bucketed(spark, d))
 
 
 @query(f"{PARTS} SELECT observation_id, session_id, CAST(max({TOTAL}) AS DECIMAL(38,0)) AS total, CAST(count(*) AS BIGINT) AS copies FROM parts GROUP BY observation_id, session_id")
 def normalized_totals(spark, d):
-    return A.observations(spark, d).withColumn("t", normalized_total()).groupBy("observation_id", "session_id").agg(F.max("t").alias("total"), F.count("*").cast("long").alias("copies"))
+    return A.observations(spark, d).withColumn("t", normalized_total(reasons=True)).groupBy("observation_id", "session_id").agg(F.max("t").alias("total"), F.count("*").cast("long").alias("copies"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{b}' AS measure, {b}_state AS state, decision, CAST(count(*) AS BIGINT) AS n, CAST(sum({b}_amount) AS DECIMAL(38,0)) AS amount FROM observations GROUP BY {b}_state, decision" for b in BUCKETS))
@@ -114,7 +114,7 @@ def metric_state_counts(spark, d):
 
 @query(f"{PARTS} SELECT reported_state, CAST(sum(CASE WHEN {TOTAL} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_total, CAST(sum({TOTAL}) AS DECIMAL(38,0)) AS total FROM parts GROUP BY reported_state")
 def exact_totals(spark, d):
-    rows = A.observations(spark, d).withColumn("t", normalized_total())
+    rows = A.observations(spark, d).withColumn("t", normalized_total(reasons=True))
     return rows.groupBy("reported_state").agg(F.count_if(F.col("t").isNull()).cast("long").alias("without_total"), F.sum("t").cast("decimal(38,0)").alias("total"))
 
 
@@ -130,7 +130,7 @@ def interval_overlap_scope(spark, d):
   axis AS (SELECT unnest(range((SELECT min(bucket_us) FROM days), (SELECT max(bucket_us) FROM days) + 1, 86400000000)) AS bucket_us)
   SELECT axis.bucket_us, CAST(coalesce(n, 0) AS BIGINT) AS observations, CAST(coalesce(t, 0) AS DECIMAL(38,0)) AS input_known FROM axis LEFT JOIN days USING (bucket_us)""")
 def dense_day_axis(spark, d):
-    return report.dense_days(_base(spark, d))
+    return report.dense_days(report.grouped(_bucketed(spark, d), "bucket_us"))
 
 
 _SESSION_PAGE = f"""{WIDE}, per AS (SELECT session_id, started_us, count(*) AS observations, sum(CASE WHEN decision = 'selected' AND output_state = 'known' THEN output_amount END) AS amount FROM wide GROUP BY session_id, started_us)"""
@@ -152,19 +152,20 @@ def sessions_page_cost_desc(spark, d):
 
 
 @query(f"""{WIDE}, t AS (SELECT w.*, coalesce(input_amount, 0) + coalesce(output_amount, 0) + coalesce(cache_read_amount, 0) + coalesce(cache_write_amount, 0) AS parts,
-    input_state = 'known' AND output_state = 'known' AND cache_read_state = 'known' AND cache_write_state = 'known' AS every FROM wide w),
+    input_state = 'known' AND output_state = 'known' AND cache_read_state = 'known' AND cache_write_state = 'known' AS every, {INCLUDED} AS included FROM wide w WHERE {SCOPE}),
   u AS (SELECT *, {TOTAL} AS total, input_state = 'known' OR output_state = 'known' OR cache_read_state = 'known' OR cache_write_state = 'known' AS has_known,
-    input_state = 'unknown' OR output_state = 'unknown' OR cache_read_state = 'unknown' OR cache_write_state = 'unknown' AS lacks FROM t),
+    input_state = 'unknown' OR output_state = 'unknown' OR cache_read_state = 'unknown' OR cache_write_state = 'unknown' AS lacks,
+    input_state = 'not_applicable' OR output_state = 'not_applicable' OR cache_read_state = 'not_applicable' OR cache_write_state = 'not_applicable' AS na FROM t),
   codes AS (
     SELECT project_id, session_id, 'unresolved_evidence' AS code FROM u WHERE decision = 'unresolved' UNION ALL SELECT project_id, session_id, 'interval_only' FROM u WHERE time_kind = 'interval'
-    UNION ALL SELECT project_id, session_id, 'timing_unavailable' FROM u WHERE time_kind = 'undated' UNION ALL SELECT project_id, session_id, 'unknown_model_identity' FROM u WHERE provider IS NULL OR model IS NULL
+    UNION ALL SELECT project_id, session_id, 'timing_unavailable' FROM u WHERE time_kind = 'undated' OR NOT included UNION ALL SELECT project_id, session_id, 'not_applicable' FROM u WHERE decision = 'selected' AND na UNION ALL SELECT project_id, session_id, 'unknown_model_identity' FROM u WHERE provider IS NULL OR model IS NULL
     UNION ALL SELECT project_id, session_id, 'unassigned' FROM u WHERE project_id IS NULL UNION ALL SELECT project_id, session_id, 'lower_bound' FROM u WHERE decision = 'selected' AND lower_bound AND output_state = 'known'
     UNION ALL SELECT project_id, session_id, '_known_usage' FROM u WHERE decision = 'selected' AND (has_known OR total IS NOT NULL) UNION ALL SELECT project_id, session_id, 'usage_partial' FROM u WHERE decision = 'selected' AND (lacks OR total IS NULL)),
   n AS (SELECT project_id, code, count(DISTINCT session_id) AS sessions FROM codes GROUP BY project_id, code)
   SELECT project_id, CASE WHEN code = 'usage_partial' AND NOT EXISTS (SELECT 1 FROM n k WHERE k.code = '_known_usage' AND k.project_id IS NOT DISTINCT FROM n.project_id) THEN 'usage_unavailable' ELSE code END AS code,
     CAST(sessions AS BIGINT) AS sessions FROM n WHERE code <> '_known_usage'""")
 def coverage_codes(spark, d):
-    return report.coverage_codes(_wide(spark, d), "project_id")
+    return report.coverage_codes(report.scoped(_wide(spark, d), START, END), "project_id")
 
 
 @query("""SELECT harness, measure, CAST(sum(CASE WHEN decision = 'selected' AND state = 'known' THEN amount END) AS DECIMAL(38,0)) AS known_sum,
@@ -252,14 +253,14 @@ def asof_by_user(spark, d):
 
 
 _DIAG = """o AS (SELECT event_id AS observation_id, user_id AS source_id, event_id % 50 AS line FROM events),
-  diag AS (SELECT user_id AS source_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS d_observation_id, CASE WHEN event_id % 3 = 1 THEN event_id % 50 END AS d_line, event_type AS code FROM events WHERE event_id % 37 = 0)"""
+  diag AS (SELECT user_id AS source_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS d_observation_id, CASE WHEN event_id % 3 = 1 THEN event_id % 50 END AS d_line, event_type AS code FROM events WHERE event_type = 'error')"""
 
 
 @query(f"{_DIAG} SELECT DISTINCT o.observation_id, diag.code FROM o JOIN diag ON o.source_id = diag.source_id AND (o.observation_id = diag.d_observation_id OR (diag.d_observation_id IS NULL AND (diag.d_line IS NULL OR diag.d_line = o.line)))")
 def diagnostic_theta_join(spark, d):
     e, i = A.table(spark, d, "events"), F.col("event_id")
     o = e.select(i.alias("observation_id"), F.col("user_id").alias("source_id"), (i % 50).alias("line"))
-    diag = e.where(i % 37 == 0).select(F.col("user_id").alias("source_id"), F.when(i % 3 == 0, i).alias("d_observation_id"), F.when(i % 3 == 1, i % 50).alias("d_line"), F.col("event_type").alias("code"))
+    diag = e.where("event_type = 'error'").select(F.col("user_id").alias("source_id"), F.when(i % 3 == 0, i).alias("d_observation_id"), F.when(i % 3 == 1, i % 50).alias("d_line"), F.col("event_type").alias("code"))
     return matching.diagnostics_of(o, diag)
 
 
@@ -276,9 +277,14 @@ def latest_generation(spark, d):
     return ordered.latest_generation(A.generations(spark, d)).select("locator", "generation", "available", "bytes")
 
 
-@query("SELECT locator, source_id, available FROM (SELECT *, max(CAST(available AS INT)) OVER (PARTITION BY locator) AS has_some FROM generations WHERE user_id % 10 = 3 OR NOT available) WHERE available OR has_some = 0")
+def _parts(spark, d, n: int) -> DataFrame:
+    """Generations under the locator of their file and stretch of n numbers, so that some locators hold one kind only."""
+    return A.generations(spark, d).withColumn("locator", F.concat("locator", F.lit("#"), F.expr(f"generation div {n}").cast("string")))
+
+
+@query("SELECT part AS locator, source_id, available FROM (SELECT *, max(CAST(available AS INT)) OVER (PARTITION BY part) AS has_some FROM (SELECT *, locator || '#' || CAST(generation // 10 AS VARCHAR) AS part FROM generations)) WHERE available OR has_some = 0")
 def availability_preference(spark, d):
-    rows = A.generations(spark, d).where("user_id % 10 = 3 OR NOT available")
+    rows = _parts(spark, d, 10)
     return ordered.prefer_available(rows, "locator").select("locator", "source_id", "available")
 
 
@@ -309,10 +315,10 @@ def membership(spark, d):
     return q.join(flags, "user_id").where("hit OR harness = 'error'").select("event_id", "harness")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS locators FROM (SELECT DISTINCT locator FROM generations WHERE source_id < 3000 EXCEPT SELECT locator FROM generations WHERE source_id >= 9900)")
+@query("SELECT CAST(count(*) AS BIGINT) AS locators FROM (SELECT locator, generation // 20 FROM generations WHERE available EXCEPT SELECT locator, generation // 20 FROM generations WHERE NOT available)")
 def removed_locators(spark, d):
-    g = A.generations(spark, d)
-    gone = g.where("source_id < 3000").select("locator").distinct().join(g.where("source_id >= 9900").select("locator"), "locator", "left_anti")
+    g = _parts(spark, d, 20)
+    gone = g.where("available").select("locator").distinct().join(g.where("NOT available").select("locator"), "locator", "left_anti")
     return gone.agg(F.count("*").cast("long").alias("locators"))
 
 
@@ -371,10 +377,10 @@ def context_islands(spark, d):
 # --- graphs and reconciliation -------------------------------------------------
 
 
-@query("e AS (SELECT DISTINCT user_id AS a, 1000 + (event_id // 400) * 7 % 60 AS b FROM events WHERE event_id % 61 = 0), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, a AS b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
+@query("e AS (SELECT event_id AS a, CASE WHEN event_type IN ('click', 'view') THEN greatest(event_id - 1, 0) ELSE event_id END AS b FROM events), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a, a AS b FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a) SELECT a AS node, min(b) AS component FROM reach GROUP BY a")
 def components(spark, d):
-    e = A.table(spark, d, "events").where("event_id % 61 = 0")
-    return graph.connected(e.select(F.col("user_id").alias("a"), F.expr("1000 + (event_id div 400) * 7 % 60").alias("b")).distinct())
+    e, i = A.table(spark, d, "events"), F.col("event_id")
+    return graph.connected(e.select(i.alias("a"), F.when(F.col("event_type").isin("click", "view"), F.greatest(i - 1, F.lit(0))).otherwise(i).alias("b")))
 
 
 @query("up AS (SELECT session_id AS node, session_id AS place, 0 AS depth FROM sessions UNION ALL SELECT up.node, s.parent_id, depth + 1 FROM up JOIN sessions s ON s.session_id = up.place WHERE s.parent_id IS NOT NULL) SELECT node, arg_max(place, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY node")
@@ -446,9 +452,13 @@ def title_excerpt(spark, d):
     return A.table(spark, d, "documents").select("doc_id", T.excerpt(F.col("text")).alias("title"))
 
 
-@query("SELECT o_orderkey, CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') AS mtok FROM (SELECT o_orderkey, (CAST(floor(o_totalprice * 1000) AS BIGINT) + 5000) // 10000 AS c FROM orders)", adapter=False)
+@query("""SELECT o_orderkey, CASE WHEN v = 0 THEN '0' WHEN v < 10000 THEN '<0.01' ELSE CAST(c // 100 AS VARCHAR) || '.' || lpad(CAST(c % 100 AS VARCHAR), 2, '0') END AS mtok
+  FROM (SELECT *, v // 10000 + CASE WHEN v % 10000 > 5000 OR (v % 10000 = 5000 AND v // 10000 % 2 = 1) THEN 1 ELSE 0 END AS c
+    FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderkey % 3 * 7000 WHEN 1 THEN o_orderkey * 5000 ELSE CAST(floor(o_totalprice * 1000) AS BIGINT) END AS v FROM orders))""", adapter=False)
 def mtok_format(spark, d):
-    return A.table(spark, d, "orders").select("o_orderkey", T.mtok(F.floor(F.col("o_totalprice") * 1000).cast("long")).alias("mtok"))
+    k = F.col("o_orderkey")
+    tokens = F.when(k % 5 == 0, k % 3 * 7000).when(k % 5 == 1, k * 5000).otherwise(F.floor(F.col("o_totalprice") * 1000)).cast("long")
+    return A.table(spark, d, "orders").select("o_orderkey", T.mtok(tokens).alias("mtok"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') = '7' AS seven FROM events", adapter=False)
@@ -493,9 +503,9 @@ def response_decisions(spark, d):
     return dialects.response_decisions(rows)
 
 
-_CALLS = """r AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 3 END AS message_id, CASE WHEN event_id % 7 <> 1 THEN 100000 + (event_id + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) // 3 END AS request_id,
-    CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS signature, event_id % 3 = 2 OR event_id % 28 = 0 AS final, CAST(floor(value) AS BIGINT) % 2 AS output, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS at_us, event_id % 9 = 4 AS superseded FROM events WHERE event_id < 3000),
-  e AS (SELECT a.row_id AS a, b.row_id AS b FROM r a JOIN r b ON a.message_id = b.message_id OR a.request_id = b.request_id),
+_CALLS = """r AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 <> 0 THEN event_id // 3 END AS message_id, CASE WHEN event_id % 7 <> 1 THEN 1000000000 + (event_id + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) // 3 END AS request_id,
+    CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS signature, event_id % 3 = 2 OR event_id % 28 = 0 AS final, CAST(floor(value) AS BIGINT) % 2 AS output, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS at_us, event_id % 9 = 4 AS superseded FROM events),
+  e AS (SELECT a.row_id AS a, b.row_id AS b FROM r a JOIN r b USING (message_id) UNION SELECT a.row_id, b.row_id FROM r a JOIN r b USING (request_id)),
   reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
   comp AS (SELECT a AS row_id, min(b) AS component FROM reach GROUP BY a),
   placed AS (SELECT r.*, component, NOT superseded OR bool_and(superseded) OVER (PARTITION BY component) AS active FROM r LEFT JOIN comp USING (row_id)),
@@ -508,8 +518,8 @@ _CALLS = """r AS (SELECT event_id AS row_id, CASE WHEN event_id % 7 <> 0 THEN ev
 @query(f"{_CALLS} SELECT row_id, CASE WHEN reason = 'call' THEN 'selected' WHEN reason IN ('duplicate', 'superseded_projection') THEN 'excluded' ELSE 'unresolved' END AS state, reason FROM w")
 def call_decisions(spark, d):
     i = F.col("event_id")
-    rows = A.table(spark, d, "events").where("event_id < 3000").select(
-        i.alias("row_id"), F.when(i % 7 != 0, F.expr("event_id div 3")).alias("message_id"), F.when(i % 7 != 1, 100000 + F.expr("(event_id + if(event_id % 40 = 0, 1, 0)) div 3")).alias("request_id"),
+    rows = A.table(spark, d, "events").select(
+        i.alias("row_id"), F.when(i % 7 != 0, F.expr("event_id div 3")).alias("message_id"), F.when(i % 7 != 1, 1000000000 + F.expr("(event_id + if(event_id % 40 = 0, 1, 0)) div 3")).alias("request_id"),
         F.when(i % 55 == 0, 1).otherwise(0).alias("signature"), ((i % 3 == 2) | (i % 28 == 0)).alias("final"), (F.floor("value").cast("long") % 2).alias("output"), F.when(i % 5 != 0, A.micros("ts")).alias("at_us"), (i % 9 == 4).alias("superseded"),
     )
     return dialects.call_decisions(rows)
@@ -587,8 +597,8 @@ def ledger_violations(spark, d):
 # --- families --------------------------------------------------------------------------
 
 
-_OWNERS = """names AS (SELECT o_orderkey AS session_id, 'path' AS kind, o_orderkey // 2 AS k FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 14 = 1 UNION ALL SELECT o_orderkey, 'native', o_orderkey % 4000 FROM orders WHERE o_orderkey < 5000),
-  evidence AS (SELECT o_orderkey AS child, 'path' AS kind, o_orderkey // 3 AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'native', o_orderkey // 5 FROM orders WHERE o_orderkey % 10 = 0),
+_OWNERS = """names AS (SELECT o_orderkey AS session_id, 'path' AS kind, o_orderkey // 2 AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'native', o_orderkey FROM orders WHERE o_orderstatus <> 'O'),
+  evidence AS (SELECT o_orderkey AS child, 'path' AS kind, o_orderkey // 3 AS k FROM orders UNION ALL SELECT o_orderkey, 'native', o_orderkey // 5 FROM orders WHERE o_orderpriority <= '3'),
   uniq AS (SELECT kind, k, min(session_id) AS owner FROM names GROUP BY kind, k HAVING count(DISTINCT session_id) = 1),
   found AS (SELECT child, owner FROM evidence LEFT JOIN uniq USING (kind, k) WHERE owner IS NULL OR owner <> child),
   own AS (SELECT child, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) END AS owner, CASE WHEN count(DISTINCT owner) = 0 THEN 'owner_unknown' WHEN count(DISTINCT owner) > 1 THEN 'owner_ambiguous' END AS problem FROM found GROUP BY child)"""
@@ -597,8 +607,8 @@ _OWNERS = """names AS (SELECT o_orderkey AS session_id, 'path' AS kind, o_orderk
 def _owners(spark, d) -> DataFrame:
     o, k = A.table(spark, d, "orders"), F.col("o_orderkey")
     path, native = F.lit("path").alias("kind"), F.lit("native").alias("kind")
-    names = o.where((k % 2 == 0) | (k % 14 == 1)).select(k.alias("session_id"), path, F.expr("o_orderkey div 2").alias("key")).unionByName(o.where(k < 5000).select(k.alias("session_id"), native, (k % 4000).alias("key")))
-    evidence = o.where(k % 3 == 0).select(k.alias("child"), path, F.expr("o_orderkey div 3").alias("key")).unionByName(o.where(k % 10 == 0).select(k.alias("child"), native, F.expr("o_orderkey div 5").alias("key")))
+    names = o.where("o_orderstatus = 'F'").select(k.alias("session_id"), path, F.expr("o_orderkey div 2").alias("key")).unionByName(o.where("o_orderstatus != 'O'").select(k.alias("session_id"), native, k.alias("key")))
+    evidence = o.select(k.alias("child"), path, F.expr("o_orderkey div 3").alias("key")).unionByName(o.where("o_orderpriority <= '3'").select(k.alias("child"), native, F.expr("o_orderkey div 5").alias("key")))
     return ownership.owners(evidence, names)
 
 

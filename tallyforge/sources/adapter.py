@@ -49,7 +49,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts = {"input": whole("l_quantity", 10), "output": whole("l_extendedprice"), "cache_read": whole("l_discount", 100), "cache_write": whole("l_tax", 100)}
     amounts["reported"] = sum(amounts.values()) + F.when(part % 8 == 0, 1).otherwise(0)
     decision = F.when(part % 13 == 0, "excluded").when(part % 17 == 0, "unresolved").otherwise("selected")
-    columns = [c for m in MEASURES for c in (states[m].alias(f"{m}_state"), F.when(states[m] == "known", amounts[m]).alias(f"{m}_amount"))]
+    invalid = {"input": n == 2, "output": supp % 2 == 0, "cache_read": F.lit(False), "cache_write": F.lit(False), "reported": part % 4 == 1}
+    reasons = {m: F.when(states[m] == "unknown", F.when(invalid[m], "invalid_count").otherwise("not_reported")) for m in MEASURES}
+    columns = [c for m in MEASURES for c in (states[m].alias(f"{m}_state"), F.when(states[m] == "known", amounts[m]).alias(f"{m}_amount"), reasons[m].alias(f"{m}_reason"))]
     return line.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("observation_id"), F.col("l_orderkey").alias("session_id"), n.cast("long").alias("native_id"),
         kind.alias("time_kind"), F.when(kind != "undated", at).alias("at_us"), F.when((kind == "interval") & (n != 3), at - 86_400_000_000 * n.cast("long")).alias("start_us"),
@@ -89,7 +91,7 @@ sessions AS (
 ), raw_observations AS (
   SELECT concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS observation_id, l_orderkey AS session_id, CAST(l_linenumber AS BIGINT) AS native_id,
     CASE WHEN l_linestatus = 'O' AND l_linenumber = 7 THEN 'undated' WHEN l_linestatus = 'F' AND l_linenumber % 3 = 0 THEN 'interval' ELSE 'point' END AS time_kind,
-    epoch_us(l_shipdate) AS us, l_linenumber AS n,
+    epoch_us(l_shipdate) AS us, l_linenumber AS n, l_suppkey AS supp, l_partkey AS part,
     CASE WHEN l_suppkey % 10 <> 0 THEN 'provider' || CAST(l_suppkey % 3 AS VARCHAR) END AS provider,
     CASE WHEN l_partkey % 25 <> 0 THEN 'model' || CAST(l_partkey % 25 AS VARCHAR) END AS model,
     CASE WHEN l_partkey % 13 = 0 THEN 'excluded' WHEN l_partkey % 17 = 0 THEN 'unresolved' ELSE 'selected' END AS decision, l_suppkey % 7 = 0 AS lower_bound,
@@ -105,6 +107,9 @@ sessions AS (
     input_state, CASE WHEN input_state = 'known' THEN input_a END AS input_amount, output_state, CASE WHEN output_state = 'known' THEN output_a END AS output_amount,
     cache_read_state, CASE WHEN cache_read_state = 'known' THEN cache_read_a END AS cache_read_amount,
     cache_write_state, CASE WHEN cache_write_state = 'known' THEN cache_write_a END AS cache_write_amount,
+    CASE WHEN input_state = 'unknown' THEN CASE WHEN n = 2 THEN 'invalid_count' ELSE 'not_reported' END END AS input_reason,
+    CASE WHEN output_state = 'unknown' THEN CASE WHEN supp % 2 = 0 THEN 'invalid_count' ELSE 'not_reported' END END AS output_reason, CAST(NULL AS VARCHAR) AS cache_read_reason, CAST(NULL AS VARCHAR) AS cache_write_reason,
+    CASE WHEN reported_state = 'unknown' THEN CASE WHEN part % 4 = 1 THEN 'invalid_count' ELSE 'not_reported' END END AS reported_reason,
     reported_state, CASE WHEN reported_state = 'known' THEN input_a + output_a + cache_read_a + cache_write_a + extra END AS reported_amount
   FROM raw_observations
 ), quantities AS (

@@ -35,11 +35,11 @@ def test_components(spark):
 
 
 def test_totals_never_turn_missing_into_zero(spark):
-    row = {"input_state": "known", "input_amount": 100, "output_state": "known", "output_amount": 20, "cache_read_state": "known", "cache_read_amount": 800, "cache_write_state": "unknown", "cache_write_amount": None, "reported_state": "unknown", "reported_amount": None}
-    rows = [row, row | {"cache_write_state": "known", "cache_write_amount": 50}, row | {"reported_state": "known", "reported_amount": 970}, row | {"reported_state": "known", "reported_amount": 919}]
+    row = {"input_state": "known", "input_amount": 317, "output_state": "known", "output_amount": 41, "cache_read_state": "known", "cache_read_amount": 2063, "cache_write_state": "unknown", "cache_write_amount": None, "reported_state": "unknown", "reported_amount": None}
+    rows = [row, row | {"cache_write_state": "known", "cache_write_amount": 79}, row | {"reported_state": "known", "reported_amount": 2500}, row | {"reported_state": "known", "reported_amount": 2420}]
     schema = ", ".join(f"{k} {'string' if k.endswith('state') else 'long'}" for k in row)
     df = spark.createDataFrame([tuple(r.values()) for r in rows], schema)
-    assert [r[0] if r[0] is None else int(r[0]) for r in df.select(evidence.normalized_total()).collect()] == [None, 970, 970, None]
+    assert [r[0] if r[0] is None else int(r[0]) for r in df.select(evidence.normalized_total()).collect()] == [None, 2500, 2500, None]
 
 
 def test_sums_beyond_64_bits(spark):
@@ -64,6 +64,37 @@ def test_tier_is_strictly_below_the_prompt(spark):
     assert lines[("input", 0)] == (None, 150) and lines[("input", 100)] == (None, 303) and lines[("output", 100)][0] == "missing_category_rate"
 
 
+@pytest.mark.parametrize("key", [[], ["k"]])
+def test_asof_with_intervals_in_each_other(spark, key):
+    spans = [(0, 100), (10, 20), (15, 18), (15, 16), (30, 40), (35, 60), (120, 130), (120, 125), (5, 5)]
+    axis = spark.createDataFrame([(k, *s) for k in (1, 2) for s in spans], "k int, start long, end long").where("k = 1" if not key else "true")
+    points = spark.createDataFrame([(k, t) for k in (1, 2) for t in [*range(-2, 135), None]] + [(3, 50)], "k int, t long")
+    want = lambda t: max(((a, b) for a, b in spans if t is not None and a <= t < b), default=(None, None))
+    found = matching.asof(points, axis, "t", "start", "end", key).collect()
+    assert len(found) == points.count()
+    assert all((r.start, r.end) == (want(r.t) if not key or r.k < 3 else (None, None)) for r in found)
+
+
+def test_token_counts_as_millions(spark):
+    cases = {0: "0", 1: "<0.01", 9_999: "<0.01", 10_000: "0.01", 15_000: "0.02", 25_000: "0.02", 25_001: "0.03", 995_000: "1.00", 2**63 - 1: "9223372036854.78", -1: None}
+    rows = spark.createDataFrame([(n,) for n in cases], "n long").select("n", text.mtok(F.col("n")).alias("m")).collect()
+    assert {r.n: r.m for r in rows} == cases
+
+
+def test_project_labels(spark):
+    cases = {None: "Unassigned", "unassigned": "Unassigned", "directory:/a/b": "b", "directory:/a/b/.git": "b", "repository:/x/y.git/": "y.git", "directory:/": "/"}
+    rows = spark.createDataFrame([(n,) for n in cases], "n string").select("n", text.project_label(F.col("n")).alias("m")).collect()
+    assert {r.n: r.m for r in rows} == cases
+
+
+def test_counts_that_cannot_be_read_make_a_total_unknown(spark):
+    names = [f"{m}_{k}" for m in (*evidence.BUCKETS, "reported") for k in ("state", "amount", "reason")]
+    known, bad, lacks = ("known", 3, None), ("unknown", None, "invalid_count"), ("unknown", None, "not_reported")
+    rows = [(known,) * 4 + (lacks,), (known,) * 4 + (bad,), (bad, known, known, known, ("known", 12, None)), (lacks, known, known, known, ("known", 12, None))]
+    df = spark.createDataFrame([sum(r, ()) for r in rows], ", ".join(f"{n} {'long' if n.endswith('amount') else 'string'}" for n in names))
+    assert [r[0] if r[0] is None else int(r[0]) for r in df.select(evidence.normalized_total(reasons=True)).collect()] == [12, None, None, 12]
+
+
 def test_islands_and_changes(spark):
     rows = spark.createDataFrame([(1, i, k) for i, k in enumerate("aabba")], "key int, at int, kind string")
     found = sorted((r.island, r.kind, r.first, r.last, r.members) for r in ordered.islands(rows, "key", ["at"], F.col("kind")).collect())

@@ -12,7 +12,8 @@ HOUR = 3_600_000_000
 
 def test_wall_times():
     assert R.wall_time("2026-03-28T12:00", "Europe/Kyiv") == datetime(2026, 3, 28, 10, tzinfo=UTC)
-    for text in ("2026-03-29T03:30", "2026-10-25T03:30", "2026-10-25T03:30+02:00"):
+    assert R.wall_time("2026-10-25T03:30+02:00", "Europe/Kyiv") == datetime(2026, 10, 25, 1, 30, tzinfo=UTC)
+    for text in ("2026-03-29T03:30", "2026-10-25T03:30"):
         with pytest.raises(ValueError):
             R.wall_time(text, "Europe/Kyiv")
 
@@ -36,8 +37,12 @@ def test_steps_and_limits():
 
 def test_presets():
     now = datetime(2026, 9, 16, 12, 34, tzinfo=UTC)
-    assert R.preset("week", now, "UTC").start_us == R.us(datetime(2026, 9, 14, tzinfo=UTC))
-    assert R.preset("month", now, "Europe/Kyiv").start_us == R.us(datetime(2026, 8, 31, 21, tzinfo=UTC))
+    at = lambda *x: R.us(datetime(*x, tzinfo=UTC))
+    assert R.preset("week", now, "UTC") == R.Range(at(2026, 9, 14), at(2026, 9, 21))
+    assert R.preset("month", now, "Europe/Kyiv") == R.Range(at(2026, 8, 31, 21), at(2026, 9, 30, 21))
+    assert R.preset("month", datetime(2026, 12, 31, 23, tzinfo=UTC), "UTC") == R.Range(at(2026, 12, 1), at(2027, 1, 1))
+    assert R.preset("day", datetime(2026, 3, 29, 9, tzinfo=UTC), "Europe/Kyiv") == R.Range(at(2026, 3, 28, 22), at(2026, 3, 29, 21))
+    assert R.preset("hour", now, "Asia/Kolkata") == R.Range(at(2026, 9, 16, 12, 30), at(2026, 9, 16, 13, 30))
     assert R.preset("all", now, "UTC") == R.Range(None, None)
 
 
