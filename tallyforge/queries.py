@@ -11,6 +11,7 @@ from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import dialects, graph, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript
 from .sources import adapter as A
+from .sources import rollout
 
 #: A dated report of four years.
 START, END = 820_454_400_000_000, 946_684_800_000_000  # 1996-01-01 and 2000-01-01
@@ -544,6 +545,60 @@ def removed_models(spark, d):
     return dialects.removed_models(rows, "user_id", "shutdown", "event_type")
 
 
+# --- rollout logs, written from events and read back ----------------------------------
+
+
+def _rollout_lines(spark, d) -> DataFrame:
+    """Each user's events as the lines of a log: signups begin turns, views and clicks are responses, purchases steps of a running total, errors copied headers."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e, i = A.table(spark, d, "events").withColumn("at", F.concat(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))), F.col("event_id")
+    kind, amount = F.col("event_type"), F.floor("value").cast("long")
+    bought = F.sum(F.when(kind == "purchase", amount + 1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    group = F.expr("event_id div 400")
+    usage = F.struct((group * 10 + 500).alias("input_tokens"), (group % 50).alias("cached_input_tokens"), F.when(i % 97 != 0, group % 7).alias("cache_write_input_tokens"), group.alias("output_tokens"))
+    counted = lambda n: F.struct(n.alias("input_tokens"), (n * 2).alias("output_tokens"), (n * 3).alias("total_tokens"))
+    payload = (
+        F.when(kind == "signup", F.to_json(F.struct(F.concat(F.lit("t"), i).alias("turn_id"), F.concat(F.lit("m"), i % 3).alias("model"))))
+        .when(kind.isin("view", "click"), F.to_json(F.struct(F.concat_ws(":", F.lit("r"), "user_id", group).alias("response_id"), usage.alias("usage"))))
+        .when(kind == "purchase", F.to_json(F.struct(F.lit("token_count").alias("type"), F.struct(counted(amount + 1).alias("last_token_usage"), counted(bought).alias("total_token_usage")).alias("info"))))
+        .otherwise('{"id":"copied"}')
+    )
+    name = F.when(kind == "signup", "turn_context").when(kind.isin("view", "click"), "token_usage_record").when(kind == "purchase", "event_msg").otherwise("session_meta")
+    locator = F.concat(F.lit("/rollouts/"), F.col("user_id").cast("string"), F.lit(".jsonl"))
+    body = e.select(locator.alias("locator"), (F.row_number().over(w) + 1).cast("long").alias("line"), F.concat(F.lit('{"type":"'), name, F.lit('","timestamp":"'), "at", F.lit('","payload":'), payload, F.lit("}")).alias("record"))
+    head = e.select(locator.alias("locator"), F.lit(1).cast("long").alias("line"), F.concat(F.lit('{"type":"session_meta","payload":{"id":"u'), F.col("user_id").cast("string"), F.lit('","model_provider":"p"}}')).alias("record")).distinct()
+    return head.unionByName(body).withColumn("status", F.lit("ok"))
+
+
+_ROLLOUT = """l AS (SELECT *, row_number() OVER w + 1 AS line, event_id // 400 AS g, CAST(floor(value) AS BIGINT) + 1 AS n, last_value(CASE WHEN event_type = 'signup' THEN 'm' || CAST(event_id % 3 AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS model FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS bought FROM l WHERE event_type = 'purchase'),
+  u AS (SELECT event_id, user_id, line, 'response' AS source_kind, model, ts, CASE WHEN event_id % 97 <> 0 THEN g * 10 + 500 - g % 50 - g % 7 END AS input_amount, g AS output_amount, g % 50 AS cache_read_amount, CASE WHEN event_id % 97 <> 0 THEN g % 7 END AS cache_write_amount, CAST(NULL AS BIGINT) AS reported_amount,
+      CASE WHEN event_id % 97 = 0 THEN 'missing_cache_breakdown' END AS input_reason, g, event_id % 97 <> 0 AS whole, CAST(NULL AS HUGEINT) AS bought FROM l WHERE event_type IN ('view', 'click')
+    UNION ALL SELECT event_id, user_id, line, 'legacy', model, ts, NULL, n * 2, NULL, NULL, n * 3, 'missing_cache_breakdown', NULL, NULL, bought FROM s)"""
+
+
+@query(f"{_ROLLOUT} SELECT '/rollouts/' || CAST(user_id AS VARCHAR) || '.jsonl' AS locator, CAST(line AS BIGINT) AS line, source_kind, 'p' AS provider, model, epoch_us(ts) // 1000000 * 1000000 AS at_us, input_amount, input_reason, output_amount, cache_read_amount, cache_write_amount, reported_amount, CAST(NULL AS VARCHAR) AS reason FROM u")
+def rollout_observations(spark, d):
+    found = rollout.observations(rollout.parsed(_rollout_lines(spark, d)))
+    return found.select("locator", "line", "source_kind", "provider", "model", "at_us", "input_amount", "input_reason", "output_amount", "cache_read_amount", "cache_write_amount", "reported_amount", "reason")
+
+
+@query(f"""{_ROLLOUT}, users AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN user_id // 2 END AS parent FROM events),
+  up AS (SELECT user_id, parent FROM users WHERE parent IS NOT NULL AND parent <> user_id UNION SELECT up.user_id, p.parent FROM up JOIN users p ON p.user_id = up.parent WHERE p.parent IS NOT NULL AND p.parent <> p.user_id),
+  lost AS (SELECT DISTINCT user_id FROM up WHERE parent NOT IN (SELECT user_id FROM users)), ring AS (SELECT user_id FROM users WHERE user_id = 0 OR EXISTS (SELECT 1 FROM up WHERE up.user_id = users.user_id AND up.parent = 0 AND 0 IN (SELECT user_id FROM users))),
+  r AS (SELECT u.*, count(DISTINCT whole) OVER (PARTITION BY user_id, g) AS n_values, row_number() OVER (PARTITION BY user_id, g ORDER BY epoch_us(ts) // 1000000, event_id) AS nth FROM u WHERE source_kind = 'response')
+  SELECT event_id AS row_id, CASE WHEN n_values > 1 THEN 'unresolved' WHEN nth > 1 THEN 'excluded' ELSE 'selected' END AS state, CASE WHEN n_values > 1 THEN 'response_conflict' WHEN nth > 1 THEN 'response_duplicate' ELSE 'response' END AS reason FROM r
+  UNION ALL SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM ring) OR user_id IN (SELECT user_id FROM lost) THEN 'unresolved' ELSE 'selected' END,
+    CASE WHEN user_id IN (SELECT user_id FROM ring) THEN 'lineage_cycle' WHEN user_id IN (SELECT user_id FROM lost) THEN 'missing_ancestor' ELSE 'cumulative_advance' END FROM u WHERE source_kind = 'legacy'""")
+def rollout_decisions(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = A.table(spark, d, "events").select(F.concat(F.lit("/rollouts/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("locator"), (F.row_number().over(w) + 1).cast("long").alias("line"), F.col("event_id").alias("row_id"))
+    found = rollout.observations(rollout.parsed(_rollout_lines(spark, d))).join(e, ["locator", "line"]).withColumn("value", F.col("step_key"))
+    user = A.table(spark, d, "events").select(F.col("user_id").alias("u")).distinct()
+    parents = user.select(F.concat(F.lit("u"), "u").alias("session_id"), F.when(F.col("u") % 2 == 0, F.concat(F.lit("u"), F.expr("u div 2"))).alias("parent_id"))
+    return dialects.rollout_decisions(found, parents).select("row_id", "state", "reason")
+
+
 # --- transcripts --------------------------------------------------------------------
 
 
