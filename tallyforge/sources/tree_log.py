@@ -23,7 +23,7 @@ def _text(path: str) -> Column:
 def headers(lines: DataFrame) -> DataFrame:
     """locator, session_id, cwd, parent_locator, started_us: of files whose first line is a version 3 header."""
     first = lines.where("line = 1 AND status = 'ok'")
-    return first.where((_text("type") == "session") & (_text("version") == "3") & _text("id").isNotNull()).select(
+    return first.where((_text("type") == "session") & (count(F.col("record"), "version") == 3) & _text("id").isNotNull()).select(
         "locator", _text("id").alias("session_id"), _text("cwd").alias("cwd"), _text("parentSession").alias("parent_locator"), instant(_text("timestamp")).alias("started_us")
     )
 

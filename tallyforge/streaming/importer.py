@@ -1,71 +1,95 @@
-"""Incremental import of session logs: a file stream whose batches are merged into a versioned table.
+"""Incremental import of session logs: a file stream whose batches are appended to a versioned table.
 
-Each batch is atomic: the new version is written beside the old one, and a pointer file is replaced last. Files that were
+Each version is a folder of its own rows and a commit file, named by its number, that is only created, never replaced: a batch is there
+once its commit file is, a crash before leaves nothing that a reader sees (and at most a claimed number, to be released), and of two writers of one number the later one fails and may try again.
+Readers take the commits up to the highest number, or up to one that they name, so what they read doesn't change under them. Contents are kept apart, by their digest. Files that were
 imported with the same content are skipped, a changed file gets the next generation, and files that are gone are marked
-as missing but kept.
+as missing but kept: both are rows of the new version, nothing is written again.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILES_PER_BATCH = 32
-SOURCES = "locator string, generation long, fingerprint string, bytes long, available boolean, content binary"
+SOURCES = "locator string, generation long, fingerprint string, bytes long, available boolean"
 
 
 class Ledger:
-    """Versions of the table of sources in a folder; ``CURRENT`` names the one that readers see."""
+    """Versions of the table of sources in a folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _commits(self) -> dict[int, str]:
+        """The folder of each version."""
+        folder = self._path(f"{self.root}/commits")
+        found = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        parts = [name.split("-", 1) for name in found if name[:1].isdigit()]
+        return {int(n): rows for n, rows in sorted(parts)}
+
     def revision(self) -> int:
-        pointer = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first().value)
-
-    def sources(self) -> DataFrame:
-        now = self.revision()
-        return self.spark.read.schema(SOURCES).parquet(f"{self.root}/v{now}") if now else self.spark.createDataFrame([], SOURCES)
-
-    def commit(self, rows: DataFrame) -> int:
-        after = self.revision() + 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/v{after}")
-        fresh, pointer = self._path(f"{self.root}/CURRENT.next"), self._path(f"{self.root}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(str(after).encode()))
-        out.close()
-        if self._fs.exists(pointer):
-            self._fs.delete(pointer, False)
-        self._fs.rename(fresh, pointer)
+        return max(self._commits(), default=0)
+
+    def sources(self, revision: int | None = None) -> DataFrame:
+        """The sources as of a revision, the latest by default: of each generation what was said last."""
+        folders = [f"{self.root}/rows/{rows}" for n, rows in self._commits().items() if revision is None or n <= revision]
+        if not folders:
+            return self.spark.createDataFrame([], SOURCES)
+        rows = self.spark.read.schema(f"{SOURCES}, revision long").parquet(*folders)
+        last = rows.groupBy("locator", "generation").agg(F.max_by(F.struct("fingerprint", "bytes", "available"), "revision").alias("s"))
+        return last.select("locator", "generation", "s.*")
+
+    def contents(self) -> DataFrame:
+        """fingerprint, content of all generations; what no commit names may be among them."""
+        folder = f"{self.root}/contents"
+        if not self._fs.exists(self._path(folder)):
+            return self.spark.createDataFrame([], "fingerprint string, content binary")
+        return self.spark.read.schema("fingerprint string, content binary").option("recursiveFileLookup", "true").parquet(folder).dropDuplicates(["fingerprint"])
+
+    def _commit(self, rows: DataFrame, after: int, name: str) -> int:
+        rows.withColumn("revision", F.lit(after).cast("long")).write.parquet(f"{self.root}/rows/{name}")
+        if after in self._commits():
+            raise RuntimeError(f"another writer made version {after}; read it and try again")
+        # The number alone is claimed first: creating without overwriting is atomic, and the claim is what the second writer fails on.
+        self._fs.create(self._path(f"{self.root}/claims/{after:012d}"), False).close()
+        self._fs.create(self._path(f"{self.root}/commits/{after:012d}-{name}"), False).close()
         return after
 
+    def release(self, revision: int) -> None:
+        """Gives up the claim of a writer that ended before its commit, so that others may take the number."""
+        if revision not in self._commits():
+            self._fs.delete(self._path(f"{self.root}/claims/{revision:012d}"), False)
+
     def merge(self, batch: DataFrame) -> bool:
-        """Adds a batch of (path, content); whether anything changed."""
-        known = self.sources()
-        last = known.groupBy("locator").agg(F.max_by("fingerprint", "generation").alias("last"), F.max("generation").alias("top"))
-        own = batch.select(F.col("path").alias("locator"), "content", F.sha2("content", 256).alias("fingerprint")).dropDuplicates(["locator", "fingerprint"])
+        """Adds a batch of (path, content, and modificationTime if known); whether anything changed."""
+        before = self.revision()
+        last = self.sources(before).groupBy("locator").agg(F.max_by("fingerprint", "generation").alias("last"), F.max("generation").alias("top"))
+        at = F.col("modificationTime") if "modificationTime" in batch.columns else F.lit(None).cast("timestamp")
+        own = batch.select(F.col("path").alias("locator"), "content", F.sha2("content", 256).alias("fingerprint"), at.alias("at")).groupBy("locator", "fingerprint").agg(F.min("at").alias("at"), F.first("content").alias("content"))
         joined = own.join(last, "locator", "left").where("last IS NULL OR last != fingerprint")
-        rank = F.row_number().over(Window.partitionBy("locator").orderBy("fingerprint"))
+        rank = F.row_number().over(Window.partitionBy("locator").orderBy("at", "fingerprint"))
         new = joined.select("locator", (F.coalesce("top", F.lit(0)) + rank).cast("long").alias("generation"), "fingerprint", F.length("content").cast("long").alias("bytes"), F.lit(True).alias("available"), "content")
         if new.isEmpty():
             return False
-        self.commit(known.unionByName(new))
+        name = uuid.uuid4().hex
+        new.select("fingerprint", "content").write.parquet(f"{self.root}/contents/{name}")
+        self._commit(new.drop("content"), before + 1, name)
         return True
 
     def mark_missing(self, present: DataFrame) -> bool:
-        """Marks the files that a listing (path) no longer has; their history stays."""
-        known = self.sources()
+        """Marks the files that a listing (path) no longer has, and those that are back; their history stays."""
+        before = self.revision()
         here = present.select(F.col("path").alias("locator")).distinct().withColumn("here", F.lit(True))
-        after = known.join(here, "locator", "left").withColumn("now", F.coalesce("here", F.lit(False)))
-        if after.where("now != available").isEmpty():
+        after = self.sources(before).join(here, "locator", "left").withColumn("now", F.coalesce("here", F.lit(False))).where("now != available")
+        if after.isEmpty():
             return False
-        self.commit(after.select("locator", "generation", "fingerprint", "bytes", F.col("now").alias("available"), "content"))
+        self._commit(after.select("locator", "generation", "fingerprint", "bytes", F.col("now").alias("available")), before + 1, uuid.uuid4().hex)
         return True
 
 
