@@ -37,7 +37,7 @@ NEAREST, LEAST_NEAREST = 0.05, 15
 #: Examples that the logistic line is fitted on.
 LINE_ROWS = 1000
 #: Terms in a larger share of the examples are kept as a matrix; documents that are multiplied with it at a time.
-DENSE, TOGETHER = 0.1, 128
+DENSE, TOGETHER = 0.05, 128
 #: Bytes of the beginnings of words that are terms beside the words.
 BEGINNINGS = (4, 5, 6, 7)
 #: Characters of text whose terms are counted at a time.
@@ -132,12 +132,22 @@ def document_frequencies(docs: DataFrame, vocabulary: Vocabulary, text: str) ->
 def segments(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers from each begin up to its end."""
     n = end - begin
-    return np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    ends = np.cumsum(n)
+    out = np.repeat(begin + n - ends, n)
+    out += np.arange(len(out))
+    return out
+
+
+def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A vector of length one."""
+    w = counts * idf[terms]
+    norm = np.sqrt((w * w).sum())
+    return w / norm if norm > 0 else w
 
 
 @dataclass
 class Index:
-    """Examples as TF-IDF vectors of length one, in blocks."""
+    """Examples as TF-IDF vectors of length one, in blocks. Only the postings are sent to tasks; the tables are made of them there."""
 
     names: np.ndarray
     idf: np.ndarray
@@ -146,21 +156,45 @@ class Index:
     start: np.ndarray  # by term: its postings
     place: np.ndarray
     weight: np.ndarray
-    dense: np.ndarray  # by term: its row in the matrix, or -1
-    matrix: np.ndarray  # dense terms x places (whole blocks)
-    common: np.ndarray  # by term: its row in the tables by block, or -1
-    begin: np.ndarray  # common terms x blocks: its postings of a block
-    block_max: np.ndarray  # common terms x blocks
     base: float
     wanted: int  # neighbours
+    block: int
+    dense_from: int  # terms in more examples are dense
     slope: float = 1.0
     offset: float = 0.0
     loss: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.tables()
+
+    def __getstate__(self) -> dict:
+        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "matrix", "common", "begin", "block_max")}
+        return state | {"place": self.place.astype(np.int32), "weight": self.weight.astype(np.float32)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.tables()
+
+    def tables(self) -> None:
+        """dense: by term its row in ``matrix`` (terms x places, whole blocks); common: by term its row in ``begin`` (its postings of each block) and ``block_max``; else -1."""
+        self.place, self.weight = self.place.astype(np.int64), self.weight.astype(np.float64)
+        blocks, held = -(-len(self.ids) // self.block), np.diff(self.start)
+        most, often = np.flatnonzero(held > self.dense_from), np.flatnonzero((held > blocks) & (held <= self.dense_from))
+        self.dense, self.common = (np.full(len(held), -1, dtype=np.int32) for _ in range(2))
+        self.dense[most], self.common[often] = np.arange(len(most)), np.arange(len(often))
+        self.matrix = np.zeros((len(most), blocks * self.block))
+        at = segments(self.start[most], self.start[most + 1])
+        self.matrix[np.repeat(np.arange(len(most)), held[most]), self.place[at]] = self.weight[at]
+        at = segments(self.start[often], self.start[often + 1])
+        cell = np.repeat(np.arange(len(often)), held[often]) * blocks + self.place[at] // self.block
+        self.block_max = np.zeros(len(often) * blocks)
+        np.maximum.at(self.block_max, cell, self.weight[at])
+        self.block_max = self.block_max.reshape(len(often), blocks)
+        counts = np.bincount(cell, minlength=len(often) * blocks).reshape(len(often), blocks)
+        self.begin = self.start[often][:, None] + np.concatenate([np.zeros((len(often), 1), dtype=np.int64), counts.cumsum(1)], axis=1)
+
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = counts * self.idf[terms]
-        norm = np.sqrt((w * w).sum())
-        return w / norm if norm > 0 else w
+        return weighed(terms, counts, self.idf)
 
     def products(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """What the dense terms of these (terms, weights) add to the cosines with all places."""
@@ -201,32 +235,12 @@ def build(examples: list[tuple[int, str, int]], vocabulary: Vocabulary, total: i
 def inverted(rows: list[tuple[int, int, np.ndarray, np.ndarray]], vocabulary: Vocabulary, idf: np.ndarray) -> Index:
     """The postings, matrix and blocks of (id, label, terms, counts) rows in this order."""
     n, labels = len(rows), np.array([r[1] for r in rows], dtype=np.float64)
-    blocks, empty = -(-n // BLOCK), np.zeros((0, 0))
-    index = Index(vocabulary.names, idf, np.array([r[0] for r in rows], dtype=np.int64), labels, NONE, NONE, NONE, NONE, empty, NONE, empty, empty, float((labels.sum() + 1) / (n + 2)), max(LEAST_NEAREST, int(NEAREST * n)))
     term = np.concatenate([NONE, *(r[2] for r in rows)])
     place = np.repeat(np.arange(n, dtype=np.int32), [len(r[2]) for r in rows])
-    weight = np.concatenate([np.zeros(0), *(index.weights(r[2], r[3]) for r in rows)]).astype(np.float32)
+    weight = np.concatenate([np.zeros(0), *(weighed(r[2], r[3], idf) for r in rows)]).astype(np.float32)
     order = np.argsort(term, kind="stable")
-    term, index.place, index.weight = term[order], place[order], weight[order]
-    index.start = np.searchsorted(term, np.arange(len(idf) + 1))
-    held = np.diff(index.start)
-    most, often = np.flatnonzero(held > DENSE * n), np.flatnonzero((held > blocks) & (held <= DENSE * n))
-    index.dense = np.full(len(idf), -1, dtype=np.int32)
-    index.dense[most] = np.arange(len(most))
-    index.matrix = np.zeros((len(most), blocks * BLOCK))
-    for i, t in enumerate(most.tolist()):
-        a, b = index.start[t], index.start[t + 1]
-        index.matrix[i, index.place[a:b]] = index.weight[a:b]
-    index.common = np.full(len(idf), -1, dtype=np.int32)
-    index.common[often] = np.arange(len(often))
-    index.begin = np.zeros((len(often), blocks + 1), dtype=np.int32)
-    index.block_max = np.zeros((len(often), blocks), dtype=np.float32)
-    for i, t in enumerate(often.tolist()):
-        a, b = index.start[t], index.start[t + 1]
-        at = index.place[a:b] // BLOCK
-        index.begin[i] = a + np.searchsorted(at, np.arange(blocks + 1))
-        np.maximum.at(index.block_max[i], at, index.weight[a:b])
-    return index
+    start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+    return Index(vocabulary.names, idf, np.array([r[0] for r in rows], dtype=np.int64), labels, start, place[order], weight[order], float((labels.sum() + 1) / (n + 2)), max(LEAST_NEAREST, int(NEAREST * n)), BLOCK, int(DENSE * n))
 
 
 def calibrated(index: Index, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Index:
@@ -254,13 +268,14 @@ def calibrated(index: Index, rows: list[tuple[int, np.ndarray, np.ndarray]]) ->
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and cosines of the ``most`` examples of largest positive cosine, best first; dense: this document's row of ``products``."""
     n, size, common = len(index.ids), index.matrix.shape[1], index.common[terms]
-    block = size // index.block_max.shape[1]
+    block = index.block
     places, cosines, floor = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     rare = (common < 0) & (index.dense[terms] < 0)
     begin, end = index.start[terms[rare]], index.start[terms[rare] + 1]
     at = segments(begin, end)
     sums = (dense + np.bincount(index.place[at], weights=index.weight[at] * np.repeat(weights[rare], end - begin), minlength=size)).reshape(-1, block)
     row, weights = common[common >= 0], weights[common >= 0]
+    begins, across = index.begin.ravel(), index.begin.shape[1]
     bound = sums.max(1, initial=0.0) + weights @ index.block_max[row]
     order = np.argsort(-bound, kind="stable")
     order = order[bound[order] > 0]
@@ -269,12 +284,13 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, dense: np.ndar
         part = part[bound[part] >= floor - 1e-6]
         if not len(part):
             break
-        begin, end = index.begin[row[:, None], part].ravel(), index.begin[row[:, None], part + 1].ravel()
+        cell = (row[:, None] * across + part).ravel()
+        begin, end = begins.take(cell), begins.take(cell + 1)
         at = segments(begin, end)
         more = np.bincount(index.place[at], weights=index.weight[at] * np.repeat(np.repeat(weights, len(part)), end - begin), minlength=size)
         found = np.round((sums[part] + more.reshape(-1, block)[part]).ravel(), 12)
         where = (part[:, None] * block + np.arange(block)).ravel()
-        hit = (found > 0) & (found >= floor) & (where < n)
+        hit = np.flatnonzero((found >= max(floor, 1e-12)) & (where < n))
         places, cosines = np.concatenate([places, where[hit]]), np.concatenate([cosines, found[hit]])
         if len(places) > most:
             floor = np.partition(cosines, -most)[-most]
