@@ -228,8 +228,11 @@ def build(examples: list[tuple[int, str, int]], vocabulary: Vocabulary, total: i
     counts, idf = Counts(vocabulary), np.log(1 + max(1, total) / np.maximum(found, 1))
     rows = [(i, y, *counts.each([t])[0]) for i, t, y in sorted(examples)]
     rows.sort(key=lambda r: (int(r[2][r[3].argmax()]) if len(r[2]) else -1, r[1], r[0]))
-    made = [calibrated(inverted(rows, vocabulary, idf**power), [(p, r[2], r[3]) for p, r in enumerate(rows)]) for power in POWERS]
-    return min(made, key=lambda index: index.loss)
+    best = None
+    for power in POWERS:  # no more than two at a time are held
+        index = calibrated(inverted(rows, vocabulary, idf**power), [(p, r[2], r[3]) for p, r in enumerate(rows)])
+        best = index if best is None or index.loss < best.loss else best
+    return best
 
 
 def inverted(rows: list[tuple[int, int, np.ndarray, np.ndarray]], vocabulary: Vocabulary, idf: np.ndarray) -> Index:
