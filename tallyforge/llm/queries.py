@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, embed_dedup, html_extract, line_dedup, ngram_join, quality, token_counts, toxicity
+from . import bpe, chat_format, decontam, embed_dedup, filter_audit, html_extract, line_dedup, ngram_join, quality, token_counts, toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -119,6 +119,54 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("part"), "text")
+    return filter_audit.audit(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+#: Each document's failures as booleans, and each order by walking its steps.
+OP11_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), known AS (
+  SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS bad FROM labels GROUP BY doc_id
+), firsts AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS first_id FROM documents GROUP BY 1
+), flags AS (
+  SELECT words.doc_id, part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    MAP {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+         'C': 100 * length(regexp_replace(words.t, '[^A-Z]', '', 'g')) > 3 * length(words.t), 'D': regexp_matches(words.t, '[#$%&*|]'),
+         'E': coalesce(words.doc_id > first_id, false)} AS f
+  FROM words JOIN firsts ON firsts.t = words.t LEFT JOIN known ON known.doc_id = words.doc_id
+), l AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT o, unnest(range(1, 6)) AS s FROM orders
+), kinds AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE bad) AS n_bad FROM flags GROUP BY part, f
+), walked AS (
+  SELECT part, o, s, f, n, n_good, n_bad, f[o[s]] AS fails, len(list_filter(range(1, s), lambda i: f[o[i]])) > 0 AS gone,
+    len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: f[x])) AS failures
+  FROM kinds, steps
+), counted AS (
+  SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, o[s] AS x,
+    sum(n) FILTER (WHERE NOT gone AND NOT fails) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed,
+    sum(n) FILTER (WHERE fails AND gone) AS redundant, sum(n) FILTER (WHERE fails AND failures = 1) AS unique_fails,
+    sum(n_good) FILTER (WHERE fails AND NOT gone) AS good_lost, sum(n_bad) FILTER (WHERE fails AND NOT gone) AS toxic_lost
+  FROM walked GROUP BY part, o, s
+)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -130,6 +178,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op11_filter_audit": OP11_SQL}
