@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontam, embed_dedup, filter_audit, html_extract, line_dedup, ngram_join, quality, token_counts, toxicity
+from . import align, bpe, chat_format, decontam, embed_dedup, filter_audit, html_extract, line_dedup, lm_score, ngram_join, quality, token_counts, toxicity
+from .common import Scratch
 
 
 def _tokenizer(name: str) -> str:
@@ -167,6 +168,17 @@ FROM counted
 """
 
 
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce(_held_out(0, 10), F.lit(False)).alias("held_out"), "text")
+    scratch = Scratch(spark, "lm")
+    model = lm_score.fit(docs.select((~F.col("held_out")).alias("train"), "text"), _tokenizer("piece_bpe_32k.model"), scratch)
+    return lm_score.score_documents(docs, model, scratch, keep=("doc_id", "held_out"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe": op2_bpe,
@@ -179,6 +191,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lm_score": op12_lm_score,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op11_filter_audit": OP11_SQL}
