@@ -143,7 +143,7 @@ class Aligner:
 def _slices(strings: pa.Array, bounds: np.ndarray) -> list[memoryview]:
     """The values of each range of a binary array, joined."""
     offsets = np.frombuffer(strings.buffers()[1], dtype=np.int32, count=len(strings) + 1) if len(strings) else np.zeros(1, dtype=np.int32)
-    data = memoryview(strings.buffers()[2]) if len(strings) else memoryview(b"")
+    data = memoryview(strings.buffers()[2]).cast("B") if len(strings) else memoryview(b"")  # unsigned, as bytes are
     at = offsets[bounds].tolist()
     return [data[i:j] for i, j in zip(at, at[1:], strict=False)]
 
