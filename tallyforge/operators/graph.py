@@ -13,14 +13,16 @@ def chain_roots(nodes: DataFrame) -> DataFrame:
 
     A parent that is no node ends the chain. Nodes on or below a cycle get a null root.
     """
-    settled = Scratch(nodes.sparkSession, "chains").table
+    scratch = Scratch(nodes.sparkSession, "chains")
+    settled = scratch.table
     known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
     now = settled(nodes.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("up"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("depth")))
     now = settled(now.select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNull().alias("done"), "depth"))
     rounds, total = 0, now.count()
     while (1 << rounds) <= max(total, 1) and not now.where("NOT done").isEmpty():
-        up = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), F.col("depth").alias("depth2"))
+        up, past = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), F.col("depth").alias("depth2")), now
         now = settled(now.join(up, "up").select("node", F.col("up2").alias("up"), (F.col("done") | F.col("done2")).alias("done"), F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("depth2")).alias("depth")))
+        scratch.drop(past)
         rounds += 1
     return now.select("node", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
@@ -60,10 +62,12 @@ def branch(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     return way
 
 
-def _starred(pairs: DataFrame, settled) -> DataFrame:
-    """u, v, m: each pair with the smallest of u and its neighbours; the minima are taken map-side first and written, so that Spark can split a hot u in the join."""
-    least = settled(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-    return pairs.join(least, "u")
+def _starred(pairs: DataFrame, scratch: Scratch, ties) -> DataFrame:
+    """The ties of each pair u, v with m, the smallest of u and its neighbours; the minima are taken map-side first and written, so that Spark can split a hot u in the join."""
+    least = scratch.table(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    tied = scratch.table(pairs.join(least, "u").select(F.explode(ties).alias("e")).select("e.*").where("u IS NOT NULL AND u != v").distinct())
+    scratch.drop(least)
+    return tied
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -74,16 +78,15 @@ def connected(edges: DataFrame) -> DataFrame:
     tables in the shared folder; only a count and a sum of hashes come back to the driver, which stops when they stay.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    settled = scratch.table
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     alone = edges.where("u = v").select(F.col("u").alias("node"))
-    now, seen = settled(edges.where("u != v").distinct()), None
+    now, seen = scratch.table(edges.where("u != v").distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         ties = F.array(F.struct(F.when(F.col("v") > F.col("u"), F.col("v")).alias("u"), F.col("m").alias("v")), F.struct(F.when(F.col("m") < F.col("u"), F.col("u")).alias("u"), F.col("m").alias("v")))
-        large = settled(_starred(both, settled).select(F.explode(ties).alias("e")).select("e.*").where("u IS NOT NULL AND u != v").distinct())
+        large = _starred(both, scratch, ties)
         ties = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        after = settled(_starred(large, settled).select(F.explode(ties).alias("e")).select("e.*").where("u != v").distinct())
+        after = _starred(large, scratch, ties)
         scratch.drop(now, large)
         now = after
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -30,6 +30,7 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         path, files = self._files(self.root)
+        files.mkdirs(path)  # what isn't there can't be registered
         files.deleteOnExit(path)
 
     def _files(self, path: str):

@@ -1,7 +1,8 @@
 """Incremental import of session logs: a file stream whose batches are appended to a versioned table.
 
-Each version is a folder of its own rows and a commit file, named by its number, that is only created, never replaced: a batch is there
-once its commit file is, a crash before leaves nothing that a reader sees (and at most a claimed number, to be released), and of two writers of one number the later one fails and may try again.
+Each version is a folder of its own rows and a commit file: its name is the version's number, its one line names the folder. It is only created, never replaced: a batch is there
+once that line is, and of two writers of one number the later one fails and may try again. A writer that dies before leaves nothing that a reader sees, or a commit file without a line:
+an empty version, after which the next one goes on.
 Readers take the commits up to the highest number, or up to one that they name, so what they read doesn't change under them. Contents are kept apart, by their digest. Files that were
 imported with the same content are skipped, a changed file gets the next generation, and files that are gone are marked
 as missing but kept: both are rows of the new version, nothing is written again.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,25 @@ class Ledger:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _commits(self) -> dict[int, str]:
-        """The folder of each version."""
+        """The folder of each version; the empty string where its writer died."""
         folder = self._path(f"{self.root}/commits")
-        found = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        parts = [name.split("-", 1) for name in found if name[:1].isdigit()]
-        return {int(n): rows for n, rows in sorted(parts)}
+        found = [f.getPath() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return {int(p.getName()): self._line(p) for p in sorted(found, key=lambda p: p.getName()) if p.getName().isdigit()}
+
+    def _line(self, path) -> str:
+        stream = self._fs.open(path)
+        try:
+            line = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return line[:-1] if line.endswith("\n") else ""
 
     def revision(self) -> int:
         return max(self._commits(), default=0)
 
     def sources(self, revision: int | None = None) -> DataFrame:
         """The sources as of a revision, the latest by default: of each generation what was said last."""
-        folders = [f"{self.root}/rows/{rows}" for n, rows in self._commits().items() if revision is None or n <= revision]
+        folders = [f"{self.root}/rows/{rows}" for n, rows in self._commits().items() if rows and (revision is None or n <= revision)]
         if not folders:
             return self.spark.createDataFrame([], SOURCES)
         rows = self.spark.read.schema(f"{SOURCES}, revision long").parquet(*folders)
@@ -54,18 +63,19 @@ class Ledger:
 
     def _commit(self, rows: DataFrame, after: int, name: str) -> int:
         rows.withColumn("revision", F.lit(after).cast("long")).write.parquet(f"{self.root}/rows/{name}")
-        if after in self._commits():
-            raise RuntimeError(f"another writer made version {after}; read it and try again")
-        # The number alone is claimed first: creating without overwriting is atomic, and the claim is what the second writer fails on.
-        self._fs.create(self._path(f"{self.root}/claims/{after:012d}"), False).close()
-        self._fs.create(self._path(f"{self.root}/commits/{after:012d}-{name}"), False).close()
+        path = self._path(f"{self.root}/commits/{after:012d}")
+        try:
+            stream = self._fs.create(path, False)  # atomic: of two writers one creates it
+        except Py4JJavaError as error:
+            if not self._fs.exists(path):
+                raise
+            raise RuntimeError(f"another writer made version {after}; read it and try again") from error
+        try:
+            stream.write(f"{name}\n".encode())
+        finally:
+            stream.close()
         return after
 
-    def release(self, revision: int) -> None:
-        """Gives up the claim of a writer that ended before its commit, so that others may take the number."""
-        if revision not in self._commits():
-            self._fs.delete(self._path(f"{self.root}/claims/{revision:012d}"), False)
-
     def merge(self, batch: DataFrame) -> bool:
         """Adds a batch of (path, content, and modificationTime if known); whether anything changed."""
         before = self.revision()

@@ -1,6 +1,10 @@
 """Readers of lines and tree logs, and the incremental import."""
 
 import json
+import subprocess
+import sys
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,9 +72,37 @@ def test_versions_are_never_replaced(spark, tmp_path):
     assert other.mark_missing(spark.createDataFrame([("a",)], "path string")) and ledger.revision() == 2
     assert ledger.sources(1).where("NOT available").count() == 0 and ledger.sources().where("NOT available").count() == 1
     assert ledger.contents().count() == 3
-    rows = ledger.sources().limit(1)
-    ledger._commit(rows, 3, "one")
-    with pytest.raises(RuntimeError):
-        other._commit(rows, 3, "two")
     (tmp_path / "ledger" / "rows" / "torn").mkdir()  # a crash before the commit
-    assert ledger.revision() == 3 and ledger.sources().count() == 3
+    assert ledger.revision() == 2 and ledger.sources().count() == 3
+
+
+def test_of_two_writers_of_a_version_one_fails_and_both_batches_are_there_after_its_retry(spark, tmp_path, monkeypatch):
+    ledger, other = Ledger(spark, str(tmp_path / "ledger")), Ledger(spark, str(tmp_path / "ledger"))
+    batch = lambda name: spark.createDataFrame([(name, name.encode())], "path string, content binary")
+    real = other._commit
+    monkeypatch.setattr(other, "_commit", lambda rows, after, name: (ledger.merge(batch("a")), real(rows, after, name)))  # the other one is first
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.merge(batch("b"))
+    monkeypatch.undo()
+    assert [r.locator for r in ledger.sources().collect()] == ["a"]
+    assert other.merge(batch("b")) and ledger.revision() == 2 and sorted(r.locator for r in ledger.sources().collect()) == ["a", "b"]
+
+
+def test_a_writer_that_died_at_its_commit_stops_nobody(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    batch = spark.createDataFrame([("a", b"x")], "path string, content binary")
+    assert ledger.merge(batch)
+    (tmp_path / "ledger" / "commits" / f"{2:012d}").write_bytes(b"abc")  # without its line's end
+    assert ledger.sources().count() == 1 and not ledger.merge(batch)
+    assert ledger.mark_missing(batch.where("false")) and ledger.revision() == 3 and ledger.sources().where("NOT available").count() == 1
+
+
+def test_scratch_folders_go_with_the_session(tmp_path):
+    # Spark makes a folder of its own there.
+    program = "from pyspark.sql import SparkSession; from tallyforge.sources.scratch import Scratch; s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', '%s').getOrCreate(); t = Scratch(s, 't').table(s.range(3)); assert t.count() == 3; s.stop()" % tmp_path
+    subprocess.run([sys.executable, "-c", program], check=True, timeout=120, cwd=str(Path(__file__).resolve().parent.parent))
+    for _ in range(50):
+        if not any(tmp_path.glob("t-*")):
+            break
+        time.sleep(0.2)
+    assert not any(tmp_path.glob("t-*"))
