@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import ancestors, chain_roots, connected
+from ..sources.scratch import Scratch
+from .graph import branch, chain_roots, connected
 
 
 def response_decisions(rows: DataFrame) -> DataFrame:
@@ -81,52 +82,72 @@ def removed_models(rows: DataFrame, group: str, order: str, model: str) -> DataF
 def rollout_decisions(rows: DataFrame, parents: DataFrame) -> DataFrame:
     """row_id, state, reason, canonical of rollout usage (row_id, locator, line, session_id, source_kind, response_id, mirror_id, total_key, step_key, value, at_us, usable, reason).
 
-    parents: session_id, parent_id; a parent that is no session is missing. A response counts once, if its rows agree in session and value. A step of a running total is a mirror of the
-    response it repeats, a duplicate of an equal total of its session, or, at the start of a file that copies an ancestor's steps, a replay of the ancestor's. What copies
-    another row has that one's fate: pointers to originals are doubled to their ends. All groups are joins and aggregates by key.
+    parents: session_id, parent_id of each file; one that is no session is missing, and a session with several is in conflict. A row that stands in several files has a row for each. A response counts once, if its rows
+    agree in session and value. A step of a running total is a mirror of the response it repeats, a duplicate of an equal total of its session, or, at the start of all files that hold it, a replay
+    of the nearest ancestor with this step. What copies another row has that one's fate: pointers to originals are doubled to their ends. All groups are joins and aggregates by key.
+
+    The rows are written first, as they are read for each rule. Only sessions whose steps also stand in others look for ancestors.
     """
+    scratch = Scratch(rows.sparkSession, "rollouts")
+    places = scratch.table(rows)
+    rows = places.dropDuplicates(["row_id"])
     modern, old = F.col("source_kind") == "response", F.col("source_kind") == "legacy"
     first = F.min(F.struct(F.col("at_us").isNull().alias("late"), "at_us", "row_id"))["row_id"]
-    responses = rows.where(modern & F.col("response_id").isNotNull()).groupBy("response_id").agg(F.countDistinct("session_id").alias("owners"), F.countDistinct("value").alias("values"), F.min("value").alias("value_r"), first.alias("first_r"))
+    # A null value is a value like others.
+    one_value, value_of = F.countDistinct(F.struct("value")), F.min("value")
+    responses = rows.where(modern & F.col("response_id").isNotNull()).groupBy("response_id").agg(F.countDistinct("session_id").alias("owners"), one_value.alias("values"), value_of.alias("value_r"), first.alias("first_r"))
     mirrors = responses.select(F.col("response_id").alias("mirror_id"), F.col("values").alias("values_m"), F.col("value_r").alias("value_m"), F.col("first_r").alias("first_m"))
     keys = ["session_id", "total_key", "step_key"]
-    twins = rows.where(modern & F.col("response_id").isNotNull() & F.col("total_key").isNotNull() & F.col("step_key").isNotNull()).groupBy(*keys).agg(F.countDistinct("response_id").alias("ids_t"), F.countDistinct("value").alias("values_t"), F.min("value").alias("value_t"), first.alias("first_t"))
+    twins = rows.where(modern & F.col("response_id").isNotNull() & F.col("total_key").isNotNull() & F.col("step_key").isNotNull()).groupBy(*keys).agg(F.countDistinct("response_id").alias("ids_t"), one_value.alias("values_t"), value_of.alias("value_t"), first.alias("first_t"))
     steps = rows.where(old & F.col("total_key").isNotNull())
-    totals = steps.groupBy("session_id", "total_key").agg(F.countDistinct("value").alias("values_l"), first.alias("first_l"))
-    by_step = steps.where("step_key IS NOT NULL").groupBy(*keys).agg(F.countDistinct("value").alias("values_a"), F.min("value").alias("value_a"), first.alias("first_a"))
-
-    known = parents.select("session_id", "parent_id").distinct()
-    chain = ancestors(known.select(F.col("session_id").alias("node"), F.col("parent_id").alias("parent")))
-    lost = chain.join(known.select(F.col("session_id").alias("ancestor")).distinct(), "ancestor", "left_anti").select(F.col("node").alias("session_id")).distinct().withColumn("lost", F.lit(True))
-    roots = chain_roots(known.select(F.col("session_id").alias("node"), F.col("parent_id").alias("parent"))).select(F.col("node").alias("session_id"), F.col("root").isNull().alias("cycle"))
-    above = by_step.withColumnRenamed("session_id", "ancestor").join(chain.withColumnRenamed("node", "session_id"), "ancestor")
-    nearest = above.groupBy(*keys).agg(F.min_by(F.struct("values_a", "value_a", "first_a"), "distance").alias("near"))
+    totals = steps.groupBy("session_id", "total_key").agg(one_value.alias("values_l"), first.alias("first_l"))
+
+    known = scratch.table(parents.groupBy("session_id").agg(F.countDistinct(F.struct("parent_id")).alias("n"), F.min("parent_id").alias("parent_id")))
+    tree = known.select(F.col("session_id").alias("node"), F.when(F.col("n") == 1, F.col("parent_id")).alias("parent"))
+    ends = chain_roots(tree).select(F.col("node").alias("session_id"), "root")
+    open_ends = tree.where("parent IS NOT NULL").select(F.col("node").alias("root"), F.lit(True).alias("lost"))
+    lines = known.select("session_id", (F.col("n") > 1).alias("disputed")).join(ends, "session_id").join(open_ends, "root", "left")
+    lines = lines.select("session_id", "disputed", F.col("root").isNull().alias("cycle"), F.coalesce("lost", F.lit(False)).alias("lost"))
+
+    # A step without its own key matches another such one, though it counts nothing itself.
+    key = F.struct("total_key", "step_key").alias("key")
+    by_step = scratch.table(steps.groupBy("session_id", key).agg(one_value.alias("values_a"), value_of.alias("value_a"), first.alias("first_a")))
+    shared = by_step.groupBy("key").agg(F.count("*").alias("sessions")).where("sessions > 1")
+    holders = scratch.table(by_step.join(shared, "key", "left_semi"))
+    way = branch(tree, holders.select(F.col("session_id").alias("node")).distinct()).where("distance > 0")
+    above = holders.withColumnRenamed("session_id", "node").join(way, "node").select(F.col("leaf").alias("session_id"), "key", "distance", "values_a", "value_a", "first_a")
+    nearest = above.join(holders.select("session_id", "key"), ["session_id", "key"], "left_semi").groupBy("session_id", "key").agg(F.min_by(F.struct("values_a", "value_a", "first_a"), "distance").alias("near"))
     # A step is a replay while all before it in its file are: what comes after the first own one stands for itself.
-    marked = rows.where(old).join(nearest, keys, "left")
+    marked = places.where(old).withColumn("key", key).join(nearest, ["session_id", "key"], "left")
     w = Window.partitionBy("locator").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    prefix = marked.withColumn("inherited", F.min(F.col("near").isNotNull().cast("int")).over(w) == 1).select("row_id", "near", "inherited")
+    prefix = marked.withColumn("inherited", F.min(F.col("near").isNotNull().cast("int")).over(w) == 1).groupBy("row_id").agg(F.min("inherited").alias("inherited"), F.any_value("near").alias("near"))
 
     all_of = (
         rows.join(responses, "response_id", "left").join(mirrors, "mirror_id", "left").join(twins, keys, "left").join(totals, ["session_id", "total_key"], "left")
-        .join(prefix, "row_id", "left").join(lost, "session_id", "left").join(roots, "session_id", "left")
+        .join(prefix, "row_id", "left").join(lines, "session_id", "left")
     )
-    copy = lambda reason, target: F.struct(F.lit("excluded").alias("state"), F.lit(reason).alias("reason"), target.alias("target"))
-    none = F.lit(None).cast(rows.schema["row_id"].dataType)
-    say = lambda state, reason: F.struct(F.lit(state).alias("state"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), none.alias("target"))
-    open_ = lambda reason: say("unresolved", reason)
-    value = F.col("value")
+    none, value = F.lit(None).cast(rows.schema["row_id"].dataType), F.col("value")
+
+    def say(state: str, reason, target=none):
+        return F.struct(F.lit(state).alias("state"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), target.alias("target"))
+
+    def copy_if(same, reason: str, target: str, otherwise: str):
+        return F.when(same, say("excluded", reason, F.col(target))).otherwise(say("unresolved", otherwise))
+
+    equal = lambda n, v: (F.col(n) == 1) & F.col(v).eqNullSafe(value)
     base = (
-        F.when(F.col("mirror_id").isNotNull(), F.when((F.col("values_m") == 1) & F.col("value_m").eqNullSafe(value), copy("modern_legacy_mirror", F.col("first_m"))).otherwise(open_("modern_legacy_overlap")))
-        .when(old & F.col("ids_t").isNotNull(), F.when((F.col("ids_t") == 1) & (F.col("values_t") == 1) & F.col("value_t").eqNullSafe(value), copy("modern_legacy_mirror", F.col("first_t"))).otherwise(open_("modern_legacy_overlap")))
-        .when(~F.col("usable"), open_(F.coalesce("reason", F.lit("usage_unresolved"))))
-        .when(modern & (F.col("owners") > 1), open_("response_owner_conflict")).when(modern & (F.col("values") > 1), open_("response_conflict"))
-        .when(modern & (F.col("first_r") != F.col("row_id")), copy("response_duplicate", F.col("first_r"))).when(modern, say("selected", "response"))
-        .when(F.col("total_key").isNull() | F.col("step_key").isNull(), open_("missing_cumulative")).when(F.col("values_l") > 1, open_("cumulative_conflict"))
-        .when(F.col("first_l") != F.col("row_id"), copy("legacy_duplicate", F.col("first_l")))
-        .when(F.col("inherited") & (F.col("near.values_a") == 1) & F.col("near.value_a").eqNullSafe(value), copy("legacy_replay", F.col("near.first_a"))).when(F.col("inherited"), open_("replay_conflict"))
-        .when(F.col("cycle"), open_("lineage_cycle")).when(F.col("lost"), open_("missing_ancestor")).otherwise(say("selected", "cumulative_advance"))
+        F.when(F.col("disputed"), say("unresolved", "identity_conflict"))
+        .when(F.col("mirror_id").isNotNull(), copy_if(equal("values_m", "value_m"), "modern_legacy_mirror", "first_m", "modern_legacy_overlap"))
+        .when(old & F.col("ids_t").isNotNull(), copy_if((F.col("ids_t") == 1) & equal("values_t", "value_t"), "modern_legacy_mirror", "first_t", "modern_legacy_overlap"))
+        .when(~F.col("usable"), say("unresolved", F.coalesce("reason", F.lit("usage_unresolved"))))
+        .when(modern & (F.col("owners") > 1), say("unresolved", "response_owner_conflict")).when(modern & (F.col("values") > 1), say("unresolved", "response_conflict"))
+        .when(modern & (F.col("first_r") != F.col("row_id")), say("excluded", "response_duplicate", F.col("first_r"))).when(modern, say("selected", "response"))
+        .when(F.col("total_key").isNull() | F.col("step_key").isNull(), say("unresolved", "missing_cumulative")).when(F.col("values_l") > 1, say("unresolved", "cumulative_conflict"))
+        .when(F.col("first_l") != F.col("row_id"), say("excluded", "legacy_duplicate", F.col("first_l")))
+        .when(F.col("inherited"), copy_if(equal("near.values_a", "near.value_a"), "legacy_replay", "near.first_a", "replay_conflict"))
+        .when(F.col("cycle"), say("unresolved", "lineage_cycle")).when(F.col("lost"), say("unresolved", "missing_ancestor")).otherwise(say("selected", "cumulative_advance"))
     )
-    decided = all_of.select("row_id", base.alias("b")).select("row_id", "b.*")
+    decided = scratch.table(all_of.select("row_id", base.alias("b")).select("row_id", "b.*"))
     ends = chain_roots(decided.select(F.col("row_id").alias("node"), F.col("target").alias("parent"))).select(F.col("node").alias("row_id"), F.col("root").alias("canonical"))
     fate = decided.select(F.col("row_id").alias("canonical"), F.col("state").alias("end_state"), F.col("reason").alias("end_reason"))
     placed = decided.join(ends, "row_id", "left").join(fate, "canonical", "left")

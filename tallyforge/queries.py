@@ -583,13 +583,53 @@ def rollout_observations(spark, d):
     return found.select("locator", "line", "source_kind", "provider", "model", "at_us", "input_amount", "input_reason", "output_amount", "cache_read_amount", "cache_write_amount", "reported_amount", "reason")
 
 
-@query(f"""{_ROLLOUT}, users AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN user_id // 2 END AS parent FROM events),
-  up AS (SELECT user_id, parent FROM users WHERE parent IS NOT NULL AND parent <> user_id UNION SELECT up.user_id, p.parent FROM up JOIN users p ON p.user_id = up.parent WHERE p.parent IS NOT NULL AND p.parent <> p.user_id),
-  lost AS (SELECT DISTINCT user_id FROM up WHERE parent NOT IN (SELECT user_id FROM users)), ring AS (SELECT user_id FROM users WHERE user_id = 0 OR EXISTS (SELECT 1 FROM up WHERE up.user_id = users.user_id AND up.parent = 0 AND 0 IN (SELECT user_id FROM users))),
-  r AS (SELECT u.*, count(DISTINCT whole) OVER (PARTITION BY user_id, g) AS n_values, row_number() OVER (PARTITION BY user_id, g ORDER BY epoch_us(ts) // 1000000, event_id) AS nth FROM u WHERE source_kind = 'response')
-  SELECT event_id AS row_id, CASE WHEN n_values > 1 THEN 'unresolved' WHEN nth > 1 THEN 'excluded' ELSE 'selected' END AS state, CASE WHEN n_values > 1 THEN 'response_conflict' WHEN nth > 1 THEN 'response_duplicate' ELSE 'response' END AS reason FROM r
-  UNION ALL SELECT event_id, CASE WHEN user_id IN (SELECT user_id FROM ring) OR user_id IN (SELECT user_id FROM lost) THEN 'unresolved' ELSE 'selected' END,
-    CASE WHEN user_id IN (SELECT user_id FROM ring) THEN 'lineage_cycle' WHEN user_id IN (SELECT user_id FROM lost) THEN 'missing_ancestor' ELSE 'cumulative_advance' END FROM u WHERE source_kind = 'legacy'""")
+#: The rules of rollout usage over ``q`` (the rows by place) and ``par`` (session_id, parent_id), walked from row to row.
+_ROLLOUT_RULES = """fam AS (SELECT session_id, count(DISTINCT coalesce(parent_id, '~')) > 1 AS disputed, min(parent_id) AS parent_id FROM par GROUP BY session_id),
+  walk AS (SELECT session_id, session_id AS node, [session_id] AS path, 0 AS distance FROM fam
+    UNION ALL SELECT w.session_id, f.parent_id, list_append(path, f.parent_id), distance + 1 FROM walk w JOIN fam f ON f.session_id = w.node AND NOT f.disputed
+    WHERE f.parent_id IS NOT NULL AND NOT list_contains(path, f.parent_id) AND f.parent_id IN (SELECT session_id FROM fam)),
+  ring AS (SELECT DISTINCT w.session_id FROM walk w JOIN fam f ON f.session_id = w.node AND NOT f.disputed WHERE list_contains(path, f.parent_id)),
+  lost AS (SELECT DISTINCT w.session_id FROM walk w JOIN fam f ON f.session_id = w.node AND NOT f.disputed WHERE f.parent_id NOT IN (SELECT session_id FROM fam)),
+  o AS (SELECT DISTINCT ON (row_id) * FROM q ORDER BY row_id),
+  ordered AS (SELECT *, row_number() OVER (ORDER BY at_us IS NULL, at_us, row_id) AS age FROM o),
+  resp AS (SELECT response_id, count(DISTINCT session_id) AS owners, count(DISTINCT coalesce(value, '~')) AS n, min(coalesce(value, '~')) AS v, arg_min(row_id, age) AS top FROM ordered WHERE source_kind = 'response' AND response_id IS NOT NULL GROUP BY response_id),
+  twin AS (SELECT session_id, total_key, step_key, count(DISTINCT response_id) AS ids, count(DISTINCT coalesce(value, '~')) AS n, min(coalesce(value, '~')) AS v, arg_min(row_id, age) AS top FROM ordered
+    WHERE source_kind = 'response' AND response_id IS NOT NULL AND total_key IS NOT NULL AND step_key IS NOT NULL GROUP BY ALL),
+  tot AS (SELECT session_id, total_key, count(DISTINCT coalesce(value, '~')) AS n, arg_min(row_id, age) AS top FROM ordered WHERE source_kind = 'legacy' AND total_key IS NOT NULL GROUP BY ALL),
+  stp AS (SELECT session_id, total_key, coalesce(step_key, '~') AS step_key, count(DISTINCT coalesce(value, '~')) AS n, min(coalesce(value, '~')) AS v, arg_min(row_id, age) AS top FROM ordered WHERE source_kind = 'legacy' AND total_key IS NOT NULL GROUP BY ALL),
+  near AS (SELECT w.session_id, total_key, step_key, arg_min({'n': n, 'v': v, 'top': top}, distance) AS a FROM walk w JOIN stp s ON s.session_id = w.node WHERE distance > 0 GROUP BY ALL),
+  pre AS (SELECT row_id, bool_and(a IS NOT NULL) OVER (PARTITION BY locator ORDER BY line ROWS UNBOUNDED PRECEDING) AS inherited FROM q LEFT JOIN near ON near.session_id = q.session_id AND near.total_key = q.total_key AND near.step_key = coalesce(q.step_key, '~') WHERE source_kind = 'legacy'),
+  inh AS (SELECT row_id, bool_and(inherited) AS inherited FROM pre GROUP BY row_id),
+  said AS (SELECT o.row_id, CASE
+      WHEN fam.disputed THEN {'s': 'unresolved', 'r': 'identity_conflict', 't': NULL}
+      WHEN o.mirror_id IS NOT NULL THEN CASE WHEN mir.n = 1 AND mir.v = coalesce(o.value, '~') THEN {'s': 'excluded', 'r': 'modern_legacy_mirror', 't': mir.top} ELSE {'s': 'unresolved', 'r': 'modern_legacy_overlap', 't': NULL} END
+      WHEN source_kind = 'legacy' AND twin.ids IS NOT NULL THEN CASE WHEN twin.ids = 1 AND twin.n = 1 AND twin.v = coalesce(o.value, '~') THEN {'s': 'excluded', 'r': 'modern_legacy_mirror', 't': twin.top} ELSE {'s': 'unresolved', 'r': 'modern_legacy_overlap', 't': NULL} END
+      WHEN NOT usable THEN {'s': 'unresolved', 'r': coalesce(reason, 'usage_unresolved'), 't': NULL}
+      WHEN source_kind = 'response' AND resp.owners > 1 THEN {'s': 'unresolved', 'r': 'response_owner_conflict', 't': NULL}
+      WHEN source_kind = 'response' AND resp.n > 1 THEN {'s': 'unresolved', 'r': 'response_conflict', 't': NULL}
+      WHEN source_kind = 'response' AND resp.top <> o.row_id THEN {'s': 'excluded', 'r': 'response_duplicate', 't': resp.top}
+      WHEN source_kind = 'response' THEN {'s': 'selected', 'r': 'response', 't': NULL}
+      WHEN o.total_key IS NULL OR o.step_key IS NULL THEN {'s': 'unresolved', 'r': 'missing_cumulative', 't': NULL}
+      WHEN tot.n > 1 THEN {'s': 'unresolved', 'r': 'cumulative_conflict', 't': NULL}
+      WHEN tot.top <> o.row_id THEN {'s': 'excluded', 'r': 'legacy_duplicate', 't': tot.top}
+      WHEN inherited THEN CASE WHEN near.a.n = 1 AND near.a.v = coalesce(o.value, '~') THEN {'s': 'excluded', 'r': 'legacy_replay', 't': near.a.top} ELSE {'s': 'unresolved', 'r': 'replay_conflict', 't': NULL} END
+      WHEN o.session_id IN (SELECT session_id FROM ring) THEN {'s': 'unresolved', 'r': 'lineage_cycle', 't': NULL}
+      WHEN o.session_id IN (SELECT session_id FROM lost) THEN {'s': 'unresolved', 'r': 'missing_ancestor', 't': NULL}
+      ELSE {'s': 'selected', 'r': 'cumulative_advance', 't': NULL} END AS d
+    FROM o LEFT JOIN fam USING (session_id) LEFT JOIN resp USING (response_id) LEFT JOIN resp mir ON mir.response_id = o.mirror_id
+    LEFT JOIN twin ON twin.session_id = o.session_id AND twin.total_key = o.total_key AND twin.step_key = o.step_key LEFT JOIN tot ON tot.session_id = o.session_id AND tot.total_key = o.total_key
+    LEFT JOIN near ON near.session_id = o.session_id AND near.total_key = o.total_key AND near.step_key = coalesce(o.step_key, '~') LEFT JOIN inh ON inh.row_id = o.row_id),
+  trail AS (SELECT row_id, row_id AS at_row, 0 AS n FROM said UNION ALL SELECT trail.row_id, d.t, n + 1 FROM trail JOIN said ON said.row_id = at_row WHERE d.t IS NOT NULL AND n < 50),
+  tail AS (SELECT row_id, arg_max(at_row, n) AS last_row, max(n) AS n FROM trail GROUP BY row_id),
+  decided AS (SELECT said.row_id, CASE WHEN tail.n >= 50 OR (tail.n > 0 AND e.d.s <> 'selected') THEN 'unresolved' ELSE said.d.s END AS state,
+    CASE WHEN tail.n >= 50 THEN 'lineage_cycle' WHEN tail.n > 0 AND e.d.s <> 'selected' THEN e.d.r ELSE said.d.r END AS reason, CASE WHEN tail.n > 0 AND tail.n < 50 AND e.d.s = 'selected' THEN last_row END AS canonical
+    FROM said JOIN tail USING (row_id) JOIN said e ON e.row_id = last_row)"""
+
+
+@query(f"""{_ROLLOUT}, par AS (SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS session_id, CASE WHEN user_id % 2 = 0 THEN 'u' || CAST(user_id // 2 AS VARCHAR) END AS parent_id FROM events),
+  q AS (SELECT event_id AS row_id, CAST(user_id AS VARCHAR) AS locator, line, 'u' || CAST(user_id AS VARCHAR) AS session_id, source_kind, CASE WHEN source_kind = 'response' THEN CAST(user_id AS VARCHAR) || ':' || CAST(g AS VARCHAR) END AS response_id, CAST(NULL AS VARCHAR) AS mirror_id,
+    CASE WHEN source_kind = 'legacy' THEN CAST(bought AS VARCHAR) END AS total_key, CAST(output_amount AS VARCHAR) AS step_key, CASE WHEN source_kind = 'legacy' THEN CAST(output_amount AS VARCHAR) ELSE CAST(whole AS VARCHAR) END AS value, epoch_us(ts) // 1000000 AS at_us, true AS usable, CAST(NULL AS VARCHAR) AS reason FROM u),
+  {_ROLLOUT_RULES} SELECT row_id, state, reason FROM decided""")
 def rollout_decisions(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = A.table(spark, d, "events").select(F.concat(F.lit("/rollouts/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("locator"), (F.row_number().over(w) + 1).cast("long").alias("line"), F.col("event_id").alias("row_id"))
@@ -599,6 +639,41 @@ def rollout_decisions(spark, d):
     return dialects.rollout_decisions(found, parents).select("row_id", "state", "reason")
 
 
+_ROLLOUT_ROWS = """n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, sum(CASE WHEN event_type NOT IN ('view', 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS k, user_id % 40 AS s FROM events),
+  m AS (SELECT *, event_type IN ('view', 'click') AS modern, 't' || CAST(CASE WHEN k > 2 + user_id % 5 THEN k + 1000 * user_id ELSE k END AS VARCHAR) AS t FROM n),
+  q0 AS (SELECT event_id AS row_id, 'f' || CAST(user_id AS VARCHAR) AS locator, line, 's' || CAST(s AS VARCHAR) AS session_id, CASE WHEN modern THEN 'response' ELSE 'legacy' END AS source_kind,
+    CASE WHEN modern AND event_id % 13 = 0 THEN 'q' || CAST(s AS VARCHAR) || ':' || CAST(event_id % 6 AS VARCHAR) WHEN modern AND event_id % 50 = 0 THEN 'r' || CAST(event_id // 60 AS VARCHAR) WHEN modern AND event_id % 37 <> 0 THEN 'r' || CAST(s AS VARCHAR) || ':' || CAST(event_id // 60 AS VARCHAR) END AS response_id,
+    CASE WHEN NOT modern AND event_id % 11 = 0 THEN 'r' || CAST(s AS VARCHAR) || ':' || CAST(event_id // 60 AS VARCHAR) END AS mirror_id,
+    CASE WHEN modern AND event_id % 13 = 0 THEN 't' || CAST(1 + event_id % 6 AS VARCHAR) WHEN NOT modern AND event_id % 31 <> 0 THEN t END AS total_key,
+    CASE WHEN modern AND event_id % 13 = 0 THEN 's' || CAST(1 + event_id % 6 AS VARCHAR) WHEN NOT modern AND event_id % 43 <> 0 THEN 's' || CAST(k AS VARCHAR) END AS step_key,
+    CASE WHEN event_id % 61 = 0 THEN NULL WHEN modern AND event_id % 13 = 0 THEN 't' || CAST(1 + event_id % 6 AS VARCHAR) WHEN modern OR event_id % 22 = 0 THEN 'v' || CAST(event_id // 60 AS VARCHAR) WHEN event_id % 97 = 0 THEN 'x' ELSE t END AS value,
+    CASE WHEN event_id % 5 <> 0 THEN event_id % 1000 END AS at_us, event_id % 29 <> 0 OR event_id % 11 = 0 AS usable, CASE WHEN event_id % 58 = 0 THEN 'cumulative_regression' END AS reason FROM m),
+  q AS (SELECT * FROM q0 UNION ALL SELECT row_id, 'again' || locator, line, session_id, source_kind, response_id, mirror_id, total_key, step_key, value, at_us, usable, reason FROM q0 WHERE row_id % 9 = 4),
+  par AS (SELECT DISTINCT 's' || CAST(s AS VARCHAR) AS session_id, CASE WHEN s = 0 THEN 's0' WHEN s % 10 = 9 THEN 'gone' WHEN s % 2 = 0 THEN 's' || CAST(s // 2 AS VARCHAR) WHEN s % 13 = 5 AND user_id % 80 < 40 THEN 's1' END AS parent_id FROM n)"""
+
+
+@query(f"{_ROLLOUT_ROWS}, {_ROLLOUT_RULES} SELECT * FROM decided")
+def rollout_rules(spark, d):
+    """Rows of all kinds that the rules tell apart, in files of sessions with parents that are known, missing, disputed or a ring."""
+    i, u = F.col("event_id"), F.col("user_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    modern, s, sixty, sixth = F.col("event_type").isin("view", "click"), u % 40, F.expr("event_id div 60"), 1 + i % 6
+    e = A.table(spark, d, "events").select("event_id", "user_id", modern.alias("modern"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("line"), F.sum(F.when(~modern, 1).otherwise(0)).over(w).alias("k"))
+    t, twin, modern = text("t", F.when(F.col("k") > 2 + u % 5, F.col("k") + 1000 * u).otherwise(F.col("k"))), F.col("modern") & (i % 13 == 0), F.col("modern")
+    rows = e.select(
+        i.alias("row_id"), text("f", u).alias("locator"), "line", text("s", s).alias("session_id"), F.when(modern, "response").otherwise("legacy").alias("source_kind"),
+        F.when(twin, text("q", s, ":", i % 6)).when(modern & (i % 50 == 0), text("r", sixty)).when(modern & (i % 37 != 0), text("r", s, ":", sixty)).alias("response_id"),
+        F.when(~modern & (i % 11 == 0), text("r", s, ":", sixty)).alias("mirror_id"), F.when(twin, text("t", sixth)).when(~modern & (i % 31 != 0), t).alias("total_key"),
+        F.when(twin, text("s", sixth)).when(~modern & (i % 43 != 0), text("s", F.col("k"))).alias("step_key"),
+        F.when(i % 61 == 0, None).when(twin, text("t", sixth)).when(modern | (i % 22 == 0), text("v", sixty)).when(i % 97 == 0, "x").otherwise(t).alias("value"),
+        F.when(i % 5 != 0, i % 1000).alias("at_us"), ((i % 29 != 0) | (i % 11 == 0)).alias("usable"), F.when(i % 58 == 0, "cumulative_regression").alias("reason"),
+    )
+    rows = rows.unionByName(rows.where("row_id % 9 = 4").withColumn("locator", F.concat(F.lit("again"), "locator")))
+    parent = F.when(s == 0, "s0").when(s % 10 == 9, "gone").when(s % 2 == 0, text("s", F.expr("user_id % 40 div 2"))).when((s % 13 == 5) & (u % 80 < 40), "s1")
+    return dialects.rollout_decisions(rows, e.select(text("s", s).alias("session_id"), parent.alias("parent_id")))
+
+
 # --- transcripts --------------------------------------------------------------------
 
 

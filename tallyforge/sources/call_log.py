@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UUID, instant
+from .lines import an_object, given, whole
 
 #: Fixed value: the first release that writes final output counts.
 FINAL_SINCE = (2, 1, 97)
-_NUMBER, _PART = r"(0|[1-9][0-9]*)", r"(?:0|[1-9][0-9]*|[0-9A-Za-z-]*[A-Za-z-][0-9A-Za-z-]*)"
-VERSION = rf"^{_NUMBER}\.{_NUMBER}\.{_NUMBER}(-{_PART}(?:\.{_PART})*)?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?$"
-_RECORD = "type string, uuid string, parentUuid string, requestId string, sessionId string, timestamp string, cwd string, version string, message struct<id: string, model: string, usage: map<string,string>>"
+_RECORD = "type string, uuid string, parentUuid string, requestId string, sessionId string, timestamp string, cwd string, version string, message struct<id: string, model: string, usage: variant>"
 
 
 def _text(column: Column) -> Column:
@@ -36,13 +35,30 @@ def identity(locator: Column) -> Column:
     )
 
 
+def release(version: Column) -> Column:
+    """The three numbers and whether a pre-release follows, of a strict semantic version of at most 128 characters; else null.
+
+    What follows the first plus is the build, what follows the first hyphen before it the pre-release; both are names between points.
+    """
+    before_plus = F.substring_index(version, "+", 1)
+    core = F.substring_index(before_plus, "-", 1)
+    after = lambda whole_, part: F.when(F.length(whole_) > F.length(part), F.substr(whole_, F.length(part) + 2))
+    names = lambda text, good: F.coalesce(F.forall(F.split(text, r"\."), good), F.lit(True))
+    name, padded = (lambda x: x.rlike("^[0-9A-Za-z-]+$")), (lambda x: x.rlike("^0[0-9]+$"))
+    numbers, pre, build = F.split(core, r"\."), after(before_plus, core), after(version, before_plus)
+    good = (
+        (F.length(version) <= 128) & (F.size(numbers) == 3) & F.forall(numbers, lambda x: x.rlike("^[0-9]+$") & ~padded(x))
+        & names(pre, lambda x: name(x) & ~padded(x)) & names(build, name) & ~version.contains("\n")
+    )
+    return F.when(good, F.struct(*(numbers[i].try_cast("decimal(38,0)").alias(f"v{i + 1}") for i in range(3)), pre.isNotNull().alias("early")))
+
+
 def writer(version: Column) -> Column:
     """final, placeholder or unqualified, by a strict version."""
-    part = lambda i: F.regexp_extract(version, VERSION, i)
-    release = F.struct(*(part(i).try_cast("decimal(38,0)").alias(f"v{i}") for i in (1, 2, 3)))
-    since = F.struct(*(F.lit(v).cast("decimal(38,0)").alias(f"v{i}") for i, v in enumerate(FINAL_SINCE, 1)))
-    strict = version.rlike(VERSION) & (F.length(version) <= 128)
-    return F.when(~F.coalesce(strict, F.lit(False)), "unqualified").when((release > since) | ((release == since) & (part(4) == "")), "final").otherwise("placeholder")
+    found = release(version)
+    since = F.struct(*(F.lit(v).cast("decimal(38,0)").alias(f"v{i}") for i, v in enumerate(FINAL_SINCE, 1)), F.lit(False).alias("early"))
+    numbers, least = (F.struct(*(x[f"v{i}"].alias(f"v{i}") for i in (1, 2, 3))) for x in (found, since))
+    return F.when(found.isNull(), "unqualified").when((numbers > least) | ((numbers == least) & ~found["early"]), "final").otherwise("placeholder")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -67,39 +83,38 @@ def headers(rows: DataFrame) -> DataFrame:
 
 def observations(rows: DataFrame) -> DataFrame:
     """One row per assistant entry with usage whose input counts and model can be read: ids, time, model, amounts with reasons, and how final the output is."""
-    usage = F.col("r.message.usage")
-    has = lambda n: F.coalesce(F.array_contains(F.map_keys(usage), n), F.lit(False))
-    count = lambda n: F.when(usage[n].rlike(r"^(0|[1-9]\d*)$"), usage[n].try_cast("long"))
+    usage = an_object(F.col("r.message.usage"))
+    has, count = (lambda n: given(usage, n)), (lambda n: whole(usage, n))
     names = {"input": "input_tokens", "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens"}
     unread = F.greatest(*(has(n) & count(n).isNull() for n in (*names.values(), names["input"])))
     kind = writer(F.col("r.version"))
-    given = count("output_tokens")
-    finality = F.when(~has("output_tokens"), F.when(kind == "final", "final_missing").otherwise("not_reported")).when(given.isNull(), "invalid").otherwise(kind)
+    written = count("output_tokens")
+    finality = F.when(~has("output_tokens"), F.when(kind == "final", "final_missing").otherwise("not_reported")).when(written.isNull(), "invalid").otherwise(kind)
     message, request = _text(F.col("r.message.id")), _text(F.col("r.requestId"))
-    whole = rows.where((F.col("r.type") == "assistant") & usage.isNotNull() & _text(F.col("r.uuid")).isNotNull() & ~unread & _text(F.col("r.message.model")).isNotNull())
+    billed = rows.where((F.col("r.type") == "assistant") & usage.isNotNull() & _text(F.col("r.uuid")).isNotNull() & ~unread & _text(F.col("r.message.model")).isNotNull())
     columns = {}
     for m, n in names.items():
         columns |= {f"{m}_amount": count(n), f"{m}_reason": F.when(~has(n), "not_reported")}
-    columns["output_amount"] = F.when(finality == "final", given)
+    columns["output_amount"] = F.when(finality == "final", written)
     columns["output_reason"] = F.when(finality.isin("final_missing", "not_reported"), "not_reported").when(finality == "invalid", "invalid_count").when(finality == "placeholder", "stream_start_placeholder").when(finality == "unqualified", "writer_version_unavailable")
     columns |= {f"{m}_state": F.when(columns[f"{m}_amount"].isNull(), "unknown").otherwise("known") for m in (*names, "output")}
     reason = F.when(message.isNull() & request.isNull(), "missing_identity").when(finality == "invalid", "invalid_count")
     at = instant(F.col("r.timestamp"))
-    return whole.select(
+    return billed.select(
         "locator", "line", "session_id", F.col("r.uuid").alias("entry_id"), _text(F.col("r.parentUuid")).alias("parent_entry"), message.alias("message_id"), request.alias("request_id"), F.col("r.message.model").alias("model"),
-        at.alias("at_us"), F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), finality.alias("finality"), given.alias("written_output"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
+        at.alias("at_us"), F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), finality.alias("finality"), written.alias("written_output"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
     )
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
     """locator, line, code of what can't be used."""
-    rows, usage = parsed(lines), F.col("r.message.usage")
-    count = lambda n: F.array_contains(F.map_keys(usage), n) & (~F.coalesce(usage[n].rlike(r"^(0|[1-9]\d*)$"), F.lit(False)) | usage[n].try_cast("long").isNull())
+    rows, usage = parsed(lines), an_object(F.col("r.message.usage"))
+    unread = lambda n: given(usage, n) & whole(usage, n).isNull()
     billed = (F.col("r.type") == "assistant") & usage.isNotNull()
     codes = {
         "invalid_timestamp": F.col("r.timestamp").isNotNull() & instant(F.col("r.timestamp")).isNull(),
         "invalid_entry_identity": billed & _text(F.col("r.uuid")).isNull(),
-        "invalid_count": billed & F.greatest(*(F.coalesce(count(n), F.lit(False)) for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))),
+        "invalid_count": billed & F.greatest(*(unread(n) for n in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens"))),
         "invalid_model": billed & _text(F.col("r.message.model")).isNull(),
         "writer_version_unavailable": billed & (writer(F.col("r.version")) == "unqualified"),
     }

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINES = "locator string, line long, record string, status string"
@@ -62,10 +62,23 @@ def read_lines(files: DataFrame) -> DataFrame:
     return files.select(F.col("path"), F.col("content")).mapInArrow(run, LINES)
 
 
-def count(record, *path: str):
-    """A token count by JSON path: a whole number from 0 below 2**63, else null. Numbers in quotes or with a point aren't counts."""
-    value = F.try_parse_json(record)
-    at = "$." + ".".join(path)
-    kind = F.schema_of_variant(F.try_variant_get(value, at, "variant"))
-    number = F.try_variant_get(value, at, "bigint")
+def given(usage: Column, name: str) -> Column:
+    """Whether a variant object has the field, whatever it holds."""
+    return F.coalesce(F.try_variant_get(usage, f"$.{name}", "variant").isNotNull(), F.lit(False))
+
+
+def whole(usage: Column, name: str) -> Column:
+    """A token count of a variant object: a whole number from 0 below 2**63, else null. Numbers in quotes or with a point aren't counts."""
+    kind = F.schema_of_variant(F.try_variant_get(usage, f"$.{name}", "variant"))
+    number = F.try_variant_get(usage, f"$.{name}", "bigint")
     return F.when((kind == "BIGINT") & (number >= 0), number)
+
+
+def an_object(value: Column) -> Column:
+    """The variant if it is an object, else null."""
+    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+
+def count(record: Column, *path: str) -> Column:
+    """``whole`` by the path in a JSON text."""
+    return whole(F.try_parse_json(record), ".".join(path))

@@ -34,7 +34,7 @@ def test_writers(spark, kind, versions):
 
 def test_observations_and_diagnostics(spark):
     records = [
-        entry(1), entry(2, {"input_tokens": 1}), entry(3, {"input_tokens": 1, "output_tokens": "x"}), entry(4, version="2.1.90"), entry(5, version="?"), entry(6, {"input_tokens": -1, "output_tokens": 1}), entry(7, uuid=None), entry(8, requestId=None, message={"model": "x", "usage": {"input_tokens": 1}}),
+        entry(1), entry(2, {"input_tokens": 1}), entry(3, {"input_tokens": 1, "output_tokens": "x"}), entry(4, version="2.1.90"), entry(5, version="?"), entry(6, {"input_tokens": "1", "output_tokens": 1}), entry(7, uuid=None), entry(8, requestId=None, message={"model": "x", "usage": {"input_tokens": 1}}),
         entry(9, message={"id": "m", "usage": {}}), entry(10, timestamp="noon"), {"type": "user", "uuid": "z", "sessionId": ID, "cwd": "rel"}, None, {"type": "summary"},
     ]
     found = lines(spark, **{ID: records, "other": [entry(1)], f"{ID}__subagents__agent-k": [entry(1, sessionId=ID.upper())], ID.replace("6f", "7f"): [entry(1)]})
