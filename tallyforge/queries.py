@@ -11,7 +11,7 @@ from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import dialects, graph, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript
 from .sources import adapter as A
-from .sources import rollout
+from .sources import chat_log, rollout
 
 #: A dated report of four years.
 START, END = 820_454_400_000_000, 946_684_800_000_000  # 1996-01-01 and 2000-01-01
@@ -674,6 +674,52 @@ def rollout_rules(spark, d):
     return dialects.rollout_decisions(rows, e.select(text("s", s).alias("session_id"), parent.alias("parent_id")))
 
 
+# --- editor chats, written from events as logs of edits and replayed ---------------------
+
+
+def _chat_lines(spark, d) -> DataFrame:
+    """Each user's events as edits of a chat: every event pushes a request, at times in place of the last one, and some set or delete what it holds."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    i, nothing = F.col("event_id"), F.lit("")
+    e = A.table(spark, d, "events").select("event_id", "user_id", F.when((i % 7 == 0) & (F.row_number().over(w) > 1), 0).otherwise(1).alias("more"))
+    e = e.withColumn("at", F.sum("more").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    models = text(',"modelTotals":[{"model":"m', i % 3, '","inputTokens":', i % 900, ',"outputTokens":', i % 80, ',"cachedTokens":', i % 50, "}]")
+    request = text(
+        '{"requestId":"r', i, '","agent":{"extensionId":{"value":"', F.when(i % 17 == 0, "other").otherwise("GitHub.copilot-chat"), '"}},"timestamp":', i * 1000, ',"promptTokens":', F.when(i % 83 == 0, text('"', i, '"')).otherwise((i % 500).cast("string")), ',"completionTokens":', i % 90,
+        F.when(i % 4 == 1, models).otherwise(nothing), F.when(i % 5 == 2, text(',"copilotCredits":', i % 40, ".125")).otherwise(nothing), "}",
+    )
+    of_last = lambda kind, name, *value: text(f'{{"kind":{kind},"k":["requests",', F.col("at"), f',"{name}"]', *value, "}")
+    edits_ = F.array_compact(F.array(
+        text('{"kind":2,"k":["requests"],"i":', F.col("at"), ',"v":[', request, "]}"), F.when(i % 3 == 0, of_last(1, "promptTokens", ',"v":', i % 700)),
+        F.when(i % 10 == 0, of_last(3, "completionTokens")), F.when(i % 11 == 0, of_last(1, "sessionCopilotCredits", ',"v":', i)),
+    ))
+    locator = text("/i/workspaceStorage/w/chatSessions/", F.col("user_id"), ".jsonl").alias("locator")
+    body = e.select(locator, "user_id", "event_id", F.posexplode(edits_).alias("place", "record"))
+    body = body.select("locator", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id", "place")) + 1).cast("long").alias("line"), "record")
+    head = e.select("user_id").distinct().select(locator, F.lit(1).cast("long").alias("line"), text('{"kind":0,"v":{"version":3,"sessionId":"s', F.col("user_id"), '","customTitle":" a  chat ","requests":[]}}').alias("record"))
+    return head.unionByName(body).withColumn("status", F.lit("ok"))
+
+
+_CHATS = """e AS (SELECT *, CASE WHEN event_id % 7 = 0 AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS more, 1 + CAST(event_id % 3 = 0 AS INTEGER) + CAST(event_id % 10 = 0 AS INTEGER) + CAST(event_id % 11 = 0 AS INTEGER) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  p AS (SELECT *, sum(more) OVER w - 1 AS pos, 2 + sum(n) OVER w - n AS line FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)),
+  kept AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY event_id DESC) = 1),
+  r AS (SELECT '/i/workspaceStorage/w/chatSessions/' || CAST(user_id AS VARCHAR) || '.jsonl' AS locator, CAST(pos AS INTEGER) AS ordinal, CAST(line AS BIGINT) AS line, event_id AS i, CASE WHEN event_id % 3 = 0 THEN event_id % 700 WHEN event_id % 83 <> 0 THEN event_id % 500 END AS prompt, event_id % 10 <> 0 AS has_out, event_id % 4 = 1 AS models,
+    CASE WHEN event_id % 3 = 0 THEN line + 1 ELSE line END AS told, event_id % 3 <> 0 AND event_id % 83 = 0 AS broken FROM kept WHERE event_id % 17 <> 0)"""
+
+
+@query(f"""{_CHATS}
+  SELECT locator, ordinal, line, 'r' || CAST(i AS VARCHAR) AS request_id, 'model_totals' AS kind, 'm' || CAST(i % 3 AS VARCHAR) AS model, i % 900 AS raw_input, i % 80 AS raw_output, i % 50 AS raw_cache_read, '111' AS presence, CAST(NULL AS BIGINT) AS input_amount, 'cache_inclusion_unknown' AS input_reason,
+    i % 80 AS output_amount, CAST(NULL AS VARCHAR) AS output_reason, CAST(NULL AS DECIMAL(38,18)) AS credits, CAST(NULL AS VARCHAR) AS credit_state, CAST(NULL AS VARCHAR) AS reason FROM r WHERE models
+  UNION ALL SELECT locator, ordinal, told, 'r' || CAST(i AS VARCHAR), 'turn_summary', NULL, prompt, CASE WHEN has_out THEN i % 90 END, NULL, '1' || CASE WHEN has_out THEN '1' ELSE '0' END || '0', CASE WHEN NOT models THEN prompt END, CASE WHEN models THEN 'covered_by_model_totals' WHEN broken THEN 'invalid_count' END,
+    CASE WHEN NOT models AND has_out THEN i % 90 END, CASE WHEN models THEN 'covered_by_model_totals' WHEN NOT has_out THEN 'not_reported' END, CASE WHEN i % 5 = 2 THEN i % 40 + 0.125 END, CASE WHEN i % 5 = 2 THEN 'known' ELSE 'unknown' END, CASE WHEN broken THEN 'invalid_numeric_value' END FROM r
+  UNION ALL SELECT locator, ordinal, line + 1 + CAST(i % 3 = 0 AS INTEGER) + CAST(i % 10 = 0 AS INTEGER), 'r' || CAST(i AS VARCHAR), 'session_control', NULL, NULL, NULL, NULL, '000', NULL, 'not_applicable', NULL, 'not_applicable', i, 'known', NULL FROM r WHERE i % 11 = 0""")
+def chat_evidence(spark, d):
+    rows = chat_log.documents(_chat_lines(spark, d))
+    told = chat_log.evidence(rows, chat_log.headers(rows))
+    return told.select("locator", "ordinal", "line", "request_id", "kind", "model", "raw_input", "raw_output", "raw_cache_read", "presence", "input_amount", "input_reason", "output_amount", "output_reason", "credits", "credit_state", "reason")
+
+
 # --- transcripts --------------------------------------------------------------------
 
 
