@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .graph import branch, chain_roots, connected
+from .graph import connected
+from .lineage import decision, follow, lines, nearest
 
 
 def response_decisions(rows: DataFrame) -> DataFrame:
@@ -102,36 +105,24 @@ def rollout_decisions(rows: DataFrame, parents: DataFrame) -> DataFrame:
     steps = rows.where(old & F.col("total_key").isNotNull())
     totals = steps.groupBy("session_id", "total_key").agg(one_value.alias("values_l"), first.alias("first_l"))
 
-    known = scratch.table(parents.groupBy("session_id").agg(F.countDistinct(F.struct("parent_id")).alias("n"), F.min("parent_id").alias("parent_id")))
-    tree = known.select(F.col("session_id").alias("node"), F.when(F.col("n") == 1, F.col("parent_id")).alias("parent"))
-    ends = chain_roots(tree).select(F.col("node").alias("session_id"), "root")
-    open_ends = tree.where("parent IS NOT NULL").select(F.col("node").alias("root"), F.lit(True).alias("lost"))
-    lines = known.select("session_id", (F.col("n") > 1).alias("disputed")).join(ends, "session_id").join(open_ends, "root", "left")
-    lines = lines.select("session_id", "disputed", F.col("root").isNull().alias("cycle"), F.coalesce("lost", F.lit(False)).alias("lost"))
+    tree, line = lines(parents, scratch)
 
     # A step without its own key matches another such one, though it counts nothing itself.
     key = F.struct("total_key", "step_key").alias("key")
-    by_step = scratch.table(steps.groupBy("session_id", key).agg(one_value.alias("values_a"), value_of.alias("value_a"), first.alias("first_a")))
-    shared = by_step.groupBy("key").agg(F.count("*").alias("sessions")).where("sessions > 1")
-    holders = scratch.table(by_step.join(shared, "key", "left_semi"))
-    way = branch(tree, holders.select(F.col("session_id").alias("node")).distinct()).where("distance > 0")
-    above = holders.withColumnRenamed("session_id", "node").join(way, "node").select(F.col("leaf").alias("session_id"), "key", "distance", "values_a", "value_a", "first_a")
-    nearest = above.join(holders.select("session_id", "key"), ["session_id", "key"], "left_semi").groupBy("session_id", "key").agg(F.min_by(F.struct("values_a", "value_a", "first_a"), "distance").alias("near"))
+    by_step = steps.groupBy("session_id", key).agg(one_value.alias("values_a"), value_of.alias("value_a"), first.alias("first_a"))
+    above = nearest(by_step.select("session_id", "key", F.struct("values_a", "value_a", "first_a").alias("what")), tree, scratch)
     # A step is a replay while all before it in its file are: what comes after the first own one stands for itself.
-    marked = places.where(old).withColumn("key", key).join(nearest, ["session_id", "key"], "left")
+    marked = places.where(old).withColumn("key", key).join(above, ["session_id", "key"], "left")
     w = Window.partitionBy("locator").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     prefix = marked.withColumn("inherited", F.min(F.col("near").isNotNull().cast("int")).over(w) == 1).groupBy("row_id").agg(F.min("inherited").alias("inherited"), F.any_value("near").alias("near"))
 
     all_of = (
         rows.join(responses, "response_id", "left").join(mirrors, "mirror_id", "left").join(twins, keys, "left").join(totals, ["session_id", "total_key"], "left")
-        .join(prefix, "row_id", "left").join(lines, "session_id", "left")
+        .join(prefix, "row_id", "left").join(line, "session_id", "left")
     )
-    none, value = F.lit(None).cast(rows.schema["row_id"].dataType), F.col("value")
-
-    def say(state: str, reason, target=none):
-        return F.struct(F.lit(state).alias("state"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"), target.alias("target"))
+    value, say = F.col("value"), functools.partial(decision, like=rows.schema["row_id"].dataType.simpleString())
 
-    def copy_if(same, reason: str, target: str, otherwise: str):
+    def copy_if(same: Column, reason: str, target: str, otherwise: str) -> Column:
         return F.when(same, say("excluded", reason, F.col(target))).otherwise(say("unresolved", otherwise))
 
     equal = lambda n, v: (F.col(n) == 1) & F.col(v).eqNullSafe(value)
@@ -147,14 +138,4 @@ def rollout_decisions(rows: DataFrame, parents: DataFrame) -> DataFrame:
         .when(F.col("inherited"), copy_if(equal("near.values_a", "near.value_a"), "legacy_replay", "near.first_a", "replay_conflict"))
         .when(F.col("cycle"), say("unresolved", "lineage_cycle")).when(F.col("lost"), say("unresolved", "missing_ancestor")).otherwise(say("selected", "cumulative_advance"))
     )
-    decided = scratch.table(all_of.select("row_id", base.alias("b")).select("row_id", "b.*"))
-    ends = chain_roots(decided.select(F.col("row_id").alias("node"), F.col("target").alias("parent"))).select(F.col("node").alias("row_id"), F.col("root").alias("canonical"))
-    fate = decided.select(F.col("row_id").alias("canonical"), F.col("state").alias("end_state"), F.col("reason").alias("end_reason"))
-    placed = decided.join(ends, "row_id", "left").join(fate, "canonical", "left")
-    followed = F.col("target").isNotNull()
-    return placed.select(
-        "row_id",
-        F.when(followed & F.coalesce(F.col("end_state") != "selected", F.lit(True)), "unresolved").otherwise(F.col("state")).alias("state"),
-        F.when(followed & F.col("end_state").isNull(), "lineage_cycle").when(followed & (F.col("end_state") != "selected"), F.col("end_reason")).otherwise(F.col("reason")).alias("reason"),
-        F.when(followed & (F.col("end_state") == "selected"), F.col("canonical")).alias("canonical"),
-    )
+    return follow(scratch.table(all_of.select("row_id", base.alias("b")).select("row_id", "b.*")))

@@ -27,6 +27,27 @@ def chain_roots(nodes: DataFrame) -> DataFrame:
     return now.select("node", F.when(F.col("done"), F.col("up")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
+def path_digests(nodes: DataFrame) -> DataFrame:
+    """node, digests of (node, parent, labels): for each label a digest of those from the node to its root, null where one is null.
+
+    Pointers are doubled and the digests of what they pass over composed, so equal ways have equal digests, whatever tables they stand in. A way that goes round or leaves the nodes has
+    none (nulls).
+    """
+    scratch = Scratch(nodes.sparkSession, "paths")
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
+    begun = nodes.join(known, "parent", "left").withColumn("lost", F.col("parent").isNotNull() & F.col("known").isNull())
+    none = F.transform("labels", lambda x: F.lit(None).cast("string"))
+    now = scratch.table(begun.select("node", F.when(F.col("known"), F.col("parent")).otherwise(F.col("node")).alias("up"), F.col("known").isNull().alias("done"), F.when(F.col("lost"), none).otherwise(F.col("labels")).alias("digests")))
+    rounds, total = 0, now.count()
+    while (1 << rounds) <= max(total, 1) and not now.where("NOT done").isEmpty():
+        up = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"), F.col("digests").alias("digests2"))
+        joined = F.zip_with("digests", "digests2", lambda a, b: F.sha2(F.concat(a, b), 256))
+        past, now = now, scratch.table(now.join(up, "up").select("node", F.col("up2").alias("up"), (F.col("done") | F.col("done2")).alias("done"), F.when(F.col("done"), F.col("digests")).otherwise(joined).alias("digests")))
+        scratch.drop(past)
+        rounds += 1
+    return now.select("node", F.when(F.col("done"), F.col("digests")).otherwise(F.transform("digests", lambda x: F.lit(None).cast("string"))).alias("digests"))
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """node, ancestor, distance: the closure of (node, parent), doubling the distance each round; cycles end at themselves."""
     settled = Scratch(nodes.sparkSession, "ancestors").table

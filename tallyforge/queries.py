@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import validate
 from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
-from .operators import dialects, graph, matching, ordered, ownership, reconcile
+from .operators import dialects, graph, lineage, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript
 from .sources import adapter as A
 from .sources import chat_log, rollout
@@ -410,6 +410,58 @@ def ancestor_copies(spark, d):
     return found.groupBy("state", "reason").agg(F.count("*").cast("long").alias("n"), F.min("observation_id").alias("least"))
 
 
+#: Sessions are orders, each with a way of entries (its lines); those of a customer continue each other.
+_ENTRIES = """o AS (SELECT o_orderkey AS s, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS up FROM orders),
+  par AS (SELECT s AS session_id, CASE WHEN s % 37 = 0 THEN -s WHEN s % 41 = 0 THEN s ELSE up END AS parent_id FROM o),
+  l AS (SELECT DISTINCT l_orderkey AS session_id, l_linenumber AS native_id FROM lineitem),
+  ent AS (SELECT session_id, native_id, CASE WHEN session_id % 29 = 0 AND native_id = 2 THEN 9 WHEN session_id % 31 = 0 AND native_id = 1 THEN 3 WHEN native_id > 1 THEN native_id - 1 END AS parent_entry FROM l
+    UNION ALL SELECT session_id, native_id, 0 FROM l WHERE session_id % 43 = 0 AND native_id = 2),
+  r0 AS (SELECT session_id, native_id, session_id * 100 + native_id AS row_id, CASE WHEN session_id % 19 = 0 AND native_id = 3 THEN 'tool_result' ELSE 'assistant' END AS kind, session_id % 23 = 0 AND native_id = 2 AS pending,
+    [CASE WHEN session_id % 7 = 0 AND native_id = 2 THEN 'x' ELSE 'i' || CAST(native_id AS VARCHAR) END, CASE WHEN session_id % 5 = 0 AND native_id = 3 THEN 'y' ELSE 'o' || CAST(native_id AS VARCHAR) END] AS prints FROM l WHERE NOT (session_id % 11 = 0 AND native_id = 1)),
+  r AS (SELECT * FROM r0 UNION ALL SELECT session_id, native_id, row_id + 50, kind, pending, [prints[1], CASE WHEN session_id % 2 = 0 THEN 'z' ELSE prints[2] END] FROM r0 WHERE session_id % 13 = 0 AND native_id = 2)"""
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES}, m AS (SELECT unnest([1, 2]) AS i),
+  rep AS (SELECT session_id, native_id, i, min(row_id) AS first, arg_min(prints[i], row_id) AS print, count(DISTINCT prints[i]) AS n FROM r, m GROUP BY ALL),
+  edge AS (SELECT session_id, native_id, count(DISTINCT coalesce(parent_entry, -1)) AS n, min(parent_entry) AS parent_entry FROM ent GROUP BY ALL),
+  torn AS (SELECT DISTINCT session_id FROM edge WHERE n > 1),
+  way AS (SELECT session_id, i, native_id, native_id AS place, [native_id] AS path, [native_id || ':' || coalesce((SELECT CASE WHEN n > 1 THEN '!' ELSE print END FROM rep WHERE rep.session_id = e.session_id AND rep.native_id = e.native_id AND rep.i = m.i), '-')] AS facts, parent_entry AS next FROM edge e, m WHERE e.n = 1
+    UNION ALL SELECT way.session_id, way.i, way.native_id, e.native_id, list_append(path, e.native_id), list_append(facts, e.native_id || ':' || coalesce((SELECT CASE WHEN n > 1 THEN '!' ELSE print END FROM rep WHERE rep.session_id = e.session_id AND rep.native_id = e.native_id AND rep.i = way.i), '-')), e.parent_entry
+    FROM way JOIN edge e ON e.session_id = way.session_id AND e.native_id = way.next AND e.n = 1 WHERE NOT list_contains(path, e.native_id)),
+  full_way AS (SELECT session_id, native_id, i, array_to_string(facts, '/') AS facts FROM way WHERE next IS NULL AND NOT contains(array_to_string(facts, '/'), '!')),
+  walk AS (SELECT session_id, session_id AS node, [session_id] AS seen, 0 AS distance FROM par UNION ALL SELECT w.session_id, p.parent_id, list_append(seen, p.parent_id), distance + 1 FROM walk w JOIN par p ON p.session_id = w.node
+    WHERE p.parent_id IN (SELECT session_id FROM par) AND NOT list_contains(seen, p.parent_id)),
+  ring AS (SELECT DISTINCT w.session_id FROM walk w JOIN par p ON p.session_id = w.node WHERE list_contains(seen, p.parent_id)), lost AS (SELECT DISTINCT w.session_id FROM walk w JOIN par p ON p.session_id = w.node WHERE p.parent_id NOT IN (SELECT session_id FROM par)),
+  near AS (SELECT w.session_id, a.native_id, a.i, arg_min({{'first': a.first, 'print': a.print, 'node': w.node}}, distance) AS a FROM walk w JOIN rep a ON a.session_id = w.node WHERE distance > 0 GROUP BY ALL),
+  said AS (SELECT r.row_id, m.i, CASE WHEN rep.n > 1 OR r.session_id IN (SELECT session_id FROM torn) THEN {{'s': 'unresolved', 'r': 'identity_conflict', 't': NULL}} WHEN kind = 'tool_result' THEN {{'s': 'unresolved', 'r': 'tool_overlap_unproven', 't': NULL}}
+      WHEN pending THEN {{'s': 'unresolved', 'r': 'unfinished_attempt', 't': NULL}} WHEN rep.first <> r.row_id THEN {{'s': 'excluded', 'r': 'identical_measure_variant', 't': rep.first}}
+      WHEN near.a IS NOT NULL THEN CASE WHEN near.a.print = r.prints[m.i] AND own.facts = theirs.facts THEN {{'s': 'excluded', 'r': 'proven_copied_path', 't': near.a.first}} ELSE {{'s': 'unresolved', 'r': 'copied_identity_conflict', 't': NULL}} END
+      WHEN r.session_id IN (SELECT session_id FROM ring) THEN {{'s': 'unresolved', 'r': 'lineage_cycle', 't': NULL}} WHEN r.session_id IN (SELECT session_id FROM lost) THEN {{'s': 'unresolved', 'r': 'missing_ancestor', 't': NULL}} ELSE {{'s': 'selected', 'r': 'independent_entry', 't': NULL}} END AS d
+    FROM r JOIN m ON true JOIN rep ON rep.session_id = r.session_id AND rep.native_id = r.native_id AND rep.i = m.i LEFT JOIN near ON near.session_id = r.session_id AND near.native_id = r.native_id AND near.i = m.i
+    LEFT JOIN full_way own ON own.session_id = r.session_id AND own.native_id = r.native_id AND own.i = m.i LEFT JOIN full_way theirs ON theirs.session_id = near.a.node AND theirs.native_id = r.native_id AND theirs.i = m.i),
+  trail AS (SELECT row_id, i, row_id AS pos, 0 AS n FROM said UNION ALL SELECT trail.row_id, trail.i, d.t, n + 1 FROM trail JOIN said ON said.row_id = pos AND said.i = trail.i WHERE d.t IS NOT NULL AND n < 200),
+  tail AS (SELECT row_id, i, arg_max(pos, n) AS last_row, max(n) AS n FROM trail GROUP BY ALL)
+  SELECT said.row_id, CASE said.i WHEN 1 THEN 'input' ELSE 'output' END AS measure, CASE WHEN tail.n > 0 AND e.d.s <> 'selected' THEN 'unresolved' ELSE said.d.s END AS state, CASE WHEN tail.n > 0 AND e.d.s <> 'selected' THEN e.d.r ELSE said.d.r END AS reason,
+    CASE WHEN tail.n > 0 AND e.d.s = 'selected' THEN last_row END AS canonical FROM said JOIN tail ON tail.row_id = said.row_id AND tail.i = said.i JOIN said e ON e.row_id = last_row AND e.i = said.i""", adapter=False)
+def entry_decisions(spark, d):
+    """Each measure of each line by itself: copies along the orders of a customer, with broken, contradictory and missing ways."""
+    return lineage.entry_decisions(*_entry_tables(spark, d), measures=("input", "output"))
+
+
+def _entry_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k, s, n = F.col("o_orderkey"), F.col("session_id"), F.col("native_id")
+    up = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    parents = A.table(spark, d, "orders").select(k.alias("session_id"), F.when(k % 37 == 0, -k).when(k % 41 == 0, k).otherwise(up).alias("parent_id"))
+    line = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("native_id")).distinct()
+    entries = line.select("*", F.when((s % 29 == 0) & (n == 2), 9).when((s % 31 == 0) & (n == 1), 3).when(n > 1, n - 1).cast(line.schema["native_id"].dataType).alias("parent_entry"))
+    entries = entries.unionByName(line.where((s % 43 == 0) & (n == 2)).select("*", F.lit(0).cast(line.schema["native_id"].dataType).alias("parent_entry")))
+    text = lambda x: F.concat(F.lit(x), n.cast("string"))
+    prints = F.array(F.when((s % 7 == 0) & (n == 2), "x").otherwise(text("i")), F.when((s % 5 == 0) & (n == 3), "y").otherwise(text("o")))
+    rows = line.where(~((s % 11 == 0) & (n == 1))).select("*", (s * 100 + n).alias("row_id"), F.when((s % 19 == 0) & (n == 3), "tool_result").otherwise("assistant").alias("kind"), ((s % 23 == 0) & (n == 2)).alias("pending"), prints.alias("fingerprints"))
+    twice = rows.where((s % 13 == 0) & (n == 2)).withColumns({"row_id": F.col("row_id") + 50, "fingerprints": F.array(F.col("fingerprints")[0], F.when(s % 2 == 0, "z").otherwise(F.col("fingerprints")[1]))})
+    return rows.unionByName(twice), entries, parents
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(count(DISTINCT l_partkey) AS BIGINT) AS variants FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1", adapter=False)
 def identity_conflicts(spark, d):
     return reconcile.identity_conflicts(A.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")
