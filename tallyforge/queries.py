@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import validate
 from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
-from .operators import dialects, graph, lineage, matching, ordered, ownership, reconcile
+from .operators import affected, dialects, graph, lineage, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript
 from .sources import adapter as A
 from .sources import chat_log, rollout
+from .sources.scratch import Scratch
 
 #: A dated report of four years.
 START, END = 820_454_400_000_000, 946_684_800_000_000  # 1996-01-01 and 2000-01-01
@@ -462,6 +463,58 @@ def _entry_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows.unionByName(twice), entries, parents
 
 
+_REACHED = """src AS (SELECT o_orderkey AS s, 'l' || CAST(o_orderkey AS VARCHAR) AS locator, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN 'l' || CAST(o_orderkey // 2 AS VARCHAR) END AS parent_locator,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN CAST(o_orderkey // 16 AS VARCHAR) END AS response_id, CASE WHEN o_orderstatus = 'P' THEN CAST(o_custkey AS VARCHAR) || ':' || CAST(year(o_orderdate) AS VARCHAR) END AS message_id, o_orderdate FROM orders),
+  g AS (SELECT DISTINCT s, unnest(['s' || CAST(s AS VARCHAR), locator, parent_locator, 'r' || response_id, 'm' || message_id]) AS x FROM src),
+  seed AS (SELECT locator AS x FROM src WHERE month(o_orderdate) = 3 AND day(o_orderdate) = 15 UNION SELECT 'r7'),
+  reach AS (SELECT x FROM seed UNION SELECT b.x FROM reach JOIN g a ON a.x = reach.x JOIN g b ON b.s = a.s)"""
+
+
+@query(f"WITH RECURSIVE {_REACHED} SELECT DISTINCT CAST(s AS VARCHAR) AS session_id FROM g JOIN reach ON reach.x = g.x WHERE g.x IS NOT NULL", adapter=False)
+def affected_sessions(spark, d):
+    """The orders that those of the days named, and of one response, reach by files, parents that may be missing, responses and messages."""
+    o, k = A.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(
+        k.cast("string").alias("session_id"), F.concat(F.lit("l"), k.cast("string")).alias("locator"), F.when((F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "F"), F.concat(F.lit("l"), F.expr("o_orderkey div 2").cast("string"))).alias("parent_locator"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.expr("o_orderkey div 16")).alias("response_id"), F.when(F.col("o_orderstatus") == "P", F.concat_ws(":", "o_custkey", F.year("o_orderdate"))).alias("message_id"),
+        ((F.month("o_orderdate") == 3) & (F.dayofmonth("o_orderdate") == 15)).alias("changed"),
+    )
+    seed = rows.where("changed").select(F.lit("locator").alias("kind"), F.col("locator").alias("value")).unionByName(spark.range(1).select(F.lit("response").alias("kind"), F.lit("7").alias("value")))
+    return affected.reached(affected.names(rows), seed)
+
+
+def _late_tables(spark, d, late: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``entry_decisions``, without what arrives late: each customer's orders of the first year."""
+    rows, entries, parents = _entry_tables(spark, d)
+    if late:
+        return rows, entries, parents
+    here = A.table(spark, d, "orders").where(F.year("o_orderdate") != 1992).select(F.col("o_orderkey").alias("session_id"))
+    return tuple(t.join(here, "session_id", "left_semi") for t in (rows, entries, parents))
+
+
+@query(ORACLE_SQL["entry_decisions"], adapter=False)
+def incremental_entry_decisions(spark, d):
+    """What ``entry_decisions`` says, reached in two steps: parents arrive after those that continue them, and only what they reach is decided anew."""
+    scratch = Scratch(spark, "incremental")
+    table = affected.Decisions(spark, f"{scratch.root}/decisions", "row_id long, measure string, state string, reason string, canonical long")
+
+    def decide(tables):
+        def run(sessions):
+            chosen = sessions.select(F.col("session_id").cast("long").alias("session_id"))
+            rows, entries, parents = (t.join(chosen, "session_id", "left_semi") for t in tables)
+            found = lineage.entry_decisions(rows, entries, parents, measures=("input", "output"))
+            return found.join(rows.select("row_id", F.col("session_id").cast("string").alias("session_id")), "row_id")
+
+        return run
+
+    early, whole = _late_tables(spark, d, False), _late_tables(spark, d, True)
+    table.refresh(early[2].select(F.col("session_id").cast("string").alias("session_id")), decide(early))
+    graph_ = affected.names(whole[2].select(F.col("session_id").cast("string").alias("session_id"), F.col("parent_id")))
+    new = whole[2].join(early[2].select("session_id"), "session_id", "left_anti").select(F.lit("session").alias("kind"), F.col("session_id").cast("string").alias("value"))
+    table.refresh(affected.reached(graph_, new), decide(whole))
+    return table.read().drop("session_id")
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST(count(DISTINCT l_partkey) AS BIGINT) AS variants FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(DISTINCT l_partkey) > 1", adapter=False)
 def identity_conflicts(spark, d):
     return reconcile.identity_conflicts(A.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], "l_partkey")

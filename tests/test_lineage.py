@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tallyforge import queries
-from tallyforge.operators import graph, lineage
+from tallyforge.operators import affected, graph, lineage
 
 
 def digests(spark, nodes):
@@ -65,3 +65,48 @@ def test_two_parents_of_an_entry_and_fates_of_originals(spark):
 def test_the_entries_query_meets_every_reason(spark):
     found = {r.reason for r in queries.entry_decisions(spark, "/root/testdata/sf0.001").select("reason").distinct().collect()}
     assert found == {"identity_conflict", "tool_overlap_unproven", "unfinished_attempt", "identical_measure_variant", "proven_copied_path", "copied_identity_conflict", "lineage_cycle", "missing_ancestor", "independent_entry"}
+
+
+def test_a_change_reaches_all_that_shares_names_with_it(spark):
+    rng = random.Random(9)
+    for n in (0, 12, 60):
+        rows = [(f"s{i}", f"/{i // 2}", f"/{rng.randrange(40)}" if rng.random() < 0.3 else None, f"r{rng.randrange(60)}" if rng.random() < 0.4 else None) for i in range(n)]
+        frame = spark.createDataFrame(rows, "session_id string, locator string, parent_locator string, response_id string")
+        for seed in (("locator", "/3"), ("locator", "/none"), ("response", "r1"), ("session", "s5")):
+            held = {}
+            for s, own, up, r in rows:
+                held[s] = {("locator", own), ("locator", up), ("response", r), ("session", s)} - {("locator", None), ("response", None)}
+            names, grown = {seed}, True
+            while grown:
+                more = set().union(*(h for h in held.values() if h & names), names)
+                names, grown = more, more != names
+            want = {s for s, h in held.items() if h & names}
+            found = affected.reached(affected.names(frame), spark.createDataFrame([seed], "kind string, value string"))
+            assert {r.session_id for r in found.collect()} == want
+
+
+def test_a_refresh_only_rewrites_what_it_reaches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(affected, "PARTS", 8)
+    table = affected.Decisions(spark, str(tmp_path / "d"), "row_id long, state string")
+    rows = {f"s{i}": [(i * 10 + j, "old") for j in range(3)] for i in range(40)}
+
+    def decide(sessions):
+        flat = [(s.session_id, *r) for s in sessions.collect() for r in rows.get(s.session_id, [])]
+        return spark.createDataFrame(flat, table.schema)
+
+    sessions = lambda *names: spark.createDataFrame([(s,) for s in names], "session_id string")
+    state = lambda: {(r.session_id, r.row_id, r.state) for r in table.read().collect()}
+    want = lambda: {(s, *r) for s, rs in rows.items() for r in rs}
+    assert state() == set()
+    table.refresh(sessions(*rows), decide)
+    assert state() == want()
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "d").rglob("*.parquet")}
+    rows["s3"], rows["new"] = [(30, "new")], [(900, "new")]
+    table.refresh(sessions("s3", "new"), decide)
+    assert state() == want()
+    assert len({p for p in files if p.exists() and p.stat().st_mtime_ns == files[p]} ) >= 5 and len({p.parent for p in files if not p.exists()}) <= 2
+    rows.clear()
+    table.refresh(sessions(*(f"s{i}" for i in range(40)), "new"), decide)  # nothing is left of them
+    assert state() == set()
+    table.refresh(sessions(), decide)
+    assert state() == set()
