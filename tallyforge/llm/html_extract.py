@@ -8,9 +8,10 @@ one vector are an equivalence class; a class is valid if it stands in at least a
 tokens stand in: all of a class that stands in one element of another class fills one of that one's slots. Texts in
 valid classes are the template's own, the rest of the text fills the slots. In this tree the article's element is looked for: from the root, on to the
 child class's element that holds at least DOMINANT of the slots' text, or at once to an <article> or <main> that does.
-Extraction walks each page once: it keeps what fills that element, but for parts marked as
-menu, header, footer, sidebar, notice, advert, form, script, style or reader comments. Nothing else is left out, also if
-it stands in every page; so the template only says where the article is.
+Extraction walks each page once and keeps what fills the slots of that element. An element that says the same in FIXED of its pages, while others in the article vary, is the template's own: its
+text goes where it is the template's, and stays in a page where it is another. (A heading or a paragraph that always says the same stays: only elements that hold others are of the template.) Elements with
+a word that may mark a menu, a notice or the like (``DOUBTFUL``) go if they are the template's own, and stay if what they hold varies, as slots do; the word alone decides where there is no template: an element of few
+pages, or a host with less than ``FEW``. Forms, navigation, adverts, sidebars, footers and reader comments go by tag or word (``MARKS``), whatever they hold.
 
 A host's template is bounded by what stands in most of its pages; what doesn't is filtered before anything is grouped by host.
 Pages meet templates in a join on the host, which Spark broadcasts while templates are small and splits where one host is hot.
@@ -37,6 +38,8 @@ from .common import Scratch, slices
 
 #: A class is valid if it stands in this share of a host's pages; the article's element holds this share of the slots' text.
 VALID, DOMINANT = 0.5, 0.5
+#: A text is the template's own in the article if it stands in this share of the pages that its element stands in, on a host with so many pages.
+FIXED, FEW = 0.9, 3
 #: Characters of html whose tokens are summed before they are handed on.
 SLAB = 4_000_000
 
@@ -50,8 +53,11 @@ ITEMS = frozenset("li td tr th dt dd".split())
 #: Elements, and words of class, id or role, that mark what isn't the article.
 ASIDE = frozenset("head nav aside footer form dialog menu button select fieldset".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice "
-    "notices alert popup modal newsletter subscribe subscription comment comments disqus discussion replies share sharing social related recommended toolbar login".split()
+    "ad ads advert adverts advertisement sponsored nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies newsletter comment comments disqus replies login toolbar".split()
+)
+#: Words that do so only for what the template repeats, or where there is none.
+DOUBTFUL = frozenset(
+    "sponsor promo promotion banner menu consent notice notices alert popup modal subscribe subscription discussion share sharing social related recommended".split()
 )
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"\d+")
@@ -67,12 +73,13 @@ def name_of(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
 
 
 class Element:
-    """An open element: its path; whether it holds others, is itself marked as not the article (by a word: 2, by its tag: 1), stands in such a one, and stands in the article's element."""
+    """An open element: its path; whether it holds others, has a path of its own, is itself marked as not the article (by a word: 3, a doubtful one: 2, by its tag: 1), stands in such a one, and stands in the article's element."""
 
-    __slots__ = ("tag", "path", "parent", "depth", "holds", "mark", "out", "inside", "seen")
+    __slots__ = ("tag", "path", "parent", "depth", "holds", "own", "mark", "out", "inside", "seen")
 
     def __init__(self, tag: str, path: int, parent: Element | None, depth: int, holds: bool, mark: int, inside: bool):
         self.tag, self.path, self.parent, self.depth, self.holds, self.mark, self.inside = tag, path, parent, depth, holds, mark, inside
+        self.own = holds or mark == 2 or parent is not None and path != parent.path
         self.out = mark > 0 or parent is not None and parent.out
         self.seen: dict[str, int] = {}
 
@@ -123,20 +130,25 @@ def read(page: str, main: int | None = None, spared: frozenset[int] = frozenset(
                 seen = holders[-1].seen
                 seen[tag] = number = seen.get(tag, 0) + 1
                 name = f"{tag} {number}" if number > 1 else tag
+        doubtful = not words.isdisjoint(DOUBTFUL)
+        if holds or doubtful:
             path = xxhash.xxh3_64_intdigest(f"{path}/{name}") >> 1
         is_main = holds and not parent.out and (path == main or tag == wanted)
         if is_main or tag in ("html", "body"):
             mark = 0
         elif words & MARKS and path not in spared:
+            mark = 3
+        elif doubtful and path not in spared:
             mark = 2
         else:
             mark = int(tag in ASIDE or tag == "header" and (not parent.inside or wanted == ""))
-        if holds or mark or parent.out or tag == "p":
+        if holds or doubtful or mark or parent.out or tag == "p":
             inside = parent.inside or is_main or main is None and wanted is None and tag in ("article", "main")
             element = Element(tag, path, parent, len(stack), holds, mark, inside)
             stack.append(element)
             if holds:
                 holders.append(element)
+            if element.own:
                 yield "open", name, element
 
 
@@ -151,14 +163,14 @@ def tokens(page: str) -> tuple[dict[int, list], dict[tuple[int, int], int]]:
             x[0] += 1
         elif kind == "text" and (size := len(value.strip())):
             at = element
-            while not at.holds and not at.mark:
+            while not at.own and not at.mark:
                 at = at.parent
-            if not at.holds:  # a marked paragraph or stretch of one
+            if not at.own:  # a marked paragraph or stretch of one
                 continue
             key = element.path, xxhash.xxh3_64_intdigest(value.strip()) >> 1
             texts[key] = texts.get(key, 0) + size
             while at is not None:
-                if at.holds:
+                if at.own:
                     found[at.path][1] += size
                 at = None if at.mark else at.parent
     return found, texts
@@ -218,10 +230,11 @@ def classes_of(nodes: list[dict]) -> dict[int, int]:
 
 
 def article(nodes: list[dict]) -> tuple[int | None, list[int]]:
-    """The path of the article's element among the template's (path, around, name, mark, vector, slots), and the paths around it."""
+    """The path of the article's element among the template's (path, around, name, mark, vector, slots, varies), and the paths that marks don't rule out: those around it, and doubtful ones that vary."""
     by_path = {n["path"]: n for n in nodes}
     held = sum(n["slots"] for n in nodes if n["mark"] or n["path"] == 0)
-    spared = {n["path"] for n in nodes if n["mark"] == 2 and n["slots"] > DOMINANT * held}  # a word marks a wrapper of it all
+    varying = {n["path"] for n in nodes if n["mark"] == 2 and n["varies"]}
+    spared = varying | {n["path"] for n in nodes if n["mark"] >= 2 and n["slots"] > DOMINANT * held}  # a word marks a wrapper of it all
     for p in spared:  # then what is in it counts around it too
         at = by_path.get(by_path[p]["around"])
         while at is not None:
@@ -229,7 +242,7 @@ def article(nodes: list[dict]) -> tuple[int | None, list[int]]:
             at = None if at["mark"] else by_path.get(at["around"])
     below: dict[int, list[dict]] = {}
     for n in nodes:
-        if n["path"] and n["around"] in by_path and (not n["mark"] or n["path"] in spared):
+        if n["path"] and n["around"] in by_path and n["name"].split(" ")[0] in CONTAINERS and (not n["mark"] or n["path"] in spared):
             below.setdefault(n["around"], []).append(n)
     total = by_path[0]["slots"] if 0 in by_path else 0
     reached, todo = [], [0]
@@ -253,39 +266,56 @@ def article(nodes: list[dict]) -> tuple[int | None, list[int]]:
     while at in by_path and at:
         around.append(at)
         at = by_path[at]["around"]
-    return main or None, around
+    return main or None, sorted({*around, *varying})
 
 
 def templates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, main (the path of the article's element), spared (the paths around it)."""
+    """host, main (the path of the article's element), spared (paths that marks don't rule out), fixed (path and text of what is the template's own in elements that say nothing else)."""
     hosts = scratch.table(vectors.where("path = 0 AND text IS NULL").select("host", F.col("pages").alias("all")))
     valid = vectors.join(hosts, "host").where(F.col("pages") >= VALID * F.col("all"))
-    own = valid.where("text IS NOT NULL AND pages > 1").groupBy("host", "path").agg(F.sum("chars").alias("own"))
-    nodes = valid.where("text IS NULL").join(own, ["host", "path"], "left").select("host", "path", "around", "name", "mark", F.concat_ws(",", F.col("vector").cast("string"), F.col("pages").cast("string"), F.col("total").cast("string")).alias("vector"), "chars", F.coalesce("own", F.lit(0)).alias("own"))
+    own = valid.where("text IS NOT NULL AND pages > 1").groupBy("host", "path").agg(F.sum("chars").alias("own"), F.collect_list(F.struct("text", "chars", "pages")).alias("texts"))
+    nodes = valid.where("text IS NULL").join(own, ["host", "path"], "left").select(
+        "host", "path", "around", "name", "mark", F.concat_ws(",", F.col("vector").cast("string"), F.col("pages").cast("string"), F.col("total").cast("string")).alias("vector"), "chars", "pages", "all",
+        F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("texts", F.array().cast("array<struct<text: long, chars: long, pages: long>>")).alias("texts"),
+    )
 
     def deduce(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf.drop(columns="host").to_dict("records")
         by_path = {n["path"]: n for n in nodes}
+
+        def all_around(n: dict) -> Iterator[dict]:
+            """The element and those that its text counts for."""
+            while n is not None:
+                yield n
+                n = None if n["mark"] else by_path.get(n["around"])
+
         for n in nodes:
-            n["slots"] = n["chars"]
-        for n in nodes:  # the template's own texts don't fill slots
-            at = n
-            while n["own"] and at is not None:
+            n["slots"], n["fixed"] = n["chars"], 0
+            n["texts"] = [t for t in n["texts"] if t["pages"] >= FIXED * n["pages"]]
+            n["same"] = sum(t["chars"] for t in n["texts"])
+        for n in nodes:
+            for at in all_around(n) if n["own"] else ():  # the template's own texts don't fill slots
                 at["slots"] -= n["own"]
-                if at["mark"]:
-                    break
-                at = by_path.get(at["around"])
-        if all(n["slots"] <= 0 for n in nodes):  # all pages say the same
-            for n in nodes:
-                n["slots"] = n["chars"]
-        main, around = article(nodes)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": pd.array([main], dtype="Int64"), "spared": [around]})
+                at["fixed"] += n["same"]
+        few = bool(pdf["all"].iloc[0] < FEW)
+        for n in nodes:
+            n["varies"] = not few and n["chars"] > 0 and n["fixed"] < FIXED * n["chars"]
+        same = all(n["slots"] <= 0 for n in nodes)  # all pages say the same
+        for n in nodes if same else ():
+            n["slots"] = n["chars"]
+        main, spared = article(nodes)
+        inside = by_path.get(main or 0)
+        fixed = [(n["path"], int(t["text"])) for n in nodes if n["path"] not in (0, main) and not n["mark"] and n["chars"] > 0 and not n["varies"] for t in n["texts"]]
+        if few or same or inside is None or not inside["varies"]:  # without slots nothing tells what fills them
+            fixed = []
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "main": pd.array([main], dtype="Int64"), "spared": [spared], "fixed": [[{"path": p, "text": t} for p, t in fixed]]})
 
-    return nodes.groupBy("host").applyInPandas(deduce, "host string, main long, spared array<long>")
+    return nodes.groupBy("host").applyInPandas(deduce, "host string, main long, spared array<long>, fixed array<struct<path: long, text: long>>")
 
 
-def extract(page: str, main: int | None, spared: frozenset[int]) -> str:
-    """What fills the article's element, block by block."""
+def extract(page: str, main: int | None, spared: frozenset[int], fixed: frozenset[tuple[int, int]] = frozenset()) -> str:
+    """What fills the article's element, block by block, without the texts that are ``fixed`` at a path."""
+    places = {p for p, _ in fixed}
     for path, tag in dict.fromkeys(((main, None), (None, "article"), (None, "main"), (None, ""))):
         if path is None and (tag is None or tag and f"<{tag}" not in page.lower()):
             continue
@@ -294,7 +324,7 @@ def extract(page: str, main: int | None, spared: frozenset[int]) -> str:
         found = tag == ""
         for kind, value, element in read(page, path, spared if path is not None else frozenset(), tag):
             if kind == "text":
-                if element.inside and not element.out:
+                if element.inside and not element.out and not (element.path in places and (element.path, xxhash.xxh3_64_intdigest(value.strip()) >> 1) in fixed):
                     now.append(value)
             elif kind == "open":
                 found = found or element.inside and not element.out
@@ -318,9 +348,9 @@ def extract_pages(pages: DataFrame, *, key: str = "page_id", url: str = "url", h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, main, spared = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            page, main, spared, fixed = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
             for a, b in slices(page):
-                out = [extract(p, m, frozenset(s or ())) for p, m, s in zip(page[a:b], main[a:b], spared[a:b], strict=True)]
+                out = [extract(p, m, frozenset(s or ()), frozenset((x["path"], x["text"]) for x in f or ())) for p, m, s, f in zip(page[a:b], main[a:b], spared[a:b], fixed[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.string())], [key, url, "text"])
 
-    return source.join(found, "host", "left").select("__key", "__url", "__html", "main", "spared").mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string")
+    return source.join(found, "host", "left").select("__key", "__url", "__html", "main", "spared", "fixed").mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string")
