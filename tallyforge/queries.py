@@ -9,7 +9,7 @@ from .functions import text as T
 from .functions import validate
 from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import affected, dialects, graph, lineage, matching, ordered, ownership, reconcile
-from .plans import pricing, report, transcript
+from .plans import pricing, report, transcript, usage
 from .sources import adapter as A
 from .sources import chat_log, rollout
 from .sources.scratch import Scratch
@@ -237,6 +237,81 @@ def tier_threshold(spark, d):
     return pricing.context(A.observations(spark, d), _rates(spark)).groupBy("context_reason", "context_threshold").agg(F.count("*").cast("long").alias("n"), F.sum(prompt_size()).cast("long").alias("prompt"))
 
 
+# --- decided measures, owners, costs ------------------------------------------------
+
+
+def _decided(spark, d) -> tuple[DataFrame, ...]:
+    """Observations, values and decisions as rows by measure, sessions and owners: decisions differ by measure, some are missing, some models are disputed."""
+    o, part = A.observations(spark, d), F.split_part("observation_id", F.lit(":"), F.lit(3)).cast("long")
+    o = o.withColumn("observation_id", F.concat_ws(":", "observation_id", "at_us", "input_amount", "cache_read_amount", "cache_write_amount"))
+    names = (*usage.BUCKETS, "reported")
+    each = [F.struct(F.lit(m).alias("measure"), F.col(f"{m}_state").alias("state"), F.col(f"{m}_amount").cast("long").alias("amount"), F.col(f"{m}_reason").alias("reason")) for m in names]
+    each.append(F.struct(F.lit("cache_write_1h").alias("measure"), F.when(part % 6 == 0, "known").otherwise("unknown").alias("state"), F.when(part % 6 == 0, part % 4).alias("amount"), F.lit(None).cast("string").alias("reason")))
+    values = o.select("observation_id", F.explode(F.array(*each)).alias("v")).select("observation_id", "v.*")
+    say = lambda k: F.when(part % 13 == 0, "excluded").when((part + k) % 17 == 0, "unresolved").when((part + 2 * k) % 19 == 0, "excluded").otherwise("selected")
+    said = [F.struct(F.lit(m).alias("measure"), F.when((part % 23 != 0) | F.lit(m != "cache_write"), say(k)).alias("state")) for k, m in enumerate(usage.MEASURES)]
+    decisions = o.select("observation_id", F.explode(F.array(*said)).alias("v")).select("observation_id", "v.*").where("state IS NOT NULL")
+    sessions = A.sessions(spark, d)
+    owners = graph.chain_roots(sessions.select(F.col("session_id").alias("node"), F.col("parent_id").alias("parent"))).select(F.col("node").alias("session_id"), F.col("root").alias("owner_id"))
+    conflicts = o.where(part % 29 == 0).select("observation_id")
+    rows = o.select("observation_id", "session_id", "provider", "model", "time_kind", "at_us", "start_us", "lower_bound")
+    return usage.population(rows, usage.pivot(values, decisions), sessions, owners, conflicts=conflicts), sessions
+
+
+_ALIASES = {"provider2": "provider1"}
+_DEC = lambda k, m: f"CASE WHEN {'part % 23 = 0 OR ' if m == 'cache_write' else ''}part % 13 = 0 THEN 'excluded' WHEN (part + {k}) % 17 = 0 THEN 'unresolved' WHEN (part + {2 * k}) % 19 = 0 THEN 'excluded' ELSE 'selected' END AS {m}_d"
+_MSUM = lambda m, state, lower: f"CAST(coalesce(sum(CASE WHEN {m}_d = 'selected' AND {state} = 'known' THEN {m}_amount END), 0) AS DECIMAL(38,0)) AS {m}_known, CAST(count(*) FILTER (WHERE {m}_d = 'unresolved' OR ({m}_d = 'selected' AND {state} = 'unknown')) AS BIGINT) AS {m}_unknown, CAST(count(*) FILTER (WHERE {m}_d = 'selected' AND {state} = 'not_applicable') AS BIGINT) AS {m}_na, CAST(count(*) FILTER (WHERE {lower}) AS BIGINT) AS {m}_lower"
+_USAGE_SUMS = ", ".join(_MSUM(m, f"{m}_state", "output_d = 'selected' AND output_state = 'known' AND lower_bound" if m == "output" else "false") for m in usage.MEASURES)
+_USAGE = f"""{_PRICE}, up AS (SELECT session_id AS node, session_id AS place, 0 AS depth FROM sessions UNION ALL SELECT up.node, s.parent_id, depth + 1 FROM up JOIN sessions s ON s.session_id = up.place WHERE s.parent_id IN (SELECT session_id FROM sessions)),
+  fam AS (SELECT node AS session_id, arg_max(place, depth) AS owner_id FROM up GROUP BY node),
+  x0 AS (SELECT o.* REPLACE (concat_ws(':', observation_id, at_us, input_amount, cache_read_amount, cache_write_amount) AS observation_id), CAST(split_part(observation_id, ':', 3) AS BIGINT) AS part, s.harness, fam.owner_id, p.project_id, p.started_us, coalesce(input_amount, 0) + coalesce(output_amount, 0) + coalesce(cache_read_amount, 0) + coalesce(cache_write_amount, 0) AS parts,
+    input_state = 'known' AND output_state = 'known' AND cache_read_state = 'known' AND cache_write_state = 'known' AS every FROM observations o JOIN sessions s USING (session_id) JOIN fam USING (session_id) JOIN sessions p ON p.session_id = fam.owner_id),
+  x1 AS (SELECT * REPLACE (CASE WHEN part % 29 <> 0 THEN provider END AS provider, CASE WHEN part % 29 <> 0 THEN model END AS model), {", ".join(_DEC(k, m) for k, m in enumerate(usage.MEASURES))}, {TOTAL} AS total_amount FROM x0),
+  x2 AS (SELECT *, CASE WHEN total_amount IS NULL THEN 'unknown' ELSE 'known' END AS total_state, CASE WHEN provider = 'provider2' THEN 'provider1' ELSE provider END AS price_provider, 'selected' IN (input_d, output_d, cache_read_d, cache_write_d, total_d) AS selected,
+    CASE WHEN time_kind = 'point' THEN at_us - at_us % 86400000000 END AS bucket_us, part % 6 = 0 AND part % 4 > 0 AS long_cache FROM x1 WHERE NOT (input_d = 'excluded' AND output_d = 'excluded' AND cache_read_d = 'excluded' AND cache_write_d = 'excluded' AND total_d = 'excluded')),
+  x3 AS (SELECT x2.*, CASE WHEN t.model IS NOT NULL THEN CASE WHEN time_kind <> 'point' THEN 'aggregate_context' WHEN input_state = 'unknown' OR cache_read_state = 'unknown' OR cache_write_state = 'unknown' THEN 'unknown_context_size' END END AS context_reason, t.model IS NOT NULL AS has_tiers,
+    coalesce(input_amount, 0) + coalesce(cache_read_amount, 0) + coalesce(cache_write_amount, 0) AS prompt FROM x2 LEFT JOIN tiered t ON t.provider = x2.price_provider AND t.model = x2.model),
+  x AS (SELECT *, CASE WHEN has_tiers AND context_reason IS NULL THEN CASE WHEN prompt > 400 THEN 400 WHEN prompt > 250 THEN 250 END END AS context_threshold FROM x3),
+  l AS (SELECT observation_id, x.price_provider, x.model, context_reason, coalesce(context_threshold, 0) AS threshold, long_cache, category, state, amount, dec FROM x, LATERAL (VALUES ('input', input_state, input_amount, input_d), ('output', output_state, output_amount, output_d), ('cache_read', cache_read_state, cache_read_amount, cache_read_d), ('cache_write', cache_write_state, cache_write_amount, cache_write_d)) v(category, state, amount, dec)
+    WHERE dec <> 'excluded' AND NOT (dec = 'selected' AND (state = 'not_applicable' OR (state = 'known' AND amount = 0)))),
+  c AS (SELECT observation_id, count(*) FILTER (WHERE ok) AS n, count(*) AS all_lines, coalesce(sum(CASE WHEN ok THEN CAST(amount AS DECIMAL(18,0)) * CAST(rate * 1000 AS DECIMAL(18,0)) END), 0) AS nano
+    FROM (SELECT l.*, rate, dec = 'selected' AND state = 'known' AND rate IS NOT NULL AND context_reason IS NULL AND NOT (long_cache AND l.category = 'cache_write') AS ok FROM l LEFT JOIN rates r ON r.provider = l.price_provider AND r.model = l.model AND r.category = l.category AND r.threshold = l.threshold) GROUP BY observation_id),
+  y AS (SELECT x.*, coalesce(c.n, 0) AS n_lines, coalesce(c.all_lines, 0) > coalesce(c.n, 0) AS is_open, coalesce(nano, 0) AS nano FROM x LEFT JOIN c USING (observation_id))"""
+_COST = "CAST(sum(nano) AS BIGINT) AS nano_usd, CAST(count(*) FILTER (WHERE is_open) AS BIGINT) AS unpriced"
+
+
+def _priced(spark, d) -> tuple[DataFrame, DataFrame]:
+    base, sessions = _decided(spark, d)
+    return usage.costs(usage.groups(base, _rates(spark), _ALIASES), _rates(spark)), sessions
+
+
+@query(f"{_USAGE} SELECT project_id, CAST(count(*) AS BIGINT) AS observations, CAST(count(DISTINCT CASE WHEN selected THEN owner_id END) AS BIGINT) AS owners, {_USAGE_SUMS}, {_COST} FROM y GROUP BY project_id")
+def usage_by_project(spark, d):
+    """Eligible observations by their owner's project, each measure by its own decisions."""
+    priced, _ = _priced(spark, d)
+    return usage.summed(priced, "project_id").withColumn("nano_usd", (F.col("micro_usd") * 1000).cast("long")).drop("micro_usd", "lines")
+
+
+@query(f"{_USAGE} SELECT owner_id, project_id, harness, provider, model, bucket_us, context_reason, CAST(context_threshold AS BIGINT) AS context_threshold, long_cache, CAST(count(*) AS BIGINT) AS observations, bool_or(selected) AS selected, {_USAGE_SUMS}, {_COST} FROM y GROUP BY owner_id, project_id, harness, provider, model, bucket_us, context_reason, context_threshold, long_cache")
+def usage_groups(spark, d):
+    """The groups that the report is made of."""
+    priced, _ = _priced(spark, d)
+    keys = ("owner_id", "project_id", "harness", "provider", "model", "bucket_us", "context_reason", "context_threshold", "long_cache")
+    found = usage.summed(priced, *keys).withColumns({"nano_usd": (F.col("micro_usd") * 1000).cast("long"), "selected": F.col("owners") > 0})
+    return found.drop("micro_usd", "lines", "owners")
+
+
+@query(f"""{_USAGE}, per AS (SELECT owner_id, min(started_us) AS started_us, sum(nano) AS nano, count(*) FILTER (WHERE is_open) AS unpriced, sum(n_lines) AS n FROM y GROUP BY owner_id),
+  ranked AS (SELECT *, row_number() OVER (ORDER BY NOT (unpriced = 0 OR n > 0), nano DESC, started_us NULLS LAST, owner_id) AS position, count(*) OVER () AS total_rows FROM per)
+  SELECT owner_id, started_us, CAST(nano AS BIGINT) AS nano_usd, CAST(unpriced AS BIGINT) AS unpriced, position, total_rows FROM ranked WHERE position > 50 AND position <= 100""")
+def usage_owners_by_cost(spark, d):
+    """The second page of owners, the dearest first."""
+    priced, sessions = _priced(spark, d)
+    rows = usage.summed(priced, "owner_id").join(sessions.select(F.col("session_id").alias("owner_id"), "started_us"), "owner_id")
+    page = report.page(rows.select("owner_id", "started_us", "micro_usd", "unpriced", "lines"), 2, 50, *usage.cost_order())
+    return page.withColumn("nano_usd", (F.col("micro_usd") * 1000).cast("long")).drop("micro_usd", "lines")
+
+
 # --- joins -------------------------------------------------------------------
 
 
