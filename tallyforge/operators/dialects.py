@@ -61,6 +61,61 @@ def call_decisions(rows: DataFrame) -> DataFrame:
     return placed.join(per, "component", "left").select("row_id", state.alias("state"), reason.alias("reason"))
 
 
+def call_log_decisions(rows: DataFrame) -> DataFrame:
+    """row_id, state, reason, canonical of (row_id long, message_id, request_id, entry_id, signature, output, finality, writer_token, usable, reason, at_us, locator, line, current, superseded).
+
+    A row that stands in several places has a row for each. What shares a message, a request or an entry is one call. Superseded places only count where a call has no others. A call's output is contested if
+    final counts differ, one is missing or unreadable beside them, an entry is final in one place and not in another, or several writers wrote it, but for one that made final what another began; its identity is if messages,
+    requests and entries aren't one to one, its inputs differ, or a place of it can't be used. Else its first final row counts (first by projection, time, file and line), and rows without
+    ids only through their entry.
+    """
+    scratch = Scratch(rows.sparkSession, "calls")
+    rows = scratch.table(rows)
+    ties = []
+    for name in ("message_id", "request_id", "entry_id"):
+        first = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.min("row_id").alias("b"))
+        ties.append(rows.join(first, name).select(F.col("row_id").alias("a"), "b"))
+    found = connected(functools.reduce(DataFrame.unionByName, ties).unionByName(rows.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"))).distinct())
+    rows = rows.join(found.withColumnRenamed("node", "row_id"), "row_id")
+    lone = rows.groupBy("component").agg(F.min("superseded").alias("all_superseded"))
+    named = F.col("message_id").isNotNull() | F.col("request_id").isNotNull()
+    rows = scratch.table(rows.join(lone, "component").withColumn("active", ~F.col("superseded") | F.col("all_superseded")).withColumn("named", named))
+
+    # What isn't one to one, by the component of any row of it.
+    pairs = (("message_id", "request_id"), ("request_id", "message_id"), ("entry_id", "message_id"), ("entry_id", "request_id"))
+    split = [rows.where(F.col(a).isNotNull()).groupBy(a).agg(F.countDistinct(b).alias("n"), F.min("component").alias("component")).where("n > 1").select("component") for a, b in pairs]
+    split = functools.reduce(DataFrame.unionByName, split).distinct().withColumn("split", F.lit(True))
+    active = rows.where("active")
+    entries = active.groupBy("entry_id").agg(
+        F.bool_or("named").alias("entry_named"), F.bool_or((F.col("finality") == "final") & F.col("current")).alias("has_final"), F.bool_or((F.col("finality") != "final") & F.col("current")).alias("has_other"),
+    )
+    active = active.join(entries, "entry_id", "left")
+    nameless = ~F.col("named") & ~F.coalesce("entry_named", F.lit(False))
+    active = active.withColumn("nameless", F.max(nameless.cast("int")).over(Window.partitionBy("row_id")) == 1)
+    final, token = F.col("finality") == "final", F.col("writer_token")
+    excused = ~F.col("named") & F.coalesce("entry_named", F.lit(False)) & F.coalesce(F.col("reason") == "missing_identity", F.lit(False))
+    order = F.struct((~F.col("current")).alias("old"), F.col("at_us").isNull().alias("late"), F.coalesce("at_us", F.lit(0)).alias("at"), "locator", "line", F.coalesce("entry_id", F.lit("")).alias("entry"))
+    per = active.groupBy("component").agg(
+        F.countDistinct(F.when(final, F.struct("output"))).alias("final_outputs"), F.bool_or(F.col("finality").isin("final_missing", "invalid")).alias("lacks"), F.bool_or(F.col("finality") == "invalid").alias("broken"),
+        F.bool_or(F.col("has_final") & F.col("has_other")).alias("mixed"), F.countDistinct(token).alias("writers"), F.countDistinct(F.when(final, token)).alias("final_writers"), F.countDistinct(F.when(F.col("finality") == "placeholder", token)).alias("first_writers"),
+        F.bool_and((final & token.isNotNull()) | (F.col("finality") == "placeholder") | ((F.col("finality") == "unqualified") & token.isNull())).alias("plain"), F.bool_or(final & token.isNull()).alias("final_unsigned"), F.bool_or(final & token.isNotNull()).alias("final_signed"),
+        F.countDistinct("signature").alias("signatures"), F.bool_or(~F.col("usable") & ~F.col("nameless") & ~excused).alias("unusable"),
+    )
+    refined = (F.col("final_writers") == 1) & (F.col("first_writers") <= 1) & F.col("plain")
+    output_conflict = (F.col("final_outputs") > 1) | ((F.col("final_outputs") > 0) & F.col("lacks")) | F.col("broken") | F.col("mixed") | ((F.col("writers") > 1) & ~refined) | (F.col("final_unsigned") & F.col("final_signed"))
+    per = per.join(split, "component", "left").select("component", output_conflict.alias("output_conflict"), (F.coalesce("split", F.lit(False)) | (F.col("signatures") > 1) | F.col("unusable")).alias("conflict"))
+    best = rows.where("named AND NOT superseded").groupBy("component", "row_id").agg(F.min_by("finality", order).alias("finality"), F.min(order).alias("order"))
+    canonical = best.groupBy("component").agg(F.min(F.struct((F.col("finality") != "final").alias("open"), "order", "row_id"))["row_id"].alias("canonical"))
+    one = rows.groupBy("component", "row_id").agg(F.bool_or("active").alias("active")).join(active.groupBy("row_id").agg(F.bool_or("nameless").alias("nameless")), "row_id", "left")
+    one = one.join(per, "component").join(canonical, "component", "left")
+    say = lambda state, reason, copy=False: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"), (F.col("canonical") if copy else F.lit(None).cast("long")).alias("canonical"))
+    said = (
+        F.when(F.col("output_conflict"), say("unresolved", "output_conflict")).when(F.col("conflict"), say("unresolved", "identity_conflict")).when(F.col("canonical").isNull(), say("unresolved", "missing_identity"))
+        .when(~F.col("active"), say("excluded", "superseded_projection", True)).when(F.col("nameless"), say("unresolved", "missing_identity")).when(F.col("row_id") == F.col("canonical"), say("selected", "call")).otherwise(say("excluded", "duplicate", True))
+    )
+    return one.select("row_id", said.alias("d")).select("row_id", "d.*")
+
+
 def alternate_decisions(rows: DataFrame) -> DataFrame:
     """row_id, state, reason of (row_id, session_id, source, is_log, logical_key, value).
 

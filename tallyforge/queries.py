@@ -11,7 +11,7 @@ from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import affected, dialects, graph, lineage, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript, usage
 from .sources import adapter as A
-from .sources import chat_log, rollout
+from .sources import call_log, chat_log, rollout
 from .sources.scratch import Scratch
 
 #: A dated report of four years.
@@ -854,6 +854,58 @@ def rollout_rules(spark, d):
     return dialects.rollout_decisions(rows, e.select(text("s", s).alias("session_id"), parent.alias("parent_id")))
 
 
+# --- call logs, written from events, read back and decided -------------------------------
+
+
+def _call_lines(spark, d) -> DataFrame:
+    """Each user's events as entries of a call log: ids that neighbours share, several writers, counts that are missing, wrong or contradictory."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    i, kind = F.col("event_id"), F.col("event_type")
+    user = text("00000000-0000-4000-8000-", F.lpad(F.col("user_id").cast("string"), 12, "0"))
+    e = A.table(spark, d, "events").select("*", F.expr("event_id div 3").alias("g"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("line"))
+    out = F.when(i % 77 == 0, '"x"').when(i % 15 != 0, (F.col("g") % 5 + F.when(i % 101 == 0, 1).otherwise(0)).cast("string"))
+    usage_ = text('{"input_tokens":', F.col("g") % 9 + F.when(i % 55 == 0, 1).otherwise(0), F.when(out.isNotNull(), text(',"output_tokens":', out)).otherwise(""), ',"cache_read_input_tokens":3}')
+    message = text('{"model":"m","usage":', usage_, F.when(i % 7 != 0, text(',"id":"m', F.col("g"), '"')).otherwise(""), "}")
+    version = F.when(F.col("g") % 6 == 0, F.when(i % 3 == 0, "2.1.90").otherwise("2.1.98")).when(F.col("g") % 6 == 1, "2.1.97").when((F.col("g") % 6 == 2) & (i % 3 == 1), "v?").otherwise("2.2.0")
+    record = text(
+        '{"type":"', F.when(kind == "signup", "user").otherwise("assistant"), '","uuid":"u', F.when(i % 10 == 5, i - 1).otherwise(i), '","sessionId":"', user, '","version":"', version, '","message":', message,
+        F.when(i % 7 != 1, text(',"requestId":"q', F.expr("(event_id + if(event_id % 40 = 0, 1, 0)) div 3"), '"')).otherwise(""), F.when(i % 5 != 0, text(',"timestamp":"', F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss"), 'Z"')).otherwise(""), "}",
+    )
+    return e.select(text("/c/", user, ".jsonl").alias("locator"), "line", record.alias("record"), F.lit("ok").alias("status"), "event_id")
+
+
+_CALL_LOG = """r0 AS (SELECT *, event_id // 3 AS g, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line FROM events),
+  r AS (SELECT event_id AS row_id, user_id, line, CASE WHEN event_id % 7 <> 0 THEN 'm' || g END AS m, CASE WHEN event_id % 7 <> 1 THEN 'q' || (event_id + CASE WHEN event_id % 40 = 0 THEN 1 ELSE 0 END) // 3 END AS q, 'u' || (event_id - CASE WHEN event_id % 10 = 5 THEN 1 ELSE 0 END) AS u,
+      g % 9 + CASE WHEN event_id % 55 = 0 THEN 1 ELSE 0 END AS sig, CASE WHEN event_id % 77 <> 0 AND event_id % 15 <> 0 THEN g % 5 + CASE WHEN event_id % 101 = 0 THEN 1 ELSE 0 END END AS o,
+      CASE WHEN g % 6 = 0 THEN CASE WHEN event_id % 3 = 0 THEN '2.1.90' ELSE '2.1.98' END WHEN g % 6 = 1 THEN '2.1.97' WHEN g % 6 = 2 AND event_id % 3 = 1 THEN 'v?' ELSE '2.2.0' END AS version,
+      CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) // 1000000 * 1000000 END AS at_us, event_id % 14 <> 3 AS cur, event_id % 9 = 4 AS sup FROM r0 WHERE event_type <> 'signup'),
+  k AS (SELECT *, CASE version WHEN '2.1.90' THEN 'placeholder' WHEN 'v?' THEN 'unqualified' ELSE 'final' END AS kind, CASE WHEN version <> 'v?' THEN version END AS w, m IS NOT NULL OR q IS NOT NULL AS named FROM r),
+  f AS (SELECT *, CASE WHEN row_id % 77 = 0 THEN 'invalid' WHEN row_id % 15 = 0 THEN CASE WHEN kind = 'final' THEN 'final_missing' ELSE 'not_reported' END ELSE kind END AS fin FROM k),
+  e AS (SELECT a.row_id AS a, b.row_id AS b FROM f a JOIN f b USING (m) UNION SELECT a.row_id, b.row_id FROM f a JOIN f b USING (q) UNION SELECT a.row_id, b.row_id FROM f a JOIN f b USING (u)),
+  reach AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a), comp AS (SELECT a AS row_id, min(b) AS c FROM reach GROUP BY a),
+  p AS (SELECT f.*, c, NOT sup OR bool_and(sup) OVER (PARTITION BY c) AS active, dense_rank() OVER (ORDER BY NOT cur, at_us IS NULL, coalesce(at_us, 0), user_id, line) AS age FROM f JOIN comp USING (row_id)),
+  torn AS (SELECT min(c) AS c FROM p GROUP BY m HAVING m IS NOT NULL AND count(DISTINCT q) > 1 UNION SELECT min(c) FROM p GROUP BY q HAVING q IS NOT NULL AND count(DISTINCT m) > 1 UNION SELECT min(c) FROM p GROUP BY u HAVING count(DISTINCT m) > 1 OR count(DISTINCT q) > 1),
+  ent AS (SELECT u, bool_or(named) AS known, bool_or(cur AND fin = 'final') AND bool_or(cur AND fin <> 'final') AS mixed FROM p WHERE active GROUP BY u),
+  act AS (SELECT p.*, known, mixed, NOT named AND NOT known AS nameless FROM p JOIN ent USING (u) WHERE active),
+  per AS (SELECT c, count(DISTINCT CASE WHEN fin = 'final' THEN o END) AS outs, bool_or(fin IN ('final_missing', 'invalid')) AS lacks, bool_or(fin = 'invalid') AS broken, bool_or(mixed) AS mixed, count(DISTINCT w) AS ws, count(DISTINCT CASE WHEN fin = 'final' THEN w END) AS fw, count(DISTINCT CASE WHEN fin = 'placeholder' THEN w END) AS pw,
+      bool_and(fin = 'final' OR fin = 'placeholder' OR (fin = 'unqualified' AND w IS NULL)) AS plain, count(DISTINCT sig) AS sigs, bool_or(NOT nameless AND ((fin = 'invalid') OR (NOT named AND NOT known))) AS unusable FROM act GROUP BY c),
+  top AS (SELECT c, arg_min(row_id, (CASE WHEN fin = 'final' THEN 0 ELSE 1 END) * 1000000000 + age) AS top FROM p WHERE named AND NOT sup GROUP BY c),
+  d AS (SELECT p.row_id, top, CASE WHEN outs > 1 OR (outs > 0 AND lacks) OR broken OR per.mixed OR (ws > 1 AND NOT (fw = 1 AND pw <= 1 AND plain)) THEN 'output_conflict' WHEN p.c IN (SELECT c FROM torn) OR sigs > 1 OR unusable THEN 'identity_conflict' WHEN top IS NULL THEN 'missing_identity'
+      WHEN NOT p.active THEN 'superseded_projection' WHEN act.nameless THEN 'missing_identity' WHEN p.row_id = top THEN 'call' ELSE 'duplicate' END AS reason FROM p JOIN per USING (c) LEFT JOIN top USING (c) LEFT JOIN act ON act.row_id = p.row_id)"""
+
+
+@query(f"{_CALL_LOG} SELECT row_id, CASE WHEN reason = 'call' THEN 'selected' WHEN reason IN ('duplicate', 'superseded_projection') THEN 'excluded' ELSE 'unresolved' END AS state, reason, CASE WHEN reason IN ('duplicate', 'superseded_projection') THEN top END AS canonical FROM d")
+def call_log_decisions(spark, d):
+    """Call logs read line by line, then decided by who wrote what and how final it is."""
+    written = _call_lines(spark, d)
+    found = call_log.observations(call_log.parsed(written.drop("event_id"))).join(written.select("locator", "line", F.col("event_id").alias("row_id")), ["locator", "line"])
+    signature = F.sha2(F.to_json(F.struct("model", "input_amount", "cache_read_amount", "cache_write_amount"), {"ignoreNullFields": "false"}), 256)
+    i = F.col("row_id")
+    return dialects.call_log_decisions(found.select(
+        "row_id", "message_id", "request_id", "entry_id", signature.alias("signature"), F.col("written_output").alias("output"), "finality", "writer_token", "usable", "reason", "at_us", "locator", "line", (i % 14 != 3).alias("current"), (i % 9 == 4).alias("superseded"),
+    ))
+
+
 # --- editor chats, written from events as logs of edits and replayed ---------------------
 
 

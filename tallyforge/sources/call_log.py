@@ -61,6 +61,11 @@ def writer(version: Column) -> Column:
     return F.when(found.isNull(), "unqualified").when((numbers > least) | ((numbers == least) & ~found["early"]), "final").otherwise("placeholder")
 
 
+def writer_token(version: Column) -> Column:
+    """What tells one writer's version from another; null for one that isn't strict."""
+    return F.when(release(version).isNotNull(), F.sha2(F.concat(F.lit("writer:"), version), 256))
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """locator, line, the record ``r``, and who the file says it is, of files in which every entry that names a session names the file's."""
     rows = lines.where("status = 'ok'").select("locator", "line", F.from_json("record", _RECORD).alias("r"), identity(F.col("locator")).alias("own")).where("own IS NOT NULL")
@@ -71,6 +76,11 @@ def parsed(lines: DataFrame) -> DataFrame:
     return rows.join(good, "locator").select("locator", "line", "r", native.alias("session_id"), F.when(F.col("own.agent").isNotNull(), F.col("own.parent")).alias("parent_id"), F.col("own.main").alias("main_locator"))
 
 
+def cwd_broken(cwd: Column) -> Column:
+    """Whether a directory is given that is no absolute path."""
+    return cwd.isNotNull() & ~F.coalesce(cwd.startswith("/"), F.lit(False))
+
+
 def headers(rows: DataFrame) -> DataFrame:
     """locator, session_id, parent_id, started_us, last_us, cwd, cwd_state of the files in ``parsed`` rows: a directory holds if all that is said of it is valid and agrees."""
     at, cwd = instant(F.col("r.timestamp")), F.col("r.cwd")
@@ -102,7 +112,7 @@ def observations(rows: DataFrame) -> DataFrame:
     at = instant(F.col("r.timestamp"))
     return billed.select(
         "locator", "line", "session_id", F.col("r.uuid").alias("entry_id"), _text(F.col("r.parentUuid")).alias("parent_entry"), message.alias("message_id"), request.alias("request_id"), F.col("r.message.model").alias("model"),
-        at.alias("at_us"), F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), finality.alias("finality"), written.alias("written_output"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
+        at.alias("at_us"), F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), finality.alias("finality"), written.alias("written_output"), writer_token(F.col("r.version")).alias("writer_token"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
     )
 
 
@@ -120,5 +130,12 @@ def diagnostics(lines: DataFrame) -> DataFrame:
     }
     found = rows.select("locator", "line", F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), k) for k, c in codes.items())))).alias("code"))
     known = rows.select("locator").distinct()
+    strange = lines.where("status = 'malformed' AND record IS NOT NULL").join(known, "locator").select("locator", "line", F.lit("invalid_record").alias("code"))
+    where = F.min(F.when(cwd_broken(F.col("r.cwd")), F.col("line"))).alias("broken"), F.min_by("r.cwd", "line").alias("first")
+    place = rows.where("r.cwd IS NOT NULL").groupBy("locator").agg(*where)
+    other = rows.join(place.where("broken IS NULL"), "locator").where("r.cwd != first").groupBy("locator").agg(F.min("line").alias("other"))
+    cwd = known.join(place, "locator", "left").join(other, "locator", "left").where("first IS NULL OR broken IS NOT NULL OR other IS NOT NULL")
+    unplaced = cwd.select("locator", F.coalesce("broken", "other").alias("line"), F.lit("cwd_attribution_unavailable").alias("code"))
     refused = lines.select("locator").distinct().join(known, "locator", "left_anti").select("locator", F.lit(None).cast("long").alias("line"), F.lit("conflicting_session_identity").alias("code"))
-    return found.unionByName(lines.where("status = 'malformed'").join(known, "locator").select("locator", "line", F.lit("malformed_json").alias("code"))).unionByName(refused)
+    found = found.unionByName(strange).unionByName(unplaced)
+    return found.unionByName(lines.where("status = 'malformed' AND record IS NULL").join(known, "locator").select("locator", "line", F.lit("malformed_json").alias("code"))).unionByName(refused)

@@ -51,4 +51,4 @@ def test_observations_and_diagnostics(spark):
     heads = {r.session_id: (r.parent_id, r.cwd, r.cwd_state) for r in call_log.headers(rows).collect()}
     assert heads == {ID: (None, None, "invalid"), f"{ID}:agent:k": (ID, "/w", "valid")}
     codes = sorted((r.locator[:2], r.line or 0, r.code) for r in call_log.diagnostics(found).collect())
-    assert codes == sorted([("6f", 3, "invalid_count"), ("6f", 5, "writer_version_unavailable"), ("6f", 6, "invalid_count"), ("6f", 7, "invalid_entry_identity"), ("6f", 9, "invalid_model"), ("6f", 10, "invalid_timestamp"), ("6f", 12, "malformed_json"), ("ot", 0, "conflicting_session_identity"), ("7f", 0, "conflicting_session_identity")])
+    assert codes == sorted([("6f", 11, "cwd_attribution_unavailable"), ("6f", 3, "invalid_count"), ("6f", 5, "writer_version_unavailable"), ("6f", 6, "invalid_count"), ("6f", 7, "invalid_entry_identity"), ("6f", 9, "invalid_model"), ("6f", 10, "invalid_timestamp"), ("6f", 12, "malformed_json"), ("ot", 0, "conflicting_session_identity"), ("7f", 0, "conflicting_session_identity")])
