@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import ancestors
+from ..sources.scratch import Scratch
+from .lineage import nearest
 
 
 def identity_conflicts(rows: DataFrame, keys: list[str], fingerprint: str) -> DataFrame:
@@ -26,12 +27,11 @@ def copied_paths(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     one a conflict; without such an ancestor the row is independent.
     """
     per = rows.groupBy("session_id", "native_id").agg(F.countDistinct("fingerprint").alias("variants"), F.min("observation_id").alias("first"), F.min("fingerprint").alias("own"))
-    chain = ancestors(sessions.select(F.col("session_id").alias("node"), F.col("parent_id").alias("parent")))
-    up = per.select(F.col("session_id").alias("ancestor"), "native_id", F.col("variants").alias("up_variants"), F.col("own").alias("up_own"))
-    nearest = (
-        per.select("session_id", "native_id").join(chain.withColumnRenamed("node", "session_id"), "session_id").join(up, ["ancestor", "native_id"])
-        .groupBy("session_id", "native_id").agg(F.min_by(F.struct("ancestor", "up_variants", "up_own"), "distance").alias("near"))
-    )
+    scratch = Scratch(rows.sparkSession, "copies")
+    per = scratch.table(per)
+    tree = sessions.select(F.col("session_id").alias("node"), F.col("parent_id").alias("parent"))
+    held = per.select("session_id", F.col("native_id").alias("key"), F.struct(F.col("variants").alias("up_variants"), F.col("own").alias("up_own")).alias("what"))
+    near = nearest(held, scratch.table(tree), scratch).withColumnRenamed("key", "native_id")
     reason = (
         F.when(F.col("variants") > 1, "identity_conflict")
         .when(F.col("observation_id") != F.col("first"), "identical_measure_variant")
@@ -40,7 +40,7 @@ def copied_paths(rows: DataFrame, sessions: DataFrame) -> DataFrame:
         .otherwise("copied_identity_conflict")
     )
     state = F.when(reason == "independent_entry", "selected").when(reason.isin("identical_measure_variant", "proven_copied_path"), "excluded").otherwise("unresolved")
-    joined = rows.join(per, ["session_id", "native_id"]).join(nearest, ["session_id", "native_id"], "left")
+    joined = rows.join(per, ["session_id", "native_id"]).join(near, ["session_id", "native_id"], "left")
     return joined.select("observation_id", "session_id", "native_id", state.alias("state"), reason.alias("reason"))
 
 

@@ -11,7 +11,7 @@ from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import affected, dialects, graph, lineage, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript, usage
 from .sources import adapter as A
-from .sources import call_log, chat_log, rollout
+from .sources import call_log, chat_log, event_log, rollout
 from .sources.scratch import Scratch
 
 #: A dated report of four years.
@@ -906,6 +906,80 @@ def call_log_decisions(spark, d):
     ))
 
 
+# --- terminal sessions, written from events as chains of events ---------------------------
+
+
+def _event_lines(spark, d) -> DataFrame:
+    """Each user's events as a session's chain: most follow the start, some the event before, some one that comes later or isn't there, some take another's id."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    uuid = lambda kind, n: text(f"00000000-0000-4000-{kind}-", F.lpad(n.cast("string"), 12, "0"))
+    i, u, kind, w = F.col("event_id"), F.col("user_id"), F.col("event_type"), Window.partitionBy("user_id").orderBy("event_id")
+    e = A.table(spark, d, "events").select("event_id", "user_id", "event_type", F.lag("event_id").over(w).alias("last"), F.lead("event_id").over(w).alias("next"), (F.row_number().over(w) + 1).cast("long").alias("line"))
+    start = uuid("9000", u)
+    own = uuid("8000", F.when(i % 31 == 5, F.coalesce("last", i)).otherwise(i))
+    parent = F.when(i % 50 == 7, F.coalesce(uuid("8000", F.col("next")), start)).when(i % 37 == 3, uuid("a000", i)).when(i % 4 == 1, F.coalesce(uuid("8000", F.col("last")), start)).otherwise(start)
+    counts = lambda n: text('{"inputTokens":', n % 100, ',"outputTokens":', n % 50, ',"cacheReadTokens":', n % 3, ',"cacheWriteTokens":0}')
+    wrong = text('{"inputTokens":"x","outputTokens":', i % 50, ',"cacheReadTokens":0,"cacheWriteTokens":0}')
+    metrics = text('{"m1":{"requests":{"count":', i % 9, ',"cost":0.5},"usage":', counts(i), "}", F.when(i % 2 == 0, text(',"m2":{"requests":{},"usage":', F.when(i % 10 == 0, wrong).otherwise(counts(i + 1)), "}")).otherwise(""), "}")
+    agents = F.when(i % 6 == 0, text(',"agentMetrics":{"helper":{"totalApiDurationMs":1,"totalNanoAiu":', i % 7, F.when(i % 12 == 0, ',"modelMetrics":{}').otherwise(""), "}}")).otherwise("")
+    closing = text('{"sessionStartTime":', F.lit(1577836800000) + F.when(i % 23 == 0, 1).otherwise(0), ',"shutdownType":"', F.when(i % 3 == 0, "error").otherwise("routine"), '","totalApiDurationMs":5,"codeChanges":{"filesModified":["f"],"linesAdded":1,"linesRemoved":0},"totalNanoAiu":', i, ',"modelMetrics":', metrics, agents, "}")
+    data = F.when(kind == "purchase", closing).when(kind == "click", F.when(i % 8 == 0, "{}").otherwise(text('{"totalNanoAiu":', i, ".5}"))).when(kind == "error", text('{"cwd":"/w', u % 2, '"}')).otherwise("{}")
+    name = F.when(kind == "purchase", "session.shutdown").when(kind == "click", "session.usage_checkpoint").when(kind == "error", "session.context_changed").when(kind == "signup", "assistant.usage").otherwise("user.message")
+    record = text('{"type":"', name, '","id":"', own, '","parentId":"', parent, '","timestamp":"2024-01-01T00:00:00.', F.lpad((i % 1000).cast("string"), 3, "0"), 'Z","data":', data, "}")
+    locator = text("/h/session-state/", uuid("b000", u), "/events.jsonl").alias("locator")
+    head = text('{"type":"session.start","id":"', start, '","parentId":null,"timestamp":"2020-01-01T00:00:00Z","data":{"sessionId":"', uuid("b000", u), '","version":', F.when(u % 19 == 0, 2).otherwise(1), ',"producer":"copilot-cli","copilotVersion":"1","startTime":"2020-01-01T00:00:00Z"}}')
+    users = e.select("user_id").distinct()
+    first = users.select(locator, F.lit(1).cast("long").alias("line"), head.alias("record"))
+    again = users.where(u % 23 == 0).select(locator, F.lit(1_000_000).cast("long").alias("line"), head.alias("record"))
+    return first.unionByName(again).unionByName(e.select(locator, "line", record.alias("record"))).withColumn("status", F.lit("ok"))
+
+
+_EVENTS = """e0 AS (SELECT event_id, user_id, event_type, lag(event_id) OVER w AS last, lead(event_id) OVER w AS next, row_number() OVER w + 1 AS line FROM events WHERE user_id % 23 <> 0 AND user_id % 19 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  e AS (SELECT *, CASE WHEN event_id % 31 = 5 THEN coalesce(last, event_id) ELSE event_id END AS own, CASE WHEN event_id % 50 = 7 THEN coalesce(next, -1) WHEN event_id % 37 = 3 THEN -2 WHEN event_id % 4 = 1 THEN coalesce(last, -1) ELSE -1 END AS up FROM e0),
+  place AS (SELECT user_id, own, min(line) AS line FROM e GROUP BY ALL), firsts AS (SELECT e.*, p.line AS up_line FROM e JOIN place USING (user_id, own, line) LEFT JOIN place p ON p.user_id = e.user_id AND p.own = e.up),
+  refused AS (SELECT user_id, own FROM firsts WHERE up_line >= line UNION SELECT f.user_id, f.own FROM firsts f JOIN refused r ON r.user_id = f.user_id AND r.own = f.up),
+  verdict AS (SELECT e.*, CASE WHEN f.line IS NULL THEN 'duplicate_event_id' WHEN r.own IS NOT NULL THEN 'invalid_event_chain' WHEN e.up <> -1 AND f.up_line IS NULL THEN 'event_chain_gap' END AS code, f.line IS NOT NULL AND r.own IS NULL AS accepted
+    FROM e LEFT JOIN firsts f ON f.user_id = e.user_id AND f.line = e.line LEFT JOIN refused r ON f.user_id = r.user_id AND f.own = r.own),
+  paths AS (SELECT DISTINCT user_id, '/h/session-state/00000000-0000-4000-b000-' || lpad(CAST(user_id AS VARCHAR), 12, '0') || '/events.jsonl' AS locator FROM events)"""
+
+
+def _events(spark, d) -> tuple[DataFrame, ...]:
+    lines = _event_lines(spark, d)
+    files, events = event_log.qualified(Scratch(spark, "events").table(event_log.envelopes(lines)))
+    return lines, files, events
+
+
+@query(f"WITH RECURSIVE {_EVENTS} SELECT locator, CAST(line AS BIGINT) AS line, code, accepted FROM verdict JOIN paths USING (user_id) UNION ALL SELECT locator, 1, NULL, true FROM paths WHERE user_id % 23 <> 0 AND user_id % 19 <> 0", adapter=False)
+def event_chains(spark, d):
+    _, _, events = _events(spark, d)
+    return events.select("locator", "line", F.col("chain").alias("code"), "accepted")
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, told AS (SELECT * FROM verdict WHERE accepted AND event_type IN ('purchase', 'click')),
+  shut AS (SELECT *, event_id % 23 <> 0 AS good FROM told WHERE event_type = 'purchase'),
+  c AS (SELECT user_id, line, 'checkpoint' AS source, 'session' AS scope, CAST(NULL AS VARCHAR) AS name, CASE WHEN event_id % 8 <> 0 THEN event_id + 0.5 END AS nano, CAST(NULL AS BIGINT) AS input, CAST(NULL AS BIGINT) AS output, CAST(NULL AS VARCHAR) AS input_reason, CASE WHEN event_id % 8 = 0 THEN 'nano_aiu' ELSE '' END AS invalid FROM told WHERE event_type = 'click'
+    UNION ALL SELECT user_id, line, 'shutdown', 'session', NULL, event_id, NULL, NULL, NULL, CASE WHEN good THEN '' ELSE 'epoch' END FROM shut
+    UNION ALL SELECT user_id, line, 'shutdown', 'model', 'm1', NULL, event_id % 100, event_id % 50, CASE WHEN event_id % 3 > 0 THEN 'cache_inclusion_unknown' END, '' FROM shut WHERE good
+    UNION ALL SELECT user_id, line, 'shutdown', 'model', 'm2', NULL, CASE WHEN event_id % 10 <> 0 THEN (event_id + 1) % 100 END, CASE WHEN event_id % 10 = 0 THEN event_id % 50 ELSE (event_id + 1) % 50 END, CASE WHEN event_id % 10 = 0 THEN 'invalid_counter' WHEN (event_id + 1) % 3 > 0 THEN 'cache_inclusion_unknown' END, CASE WHEN event_id % 10 = 0 THEN 'input' ELSE '' END FROM shut WHERE good AND event_id % 2 = 0
+    UNION ALL SELECT user_id, line, 'shutdown', 'agent', 'helper', event_id % 7, NULL, NULL, 'non_additive_agent_breakdown', CASE WHEN event_id % 12 = 0 THEN '' ELSE 'agent_core' END FROM shut WHERE good AND event_id % 6 = 0)
+  SELECT locator, CAST(line AS BIGINT) AS line, source, scope, name, CAST(nano AS DECIMAL(38,18)) AS nano, input, output, input_reason, invalid FROM c JOIN paths USING (user_id)""", adapter=False)
+def event_counters(spark, d):
+    _, _, events = _events(spark, d)
+    return event_log.counters(events).select("locator", "line", "source", "scope", "name", "nano", "input", "output", "input_reason", F.array_join("invalid", ",").alias("invalid"))
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, closed AS (SELECT user_id, max(line) AS line, arg_max(event_id, line) AS last_id FROM verdict WHERE accepted AND event_type = 'purchase' AND event_id % 23 <> 0 GROUP BY user_id),
+  late AS (SELECT DISTINCT user_id FROM verdict v JOIN closed c USING (user_id) WHERE v.line > c.line AND (event_type <> 'signup' OR code IS NOT NULL)),
+  moved AS (SELECT DISTINCT user_id FROM verdict WHERE accepted AND event_type = 'error')
+  SELECT locator, CASE WHEN p.user_id % 23 = 0 THEN 'invalid_session_start' WHEN p.user_id % 19 = 0 THEN 'conflicting_session_identity' END AS code, CAST(closed.line AS BIGINT) AS closed_line,
+    CASE WHEN p.user_id % 23 <> 0 AND p.user_id % 19 <> 0 THEN coalesce(last_id % 3 <> 0 AND p.user_id NOT IN (SELECT user_id FROM late), false) END AS complete, CASE WHEN p.user_id IN (SELECT user_id FROM moved) THEN '/w' || CAST(p.user_id % 2 AS VARCHAR) END AS cwd FROM paths p LEFT JOIN closed ON closed.user_id = p.user_id""", adapter=False)
+def event_files(spark, d):
+    """What is said of each session's file: why it is refused, whether its life is complete, and where it was."""
+    lines, files, events = _events(spark, d)
+    ends = event_log.lifetimes(lines, events, event_log.counters(events))
+    return files.select("locator", "code").join(ends, "locator", "left").join(event_log.contexts(events).select("locator", "cwd"), "locator", "left")
+
+
 # --- editor chats, written from events as logs of edits and replayed ---------------------
 
 

@@ -4,8 +4,6 @@ import copy
 import json
 import random
 
-import pytest
-
 from tallyforge.operators import edits
 from tallyforge.sources import chat_log
 
@@ -46,20 +44,20 @@ def test_edits_apply_in_order(spark):
     assert items[0][1] == {"$": 1, "$.a": 2} and items[1][1] == {"$": 1, "$.b": 7, "$.b[0]": 1, "$.b[1]": 3} and items[2][1] == {"$": 4, "$.c": 4}
 
 
-@pytest.mark.parametrize("records, code", [
-    ([], None), ([{"kind": 1, "k": ["a"], "v": 1}], "missing_initial_state"), ([start(), start()], "duplicate_initial_state"), ([{"kind": 0}], "missing_initial_state"), ([{"kind": 0, "v": [1]}], "missing_initial_state"),
+BROKEN = [
+    ([{"kind": 1, "k": ["a"], "v": 1}], "missing_initial_state"), ([start(), start()], "duplicate_initial_state"), ([{"kind": 0}], "missing_initial_state"), ([{"kind": 0, "v": [1]}], "missing_initial_state"),
     ([start(), {"kind": 9, "k": []}], "unsupported_operation"), ([start(), {"kind": True, "k": ["a"], "v": 1}], "unsupported_operation"), ([start(), {"kind": 1, "k": [], "v": 1}], "invalid_operation_path"),
     ([start(), {"kind": 1, "k": ["requests", 0], "v": 1}], "invalid_operation_path"), ([start(), {"kind": 1, "k": ["a", "b"], "v": 1}], "invalid_operation_path"), ([start(), {"kind": 1, "k": ["a"]}], "missing_set_value"),
     ([start(), {"kind": 2, "k": ["version"], "v": [1]}], "invalid_push_target"), ([start(), {"kind": 2, "k": ["requests"], "i": 1, "v": []}], "invalid_push_index"), ([start(), {"kind": 2, "k": ["requests"], "v": 1}], "invalid_push_value"),
     ([start(), {"kind": 3, "k": ["nothing"]}], "invalid_operation_path"), ([start(requests=[1]), {"kind": 3, "k": ["requests", 0]}], "invalid_delete_path"), ([start(), [1]], "invalid_operation"), ([start(), (None, "malformed")], "malformed_operation"),
     ([start(), '{"kind":1,"k":["a"],"v":1,"v":2}'], "malformed_operation"), ([start(), ""], "malformed_operation"), ([start(), {"kind": 1, "k": ["requests", 1.0, "a"], "v": 1}], "invalid_operation_path"),
-])
-def test_edits_that_do_not_apply(spark, records, code):
-    if records:
-        head, items = replayed(spark, records)
-        assert head.code == code and head.head is None and not items
-    else:
-        assert edits.replay(frame(spark, {"b.jsonl": [start()]}).where("false"), "requests").collect() == []
+]
+
+
+def test_edits_that_do_not_apply(spark):
+    rows = edits.replay(frame(spark, {f"{i}.jsonl": records for i, (records, _) in enumerate(BROKEN)}), "requests").collect()
+    assert {r.locator: (r.code, r.head, r.ordinal) for r in rows} == {f"{i}.jsonl": (code, None, None) for i, (_, code) in enumerate(BROKEN)} and len(rows) == len(BROKEN)
+    assert edits.replay(frame(spark, {"b.jsonl": [start()]}).where("false"), "requests").collect() == []
 
 
 def test_a_line_that_is_still_written_is_pending(spark):
