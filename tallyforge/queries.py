@@ -11,7 +11,7 @@ from .functions.evidence import BUCKETS, all_sums, normalized_total, prompt_size
 from .operators import affected, dialects, graph, lineage, matching, ordered, ownership, reconcile
 from .plans import pricing, report, transcript, usage
 from .sources import adapter as A
-from .sources import call_log, chat_log, event_log, rollout
+from .sources import call_log, chat_log, discovery, event_log, rollout
 from .sources.scratch import Scratch
 
 #: A dated report of four years.
@@ -1026,6 +1026,28 @@ def chat_evidence(spark, d):
     return told.select("locator", "ordinal", "line", "request_id", "kind", "model", "raw_input", "raw_output", "raw_cache_read", "presence", "input_amount", "input_reason", "output_amount", "output_reason", "credits", "credit_state", "reason")
 
 
+# --- files of all dialects: told apart, and whether they only grew -------------------------
+
+
+@query("""WITH u AS (SELECT user_id, lpad(CAST(user_id AS VARCHAR), 12, '0') AS padded, count(*) AS n FROM events GROUP BY user_id)
+  SELECT p.path, p.dialect, CASE WHEN user_id % 4 <> 0 THEN user_id % 3 <> 0 END AS extends FROM u, LATERAL (VALUES ('/rollouts/' || CAST(user_id AS VARCHAR) || '.jsonl', 'rollout'), ('/c/00000000-0000-4000-8000-' || padded || '.jsonl', 'call'),
+    ('/i/workspaceStorage/w/chatSessions/' || CAST(user_id AS VARCHAR) || '.jsonl', 'chat'), ('/h/session-state/00000000-0000-4000-b000-' || padded || '/events.jsonl', 'event'), ('/notes/' || CAST(user_id AS VARCHAR) || '.jsonl', NULL)) p(path, dialect)""", adapter=False)
+def source_growth(spark, d):
+    """The files of all logs written here and some that are none; of most there was a generation before, that some extend and some replace."""
+    lines = _rollout_lines(spark, d).select("locator", "line", "record")
+    for more in (_call_lines, _chat_lines, _event_lines):
+        lines = lines.unionByName(more(spark, d).select("locator", "line", "record"))
+    notes = A.table(spark, d, "events").groupBy("user_id").agg(F.to_json(F.struct(F.min("event_id").alias("type"))).alias("record"))
+    lines = lines.unionByName(notes.select(F.concat(F.lit("/notes/"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("locator"), F.lit(1).cast("long").alias("line"), "record"))
+    text = lambda rows, where: F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(where, F.struct("line", "record")))), lambda x: x["record"]), "\n"), F.lit("\n"))
+    user = F.regexp_extract("path", r"(\d+)(?:/events)?\.jsonl$", 1).cast("long")
+    both = lines.groupBy(F.col("locator").alias("path")).agg(text(lines, F.lit(True)).cast("binary").alias("content"), text(lines, F.col("line") < 6).cast("binary").alias("before"))
+    before = both.where(user % 4 != 0).select("path", F.when(user % 3 == 0, F.concat(F.lit("other\n").cast("binary"), "before")).otherwise(F.col("before")).alias("content"))
+    found = both.select("path", "content")
+    told = discovery.grown(found, discovery.prefixes(before)).withColumnRenamed("locator", "path")
+    return found.select("path", discovery.dialect(F.col("path"), F.col("content")).alias("dialect")).join(told, "path")
+
+
 # --- transcripts --------------------------------------------------------------------
 
 
