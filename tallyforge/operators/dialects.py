@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .graph import connected
+from .graph import chain_roots, connected
 from .lineage import decision, follow, lines, nearest
 
 
@@ -116,6 +116,69 @@ def call_log_decisions(rows: DataFrame) -> DataFrame:
     return one.select("row_id", said.alias("d")).select("row_id", "d.*")
 
 
+def event_conflicts(rows: DataFrame) -> DataFrame:
+    """row_id, reason of the rows (row_id, session_id, source_id, event_id, parent_event_id, fact) whose event can't be trusted.
+
+    An event belongs to one session and has one parent there, and all files that hold it tell the same facts of it.
+    """
+    named = rows.where("event_id IS NOT NULL")
+    owners = named.groupBy("event_id").agg(F.countDistinct("session_id").alias("n")).where("n > 1").select("event_id", F.lit(True).alias("crossing"))
+    keys = ["session_id", "event_id"]
+    parents = named.groupBy(*keys).agg(F.countDistinct(F.struct("parent_event_id")).alias("n")).where("n > 1").select(*keys, F.lit(True).alias("forked"))
+    told = named.groupBy(*keys, "source_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.coalesce(F.col("fact").cast("string"), F.lit("~")))), "|"), 256).alias("signature"))
+    differ = told.groupBy(*keys).agg(F.countDistinct("signature").alias("n")).where("n > 1").select(*keys, F.lit(True).alias("differing"))
+    reason = F.when(F.col("crossing"), "cross_session_event").when(F.col("forked"), "parent_conflict").when(F.col("differing"), "event_conflict")
+    return named.join(owners, "event_id", "left").join(parents, keys, "left").join(differ, keys, "left").select("row_id", reason.alias("reason")).where("reason IS NOT NULL").distinct()
+
+
+def _cyclic(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """The groups of (group, a, b) whose edges go round. Where each node has one successor, pointers are doubled; other groups are peeled from their beginnings."""
+    forked = scratch.table(edges.groupBy("group", "a").agg(F.count("*").alias("n")).where("n > 1").select("group").distinct())
+    plain = edges.join(forked, "group", "left_anti")
+    ends = plain.select("group", F.col("b").alias("a")).join(plain.select("group", "a"), ["group", "a"], "left_anti").distinct()
+    nodes = plain.select(F.struct("group", "a").alias("node"), F.struct("group", F.col("b").alias("a")).alias("parent")).unionByName(ends.select(F.struct("group", "a").alias("node"), F.lit(None).cast("struct<group:string,a:string>").alias("parent")))
+    rings = chain_roots(nodes).where("root IS NULL").select("node.group").distinct()
+    left = scratch.table(edges.join(forked, "group", "left_semi"))
+    while not left.isEmpty():
+        later = left.select("group", F.col("b").alias("a")).distinct()
+        kept = scratch.table(left.join(later, ["group", "a"], "left_semi"))
+        if kept.count() == left.count():
+            break
+        left = kept
+    return rings.unionByName(left.select("group").distinct())
+
+
+def counter_decisions(rows: DataFrame) -> DataFrame:
+    """row_id, state, reason, canonical of cumulative counters (row_id, session_id, name, source_id, line, event_id, compatibility, amount, usable, reason, allow_unknown), by session and name.
+
+    A row that stands in several files has a row for each. Order is proved within a file only; files are joined by the events that they share, which have to be the same in all that is told of them (``compatibility``). One
+    event is the last if all others come before it in some file or through shared ones, nothing goes round and no amount falls from one to the next; it counts and covers the others. Else all are unresolved, with the first reason that a row has.
+    """
+    scratch = Scratch(rows.sparkSession, "counters")
+    node = F.concat_ws(":", F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string"))), F.coalesce("compatibility", F.lit("~")))
+    rows = scratch.table(rows.withColumn("node", node).withColumn("group", F.concat_ws("\x1f", F.col("session_id").cast("string"), F.coalesce("name", F.lit("~")))))
+    w = Window.partitionBy("group", "source_id").orderBy("line")
+    steps = rows.select("group", "source_id", "line", "node", "amount", F.lead("node").over(w).alias("next"), F.lead("amount").over(w).alias("next_amount"), F.lag("node").over(w).alias("last"))
+    edges = scratch.table(steps.where("next IS NOT NULL AND next != node").select("group", F.col("node").alias("a"), F.col("next").alias("b")).distinct())
+    # Amounts that are null on the way are passed over: each is compared with the highest before it in its file.
+    high = F.max("amount").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    falls = rows.select("group", (F.col("amount") < high).alias("falls")).groupBy("group").agg(F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls"))
+    followed = edges.select("group", F.col("a").alias("node")).distinct()
+    nodes = rows.groupBy("group", "node").agg(F.min("row_id").alias("first"), F.min_by("amount", "row_id").alias("amount"), F.min_by("allow_unknown", "row_id").alias("allow_unknown"))
+    last = nodes.join(followed, ["group", "node"], "left_anti").groupBy("group").agg(F.count("*").alias("ends"), F.min("first").alias("canonical"), F.min(F.col("amount").isNotNull() | F.col("allow_unknown")).alias("sized"))
+    events = rows.where("event_id IS NOT NULL").groupBy("group", "event_id").agg(F.countDistinct("node").alias("n")).groupBy("group").agg(F.max("n").alias("variants"))
+    per = rows.groupBy("group").agg(F.bool_and("usable").alias("usable"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("source_id", "line", "row_id"))).alias("why"))
+    rings = _cyclic(edges, scratch).distinct().withColumn("ring", F.lit(True))
+    per = per.join(last, "group", "left").join(events, "group", "left").join(falls, "group").join(rings, "group", "left")
+    proved = F.col("usable") & (F.col("ends") == 1) & (F.coalesce("variants", F.lit(1)) == 1) & ~F.col("falls") & F.col("ring").isNull() & F.col("sized")
+    per = per.select("group", "canonical", F.coalesce(proved, F.lit(False)).alias("proved"), "why")
+    found = rows.select("row_id", "group").distinct().join(per, "group")
+    say = lambda state, reason, copy: F.struct(F.lit(state).alias("state"), reason.alias("reason"), copy.alias("canonical"))
+    none = F.lit(None).cast(rows.schema["row_id"].dataType)
+    said = F.when(~F.col("proved"), say("unresolved", F.coalesce("why", F.lit("incomparable_history")), none)).when(F.col("row_id") == F.col("canonical"), say("selected", F.lit("cumulative_counter"), none)).otherwise(say("excluded", F.lit("covered_by_later_counter"), F.col("canonical")))
+    return found.select("row_id", said.alias("d")).select("row_id", "d.*")
+
+
 def alternate_decisions(rows: DataFrame) -> DataFrame:
     """row_id, state, reason of (row_id, session_id, source, is_log, logical_key, value).
 

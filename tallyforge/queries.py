@@ -980,6 +980,52 @@ def event_files(spark, d):
     return files.select("locator", "code").join(ends, "locator", "left").join(event_log.contexts(events).select("locator", "cwd"), "locator", "left")
 
 
+#: Counters of users by type, in one file or two: a copy, a part, one that goes on where the other ends, one in another order, one that goes another way.
+_COUNTERS = """b AS (SELECT event_id, user_id, event_type, row_number() OVER w AS rk, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)),
+  r0 AS (SELECT b.*, 's1' AS source, rk AS line FROM b WHERE NOT (user_id % 5 = 3 AND rk > n - 2) AND NOT (user_id % 10 = 0 AND rk = n)
+    UNION ALL SELECT b.*, 's2', CASE WHEN user_id % 5 = 4 THEN -rk ELSE rk END FROM b WHERE (user_id % 5 = 1 AND rk <= n - 3) OR (user_id % 5 = 2 AND rk > n - 3) OR (user_id % 5 = 3 AND rk >= n - 5) OR (user_id % 5 = 4 AND rk > n - 3) OR (user_id % 10 = 0 AND (rk <= n - 3 OR rk = n))),
+  r AS (SELECT *, CASE WHEN user_id % 17 = 5 AND source = 's2' AND rk % 2 = 0 THEN 'd' ELSE 'c' END AS compat, CASE WHEN event_id % 19 = 0 THEN NULL WHEN user_id % 7 = 3 AND rk % 6 = 5 THEN event_id - 5000 ELSE event_id END AS amount, NOT (user_id % 13 = 6 AND rk = 2) AS usable, CASE WHEN user_id % 13 = 6 AND rk = 2 THEN 'invalid_counter' END AS reason FROM r0)"""
+
+
+@query(f"""WITH RECURSIVE {_COUNTERS}, g AS (SELECT *, event_id || ':' || compat AS node FROM r),
+  edge AS (SELECT DISTINCT a.user_id, a.event_type, a.node AS a, b.node AS b FROM g a JOIN g b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.source = b.source AND a.line < b.line AND a.node <> b.node),
+  reach AS (SELECT user_id, event_type, a, b FROM edge UNION SELECT r.user_id, r.event_type, r.a, e.b FROM reach r JOIN edge e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.a = r.b),
+  ring AS (SELECT DISTINCT user_id, event_type FROM reach WHERE a = b), fall AS (SELECT DISTINCT e.user_id, e.event_type FROM edge e JOIN g x ON x.node = e.a JOIN g y ON y.node = e.b WHERE y.amount < x.amount),
+  ends AS (SELECT user_id, event_type, count(DISTINCT node) AS n, min(event_id) AS top, bool_and(amount IS NOT NULL) AS sized FROM g WHERE NOT EXISTS (SELECT 1 FROM edge e WHERE e.user_id = g.user_id AND e.event_type = g.event_type AND e.a = g.node) GROUP BY ALL),
+  vary AS (SELECT DISTINCT user_id, event_type FROM (SELECT user_id, event_type, event_id FROM g GROUP BY ALL HAVING count(DISTINCT node) > 1)),
+  per AS (SELECT user_id, event_type, bool_and(usable) AS usable, min(reason) AS why FROM g GROUP BY ALL),
+  d AS (SELECT p.*, top, coalesce(usable AND n = 1 AND sized AND NOT EXISTS (SELECT 1 FROM ring x WHERE x.user_id = p.user_id AND x.event_type = p.event_type) AND NOT EXISTS (SELECT 1 FROM fall x WHERE x.user_id = p.user_id AND x.event_type = p.event_type)
+      AND NOT EXISTS (SELECT 1 FROM vary x WHERE x.user_id = p.user_id AND x.event_type = p.event_type), false) AS proved FROM per p LEFT JOIN ends USING (user_id, event_type))
+  SELECT DISTINCT event_id AS row_id, CASE WHEN NOT proved THEN 'unresolved' WHEN event_id = top THEN 'selected' ELSE 'excluded' END AS state, CASE WHEN NOT proved THEN coalesce(why, 'incomparable_history') WHEN event_id = top THEN 'cumulative_counter' ELSE 'covered_by_later_counter' END AS reason,
+    CASE WHEN proved AND event_id <> top THEN top END AS canonical FROM g JOIN d USING (user_id, event_type)""", adapter=False)
+def counter_decisions(spark, d):
+    u, i, rk, n = F.col("user_id"), F.col("event_id"), F.col("rk"), F.col("n")
+    w = Window.partitionBy("user_id", "event_type")
+    b = A.table(spark, d, "events").select("event_id", "user_id", "event_type", F.row_number().over(w.orderBy("event_id")).cast("long").alias("rk"), F.count("*").over(w).alias("n"))
+    one = b.where(~((u % 5 == 3) & (rk > n - 2)) & ~((u % 10 == 0) & (rk == n))).select("*", F.lit("s1").alias("source"), rk.alias("line"))
+    some = ((u % 5 == 1) & (rk <= n - 3)) | ((u % 5 == 2) & (rk > n - 3)) | ((u % 5 == 3) & (rk >= n - 5)) | ((u % 5 == 4) & (rk > n - 3)) | ((u % 10 == 0) & ((rk <= n - 3) | (rk == n)))
+    both = one.unionByName(b.where(some).select("*", F.lit("s2").alias("source"), F.when(u % 5 == 4, -rk).otherwise(rk).alias("line")))
+    bad = (u % 13 == 6) & (rk == 2)
+    return dialects.counter_decisions(both.select(
+        i.alias("row_id"), u.alias("session_id"), F.col("event_type").alias("name"), F.concat("source", u.cast("string")).alias("source_id"), "line", i.alias("event_id"), F.when((u % 17 == 5) & (F.col("source") == "s2") & (rk % 2 == 0), "d").otherwise("c").alias("compatibility"),
+        F.when(i % 19 != 0, F.when((u % 7 == 3) & (rk % 6 == 5), i - 5000).otherwise(i)).alias("amount"), (~bad).alias("usable"), F.when(bad, "invalid_counter").alias("reason"), F.lit(False).alias("allow_unknown"),
+    ))
+
+
+@query("""WITH r AS (SELECT event_id AS row_id, user_id % 50 AS session_id, 'f' || user_id AS source_id, event_id // 3 * 50 + CASE WHEN event_id % 40 = 0 THEN 0 ELSE user_id % 50 END AS e, CASE WHEN event_id % 31 = 0 THEN 2 ELSE 1 END AS parent, CASE WHEN event_id % 17 = 0 THEN 'x' ELSE 'y' END AS fact FROM events UNION ALL
+    SELECT event_id, user_id % 50, 'copy' || user_id, event_id // 3 * 50 + CASE WHEN event_id % 40 = 0 THEN 0 ELSE user_id % 50 END, 1, CASE WHEN event_id % 34 = 0 THEN 'x' ELSE 'y' END FROM events WHERE user_id % 2 = 0),
+  c AS (SELECT e FROM r GROUP BY e HAVING count(DISTINCT session_id) > 1), p AS (SELECT session_id, e FROM r GROUP BY ALL HAVING count(DISTINCT parent) > 1),
+  s AS (SELECT session_id, e FROM (SELECT session_id, e, source_id, string_agg(fact, '|' ORDER BY fact) AS g FROM r GROUP BY ALL) GROUP BY ALL HAVING count(DISTINCT g) > 1)
+  SELECT DISTINCT row_id, CASE WHEN e IN (SELECT e FROM c) THEN 'cross_session_event' WHEN (session_id, e) IN (SELECT (session_id, e) FROM p) THEN 'parent_conflict' ELSE 'event_conflict' END AS reason FROM r
+  WHERE e IN (SELECT e FROM c) OR (session_id, e) IN (SELECT (session_id, e) FROM p) OR (session_id, e) IN (SELECT (session_id, e) FROM s)""", adapter=False)
+def event_conflicts(spark, d):
+    i, u = F.col("event_id"), F.col("user_id")
+    row = lambda name, parent, fact: (i.alias("row_id"), (u % 50).alias("session_id"), F.concat(F.lit(name), u.cast("string")).alias("source_id"), (F.expr("event_id div 3") * 50 + F.when(i % 40 == 0, 0).otherwise(u % 50)).alias("event_id"), parent.alias("parent_event_id"), fact.alias("fact"))
+    e = A.table(spark, d, "events")
+    first = e.select(*row("f", F.when(i % 31 == 0, 2).otherwise(1), F.when(i % 17 == 0, "x").otherwise("y")))
+    return dialects.event_conflicts(first.unionByName(e.where(u % 2 == 0).select(*row("copy", F.lit(1), F.when(i % 34 == 0, "x").otherwise("y")))))
+
+
 # --- editor chats, written from events as logs of edits and replayed ---------------------
 
 

@@ -3,7 +3,7 @@
 import json
 import random
 
-from tallyforge.operators import chains
+from tallyforge.operators import chains, dialects
 from tallyforge.sources import event_log
 
 SESSION = "11111111-2222-4333-8444-555555555555"
@@ -116,3 +116,37 @@ AFTER = [([], True), ([event(9, "assistant.usage")], True), ([event(9)], False),
 def test_what_stands_after_the_last_shutdown(spark):
     lines, _, events, told = read_all(spark, [[start(), shutdown(2), *after] for after, _ in AFTER])
     assert {r.locator: r.complete for r in event_log.lifetimes(lines, events, told).collect()} == {place(i): complete for i, (_, complete) in enumerate(AFTER)}
+
+
+def test_counters_of_several_files(spark):
+    columns = "row_id long, session_id string, name string, source_id string, line long, event_id string, compatibility string, amount long, usable boolean, reason string, allow_unknown boolean"
+    rows, ids = [], {}
+
+    def add(name, *files, amounts=None, other=()):
+        for n, file in enumerate(files):
+            for line, e in enumerate(file):
+                key = ids.setdefault((name, e, (n, e) in other), len(ids))
+                amount = (amounts or {}).get(e, ord(e))
+                rows.append((key, "s", name, f"{name}{n}", line, e, "x" if (n, e) in other else "c", amount, amount != -1, "broken" if amount == -1 else None, False))
+
+    add("one", "abc")
+    add("goes on", "abc", "bcd")
+    add("two ends", "abc", "abd")
+    add("there and back", "abc", "cb", amounts=dict.fromkeys("abc", 1))
+    add("three round", "abz", "bcz", "caz", amounts=dict.fromkeys("abcz", 1))
+    add("fork and join", "abd", "acd", amounts=dict.fromkeys("abcd", 1))
+    add("falls", "abc", amounts={"b": 1})
+    add("falls past a gap", "abc", amounts={"b": None, "c": 1})
+    add("unknown end", "ab", amounts={"b": None})
+    add("told otherwise", "abc", "abc", other={(1, "b")})
+    add("unusable", "abc", amounts={"b": -1})
+    found = {r.row_id: r for r in dialects.counter_decisions(spark.createDataFrame(rows, columns).repartition(3)).collect()}
+    got = {}
+    for (name, e, _), key in ids.items():
+        got.setdefault(name, {})[e] = (found[key].state, found[key].reason)
+    good = {"one": "c", "goes on": "d", "fork and join": "d"}
+    for name, by in got.items():
+        if name in good:
+            assert {e for e, (state, _) in by.items() if state == "selected"} == {good[name]} and {s for e, (s, _) in by.items() if e != good[name]} == {"excluded"}, name
+        else:
+            assert set(by.values()) == {("unresolved", "broken" if name == "unusable" else "incomparable_history")}, name
