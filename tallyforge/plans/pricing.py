@@ -37,7 +37,7 @@ def tiers(rates: DataFrame) -> DataFrame:
 
 def context(observations: DataFrame, rates: DataFrame) -> DataFrame:
     """Adds context_reason and context_threshold: the largest tier strictly below the prompt."""
-    joined = observations.join(F.broadcast(tiers(rates)), ["provider", "model"], "left")
+    joined = observations.join(tiers(rates), ["provider", "model"], "left")
     reason = F.when(F.col("tiers").isNotNull(), F.when(F.col("time_kind") != "point", "aggregate_context").when(unknown_prompt(), "unknown_context_size"))
     below = F.array_max(F.filter("tiers", lambda b: prompt_size() > b))
     return joined.withColumn("context_reason", reason).withColumn("context_threshold", F.when(reason.isNull(), F.coalesce(below, F.lit(0))).otherwise(0).cast("long")).drop("tiers")
@@ -55,6 +55,6 @@ def priced(observations: DataFrame, rates: DataFrame) -> DataFrame:
     reason = F.when(F.col("decision") == "unresolved", "unresolved_tokens").when(F.col("state") == "unknown", "unknown_tokens").otherwise(F.col("context_reason"))
     keys = ["provider", "model", "category", "threshold"]
     sums = lines.groupBy("provider", "model", "category", F.col("context_threshold").alias("threshold"), reason.alias("reason")).agg(F.count("*").cast("long").alias("observations"), F.sum(F.col("amount").cast("decimal(20,0)")).cast("decimal(20,0)").alias("tokens"))
-    found = sums.join(F.broadcast(rates), keys, "left")
+    found = sums.join(rates, keys, "left")
     why: Column = F.coalesce("reason", F.when(F.col("rate").isNull(), "missing_category_rate"))
     return found.select(*keys, why.alias("reason"), "observations", F.coalesce("tokens", F.lit(0)).cast("decimal(38,0)").alias("tokens"), F.when(why.isNull(), (F.col("tokens") * F.col("rate")).cast("decimal(38,9)")).alias("micro_usd"))
