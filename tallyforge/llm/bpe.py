@@ -9,7 +9,9 @@ Texts are cut at white space, where no pre-token can begin before it, and what a
 table per task, since most pieces repeat. Nothing is shuffled.
 
 Defined cases: a null text counts as empty and gives no ids; repeated rows are encoded alike, each by itself; special
-tokens spelled inside a text become their ids, as the library does by default.
+tokens spelled inside a text become their ids, as the library does by default. An empty table gives an empty one. A text of any
+length is encoded whole, a slice of rows at a time; one piece without white space costs O(n log n). Of pairs with one rank the leftmost merges first. ``keep`` names the columns that
+are carried; others are ignored, whatever their names, but none that is carried may be called token_ids or decoded.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ vocabulary is a bounded table; the proof is sent with the task). A pre-token amo
 only the rest is merged. Counts of words and of pieces are kept per task, as they repeat.
 
 Defined cases: a null text has no bytes and no tokens; repeated rows are counted each; a special token spelled inside
-a text counts as one.
+a text counts as one. An empty table gives an empty one; a text of any length is counted whole; ties of ranks are merged from the left. ``keep`` names the columns that are carried;
+others are ignored, whatever their names, but none that is carried may be called n_bytes, n_tokens or over_limit.
 """
 
 from __future__ import annotations

@@ -619,5 +619,18 @@ def test_html_templates_equal_brute_force(spark):
     assert sorted(map(sorted, groups[0].values())) == sorted(map(sorted, groups[1].values()))
 
 
+def test_tokens_of_odd_tables(spark):
+    """Clashing columns, nothing at all, and a text of a megabyte in one word."""
+    clash = {c: F.lit("x") for c in ("token_ids", "decoded", "__text", "n_tokens", "n_bytes", "over_limit")}
+    long = "ab" * 500_000
+    rows = table(spark, [(1, long), (2, None), (2, None)], "doc_id long, text string").withColumns(clash)
+    encoded = {r.doc_id: len(r.token_ids) for r in bpe.encode_documents(rows, path("word_bpe_49k.json")).collect()}
+    counted = bpe.digests(bpe.encode_documents(rows.limit(0), path("word_bpe_49k.json")), "doc_id").collect()
+    found = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(rows, path("byte_bpe_50k.json")).collect()}
+    assert encoded[1] == len(library("word_bpe_49k.json").encode(long, add_special_tokens=False).ids) and encoded[2] == 0 and counted == []
+    assert found[1] == (1_000_000, len(library("byte_bpe_50k.json").encode(long, add_special_tokens=False).ids), True) and found[2] == (0, 0, False)
+    assert token_counts.count_tokens(rows.limit(0), path("byte_bpe_50k.json")).collect() == []
+
+
 def test_every_operator_has_its_query():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
