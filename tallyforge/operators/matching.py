@@ -17,7 +17,7 @@ def asof(points: DataFrame, axis: DataFrame, at: str, start: str, end: str, key:
     """Each point with the latest axis row whose [start, end) holds it, or nulls; intervals may overlap and lie in each other.
 
     With a key both sides are united and sorted by it and by time, and the open intervals are carried along as a stack: what has ended on
-    top of it never holds a later point, so a row is looked at once, and no more is held than what lies in each other. Without a
+    top of it never holds a later point, nor does what ends no later than one that starts later, so a row is looked at once, and no more is held than what lies in each other. Without a
     key the axis has to be small: it is then sent to all tasks after its size was checked, as the stretches in which one interval holds, which are searched in halves. Times are whole numbers then.
     """
     if not key:
@@ -52,6 +52,8 @@ def asof(points: DataFrame, axis: DataFrame, at: str, start: str, end: str, key:
                 if group != now:
                     now, stack = group, []
                 if kind == 0:
+                    while stack and stack[-1][1] <= b:  # the later start wins while it holds, and outlasts it
+                        stack.pop()
                     stack.append((a, b))
                     continue
                 while stack and t is not None and stack[-1][1] <= t:
