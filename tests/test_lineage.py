@@ -110,3 +110,14 @@ def test_a_refresh_only_rewrites_what_it_reaches(spark, tmp_path, monkeypatch):
     assert state() == set()
     table.refresh(sessions(), decide)
     assert state() == set()
+
+
+def test_a_ring_costs_no_rounds(spark, monkeypatch):
+    """Pointers that go round stay open; rounds end with the longest chain, however large the table is."""
+    written = []
+    table = graph.Scratch.table
+    monkeypatch.setattr(graph.Scratch, "table", lambda self, df: written.append(1) or table(self, df))
+    nodes = [(f"n{i}", None) for i in range(2000)] + [("a", "b"), ("b", "a"), ("c", "a"), ("d", "n1"), ("e", "d"), ("f", "e"), ("g", "gone"), ("h", "g")]
+    found = {r.node: (r.root, r.depth) for r in graph.chain_roots(spark.createDataFrame(nodes, "node string, parent string")).collect()}
+    assert {n: found[n] for n in "abcdefgh"} == {"a": (None, None), "b": (None, None), "c": (None, None), "d": ("n1", 1), "e": ("n1", 2), "f": ("n1", 3), "g": ("g", 0), "h": ("g", 1)}
+    assert len(found) == 2008 and found["n7"] == ("n7", 0) and len(written) <= 6
