@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.evidence import BUCKETS, all_sums, included, in_scope, normalized_total
+from ..sources.scratch import Scratch
 
 DAY = 86_400_000_000
 
@@ -58,10 +59,11 @@ def dense_days(base: DataFrame) -> DataFrame:
 def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     """A page of rows, counted from 1 and clamped to the last, with each row's rank and the count of all.
 
-    Each task keeps its first rows up to the page's end; only those meet in one task.
+    Each task keeps its first rows up to the page's end; only those meet in one task. The rows are written first, as they are counted and then read, and what they come from may be long.
     """
     if number < 1 or size < 1:
         raise ValueError("page and size count from 1")
+    rows = Scratch(rows.sparkSession, "page").table(rows)
     total = rows.count()
     last = max(1, -(-total // size))
     first = (min(number, last) - 1) * size

@@ -16,21 +16,36 @@ from .report import bucket_of
 MEASURES = (*BUCKETS, "total")
 VALUES = (*BUCKETS, "reported", "cache_write_1h")
 TOKENS = "decimal(20,0)"
+#: What a state and a decision can be, in the order in which the greater one stands.
+STATES, DECISIONS = ("known", "not_applicable", "unknown"), ("excluded", "selected", "unresolved")
+
+
+def _code(column: str, names: tuple[str, ...]) -> Column:
+    """The place of a name, from 1; another name is an error, as a null would pass for an absent value."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(column)).cast("int")
+    return F.when(place > 0, place).when(F.col(column).isNotNull(), F.raise_error(F.concat(F.lit(f"{column} can't be "), F.col(column))).cast("int"))
+
+
+def _name(code: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.array(*map(F.lit, names)), code - 1)
 
 
 def pivot(values: DataFrame, decisions: DataFrame) -> DataFrame:
     """observation_id, the state, amount and reason of each value, and the decision on each measure (excluded where there is none), of (observation_id, measure, state, amount, reason) and (observation_id, measure, state).
 
-    Both are dealt by observation once, together.
+    Both are dealt by observation once, together. States, decisions and whether a count couldn't be read are numbers meanwhile, so that tasks put the rows of an observation together in a hash table before
+    they send them; texts would have to be sorted for that. Of reasons only ``invalid_count`` decides anything, and only it is kept.
     """
-    rows = values.select("observation_id", "measure", "state", F.col("amount").cast("long").alias("amount"), "reason", F.lit(None).cast("string").alias("decision"))
-    rows = rows.unionByName(decisions.select("observation_id", "measure", F.lit(None).cast("string").alias("state"), F.lit(None).cast("long").alias("amount"), F.lit(None).cast("string").alias("reason"), F.col("state").alias("decision")))
+    absent = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    invalid = F.when(F.col("reason") == "invalid_count", 1)
+    rows = values.select("observation_id", "measure", _code("state", STATES).alias("state"), F.col("amount").cast("long").alias("amount"), invalid.alias("reason"), absent("int", "decision"))
+    rows = rows.unionByName(decisions.select("observation_id", "measure", absent("int", "state"), absent("long", "amount"), absent("int", "reason"), _code("state", DECISIONS).alias("decision")))
     of = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-    columns = [of(m, c).alias(f"{m}_{c}") for m in VALUES for c in ("state", "amount", "reason")]
-    chosen = [F.coalesce(of(m, "decision"), F.lit("excluded")).alias(f"{m}_decision") for m in MEASURES]
-    wide = rows.groupBy("observation_id").agg(*columns, *chosen)
-    known = [F.coalesce(f"{m}_state", F.lit("unknown")).alias(f"{m}_state") for m in VALUES]
-    return wide.withColumns({f"{m}_state": c for m, c in zip(VALUES, known, strict=True)})
+    coded = rows.groupBy("observation_id").agg(*(of(m, c).alias(f"{m}_{c}") for m in VALUES for c in ("state", "amount", "reason")), *(of(m, "decision").alias(f"{m}_decision") for m in MEASURES))
+    columns = []
+    for m in VALUES:
+        columns += [F.coalesce(_name(F.col(f"{m}_state"), STATES), F.lit("unknown")).alias(f"{m}_state"), F.col(f"{m}_amount"), F.when(F.col(f"{m}_reason") == 1, "invalid_count").alias(f"{m}_reason")]
+    return coded.select("observation_id", *columns, *(F.coalesce(_name(F.col(f"{m}_decision"), DECISIONS), F.lit("excluded")).alias(f"{m}_decision") for m in MEASURES))
 
 
 def any_decision(state: str, quantities: Column | None = None) -> Column:

@@ -58,6 +58,18 @@ def test_prices_of_groups(spark):
     }
 
 
+def test_rows_of_an_observation_are_put_together_without_a_sort(spark):
+    values = [value("a", "input", None, "unknown", "invalid_count"), value("a", "output", 3), value("a", "output", 5), value("b", "input", None, "not_applicable")]
+    values = spark.createDataFrame(values, "observation_id string, measure string, state string, amount long, reason string")
+    decisions = spark.createDataFrame([("a", "input", "selected"), ("a", "input", "unresolved"), ("b", "input", "excluded")], "observation_id string, measure string, state string")
+    wide = usage.pivot(values, decisions)
+    got = {r.observation_id: r for r in wide.collect()}
+    assert (got["a"].input_state, got["a"].input_reason, got["a"].output_amount, got["a"].output_state, got["a"].input_decision) == ("unknown", "invalid_count", 5, "known", "unresolved")
+    assert (got["b"].input_state, got["b"].input_reason, got["b"].total_decision, got["b"].reported_state) == ("not_applicable", None, "excluded", "unknown")
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 CALL = "row_id long, message_id string, request_id string, entry_id string, signature string, output long, finality string, writer_token string, usable boolean, reason string, at_us long, locator string, line long, current boolean, superseded boolean"
 
 
