@@ -153,26 +153,37 @@ def counter_decisions(rows: DataFrame) -> DataFrame:
 
     A row that stands in several files has a row for each. Order is proved within a file only; files are joined by the events that they share, which have to be the same in all that is told of them (``compatibility``). One
     event is the last if all others come before it in some file or through shared ones, nothing goes round and no amount falls from one to the next; it counts and covers the others. Else all are unresolved, with the first reason that a row has.
+
+    Rows are shuffled once by session and name, and written with what each leads to. Only groups in which some step leads back, to an event whose first line isn't a later one, are searched for rings.
     """
     scratch = Scratch(rows.sparkSession, "counters")
-    node = F.concat_ws(":", F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string"))), F.coalesce("compatibility", F.lit("~")))
-    rows = scratch.table(rows.withColumn("node", node).withColumn("group", F.concat_ws("\x1f", F.col("session_id").cast("string"), F.coalesce("name", F.lit("~")))))
-    w = Window.partitionBy("group", "source_id").orderBy("line")
-    steps = rows.select("group", "source_id", "line", "node", "amount", F.lead("node").over(w).alias("next"), F.lead("amount").over(w).alias("next_amount"), F.lag("node").over(w).alias("last"))
-    edges = scratch.table(steps.where("next IS NOT NULL AND next != node").select("group", F.col("node").alias("a"), F.col("next").alias("b")).distinct())
+    event = F.coalesce(F.col("event_id").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string")))
+    rows = rows.withColumn("event", event).withColumn("node", F.concat_ws(":", "event", F.coalesce("compatibility", F.lit("~"))))
+    rows = rows.withColumn("group", F.concat_ws("\x1f", F.col("session_id").cast("string"), F.coalesce("name", F.lit("~")))).repartition("group")
+    same, w = Window.partitionBy("group", "event"), Window.partitionBy("group", "source_id").orderBy("line")
+    rows = rows.withColumn("place", F.min("line").over(same)).withColumn("varied", F.col("event_id").isNotNull() & (F.min("node").over(same) != F.max("node").over(same)))
     # Amounts that are null on the way are passed over: each is compared with the highest before it in its file.
     high = F.max("amount").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    falls = rows.select("group", (F.col("amount") < high).alias("falls")).groupBy("group").agg(F.coalesce(F.bool_or("falls"), F.lit(False)).alias("falls"))
-    followed = edges.select("group", F.col("a").alias("node")).distinct()
-    nodes = rows.groupBy("group", "node").agg(F.min("row_id").alias("first"), F.min_by("amount", "row_id").alias("amount"), F.min_by("allow_unknown", "row_id").alias("allow_unknown"))
-    last = nodes.join(followed, ["group", "node"], "left_anti").groupBy("group").agg(F.count("*").alias("ends"), F.min("first").alias("canonical"), F.min(F.col("amount").isNotNull() | F.col("allow_unknown")).alias("sized"))
-    events = rows.where("event_id IS NOT NULL").groupBy("group", "event_id").agg(F.countDistinct("node").alias("n")).groupBy("group").agg(F.max("n").alias("variants"))
-    per = rows.groupBy("group").agg(F.bool_and("usable").alias("usable"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("source_id", "line", "row_id"))).alias("why"))
-    rings = _cyclic(edges, scratch).distinct().withColumn("ring", F.lit(True))
-    per = per.join(last, "group", "left").join(events, "group", "left").join(falls, "group").join(rings, "group", "left")
-    proved = F.col("usable") & (F.col("ends") == 1) & (F.coalesce("variants", F.lit(1)) == 1) & ~F.col("falls") & F.col("ring").isNull() & F.col("sized")
+    steps = rows.select("*", F.lead("node").over(w).alias("next"), F.lead("place").over(w).alias("next_place"), (F.col("amount") < high).alias("falls"))
+    goes = F.col("next").isNotNull() & (F.col("next") != F.col("node"))
+    # Where every step leads to an event whose first line is a later one, nothing goes round.
+    steps = scratch.table(steps.select("row_id", "group", "source_id", "line", "node", "amount", "usable", "reason", "allow_unknown", "varied", "falls", F.when(goes, F.col("next")).alias("next"), (goes & (F.col("next_place") <= F.col("place"))).alias("back")))
+    said_of = lambda name: F.coalesce(F.bool_or(name), F.lit(False)).alias(name)
+    nodes = steps.groupBy("group", "node").agg(
+        F.min("row_id").alias("first"), F.min_by("amount", "row_id").alias("amount"), F.min_by("allow_unknown", "row_id").alias("allow_unknown"), (F.count("next") == 0).alias("ends"), F.bool_and("usable").alias("usable"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct("source_id", "line", "row_id", "reason"))).alias("why"), *map(said_of, ("varied", "falls", "back")),
+    )
+    per = nodes.groupBy("group").agg(
+        F.count_if("ends").alias("ends"), F.min(F.when(F.col("ends"), F.col("first"))).alias("canonical"), F.bool_and(F.when(F.col("ends"), F.col("amount").isNotNull() | F.col("allow_unknown"))).alias("sized"), F.bool_and("usable").alias("usable"),
+        F.min("why")["reason"].alias("why"), *map(said_of, ("varied", "falls", "back")),
+    )
+    per = scratch.table(per)
+    edges = steps.where("next IS NOT NULL").join(per.where("back").select("group"), "group", "left_semi").select("group", F.col("node").alias("a"), F.col("next").alias("b")).distinct()
+    rings = _cyclic(scratch.table(edges), scratch).distinct().withColumn("ring", F.lit(True))
+    per = per.join(rings, "group", "left")
+    proved = F.col("usable") & (F.col("ends") == 1) & ~F.col("varied") & ~F.col("falls") & F.col("ring").isNull() & F.col("sized")
     per = per.select("group", "canonical", F.coalesce(proved, F.lit(False)).alias("proved"), "why")
-    found = rows.select("row_id", "group").distinct().join(per, "group")
+    found = steps.select("row_id", "group").distinct().join(per, "group")
     say = lambda state, reason, copy: F.struct(F.lit(state).alias("state"), reason.alias("reason"), copy.alias("canonical"))
     none = F.lit(None).cast(rows.schema["row_id"].dataType)
     said = F.when(~F.col("proved"), say("unresolved", F.coalesce("why", F.lit("incomparable_history")), none)).when(F.col("row_id") == F.col("canonical"), say("selected", F.lit("cumulative_counter"), none)).otherwise(say("excluded", F.lit("covered_by_later_counter"), F.col("canonical")))

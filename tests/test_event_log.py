@@ -150,3 +150,13 @@ def test_counters_of_several_files(spark):
             assert {e for e, (state, _) in by.items() if state == "selected"} == {good[name]} and {s for e, (s, _) in by.items() if e != good[name]} == {"excluded"}, name
         else:
             assert set(by.values()) == {("unresolved", "broken" if name == "unusable" else "incomparable_history")}, name
+
+
+def test_only_counters_that_lead_back_are_searched_for_rings(spark, monkeypatch):
+    columns = "row_id long, session_id string, name string, source_id string, line long, event_id string, compatibility string, amount long, usable boolean, reason string, allow_unknown boolean"
+    files = {"on": ("abc", "bcd"), "back": ("abc", "cb"), "fork": ("abd", "acd"), "again": ("aba",), "plain": ("abc",)}
+    rows = [(ord(e), "s", name, f"{name}{n}", line, e, "c", 1, True, None, False) for name, fs in files.items() for n, file in enumerate(fs) for line, e in enumerate(file)]
+    searched, search = [], dialects._cyclic
+    monkeypatch.setattr(dialects, "_cyclic", lambda edges, scratch: searched.extend(r.group.split("\x1f")[1] for r in edges.select("group").distinct().collect()) or search(edges, scratch))
+    found = dialects.counter_decisions(spark.createDataFrame(rows, columns)).where("state = 'selected'").count()
+    assert sorted(searched) == ["again", "back", "on"] and found == 3
