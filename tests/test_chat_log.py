@@ -4,6 +4,7 @@ import copy
 import json
 import random
 
+from tallyforge import queries
 from tallyforge.operators import edits
 from tallyforge.sources import chat_log
 
@@ -155,3 +156,8 @@ def test_documents_that_are_refused_and_where_a_chat_lies(spark):
     places = ["/x/workspaceStorage/1/chatSessions/a.json", "/x/workspaceStorage/2/chatSessions/b.jsonl", "/y/workspaceStorage/1/chatSessions/a.json", "/x/chatSessions/a.json", "x/workspaceStorage/1/chatSessions/a.json"]
     found = [r[0] for r in spark.createDataFrame([(p,) for p in places], "p string").select(chat_log.scope(F.col("p"))).collect()]
     assert found[0] == found[1] != found[2] and found[3:] == [None, None]
+
+
+def test_logs_are_replayed_once_for_their_heads_and_items(spark, sf_dir):
+    plan = queries.chat_evidence(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
