@@ -45,6 +45,8 @@ SLAB = 500_000
 #: Words are runs of letters, digits and "_" of ASCII, and of whatever isn't ASCII.
 _GAP = np.array([b < 128 and not (chr(b).isalnum() or chr(b) == "_") for b in range(256)])
 NONE = np.zeros(0, dtype=np.int32)
+#: What an index makes of its postings, when first asked for.
+TABLES = ("dense", "matrix", "common", "begin", "block_max")
 
 
 def terms_of(data: bytes, hasher: WordHasher) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,7 +149,7 @@ def weighed(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 @dataclass
 class Index:
-    """Examples as TF-IDF vectors of length one, in blocks. Only the postings are sent to tasks; the tables are made of them there."""
+    """Examples as TF-IDF vectors of length one, in blocks. Only the postings are sent to tasks; ``tables`` are made of them there, and on the driver only while a line is fitted."""
 
     names: np.ndarray
     idf: np.ndarray
@@ -164,18 +166,24 @@ class Index:
     offset: float = 0.0
     loss: float = 0.0
 
-    def __post_init__(self) -> None:
-        self.tables()
-
     def __getstate__(self) -> dict:
-        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "matrix", "common", "begin", "block_max")}
-        return state | {"place": self.place.astype(np.int32), "weight": self.weight.astype(np.float32)}
+        state = {k: v for k, v in self.__dict__.items() if k not in TABLES}
+        return state | {"place": self.place.astype(np.int32, copy=False), "weight": self.weight.astype(np.float32, copy=False)}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self.tables()
 
-    def tables(self) -> None:
+    def __getattr__(self, name: str):
+        if name not in TABLES:
+            raise AttributeError(name)
+        return getattr(self.tables(), name)
+
+    def bare(self) -> Index:
+        """The same without tables, as it is sent."""
+        return Index(**self.__getstate__())
+
+    def tables(self) -> Index:
         """dense: by term its row in ``matrix`` (terms x places, whole blocks); common: by term its row in ``begin`` (its postings of each block) and ``block_max``; else -1."""
         self.place, self.weight = self.place.astype(np.int64), self.weight.astype(np.float64)
         blocks, held = -(-len(self.ids) // self.block), np.diff(self.start)
@@ -192,6 +200,7 @@ class Index:
         self.block_max = self.block_max.reshape(len(often), blocks)
         counts = np.bincount(cell, minlength=len(often) * blocks).reshape(len(often), blocks)
         self.begin = self.start[often][:, None] + np.concatenate([np.zeros((len(often), 1), dtype=np.int64), counts.cumsum(1)], axis=1)
+        return self
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return weighed(terms, counts, self.idf)
@@ -226,11 +235,12 @@ def build(examples: list[tuple[int, str, int]], vocabulary: Vocabulary, total: i
     Examples that have the same most frequent term stand together, so that a block's maxima are those of one kind of text.
     """
     counts, idf = Counts(vocabulary), np.log(1 + max(1, total) / np.maximum(found, 1))
-    rows = [(i, y, *counts.each([t])[0]) for i, t, y in sorted(examples)]
+    rows = [(i, y, terms, n.astype(np.float32)) for i, t, y in sorted(examples) for terms, n in counts.each([t])]
     rows.sort(key=lambda r: (int(r[2][r[3].argmax()]) if len(r[2]) else -1, r[1], r[0]))
     best = None
-    for power in POWERS:  # no more than two at a time are held
+    for power in POWERS:  # the tables of one at a time are held
         index = calibrated(inverted(rows, vocabulary, idf**power), [(p, r[2], r[3]) for p, r in enumerate(rows)])
+        index = index.bare()
         best = index if best is None or index.loss < best.loss else best
     return best
 
@@ -240,7 +250,7 @@ def inverted(rows: list[tuple[int, int, np.ndarray, np.ndarray]], vocabulary: Vo
     n, labels = len(rows), np.array([r[1] for r in rows], dtype=np.float64)
     term = np.concatenate([NONE, *(r[2] for r in rows)])
     place = np.repeat(np.arange(n, dtype=np.int32), [len(r[2]) for r in rows])
-    weight = np.concatenate([np.zeros(0), *(weighed(r[2], r[3], idf) for r in rows)]).astype(np.float32)
+    weight = np.concatenate([np.zeros(0, np.float32), *(weighed(r[2], r[3], idf).astype(np.float32) for r in rows)])
     order = np.argsort(term, kind="stable")
     start = np.searchsorted(term[order], np.arange(len(idf) + 1))
     return Index(vocabulary.names, idf, np.array([r[0] for r in rows], dtype=np.int64), labels, start, place[order], weight[order], float((labels.sum() + 1) / (n + 2)), max(LEAST_NEAREST, int(NEAREST * n)), BLOCK, int(DENSE * n))

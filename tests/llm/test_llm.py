@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -338,6 +339,24 @@ def test_toxicity_equals_dense_cosines(spark, monkeypatch):
     assert found[3].score == found[163].score and found[160].score == found[161].score == found[162].score and found[160].evidence == []
 
 
+def test_toxicity_holds_the_tables_of_one_index_at_a_time():
+    """The driver keeps the postings of the best power; the tables of one index are there while its line is fitted."""
+    rng, words = random.Random(7), [f"w{i:05}" for i in range(3000)]
+    examples = [(i, " ".join(rng.choices(words, k=300)), i % 2) for i in range(1200)]
+    vocabulary = toxicity.vocabulary_of(examples)
+    found = np.full(len(vocabulary.names), 100)
+    index = toxicity.build(examples, vocabulary, 1200, found)
+    assert not {"matrix", "block_max", "begin"} & set(vars(index)) and index.place.dtype == np.int32
+    index.tables()
+    held = sum(x.nbytes for x in vars(index).values() if isinstance(x, np.ndarray))
+    del index
+    tracemalloc.start()
+    toxicity.build(examples, vocabulary, 1200, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * held
+
+
 def test_toxicity_is_calibrated(spark):
     """On rows whose labels weren't given: the mean score is the share of toxic rows, and scores of a fifth of the range too."""
     rows = labelled(random.Random(12), 900)
