@@ -2,7 +2,7 @@
 
 A pre-token's symbols stand in a linked list; a segment tree holds the rank of each adjacent pair at the place of its
 left symbol. The root is the leftmost pair of lowest rank; a merge changes three leaves, each in logarithmic time, and
-the loop ends when the root holds no pair. So a pre-token of n bytes costs O(n log n), also if it has no white space
+the loop ends when the root holds no pair. The few leaves of a short pre-token stand right under the root. So a pre-token of n bytes costs O(n log n), also if it has no white space
 for a megabyte.
 
 Texts are cut at white space, where no pre-token can begin before it, and what a piece encodes to is kept in a bounded
@@ -17,6 +17,7 @@ are carried; others are ignored, whatever their names, but none that is carried
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -34,6 +35,8 @@ from .common import list_array, slices
 NONE = 1 << 62
 #: Bits for a pair's place below its rank.
 PLACE = 40
+#: Symbols of a pre-token whose pairs stand right under the root of its tree.
+FLAT = 48
 #: Words and pieces kept per task, twice: a full table becomes the older one, from which what is asked for moves on.
 WORDS, PIECES = 60_000, 30_000
 #: Characters of text that are encoded and decoded at a time.
@@ -49,8 +52,28 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def merge_under_root(symbols: list[int], rank_of: dict[int, int], merged: list[int]) -> list[int]:
+    """The same as ``merge`` where a few leaves stand right under the root, which is their first minimum."""
+    get, out = rank_of.get, symbols[:]
+    ranks = [get(a << 17 | b, NONE) for a, b in itertools.pairwise(out)]
+    while ranks and (top := min(ranks)) != NONE:
+        i = ranks.index(top)
+        del ranks[i], out[i]
+        out[i] = new = merged[top]
+        if i:
+            ranks[i - 1] = get(out[i - 1] << 17 | new, NONE)
+        if i < len(ranks):
+            ranks[i] = get(new << 17 | out[i + 1], NONE)
+    return out
+
+
 def merge(symbols: list[int], rank_of: dict[int, int], merged: list[int]) -> list[int]:
     """Ids after all merges. rank_of: rank by left id << 17 | right id; merged: new id by rank."""
+    return (merge_under_root if len(symbols) <= FLAT else merge_in_tree)(symbols, rank_of, merged)
+
+
+def merge_in_tree(symbols: list[int], rank_of: dict[int, int], merged: list[int]) -> list[int]:
+    """The same with a binary tree, whose cost of a merge is logarithmic."""
     n = len(symbols)
     if n < 2:
         return symbols

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 
@@ -339,6 +340,29 @@ def test_toxicity_equals_dense_cosines(spark, monkeypatch):
     assert found[3].score == found[163].score and found[160].score == found[161].score == found[162].score and found[160].evidence == []
 
 
+def test_short_pretokens_merge_under_the_root_as_in_the_tree_and_sooner():
+    rng = random.Random(5)
+    rank_of, merged = {}, []
+    while len(merged) < 400:
+        pair = rng.randrange(8 + len(merged) // 4) << 17 | rng.randrange(8 + len(merged) // 4)
+        if pair not in rank_of:
+            rank_of[pair] = len(merged)
+            merged.append(8 + len(merged))
+    words = [[rng.randrange(8) for _ in range(n)] for n in range(130) for _ in range(20)]
+    kept = [w[:] for w in words]
+    assert [bpe.merge(w, rank_of, merged) for w in words] == [bpe.merge_in_tree(w, rank_of, merged) for w in words] == [bpe.merge_under_root(w, rank_of, merged) for w in words]
+    assert words == kept
+    short = [w for w in words if 4 <= len(w) <= 16] * 10
+
+    def seconds(how) -> float:
+        start = time.process_time()
+        for w in short:
+            how(w, rank_of, merged)
+        return time.process_time() - start
+
+    assert min(seconds(bpe.merge) for _ in range(5)) < 0.8 * min(seconds(bpe.merge_in_tree) for _ in range(5))
+
+
 def test_toxicity_holds_the_tables_of_one_index_at_a_time():
     """The driver keeps the postings of the best power; the tables of one index are there while its line is fitted."""
     rng, words = random.Random(7), [f"w{i:05}" for i in range(3000)]
