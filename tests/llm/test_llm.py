@@ -363,6 +363,17 @@ def test_short_pretokens_merge_under_the_root_as_in_the_tree_and_sooner():
     assert min(seconds(bpe.merge) for _ in range(5)) < 0.8 * min(seconds(bpe.merge_in_tree) for _ in range(5))
 
 
+def test_short_words_are_counted_without_a_binary_tree(monkeypatch):
+    import public_tokenizers
+
+    b = bpe.load(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Quervanten bilostrade um Zwölfe", "x" * 40 + " naïve " + "qzv" * 12, " 12345  67\n\nab'll"]
+    want = [len(b"".join(np.array(bpe.merge_in_tree([b.byte_id[c] for c in w.encode()], b.rank_of, b.merged), "<i4").tobytes() for w in b.pretokens(t))) // 4 for t in texts]
+    monkeypatch.setattr(bpe, "merge_in_tree", None)
+    counter = token_counts.Counter(b, frozenset())
+    assert [counter.count(t) for t in texts] == want
+
+
 def test_toxicity_holds_the_tables_of_one_index_at_a_time():
     """The driver keeps the postings of the best power; the tables of one index are there while its line is fitted."""
     rng, words = random.Random(7), [f"w{i:05}" for i in range(3000)]
