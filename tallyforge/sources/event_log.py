@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import UUID4, instant
 from ..operators import chains
 from .lines import an_object, given, whole
+from .scratch import Scratch
 
 #: Where sessions lie, who writes them, and the version of their start.
 FOLDERS, PRODUCERS, VERSION = ("session-state",), ("copilot-cli", "github-copilot-cli"), 1
@@ -18,6 +19,8 @@ START, SHUTDOWN, CHECKPOINT, USAGE, MOVED = "session.start", "session.shutdown",
 SPOKEN = ("user.message", "assistant.message", "assistant.reasoning", "tool.execution_start", "tool.execution_complete")
 COUNTS = ("input", "output", "cacheRead", "cacheWrite")
 _AMOUNT = "decimal(38,18)"
+#: Lines that a task passes over, or whose bodies it reads.
+LINES_A_TASK = 100_000
 
 
 def session_of(locator: Column) -> Column:
@@ -83,8 +86,13 @@ def envelopes(lines: DataFrame) -> DataFrame:
 
 
 def qualified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The files (locator, session_id, started_ms, epoch, code), and the events of good ones with chain (a code or null) and accepted, of ``envelopes``."""
-    verdicts = chains.qualify(rows)
+    """The files (locator, session_id, started_ms, epoch, code), and the events of good ones with chain (a code or null) and accepted, of ``envelopes``, which are read several times.
+
+    Verdicts, starts and files are written once. Bodies meet what is said of their lines last, in parts whose number grows with the lines: they are small when packed, but not for those who read them.
+    """
+    scratch = Scratch(rows.sparkSession, "chains")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // LINES_A_TASK))
+    verdicts = scratch.table(chains.qualify(rows, parts))
     # The verdict on a sound file has no line; one on a refused file is its only row.
     sound = verdicts.where("line IS NULL AND code IS NULL").select("locator")
     refused = verdicts.where("code = 'invalid_session_start'").select("locator", F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("long").alias("started_ms"), F.lit(None).cast("string").alias("epoch"), "code")
@@ -92,14 +100,17 @@ def qualified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     started = _millis(v, "$.startTime")
     context_ok = ~given(v, "context") | _context(F.try_variant_get(v, "$.context", "variant"))[0]
     who = (_string(v, "$.sessionId") == expected) & (whole(v, "version") == VERSION) & _string(v, "$.producer").isin(*PRODUCERS) & _text(v, "$.copilotVersion").isNotNull() & started.isNotNull() & context_ok
-    starts = rows.where("is_start").join(sound, "locator").select("locator", expected.alias("session_id"), started.alias("started_ms"), F.coalesce(who, F.lit(False)).alias("known"))
-    events = rows.join(verdicts.where("line IS NOT NULL").select("locator", "line", F.col("code").alias("chain"), "accepted"), ["locator", "line"]).join(starts.where("known").select("locator", "session_id", "started_ms"), "locator")
-    early = events.where("accepted OR chain = 'invalid_event_chain'").where("at_ms < started_ms").select("locator").distinct().withColumn("early", F.lit(True))
+    starts = scratch.table(rows.where("is_start").join(sound, "locator").select("locator", expected.alias("session_id"), started.alias("started_ms"), F.coalesce(who, F.lit(False)).alias("known")))
+    # Few events lie before their session's start, if any. Verdicts are small when packed but large in memory, so they are never sent to all tasks.
+    before = rows.select("locator", "line", "at_ms").join(starts.where("known").select("locator", "started_ms"), "locator").where("at_ms < started_ms").select("locator", "line")
+    early = before.join(verdicts.hint("merge").where("accepted OR code = 'invalid_event_chain'").select("locator", "line"), ["locator", "line"]).select("locator").distinct().withColumn("early", F.lit(True))
     files = starts.join(early, "locator", "left")
     code = F.when(~F.col("known"), "conflicting_session_identity").when(F.col("early"), "invalid_session_lifetime")
     files = files.select("locator", F.when(code.isNull(), F.col("session_id")).alias("session_id"), F.when(code.isNull(), F.col("started_ms")).alias("started_ms"), F.when(code.isNull(), F.sha2(F.concat_ws("|", "session_id", F.lit(VERSION), "started_ms"), 256)).alias("epoch"), code.alias("code"))
-    files = files.unionByName(refused)
-    return files, events.join(files.where("code IS NULL").select("locator", "epoch"), "locator")
+    files = scratch.table(files.unionByName(refused))
+    said = verdicts.where("line IS NOT NULL").select("locator", "line", F.col("code").alias("chain"), "accepted").join(files.where("code IS NULL").drop("code"), "locator")
+    place = ["locator", "line"]
+    return files, rows.repartition(parts, *place).join(said.repartition(parts, *place).hint("merge"), place)
 
 
 def counters(events: DataFrame) -> DataFrame:
@@ -111,55 +122,62 @@ def counters(events: DataFrame) -> DataFrame:
     v = F.col("v")
     rows = events.where(F.col("accepted") & F.col("kind").isin(SHUTDOWN, CHECKPOINT) & ~F.col("named_agent"))
     closing = F.col("kind") == SHUTDOWN
-    changes = an_object(F.try_variant_get(v, "$.codeChanges", "variant"))
+    part = lambda x, name: an_object(F.try_variant_get(x, f"$.{name}", "variant"))
+    rows = rows.select(
+        "locator", "session_id", "epoch", "line", "event_id", "at_ms", "started_ms", "v", closing.alias("closing"),
+        F.when(closing, part(v, "codeChanges")).alias("changes"), F.when(closing, part(v, "modelMetrics")).alias("metrics"), F.when(closing, part(v, "agentMetrics")).alias("agents"), _text(v, "$.shutdownType").alias("shutdown_type"),
+    )
+    closing, changes, metrics, agents = map(F.col, ("closing", "changes", "metrics", "agents"))
     files = F.try_variant_get(changes, "$.filesModified", "array<variant>")
     changed = changes.isNotNull() & F.coalesce(F.forall(files, lambda f: F.schema_of_variant(f) == "STRING"), F.lit(False)) & whole(changes, "linesAdded").isNotNull() & whole(changes, "linesRemoved").isNotNull()
-    metrics, agents = an_object(F.try_variant_get(v, "$.modelMetrics", "variant")), an_object(F.try_variant_get(v, "$.agentMetrics", "variant"))
     same_epoch = F.coalesce(whole(v, "sessionStartTime") == F.col("started_ms"), F.lit(False))
-    framed = F.coalesce(_text(v, "$.shutdownType").isin("routine", "error") & whole(v, "totalApiDurationMs").isNotNull() & metrics.isNotNull() & changed, F.lit(False))
+    framed = F.coalesce(F.col("shutdown_type").isin("routine", "error") & whole(v, "totalApiDurationMs").isNotNull() & metrics.isNotNull() & changed, F.lit(False))
+    rows = rows.select("*", (closing & same_epoch).alias("same_epoch"), (closing & framed).alias("whole_frame"))
+    same_epoch, framed = F.col("same_epoch"), F.col("whole_frame")
     bad = lambda name, condition: F.when(F.coalesce(condition, F.lit(False)), name)
-    unread = lambda name: given(v, name) & amount(v, name).isNull()
+    unread = lambda x, name: given(x, name) & amount(x, name).isNull()
+    shapeless = lambda x, name: given(x, name) & part(x, name).isNull()
     faults = F.array_compact(F.array(
-        bad("nano_aiu", unread("totalNanoAiu") | (~closing & ~given(v, "totalNanoAiu"))), bad("premium_requests", unread("totalPremiumRequests")), bad("epoch", closing & ~same_epoch), bad("shutdown", closing & ~framed),
-        bad("agentMetrics", closing & given(v, "agentMetrics") & agents.isNull()), bad("tokenDetails", closing & given(v, "tokenDetails") & an_object(F.try_variant_get(v, "$.tokenDetails", "variant")).isNull()),
+        bad("nano_aiu", unread(v, "totalNanoAiu") | (~closing & ~given(v, "totalNanoAiu"))), bad("premium_requests", unread(v, "totalPremiumRequests")), bad("epoch", closing & ~same_epoch), bad("shutdown", closing & ~framed),
+        bad("agentMetrics", closing & given(v, "agentMetrics") & agents.isNull()), bad("tokenDetails", closing & shapeless(v, "tokenDetails")),
     ))
-    as_map = lambda x: F.from_json(F.to_json(x), "map<string,variant>")
+    as_map = lambda x: F.try_variant_get(x, "$", "map<string,variant>")
+    own = ["locator", "session_id", "epoch", "line", "event_id", "at_ms", "source", "shutdown_type", "framed"]
     base = rows.select(
-        "locator", "session_id", "epoch", "line", "event_id", "at_ms", F.when(closing, "shutdown").otherwise("checkpoint").alias("source"), amount(v, "totalNanoAiu").alias("nano"), amount(v, "totalPremiumRequests").alias("premium"), faults.alias("faults"),
-        F.when(closing & framed & same_epoch, as_map(metrics)).alias("metrics"), F.when(closing & framed & same_epoch, as_map(agents)).alias("agents"), (closing & framed & same_epoch).alias("framed"), _text(v, "$.shutdownType").alias("shutdown_type"),
+        *own[:6], F.when(closing, "shutdown").otherwise("checkpoint").alias("source"), "shutdown_type", (framed & same_epoch).alias("framed"), amount(v, "totalNanoAiu").alias("total"), amount(v, "totalPremiumRequests").alias("premium"), faults.alias("faults"),
+        F.when(framed & same_epoch, as_map(metrics)).alias("metrics"), F.when(framed & same_epoch, as_map(agents)).alias("agents"),
+    )
+    # A session's own counters, its models and its agents are rows of one pass over its events.
+    a_name = lambda k: k.rlike(r"\S") & (F.length(k) <= 256)
+    entry = lambda scope, name, m: F.struct(F.lit(scope).alias("scope"), name.alias("name"), m.alias("m"))
+    no_entry = F.array().cast("array<struct<scope:string,name:string,m:variant>>")
+    of = lambda scope, found: F.coalesce(F.transform(F.filter(F.map_entries(found), lambda e: a_name(e["key"])), lambda e: entry(scope, e["key"], e["value"])), no_entry)
+    each = base.select(
+        *own, "total", "premium", "faults", F.sort_array(F.filter(F.map_keys("metrics"), a_name)).alias("names"),
+        F.inline(F.concat(F.array(entry("session", F.lit(None).cast("string"), F.lit(None).cast("variant"))), of("model", F.col("metrics")), of("agent", F.col("agents")))).alias("scope", "name", "m"),
     )
-    names = lambda c: F.filter(F.map_keys(c), lambda k: k.rlike(r"\S") & (F.length(k) <= 256))
-    no_amount, no_count, no_text = F.lit(None).cast(_AMOUNT), F.lit(None).cast("long"), F.lit(None).cast("string")
-    own = ["locator", "session_id", "epoch", "line", "event_id", "at_ms", "source"]
-    counted = ("input", "output", "cache_read", "cache_write", "reasoning", "requests")
-    sessions = base.select(*own, F.lit("session").alias("scope"), no_text.alias("name"), "nano", "premium", *(no_count.alias(c) for c in counted), no_amount.alias("cost"), no_text.alias("input_reason"), F.col("faults").alias("invalid"), F.sort_array(names("metrics")).alias("models"), "shutdown_type", "framed")
-
-    m = F.col("m")
-    usage, asked = an_object(F.try_variant_get(m, "$.usage", "variant")), an_object(F.try_variant_get(m, "$.requests", "variant"))
-    tokens = {n: whole(usage, f"{n}Tokens") for n in COUNTS}
-    thought = whole(usage, "reasoningTokens")
+    m, session, model, agent = F.col("m"), F.col("scope") == "session", F.col("scope") == "model", F.col("scope") == "agent"
+    each = each.where(~agent | an_object(m).isNotNull()).select("*", F.when(model, part(m, "usage")).alias("usage"), F.when(model, part(m, "requests")).alias("asked"))
+    usage, asked = F.col("usage"), F.col("asked")
+    counted = ("input", "output", "cache_read", "cache_write", "reasoning")
+    each = each.select("*", *(whole(usage, f"{n}Tokens").alias(c) for c, n in zip(counted, (*COUNTS, "reasoning"), strict=True)), amount(m, "totalNanoAiu").alias("part_total"))
+    thinks_more = F.col("reasoning") > F.col("output")
     wrong = F.array_sort(F.array_compact(F.array(
-        *(bad(n, t.isNull()) for n, t in tokens.items()), bad("model_shape", usage.isNull() | asked.isNull()), bad("reasoning", (given(usage, "reasoningTokens") & thought.isNull()) | (thought > tokens["output"])),
-        bad("request_count", given(asked, "count") & whole(asked, "count").isNull()), bad("request_cost", given(asked, "cost") & amount(asked, "cost").isNull()), bad("totalNanoAiu", given(m, "totalNanoAiu") & amount(m, "totalNanoAiu").isNull()),
-        bad("tokenDetails", given(m, "tokenDetails") & an_object(F.try_variant_get(m, "$.tokenDetails", "variant")).isNull()),
+        *(bad(n, F.col(c).isNull()) for n, c in zip(COUNTS, counted[:4], strict=True)), bad("model_shape", usage.isNull() | asked.isNull()), bad("reasoning", (given(usage, "reasoningTokens") & F.col("reasoning").isNull()) | thinks_more),
+        bad("request_count", given(asked, "count") & whole(asked, "count").isNull()), bad("request_cost", unread(asked, "cost")), bad("totalNanoAiu", given(m, "totalNanoAiu") & F.col("part_total").isNull()), bad("tokenDetails", shapeless(m, "tokenDetails")),
     )))
-    caches = (tokens["cacheRead"] > 0) | (tokens["cacheWrite"] > 0)
-    why = F.when(tokens["input"].isNull() | caches.isNull(), "invalid_counter").when(caches, "cache_inclusion_unknown")
-    each = base.where("metrics IS NOT NULL").select(*own, "framed", "shutdown_type", F.explode("metrics").alias("name", "m")).where(F.col("name").rlike(r"\S") & (F.length("name") <= 256))
-    models = each.select(
-        *own, F.lit("model").alias("scope"), "name", amount(m, "totalNanoAiu").alias("nano"), no_amount.alias("premium"), *(t.alias(c) for c, t in zip(counted, [*tokens.values(), F.when(~F.coalesce(thought > tokens["output"], F.lit(False)), thought), whole(asked, "count")], strict=True)),
-        amount(asked, "cost").alias("cost"), why.alias("input_reason"), wrong.alias("invalid"), F.lit(None).cast("array<string>").alias("models"), "shutdown_type", "framed",
-    )
+    caches = (F.col("cache_read") > 0) | (F.col("cache_write") > 0)
+    why = F.when(F.col("input").isNull() | caches.isNull(), "invalid_counter").when(caches, "cache_inclusion_unknown")
     # An agent's breakdown adds nothing to the session's; it counts whole, or not at all.
-    inner = as_map(an_object(F.try_variant_get(m, "$.modelMetrics", "variant")))
-    sound = lambda x: an_object(F.try_variant_get(x, "$.requests", "variant")).isNotNull() & F.least(*(whole(F.try_variant_get(x, "$.usage", "variant"), f"{n}Tokens").isNotNull() for n in COUNTS))
-    agent_ok = whole(m, "totalApiDurationMs").isNotNull() & amount(m, "totalNanoAiu").isNotNull() & inner.isNotNull() & F.forall(F.map_values(inner), sound)
-    each = base.where("agents IS NOT NULL").select(*own, "framed", "shutdown_type", F.explode("agents").alias("name", "m")).where(F.col("name").rlike(r"\S") & (F.length("name") <= 256) & an_object(m).isNotNull())
-    agents_ = each.select(
-        *own, F.lit("agent").alias("scope"), "name", amount(m, "totalNanoAiu").alias("nano"), no_amount.alias("premium"), *(no_count.alias(c) for c in counted), no_amount.alias("cost"), F.lit("non_additive_agent_breakdown").alias("input_reason"),
-        F.array_compact(F.array(F.when(~F.coalesce(agent_ok, F.lit(False)), "agent_core"))).alias("invalid"), F.lit(None).cast("array<string>").alias("models"), "shutdown_type", "framed",
+    inner = as_map(part(m, "modelMetrics"))
+    sound = lambda x: part(x, "requests").isNotNull() & F.least(*(whole(F.try_variant_get(x, "$.usage", "variant"), f"{n}Tokens").isNotNull() for n in COUNTS))
+    agent_ok = whole(m, "totalApiDurationMs").isNotNull() & F.col("part_total").isNotNull() & inner.isNotNull() & F.forall(F.map_values(inner), sound)
+    broken = F.array_compact(F.array(F.when(~F.coalesce(agent_ok, F.lit(False)), "agent_core")))
+    return each.select(
+        *own[:7], "scope", "name", F.when(session, F.col("total")).otherwise(F.col("part_total")).alias("nano"), F.when(session, F.col("premium")).alias("premium"),
+        *counted[:4], F.when(~F.coalesce(thinks_more, F.lit(False)), F.col("reasoning")).alias("reasoning"), F.when(model, whole(asked, "count")).alias("requests"), F.when(model, amount(asked, "cost")).alias("cost"),
+        F.when(model, why).when(agent, "non_additive_agent_breakdown").alias("input_reason"), F.when(session, F.col("faults")).when(model, wrong).otherwise(broken).alias("invalid"), F.when(session, F.col("names")).alias("models"), "shutdown_type", "framed",
     )
-    return sessions.unionByName(models).unionByName(agents_)
 
 
 def lifetimes(lines: DataFrame, events: DataFrame, told: DataFrame) -> DataFrame:
