@@ -61,6 +61,11 @@ def call_decisions(rows: DataFrame) -> DataFrame:
     return placed.join(per, "component", "left").select("row_id", state.alias("state"), reason.alias("reason"))
 
 
+def _differ(column: str | Column) -> Column:
+    """Whether a group holds several values, none being no value; unlike a distinct count it copies no rows."""
+    return F.coalesce(F.min(column) != F.max(column), F.lit(False))
+
+
 def call_log_decisions(rows: DataFrame) -> DataFrame:
     """row_id, state, reason, canonical of (row_id long, message_id, request_id, entry_id, signature, output, finality, writer_token, usable, reason, at_us, locator, line, current, superseded).
 
@@ -82,8 +87,8 @@ def call_log_decisions(rows: DataFrame) -> DataFrame:
     rows = scratch.table(rows.join(lone, "component").withColumn("active", ~F.col("superseded") | F.col("all_superseded")).withColumn("named", named))
 
     # What isn't one to one, by the component of any row of it.
-    pairs = (("message_id", "request_id"), ("request_id", "message_id"), ("entry_id", "message_id"), ("entry_id", "request_id"))
-    split = [rows.where(F.col(a).isNotNull()).groupBy(a).agg(F.countDistinct(b).alias("n"), F.min("component").alias("component")).where("n > 1").select("component") for a, b in pairs]
+    pairs = (("message_id", ("request_id",)), ("request_id", ("message_id",)), ("entry_id", ("message_id", "request_id")))
+    split = [rows.where(F.col(a).isNotNull()).groupBy(a).agg(functools.reduce(Column.__or__, map(_differ, bs)).alias("split"), F.min("component").alias("component")).where("split").select("component") for a, bs in pairs]
     split = functools.reduce(DataFrame.unionByName, split).distinct().withColumn("split", F.lit(True))
     active = rows.where("active")
     entries = active.groupBy("entry_id").agg(
@@ -91,19 +96,19 @@ def call_log_decisions(rows: DataFrame) -> DataFrame:
     )
     active = active.join(entries, "entry_id", "left")
     nameless = ~F.col("named") & ~F.coalesce("entry_named", F.lit(False))
-    active = active.withColumn("nameless", F.max(nameless.cast("int")).over(Window.partitionBy("row_id")) == 1)
+    active = scratch.table(active.withColumn("nameless", F.max(nameless.cast("int")).over(Window.partitionBy("row_id")) == 1))
     final, token = F.col("finality") == "final", F.col("writer_token")
     excused = ~F.col("named") & F.coalesce("entry_named", F.lit(False)) & F.coalesce(F.col("reason") == "missing_identity", F.lit(False))
     order = F.struct((~F.col("current")).alias("old"), F.col("at_us").isNull().alias("late"), F.coalesce("at_us", F.lit(0)).alias("at"), "locator", "line", F.coalesce("entry_id", F.lit("")).alias("entry"))
     per = active.groupBy("component").agg(
-        F.countDistinct(F.when(final, F.struct("output"))).alias("final_outputs"), F.bool_or(F.col("finality").isin("final_missing", "invalid")).alias("lacks"), F.bool_or(F.col("finality") == "invalid").alias("broken"),
-        F.bool_or(F.col("has_final") & F.col("has_other")).alias("mixed"), F.countDistinct(token).alias("writers"), F.countDistinct(F.when(final, token)).alias("final_writers"), F.countDistinct(F.when(F.col("finality") == "placeholder", token)).alias("first_writers"),
+        F.coalesce(F.bool_or(final), F.lit(False)).alias("finals"), (_differ(F.when(final, F.col("output"))) | ((F.count(F.when(final, F.col("output"))) > 0) & (F.count_if(final & F.col("output").isNull()) > 0))).alias("final_outputs"), F.bool_or(F.col("finality").isin("final_missing", "invalid")).alias("lacks"), F.bool_or(F.col("finality") == "invalid").alias("broken"),
+        F.bool_or(F.col("has_final") & F.col("has_other")).alias("mixed"), _differ(token).alias("writers"), ((F.count(F.when(final, token)) > 0) & ~_differ(F.when(final, token))).alias("final_writer"), _differ(F.when(F.col("finality") == "placeholder", token)).alias("first_writers"),
         F.bool_and((final & token.isNotNull()) | (F.col("finality") == "placeholder") | ((F.col("finality") == "unqualified") & token.isNull())).alias("plain"), F.bool_or(final & token.isNull()).alias("final_unsigned"), F.bool_or(final & token.isNotNull()).alias("final_signed"),
-        F.countDistinct("signature").alias("signatures"), F.bool_or(~F.col("usable") & ~F.col("nameless") & ~excused).alias("unusable"),
+        _differ("signature").alias("signatures"), F.bool_or(~F.col("usable") & ~F.col("nameless") & ~excused).alias("unusable"),
     )
-    refined = (F.col("final_writers") == 1) & (F.col("first_writers") <= 1) & F.col("plain")
-    output_conflict = (F.col("final_outputs") > 1) | ((F.col("final_outputs") > 0) & F.col("lacks")) | F.col("broken") | F.col("mixed") | ((F.col("writers") > 1) & ~refined) | (F.col("final_unsigned") & F.col("final_signed"))
-    per = per.join(split, "component", "left").select("component", output_conflict.alias("output_conflict"), (F.coalesce("split", F.lit(False)) | (F.col("signatures") > 1) | F.col("unusable")).alias("conflict"))
+    refined = F.col("final_writer") & ~F.col("first_writers") & F.col("plain")
+    output_conflict = F.col("final_outputs") | (F.col("finals") & F.col("lacks")) | F.col("broken") | F.col("mixed") | (F.col("writers") & ~refined) | (F.col("final_unsigned") & F.col("final_signed"))
+    per = per.join(split, "component", "left").select("component", output_conflict.alias("output_conflict"), (F.coalesce("split", F.lit(False)) | F.col("signatures") | F.col("unusable")).alias("conflict"))
     best = rows.where("named AND NOT superseded").groupBy("component", "row_id").agg(F.min_by("finality", order).alias("finality"), F.min(order).alias("order"))
     canonical = best.groupBy("component").agg(F.min(F.struct((F.col("finality") != "final").alias("open"), "order", "row_id"))["row_id"].alias("canonical"))
     one = rows.groupBy("component", "row_id").agg(F.bool_or("active").alias("active")).join(active.groupBy("row_id").agg(F.bool_or("nameless").alias("nameless")), "row_id", "left")

@@ -14,6 +14,9 @@ from .lines import an_object, given, whole
 
 #: Fixed value: the first release that writes final output counts.
 FINAL_SINCE = (2, 1, 97)
+_NUMBER, _NAME = "(?:0|[1-9][0-9]*)", "[0-9A-Za-z-]+"
+_PRE = f"(?:{_NUMBER}|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+STRICT = rf"^{_NUMBER}\.{_NUMBER}\.{_NUMBER}(-{_PRE}(\.{_PRE})*)?(\+{_NAME}(\.{_NAME})*)?$"
 _RECORD = "type string, uuid string, parentUuid string, requestId string, sessionId string, timestamp string, cwd string, version string, message struct<id: string, model: string, usage: variant>"
 
 
@@ -42,20 +45,17 @@ def release(version: Column) -> Column:
     """
     before_plus = F.substring_index(version, "+", 1)
     core = F.substring_index(before_plus, "-", 1)
-    after = lambda whole_, part: F.when(F.length(whole_) > F.length(part), F.substr(whole_, F.length(part) + 2))
-    names = lambda text, good: F.coalesce(F.forall(F.split(text, r"\."), good), F.lit(True))
-    name, padded = (lambda x: x.rlike("^[0-9A-Za-z-]+$")), (lambda x: x.rlike("^0[0-9]+$"))
-    numbers, pre, build = F.split(core, r"\."), after(before_plus, core), after(version, before_plus)
-    good = (
-        (F.length(version) <= 128) & (F.size(numbers) == 3) & F.forall(numbers, lambda x: x.rlike("^[0-9]+$") & ~padded(x))
-        & names(pre, lambda x: name(x) & ~padded(x)) & names(build, name) & ~version.contains("\n")
-    )
-    return F.when(good, F.struct(*(numbers[i].try_cast("decimal(38,0)").alias(f"v{i + 1}") for i in range(3)), pre.isNotNull().alias("early")))
+    numbers = F.split(core, r"\.")
+    good = (F.length(version) <= 128) & version.rlike(STRICT) & ~version.contains("\n")
+    return F.when(good, F.struct(*(numbers[i].try_cast("decimal(38,0)").alias(f"v{i + 1}") for i in range(3)), before_plus.contains("-").alias("early")))
 
 
 def writer(version: Column) -> Column:
     """final, placeholder or unqualified, by a strict version."""
-    found = release(version)
+    return _finality(release(version))
+
+
+def _finality(found: Column) -> Column:
     since = F.struct(*(F.lit(v).cast("decimal(38,0)").alias(f"v{i}") for i, v in enumerate(FINAL_SINCE, 1)), F.lit(False).alias("early"))
     numbers, least = (F.struct(*(x[f"v{i}"].alias(f"v{i}") for i in (1, 2, 3))) for x in (found, since))
     return F.when(found.isNull(), "unqualified").when((numbers > least) | ((numbers == least) & ~found["early"]), "final").otherwise("placeholder")
@@ -63,7 +63,11 @@ def writer(version: Column) -> Column:
 
 def writer_token(version: Column) -> Column:
     """What tells one writer's version from another; null for one that isn't strict."""
-    return F.when(release(version).isNotNull(), F.sha2(F.concat(F.lit("writer:"), version), 256))
+    return F.when(release(version).isNotNull(), _token(version))
+
+
+def _token(version: Column) -> Column:
+    return F.sha2(F.concat(F.lit("writer:"), version), 256)
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -93,15 +97,20 @@ def headers(rows: DataFrame) -> DataFrame:
 
 def observations(rows: DataFrame) -> DataFrame:
     """One row per assistant entry with usage whose input counts and model can be read: ids, time, model, amounts with reasons, and how final the output is."""
+    # Releases, and what follows from them, are worked out once a row.
+    version = F.col("r.version")
+    rows = rows.where((F.col("r.type") == "assistant") & F.col("r.message.usage").isNotNull()).select("*", release(version).alias("release")).select("*", _finality(F.col("release")).alias("writes"))
     usage = an_object(F.col("r.message.usage"))
     has, count = (lambda n: given(usage, n)), (lambda n: whole(usage, n))
     names = {"input": "input_tokens", "cache_read": "cache_read_input_tokens", "cache_write": "cache_creation_input_tokens"}
     unread = F.greatest(*(has(n) & count(n).isNull() for n in (*names.values(), names["input"])))
-    kind = writer(F.col("r.version"))
+    kind = F.col("writes")
     written = count("output_tokens")
     finality = F.when(~has("output_tokens"), F.when(kind == "final", "final_missing").otherwise("not_reported")).when(written.isNull(), "invalid").otherwise(kind)
     message, request = _text(F.col("r.message.id")), _text(F.col("r.requestId"))
-    billed = rows.where((F.col("r.type") == "assistant") & usage.isNotNull() & _text(F.col("r.uuid")).isNotNull() & ~unread & _text(F.col("r.message.model")).isNotNull())
+    billed = rows.where(usage.isNotNull() & _text(F.col("r.uuid")).isNotNull() & ~unread & _text(F.col("r.message.model")).isNotNull())
+    billed = billed.select("*", finality.alias("finality"), instant(F.col("r.timestamp")).alias("at_us"))
+    finality, at = F.col("finality"), F.col("at_us")
     columns = {}
     for m, n in names.items():
         columns |= {f"{m}_amount": count(n), f"{m}_reason": F.when(~has(n), "not_reported")}
@@ -109,10 +118,10 @@ def observations(rows: DataFrame) -> DataFrame:
     columns["output_reason"] = F.when(finality.isin("final_missing", "not_reported"), "not_reported").when(finality == "invalid", "invalid_count").when(finality == "placeholder", "stream_start_placeholder").when(finality == "unqualified", "writer_version_unavailable")
     columns |= {f"{m}_state": F.when(columns[f"{m}_amount"].isNull(), "unknown").otherwise("known") for m in (*names, "output")}
     reason = F.when(message.isNull() & request.isNull(), "missing_identity").when(finality == "invalid", "invalid_count")
-    at = instant(F.col("r.timestamp"))
+    token = F.when(F.col("release").isNotNull(), _token(version))
     return billed.select(
         "locator", "line", "session_id", F.col("r.uuid").alias("entry_id"), _text(F.col("r.parentUuid")).alias("parent_entry"), message.alias("message_id"), request.alias("request_id"), F.col("r.message.model").alias("model"),
-        at.alias("at_us"), F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), finality.alias("finality"), written.alias("written_output"), writer_token(F.col("r.version")).alias("writer_token"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
+        "at_us", F.when(at.isNull(), "undated").otherwise("point").alias("time_kind"), "finality", written.alias("written_output"), token.alias("writer_token"), reason.isNull().alias("usable"), reason.alias("reason"), *(c.alias(n) for n, c in columns.items()),
     )
 
 
