@@ -181,8 +181,8 @@ def counters(events: DataFrame) -> DataFrame:
 
 
 def lifetimes(lines: DataFrame, events: DataFrame, told: DataFrame) -> DataFrame:
-    """locator, closed_line, complete: whether a file ends with a routine shutdown, after which nothing durable stands: no event, nothing that can't be read, and no pending tail."""
-    last = told.where("scope = 'session' AND framed").groupBy("locator").agg(F.max("line").alias("closed_line"), F.max_by("shutdown_type", "line").alias("shutdown_type"))
+    """locator, closed_line, complete: whether a file ends with a routine shutdown, after which nothing durable stands: no event, nothing that can't be read, and no pending tail. Last shutdowns are written, so counters are read once."""
+    last = Scratch(told.sparkSession, "lifetimes").table(told.where("scope = 'session' AND framed").groupBy("locator").agg(F.max("line").alias("closed_line"), F.max_by("shutdown_type", "line").alias("shutdown_type")))
     after = events.join(last.select("locator", "closed_line"), "locator").where((F.col("line") > F.col("closed_line")) & (F.coalesce(F.col("kind") != USAGE, F.lit(True)) & ~F.col("ephemeral") | F.coalesce(F.col("chain").isNotNull(), F.lit(False)))).select("locator")
     torn = lines.where("status != 'ok'").join(last.select("locator", "closed_line"), "locator").where("line > closed_line OR status = 'pending'").select("locator")
     later = after.unionByName(torn).distinct().withColumn("later", F.lit(True))

@@ -32,3 +32,8 @@ def test_counts_with_a_point_are_no_counts(spark):
     events = spark.createDataFrame([("f", "s", "e", 2, "x", 0, 0, "session.shutdown", True, False, data)], "locator string, session_id string, epoch string, line long, event_id string, at_ms long, started_ms long, kind string, accepted boolean, named_agent boolean, data string")
     row = event_log.counters(events.withColumn("v", F.try_parse_json("data"))).where("scope = 'model'").first()
     assert row.input is None and row.output == 2 and row.invalid == ["input"] and row.input_reason == "invalid_counter"
+
+
+def test_last_shutdowns_are_read_once(spark, sf_dir):
+    # No generator of counters is left in what is returned: the last shutdowns are written.
+    assert "Generate" not in _plan(queries.event_files(spark, sf_dir))
