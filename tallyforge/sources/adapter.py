@@ -32,9 +32,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: identity, time, model, and per measure its state, amount and decision."""
-    line = table(spark, sf_dir, "lineitem")
+def observations(spark: SparkSession, sf_dir: str, line: DataFrame | None = None, *more: str) -> DataFrame:
+    """One row per line item: identity, time, model, and per measure its state, amount and decision; of line items that are given, with more of their columns."""
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     n, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
     whole = lambda c, by=1: F.floor(F.col(c) * by).cast("long")
     at = micros("l_shipdate")
@@ -57,7 +57,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.alias("time_kind"), F.when(kind != "undated", at).alias("at_us"), F.when((kind == "interval") & (n != 3), at - 86_400_000_000 * n.cast("long")).alias("start_us"),
         F.when(supp % 10 == 0, None).otherwise(F.concat(F.lit("provider"), (supp % 3).cast("string"))).alias("provider"),
         F.when(part % 25 == 0, None).otherwise(F.concat(F.lit("model"), (part % 25).cast("string"))).alias("model"),
-        decision.alias("decision"), ((supp % 7) == 0).alias("lower_bound"), *columns,
+        decision.alias("decision"), ((supp % 7) == 0).alias("lower_bound"), *columns, *more,
     )
 
 

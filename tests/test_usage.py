@@ -100,3 +100,20 @@ def test_calls_by_their_writers(spark):
 def test_the_call_log_query_meets_every_reason(spark):
     found = {r.reason for r in queries.call_log_decisions(spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     assert found >= {"output_conflict", "identity_conflict", "superseded_projection", "duplicate", "call"}
+
+
+def dealt(spark, sf_dir, query, key):
+    plan = queries.QUERIES[query](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and key in line]
+
+
+def test_groups_are_dealt_by_session_and_owner_only(spark, sf_dir):
+    """The rows of an observation lie in its session's part, and its groups in its owner's."""
+    assert not dealt(spark, sf_dir, "usage_groups", "observation_id") and not dealt(spark, sf_dir, "usage_groups", "bucket_us")
+
+
+def test_sums_are_exact_beyond_64_bits(spark):
+    ids = [f"o{i}" for i in range(4)]
+    values = [value(i, m, 2**62 + 2**33 + 5) for i in ids for m in ("input",)]
+    _, priced = built(spark, [obs(i) for i in ids], values, [(i, "input", "selected") for i in ids], [])
+    assert int(usage.summed(priced, "owner_id").first().input_known) == 4 * (2**62 + 2**33 + 5)
