@@ -121,3 +121,18 @@ def test_a_ring_costs_no_rounds(spark, monkeypatch):
     found = {r.node: (r.root, r.depth) for r in graph.chain_roots(spark.createDataFrame(nodes, "node string, parent string")).collect()}
     assert {n: found[n] for n in "abcdefgh"} == {"a": (None, None), "b": (None, None), "c": (None, None), "d": ("n1", 1), "e": ("n1", 2), "f": ("n1", 3), "g": ("g", 0), "h": ("g", 1)}
     assert len(found) == 2008 and found["n7"] == ("n7", 0) and len(written) <= 6
+
+
+def test_ways_are_those_of_the_branch_and_each_round_writes_what_it_adds(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)] + [(300, 299), (301, 300)], "node long, parent long")
+    leaves = nodes.where("node % 3 = 0 OR node > 200").select("node")
+    rows = lambda found: sorted((r.node, r.leaf, r.distance) for r in found.collect())
+    want, written, table = rows(graph.branch(nodes, leaves)), [], graph.Scratch.table
+
+    def counting(self, df):
+        out = table(self, df)
+        written.append(out.count() if "leaf" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(graph.Scratch, "table", counting)
+    assert rows(graph.ways(nodes, leaves)) == want and sum(written) == len(want)
