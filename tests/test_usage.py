@@ -117,3 +117,8 @@ def test_sums_are_exact_beyond_64_bits(spark):
     values = [value(i, m, 2**62 + 2**33 + 5) for i in ids for m in ("input",)]
     _, priced = built(spark, [obs(i) for i in ids], values, [(i, "input", "selected") for i in ids], [])
     assert int(usage.summed(priced, "owner_id").first().input_known) == 4 * (2**62 + 2**33 + 5)
+
+
+def test_owners_are_counted_without_a_distinct_count(spark, sf_dir):
+    plan = queries.usage_by_project(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(owners" in plan and "count(distinct" not in plan
